@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["medallion", "published"]
+AREAS = ["medallion", "published", "reconcile", "governance"]
 
 
 def load_catalog():
