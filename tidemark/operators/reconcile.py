@@ -137,7 +137,7 @@ def detect_revisions(gold: DataFrame, incoming: DataFrame) -> DataFrame:
 def revision_chain(gold: DataFrame) -> DataFrame:
     """Revision log implied by successive promotions of a key with a different value."""
     chained = keyed.carry_forward(
-        gold, KEY, "promoted_at", "record_id", F.struct(F.col("value").alias("value")), "_old", "YEAR"
+        gold, KEY, "promoted_at", "record_id", F.struct(F.col("value").alias("value")), "_old"
     )
     return chained.filter(F.col("_old").isNotNull() & (F.col("_old.value") != F.col("value"))).select(
         *KEY, "source_code", "record_id", F.col("_old.value").alias("old_value"), F.col("value").alias("new_value"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["medallion", "published", "reconcile", "governance"]
+AREAS = ["medallion", "published", "reconcile", "governance", "trend"]
 
 
 def load_catalog():
