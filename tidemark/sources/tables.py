@@ -18,7 +18,7 @@ def guarded_broadcast(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataF
     Above it the plain frame is returned and the join shuffles both sides.
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= max_bytes else df
+    return F.broadcast(df) if int(str(size)) <= max_bytes else df
 
 
 def _dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
