@@ -29,6 +29,12 @@ def plain(c: Column | str) -> Column:
     return F.regexp_replace(text, r"(\.\d+?)0+$", "$1")
 
 
+def exact_text(c: Column | str) -> Column:
+    """Plain decimal text with up to 15 places (never scientific notation)."""
+    text = as_col(c).cast("decimal(38,15)").cast("string")
+    return F.regexp_replace(text, r"(\.\d+?)0+$", "$1")
+
+
 def grouped_text(c: Column | str) -> Column:
     """``1234.5`` -> ``1,234.5``: thousands separators, at most two decimals, zeros trimmed."""
     value = rnd(c, 2)

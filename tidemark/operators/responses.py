@@ -74,7 +74,7 @@ def value_buckets(gold: DataFrame) -> DataFrame:
 
 
 def near_any_value(numbers: DataFrame, gold: DataFrame, number: str = "x") -> DataFrame:
-    """Adds ``matched``: some published value lies within 10 % of the number.
+    """One row per number and bucket it may meet; ``_in`` says a published value lies within 10 %.
 
     The interval [0.9x, 1.1x] spans two to four buckets. In the first one a value
     lies inside iff the bucket's maximum reaches the lower end, in the last one
@@ -83,12 +83,10 @@ def near_any_value(numbers: DataFrame, gold: DataFrame, number: str = "x") -> Da
     """
     lo, hi = F.col(number) * F.lit(0.9), F.col(number) * F.lit(1.1)
     buckets = F.broadcast(value_buckets(gold))
-    spread = numbers.withColumn("_row", F.monotonically_increasing_id()).withColumns({
-        "_lo": lo, "_hi": hi,
-    }).withColumn("_b", F.explode(F.sequence(_log_bucket(F.col("_lo")), _log_bucket(F.col("_hi")))))
+    spread = numbers.withColumns({"_lo": lo, "_hi": hi}).withColumn("_b", F.explode(F.sequence(_log_bucket(F.col("_lo")), _log_bucket(F.col("_hi")))))
     inside = (F.col("high") >= F.col("_lo")) & (F.col("low") <= F.col("_hi"))
     return spread.join(buckets, F.col("_b") == F.col("bucket"), "left").select(
-        *numbers.columns, "_row", F.coalesce(inside, F.lit(False)).alias("_in")
+        *numbers.columns, F.coalesce(inside, F.lit(False)).alias("_in")
     )
 
 
@@ -129,25 +127,32 @@ def grounding(responses: DataFrame, values: DataFrame, key: str, column: str = "
               tolerance: float = K.GROUNDING_TOLERANCE) -> DataFrame:
     """Share of a response's numbers that its own retrieved values support.
 
-    Each retrieved value covers an interval around itself; a number is supported
-    iff the furthest interval end seen so far, in order of interval start, reaches
-    it. That is one sort per response instead of comparing all pairs.
-    ``values``: key, value.
+    Each retrieved value covers an interval around itself. Values close enough to
+    share a bucket have overlapping intervals, so they are first merged into one
+    interval per (response, bucket): a bounded number however many values a
+    response retrieved. A number is then supported iff the furthest interval end
+    seen so far, in order of interval start, reaches it: one sort per response
+    instead of comparing all pairs. ``values``: key, value.
     """
     tokens = F.filter(text.number_tokens(F.col(column)), text.is_significant)
     numbers = responses.select(key, F.posexplode(tokens).alias("pos", "token")).select(
-        key, F.col("pos"), F.col("token").cast("double").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("reach")
+        key, F.col("pos"), F.col("token").cast("double").alias("at"), F.lit(1).alias("kind"),
+        F.lit(None).cast("double").alias("reach"), F.lit(0).cast("bigint").alias("n")
     )
-    radius = F.greatest(F.lit(tolerance), F.abs(F.col("value")) * tolerance)
-    cover = values.filter(F.col("value").isNotNull()).select(
-        key, F.lit(None).cast("int").alias("pos"), (F.col("value") - radius).alias("at"), F.lit(0).alias("kind"),
-        (F.col("value") + radius).alias("reach"),
+    v = F.col("value")
+    radius = F.greatest(F.lit(tolerance), F.abs(v) * tolerance)
+    bucket = F.when(F.abs(v) <= 1, F.floor(v / tolerance)).otherwise(
+        F.signum(v).cast("bigint") * (F.floor(F.log(F.abs(v)) / F.log(F.lit(1.0 + tolerance))) + 1_000_000)
     )
+    merged = values.filter(v.isNotNull()).groupBy(key, bucket.alias("_bucket")).agg(
+        F.min(v - radius).alias("at"), F.max(v + radius).alias("reach"), F.count(F.lit(1)).alias("n")
+    )
+    cover = merged.select(key, F.lit(None).cast("int").alias("pos"), "at", F.lit(0).alias("kind"), "reach", "n")
     sweep = Window.partitionBy(key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     checked = numbers.unionByName(cover).withColumn("_reach", F.max("reach").over(sweep))
     is_number = F.col("kind") == 1
     per = checked.groupBy(F.col(key).alias("_k")).agg(
-        F.count_if(is_number).alias("_n"), F.count_if(~is_number).alias("_g"),
+        F.count_if(is_number).alias("_n"), F.sum("n").alias("_g"),
         F.count_if(is_number & (F.col("_reach").isNull() | (F.col("_reach") < F.col("at")))).alias("_u"),
     )
     zero = F.lit(0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["medallion", "published", "reconcile", "governance", "trend", "search", "responses"]
+AREAS = ["medallion", "published", "reconcile", "governance", "trend", "search", "responses", "landed", "upkeep"]
 
 
 def load_catalog():

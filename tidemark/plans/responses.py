@@ -14,12 +14,6 @@ from tidemark.sources import views
 from tidemark.sources.tables import table
 
 
-# Word boundaries below follow Unicode letters in Spark and ASCII letters in the
-# check engine; the check patterns spell the boundary out where texts need it.
-_W = r"[\p{L}\p{N}_]"
-_NW = r"(^|[^\p{L}\p{N}_])"
-
-
 def _sql_pii(name: str) -> str:
     return K.PII_PATTERNS[name]
 
