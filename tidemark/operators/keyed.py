@@ -3,7 +3,7 @@
 ``latest`` / ``best`` aggregate with partial (map-side) combine, so a hot key is
 reduced before the shuffle. ``top_per_key`` filters ``row_number() <= n`` right
 above the window, which Spark turns into a per-partition group limit before the
-exchange. ``carry_forward`` splits each key by time bucket and stitches the
+exchange. ``carry`` splits each key by time bucket and stitches the
 buckets through a small per-bucket summary.
 """
 
@@ -32,24 +32,29 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, ran
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def carry_forward(
+def carry(
     df: DataFrame, keys: list[str], at: str, tie: str, value: Column, out: str, bucket: str = "DAY",
+    forward: bool = True, include_self: bool = False,
 ) -> DataFrame:
-    """Latest non-null ``value`` strictly before each row of its key, in (at, tie) order.
+    """Nearest non-null ``value`` before (or after) each row of its key, in (at, tie) order.
 
     A key is worked on one time bucket at a time; the value entering a bucket
-    comes from the last non-empty earlier bucket, found on the per-bucket summary
-    (one row per key and bucket).
+    comes from the nearest non-empty bucket on that side, found on the per-bucket
+    summary (one row per key and bucket). A hot key is thereby spread over its
+    buckets; ``bucket`` is any date_trunc unit and sets how finely.
     """
     b = df.withColumn("_bucket", F.date_trunc(bucket, F.col(at))).withColumn("_v", value)
-    order = F.struct(F.col(at), F.col(tie))
-    ends = b.groupBy(*keys, "_bucket").agg(
-        F.max_by("_v", F.when(F.col("_v").isNotNull(), order)).alias("_end")
-    )
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_enter", F.last("_end", ignorenulls=True).over(before)).drop("_end")
-    inside = (
-        Window.partitionBy(*keys, "_bucket").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)
+    order = F.when(F.col("_v").isNotNull(), F.struct(F.col(at), F.col(tie)))
+    edge = F.max_by("_v", order) if forward else F.min_by("_v", order)
+    ends = b.groupBy(*keys, "_bucket").agg(edge.alias("_end"))
+
+    def ordered(*columns: str) -> list[Column]:
+        return [F.col(c).asc() if forward else F.col(c).desc() for c in columns]
+
+    earlier = Window.partitionBy(*keys).orderBy(*ordered("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_enter", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*ordered(at, tie)).rowsBetween(
+        Window.unboundedPreceding, 0 if include_self else -1
     )
     b = b.withColumn("_seen", F.last("_v", ignorenulls=True).over(inside))
     ends = ends.withColumnsRenamed({k: f"_e_{k}" for k in [*keys, "_bucket"]})
@@ -61,6 +66,11 @@ def carry_forward(
     )
 
 
+def carry_forward(df: DataFrame, keys: list[str], at: str, tie: str, value: Column, out: str, bucket: str = "DAY") -> DataFrame:
+    """Latest non-null ``value`` strictly before each row of its key."""
+    return carry(df, keys, at, tie, value, out, bucket)
+
+
 def first_seen(df: DataFrame, keys: list[Column], position: list[Column], payload: list[str]) -> DataFrame:
     """Keep the first row (by position) of each key; null-safe keys, order-preserving dedupe."""
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]

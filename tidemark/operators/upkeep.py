@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
@@ -176,28 +176,27 @@ def erase_user(messages: DataFrame, sessions: DataFrame, users: DataFrame) -> Da
 def consent_state(events: DataFrame) -> DataFrame:
     """Granted and not revoked since, per hashed user and type."""
     grant, revoke = F.col("action") == "grant", F.col("action") == "revoke"
-    at = F.struct("at", "event_id")
+    at = F.struct("noted_at", "event_id")
     state = events.groupBy("user_id", "consent_type").agg(
         F.max(F.when(grant, at)).alias("_g"), F.max(F.when(revoke, at)).alias("_r")
     )
     live = F.col("_g").isNotNull() & (F.col("_r").isNull() | (F.col("_g") > F.col("_r")))
     return state.select(
         F.sha2(F.col("user_id").cast("string"), 256).alias("user_id_hash"), "consent_type",
-        F.col("_g.at").alias("granted_at"), F.when(~live, F.col("_r.at")).alias("revoked_at"), live.alias("is_active"),
+        F.col("_g.noted_at").alias("granted_at"), F.when(~live, F.col("_r.noted_at")).alias("revoked_at"), live.alias("is_active"),
     )
 
 
 # --- Policies ---------------------------------------------------------------
 
 def policy_versions(policies: DataFrame) -> DataFrame:
-    """Validity interval of every version; publishing a version ends the one before.
-
-    Versions of a policy are few, so one window per policy name is small.
-    """
-    w = Window.partitionBy("policy_name").orderBy("effective_date", "policy_id")
-    return policies.withColumn("valid_to", F.lead("effective_date").over(w)).withColumn(
-        "is_active", F.lead("policy_id").over(w).isNull()
+    """Validity interval of every version; publishing a version ends the one before."""
+    following = keyed.carry(
+        policies, ["policy_name"], "effective_date", "policy_id", F.struct("effective_date"), "_next", "YEAR", forward=False
     )
+    return following.withColumn("valid_to", F.col("_next.effective_date")).withColumn(
+        "is_active", F.col("_next").isNull()
+    ).drop("_next")
 
 
 def active_policies(policies: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ view("news", [], f"""
     CASE WHEN doc_id % 11 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 30 AS INT)) END AS published_at FROM documents""")
 view("hits", [], f"""
   SELECT event_id AS hit_id, user_id % 10 AS identifier, {pick('(user_id % 10) % 3', ['PUBLIC', 'EXTERNAL_BUSINESS', 'ADMIN'])} AS role,
-    date_trunc('hour', ts) AS at FROM events""")
+    date_trunc('hour', ts) AS hit_at FROM events""")
 view("blocks", [], """
   SELECT event_id AS block_id, user_id AS source_url, ts AS blocked_at FROM events WHERE event_type = 'error'""")
 view("crawl_log", [], """
@@ -188,7 +188,7 @@ view("crawl_log", [], """
     substr(sha256(CAST(event_id % 3 AS VARCHAR)), 1, 16) AS content_hash, ts AS logged_at FROM events""")
 view("consent_events", [], f"""
   SELECT event_id, user_id, {pick('event_id % 3', ['ANALYTICS', 'PERSONALIZATION', 'MARKETING'])} AS consent_type,
-    CASE event_type WHEN 'signup' THEN 'grant' ELSE 'revoke' END AS action, ts AS at
+    CASE event_type WHEN 'signup' THEN 'grant' ELSE 'revoke' END AS action, ts AS noted_at
   FROM events WHERE event_type IN ('signup', 'error')""")
 view("tasks", [], f"""
   SELECT event_id AS task_id, CASE WHEN event_id % 3 <> 0 THEN 'PENDING' ELSE 'RESOLVED' END AS status,

@@ -157,7 +157,7 @@ def erasure(spark, folder):
 
 
 @query("consent_state", uses=["consent_events"], sql="""
-  WITH s AS (SELECT user_id, consent_type, first(action ORDER BY at DESC, event_id DESC) AS last, max(at) FILTER (action = 'grant') AS g, max(at) FILTER (action = 'revoke') AS r
+  WITH s AS (SELECT user_id, consent_type, first(action ORDER BY noted_at DESC, event_id DESC) AS last, max(noted_at) FILTER (action = 'grant') AS g, max(noted_at) FILTER (action = 'revoke') AS r
     FROM v_consent_events GROUP BY ALL)
   SELECT sha256(CAST(user_id AS VARCHAR)) AS user_id_hash, consent_type, g AS granted_at, CASE WHEN last = 'revoke' THEN r END AS revoked_at, last = 'grant' AS is_active FROM s""")
 def consent_state(spark, folder):

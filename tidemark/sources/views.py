@@ -258,7 +258,7 @@ def hits_from(e: DataFrame) -> DataFrame:
         F.col("event_id").alias("hit_id"),
         ident.alias("identifier"),
         _pick(ident % 3, ["PUBLIC", "EXTERNAL_BUSINESS", "ADMIN"]).alias("role"),
-        F.date_trunc("HOUR", F.col("ts")).cast("timestamp_ntz").alias("at"),
+        F.date_trunc("HOUR", F.col("ts")).cast("timestamp_ntz").alias("hit_at"),
     )
 
 
@@ -298,7 +298,7 @@ def consent_events(spark: SparkSession, folder: str) -> DataFrame:
             F.col("user_id"),
             _pick(F.col("event_id") % 3, ["ANALYTICS", "PERSONALIZATION", "MARKETING"]).alias("consent_type"),
             F.when(kind == "signup", "grant").otherwise("revoke").alias("action"),
-            F.col("ts").cast("timestamp_ntz").alias("at"),
+            F.col("ts").cast("timestamp_ntz").alias("noted_at"),
         )
     )
 
