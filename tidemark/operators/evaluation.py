@@ -9,6 +9,7 @@ from tidemark import constants as K
 from tidemark.functions import text
 from tidemark.functions.numeric import lookup, rnd
 from tidemark.operators import keyed
+from tidemark.session import materialise
 
 _NAMES = {code: meta[0] for code, meta in K.INDICATORS.items()}
 
@@ -120,8 +121,13 @@ def trends(auth: DataFrame, seed: int, target: int, gap: int) -> DataFrame:
 
 
 def ground_truth(auth: DataFrame, seed: int = 42, targets: dict | None = None, gap: int = K.TREND_GAP_YEARS) -> DataFrame:
-    """Numbered answer key; at most the sum of the targets, so the numbering window is small."""
+    """Numbered answer key; at most the sum of the targets, so the numbering window is small.
+
+    The authoritative records (one per key) feed six selections, so they are written
+    once instead of being derived from the published table six times.
+    """
     t = targets or K.QUESTION_TARGETS
+    auth = materialise(auth.sparkSession, auth, "authoritative")
     kinds = [
         point_lookups(auth, seed, t["point_lookup"]), comparisons(auth, seed, t["comparison"]),
         superlatives(auth, seed, t["superlative_high"], True), superlatives(auth, seed, t["superlative_low"], False),

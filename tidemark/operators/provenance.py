@@ -58,6 +58,11 @@ def promotion_path(dq_status: Column, approved_by: Column, review_status: Column
     )
 
 
+def _issues(dimension: str) -> Column:
+    own = F.filter("_reasons", lambda r: text.reason_dimension(r) == dimension)
+    return F.transform(own, text.reason_sentence)
+
+
 def with_trust(rows: DataFrame) -> DataFrame:
     """Adds tier, promotion path, reasons to trust, caveats, per-dimension detail and a summary.
 
@@ -109,9 +114,7 @@ def with_trust(rows: DataFrame) -> DataFrame:
         F.struct(
             F.lit(d).alias("name"), F.lit(K.DIMENSION_LABELS[d]).alias("label"), c(f"_s_{d}").alias("score"),
             F.lit(w).alias("weight"), rnd(c(f"_s_{d}") * w, 2).alias("weighted_contribution"),
-            F.transform(
-                F.filter("_reasons", lambda r, d=d: text.reason_dimension(r) == d), text.reason_sentence
-            ).alias("issues"),
+            _issues(d).alias("issues"),
         )
         for d, w in K.DQ_WEIGHTS.items()
     ])

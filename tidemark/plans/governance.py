@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
@@ -14,8 +16,8 @@ from tidemark.plans.medallion import silver
 from tidemark.sources import views
 from tidemark.sources.tables import country_dim, table
 
-AS_OF = views.clock(views.AS_OF_ORDERS)
-AS_OF_E = views.clock(views.AS_OF_EVENTS)
+AS_OF = partial(views.clock, views.AS_OF_ORDERS)
+AS_OF_E = partial(views.clock, views.AS_OF_EVENTS)
 
 _CARDS = f"""
   WITH w AS (SELECT source_code, CAST(date_trunc('week', crawled_at) AS DATE) AS week_start, count(*) AS n, count(raw_value) AS ok,
@@ -66,13 +68,13 @@ _SLA = f"""
 
 @query("sla_status", uses=["gold"], sql=_SLA + " SELECT * FROM s")
 def sla_status(spark, folder):
-    return G.sla_status(spark, views.gold(spark, folder), AS_OF).withColumn("age_minutes", rnd("age_minutes", 2))
+    return G.sla_status(spark, views.gold(spark, folder), AS_OF()).withColumn("age_minutes", rnd("age_minutes", 2))
 
 
 @query("sla_rollup", uses=["gold"], sql=_SLA + f"""
   SELECT coalesce(tier, 'ALL') AS tier, count(*) AS n, {V.rnd('count(*) FILTER (compliant) / count(*) * 100', 1)} AS compliance_pct FROM s GROUP BY ROLLUP (tier)""")
 def sla_rollup(spark, folder):
-    return G.sla_rollup(G.sla_status(spark, views.gold(spark, folder), AS_OF))
+    return G.sla_rollup(G.sla_status(spark, views.gold(spark, folder), AS_OF()))
 
 
 @query("record_tiers", uses=["bronze"], sql=f"""
@@ -93,12 +95,12 @@ _ALERTS = f"""SELECT record_id, indicator_code, country_code, CASE WHEN indicato
 
 @query("alerts", uses=["gold"], sql=_ALERTS)
 def alerts(spark, folder):
-    return G.alerts(views.gold(spark, folder), AS_OF, 1, days=30).drop("tenant_id")
+    return G.alerts(views.gold(spark, folder), AS_OF(), 1, days=30).drop("tenant_id")
 
 
 @query("alerts_recent", uses=["gold"], sql=f"SELECT * FROM ({_ALERTS}) ORDER BY logged_at DESC, record_id LIMIT 20")
 def alerts_recent(spark, folder):
-    log = G.alerts(views.gold(spark, folder), AS_OF, 1, days=30)
+    log = G.alerts(views.gold(spark, folder), AS_OF(), 1, days=30)
     return G.recent_alerts(log, 1).drop("tenant_id")
 
 
@@ -107,7 +109,7 @@ def alerts_recent(spark, folder):
   ORDER BY logged_at DESC, log_id LIMIT 100""")
 def audit_window(spark, folder):
     log = views.crawl_log(spark, folder).withColumnRenamed("action", "table_name")
-    return G.audit_window(log, AS_OF_E, 10, "SKIP").select("log_id", "table_name", "logged_at")
+    return G.audit_window(log, AS_OF_E(), 10, "SKIP").select("log_id", "table_name", "logged_at")
 
 
 @query("coverage_report", uses=["gold"], sql=f"""
@@ -168,7 +170,7 @@ def oversight_pending(spark, folder):
     CASE WHEN br AND level < 5 THEN {V.E} + to_hours(CASE level + 1 WHEN 3 THEN 8 WHEN 4 THEN 24 WHEN 5 THEN 48 ELSE 4 END) ELSE sla_deadline END AS sla_deadline,
     CASE WHEN br AND level < 5 THEN level END AS escalated_from, br AND level >= 5 AS stuck_at_top FROM e""")
 def escalations(spark, folder):
-    return G.escalate(views.tasks(spark, folder), AS_OF_E)
+    return G.escalate(views.tasks(spark, folder), AS_OF_E())
 
 
 @query("open_tasks", uses=["tasks"], sql=f"""
@@ -176,7 +178,7 @@ def escalations(spark, folder):
     {V.rnd(f"greatest(0, date_diff('microsecond', {V.E}, sla_deadline) / 1e6 / 3600)", 4)} AS remaining_hours, sla_deadline < {V.E} AS sla_breached
   FROM v_tasks WHERE status = 'PENDING'""")
 def open_tasks(spark, folder):
-    return G.open_tasks(views.tasks(spark, folder), AS_OF_E).withColumn("remaining_hours", rnd("remaining_hours", 4))
+    return G.open_tasks(views.tasks(spark, folder), AS_OF_E()).withColumn("remaining_hours", rnd("remaining_hours", 4))
 
 
 @query("decision_distribution", uses=["silver"], sql=f"""
@@ -190,4 +192,4 @@ def decision_distribution(spark, folder):
         confidence.alias("confidence"), scoring.confidence_decision(confidence).alias("decision"),
         F.col("crawled_at").alias("decided_at"),
     )
-    return G.decision_distribution(decisions, AS_OF_E)
+    return G.decision_distribution(decisions, AS_OF_E())

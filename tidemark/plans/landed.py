@@ -10,7 +10,7 @@ from tidemark.plans import sqlviews as V
 from tidemark.plans.catalog import query
 from tidemark.sources import landed as L
 from tidemark.sources import views
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 _ANNUAL = "an AS (SELECT indicator_code, country_code, period, CAST(floor(CAST(sum(cents) AS BIGINT) / count(*)) AS BIGINT) AS c FROM v_gold GROUP BY ALL)"
 _UNIT = V.case_map("indicator_code", {k: v[2] for k, v in K.INDICATORS.items()})
@@ -127,7 +127,7 @@ def extraction_filter(spark, folder):
 @query("page_text", sql=f"""
   SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, {V.q(K.SCRIPT_BLOCK)}, ' ', 'g'), '{K.TAG}', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages""")
 def page_text(spark, folder):
-    return table(spark, folder, "pages").select("page_id", L.page_text(F.col("html")).alias("text"))
+    return spread(table(spark, folder, "pages")).select("page_id", L.page_text(F.col("html")).alias("text"))
 
 
 def _links_sql(patterns: list[str]) -> str:
@@ -145,9 +145,9 @@ def _links_sql(patterns: list[str]) -> str:
 @query("page_links", sql=_links_sql(["/[A-Za-z]"]))
 def page_links(spark, folder):
     """Links whose path starts with a plain letter (the sample pages hold no article urls)."""
-    return L.page_links(table(spark, folder, "pages"), ["/[A-Za-z]"])
+    return L.page_links(spread(table(spark, folder, "pages")), ["/[A-Za-z]"])
 
 
 @query("page_article_links", sql=_links_sql(K.ARTICLE_URLS))
 def page_article_links(spark, folder):
-    return L.page_links(table(spark, folder, "pages"))
+    return L.page_links(spread(table(spark, folder, "pages")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
@@ -13,11 +15,11 @@ from tidemark.plans.catalog import query
 from tidemark.sources import views
 from tidemark.sources.tables import source_dim
 
-AS_OF = views.clock(views.AS_OF_EVENTS)
+AS_OF = partial(views.clock, views.AS_OF_EVENTS)
 
 
 def silver(spark, folder):
-    return M.to_silver(views.bronze(spark, folder), AS_OF)
+    return M.to_silver(views.bronze(spark, folder), AS_OF())
 
 
 @query("medallion_counts", uses=["silver"], sql=f"""
@@ -109,7 +111,7 @@ def gold_promotion_revisions(spark, folder):
     {V.E} + INTERVAL 4 HOUR AS sla_deadline
   FROM v_silver WHERE dq_status = 'REVIEW'""")
 def review_queue_items(spark, folder):
-    return M.review_items(silver(spark, folder), AS_OF).select(
+    return M.review_items(silver(spark, folder), AS_OF()).select(
         "queue_id", "bronze_id", "tenant_id", "indicator_code", "country_code", "period", "extracted_value",
         "dq_score", F.array_join("failure_reasons", ";").alias("reasons"), "status", "sla_deadline",
     )
@@ -154,14 +156,14 @@ def review_decisions(spark, folder):
   SELECT count(*) FILTER (status = 'PENDING') AS pending, count(*) FILTER (status IN ('APPROVED', 'ADJUSTED')) AS approved,
     count(*) FILTER (status = 'REJECTED') AS rejected, count(*) FILTER (status = 'PENDING' AND due < {V.E}) AS sla_breached FROM done""")
 def review_stats(spark, folder):
-    return M.review_stats(M.apply_decisions(_queue(spark, folder), _decisions(spark, folder)), AS_OF)
+    return M.review_stats(M.apply_decisions(_queue(spark, folder), _decisions(spark, folder)), AS_OF())
 
 
 @query("review_queue_page", uses=["silver"], sql=f"""
   SELECT record_id AS bronze_id, dq_score, crawled_at + INTERVAL 4 HOUR AS sla_deadline, crawled_at + INTERVAL 4 HOUR < {V.E} AS sla_breached
   FROM v_silver WHERE dq_status = 'REVIEW' AND tenant_id = 1 ORDER BY 3, 1 LIMIT 50""")
 def review_queue_page(spark, folder):
-    return M.review_page(_queue(spark, folder), AS_OF, tenant=1).select(
+    return M.review_page(_queue(spark, folder), AS_OF(), tenant=1).select(
         "bronze_id", "dq_score", "sla_deadline", "sla_breached"
     )
 
@@ -171,7 +173,7 @@ def review_queue_page(spark, folder):
   WHERE NOT EXISTS (SELECT 1 FROM v_bronze s WHERE s.record_id = b.record_id AND s.crawled_at < {V.E} - INTERVAL 30 DAY)""")
 def incremental_unprocessed(spark, folder):
     b = views.bronze(spark, folder)
-    done = b.filter(F.col("crawled_at") < F.timestamp_add("DAY", F.lit(-30), AS_OF)).select(
+    done = b.filter(F.col("crawled_at") < F.timestamp_add("DAY", F.lit(-30), AS_OF())).select(
         F.col("record_id").alias("bronze_id")
     )
     return M.unprocessed(b, done).select("record_id", "source_code", "crawled_at")

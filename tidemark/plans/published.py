@@ -119,7 +119,7 @@ def explorer_page(spark, folder):
     {len(K.SOURCES)} AS active_sources,
     (SELECT {V.rnd('avg(dq_score)', 1)} FROM v_gold WHERE tenant_id IS NULL OR tenant_id = 1) AS avg_dq_score""")
 def overview_stats(spark, folder):
-    queue = M.review_items(silver(spark, folder), AS_OF)
+    queue = M.review_items(silver(spark, folder), AS_OF())
     return P.overview(views.gold(spark, folder), views.bronze(spark, folder), queue, source_dim(spark), 1)
 
 

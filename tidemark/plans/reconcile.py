@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
@@ -12,7 +14,7 @@ from tidemark.plans.catalog import query
 from tidemark.sources import views
 from tidemark.sources.tables import table
 
-AS_OF = views.clock(views.AS_OF_ORDERS)
+AS_OF = partial(views.clock, views.AS_OF_ORDERS)
 
 _RESOLVED = f"""
   WITH k AS (SELECT indicator_code, country_code, period, count(*) AS n_candidates,
@@ -40,7 +42,7 @@ def conflict_spread(spark, folder):
 
 
 def _resolved(spark, folder):
-    return R.resolve_conflicts(views.candidates(spark, folder), views.gold(spark, folder), AS_OF)
+    return R.resolve_conflicts(views.candidates(spark, folder), views.gold(spark, folder), AS_OF())
 
 
 @query("conflict_resolution", uses=["candidates"], sql=_RESOLVED + f"""
@@ -57,7 +59,7 @@ def conflict_resolution(spark, folder):
 def recent_conflicts(spark, folder):
     last = views.candidates(spark, folder).groupBy(*R.KEY).agg(F.max("crawled_at").alias("resolved_at"))
     log = _resolved(spark, folder).join(last, R.KEY)
-    return R.recent_conflicts(log, AS_OF).select(*R.KEY, "severity", "selected_source", "resolved_at")
+    return R.recent_conflicts(log, AS_OF()).select(*R.KEY, "severity", "selected_source", "resolved_at")
 
 
 @query("source_selection_history", uses=["candidates"], sql=_RESOLVED + f"""
@@ -68,7 +70,7 @@ def recent_conflicts(spark, folder):
     FROM v_candidates GROUP BY ALL) USING (indicator_code, country_code, period)
   WHERE indicator_code = 'GDP_GROWTH' ORDER BY decided_at DESC, indicator_code, country_code, period LIMIT 50""")
 def source_selection_history(spark, folder):
-    log = R.selection_log(views.candidates(spark, folder), _resolved(spark, folder), AS_OF)
+    log = R.selection_log(views.candidates(spark, folder), _resolved(spark, folder), AS_OF())
     entry = F.transform("candidates", lambda c: F.concat(
         c["source_code"], F.lit(":"), c["reliability"].cast("bigint").cast("string"), F.lit(":"),
         c["freshness_hours"].cast("string")))
@@ -89,7 +91,7 @@ _CURRENT = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY indicator
   SELECT indicator_code, country_code, period, source_code, gold_record_id, {V.rnd('old_value', 6)} AS old_value,
     {V.rnd('value', 6)} AS new_value, {V.rnd('pct', 4)} AS revision_pct, abs({V.rnd('pct', 6)}) > 10 AS is_significant FROM j""")
 def revision_events(spark, folder):
-    incoming = views.candidates(spark, folder).withColumn("revised_at", AS_OF)
+    incoming = views.candidates(spark, folder).withColumn("revised_at", AS_OF())
     out = R.detect_revisions(views.gold(spark, folder), incoming)
     return out.select(
         *R.KEY, "source_code", "gold_record_id", rnd("old_value", 6).alias("old_value"),
@@ -147,7 +149,7 @@ _VR = K.VALIDATOR_RANGES
     concat_ws(',', CASE WHEN e1 THEN 'SCHEMA' END, CASE WHEN e2 THEN 'RANGE' END, CASE WHEN e3 THEN 'CONSISTENCY' END, CASE WHEN w THEN 'FRESHNESS' END) AS layers FROM n""")
 def validator_report(spark, folder):
     g = views.gold(spark, folder)
-    out = R.validate(g, g, AS_OF)
+    out = R.validate(g, g, AS_OF())
     return out.select(
         "record_id", "n_errors", "n_warnings", "score", "passed",
         F.array_join(F.transform("failures", lambda f: f["layer"]), ",").alias("layers"),

@@ -11,7 +11,7 @@ from tidemark.operators import responses as R
 from tidemark.plans import sqlviews as V
 from tidemark.plans.catalog import query
 from tidemark.sources import views
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 
 def _sql_pii(name: str) -> str:
@@ -33,7 +33,7 @@ _N_PII = ", ".join(
 @query("pii_redaction", sql=f"""
   SELECT doc_id, {_redact_sql('text')} AS redacted, {_N_PII}, sha256(text) AS text_hash FROM documents""")
 def pii_redaction(spark, folder):
-    return R.redact_table(table(spark, folder, "documents"), "doc_id")
+    return R.redact_table(spread(table(spark, folder, "documents")), "doc_id")
 
 
 @query("privacy_audit", sql=f"""
@@ -41,7 +41,7 @@ def pii_redaction(spark, folder):
   a AS (SELECT doc_id, text_hash, concat_ws(',', {', '.join(f"CASE WHEN n_{n.lower()} > 0 THEN '{n}' END" for n in K.PII_PATTERNS)}) AS pii_types FROM c)
   SELECT * FROM a WHERE pii_types <> ''""")
 def privacy_audit(spark, folder):
-    return R.privacy_audit(R.redact_table(table(spark, folder, "documents"), "doc_id"), "doc_id")
+    return R.privacy_audit(R.redact_table(spread(table(spark, folder, "documents")), "doc_id"), "doc_id")
 
 
 _ADVICE, _DOMAIN, _DISC = ("|".join(w) for w in (K.ADVICE_WORDS, K.DOMAIN_WORDS, K.DISCLAIMER_WORDS))
@@ -62,7 +62,7 @@ def guardrails(spark, folder):
   SELECT triggered_filter, count(*) AS n, CAST(sum(length(final_response)) AS BIGINT) AS chars FROM f GROUP BY ALL""")
 def guardrails_documents(spark, folder):
     """The same filters with every document as both question and answer."""
-    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("query"), F.col("text").alias("response"))
+    docs = spread(table(spark, folder, "documents")).select("doc_id", F.col("text").alias("query"), F.col("text").alias("response"))
     return R.guard(docs).groupBy("triggered_filter").agg(
         F.count(F.lit(1)).alias("n"), F.sum("response_length").alias("chars")
     )
@@ -77,7 +77,7 @@ _RESPONSES_SQL = f"""SELECT o_orderkey AS run_id, text || ' The reading was ' ||
 
 def _responses(spark, folder):
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    docs = spread(table(spark, folder, "documents")).select("doc_id", "text", "source")
     return docs.join(table(spark, folder, "orders"), F.col("doc_id") == F.col("o_orderkey")).select(
         F.col("doc_id").alias("run_id"),
         F.concat(
@@ -158,7 +158,7 @@ def inline_citations(spark, folder):
   WITH r AS ({_RESPONSES_SQL} UNION ALL SELECT -1 - doc_id, text FROM documents)
   SELECT run_id, ({' OR '.join(f"regexp_matches(text, {V.q(p)})" for p in K.CITATION_STYLES)}) AS cited, ({_MARKS}) AS marked FROM r""")
 def citation_styles(spark, folder):
-    plain_docs = table(spark, folder, "documents").select((F.lit(-1) - F.col("doc_id")).alias("run_id"), "text")
+    plain_docs = spread(table(spark, folder, "documents")).select((F.lit(-1) - F.col("doc_id")).alias("run_id"), "text")
     return _responses(spark, folder).unionByName(plain_docs).select(
         "run_id", text.has_citation(F.col("text"), K.CITATION_STYLES).alias("cited"), text.has_citation(F.col("text")).alias("marked")
     )

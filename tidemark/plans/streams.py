@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import rnd
@@ -15,7 +17,7 @@ from tidemark.sources import views
 from tidemark.sources.tables import table
 from tidemark.streaming import jobs, runs, stateful
 
-AS_OF = views.clock(views.AS_OF_EVENTS)
+AS_OF = partial(views.clock, views.AS_OF_EVENTS)
 
 
 def _events(folder: str) -> str:
@@ -31,7 +33,7 @@ def _plain_times(df, *columns):
 @query("stream_medallion", uses=["silver"], sql=f"""
   SELECT source_code, dq_status, count(*) AS n, {V.rnd('CAST(sum(CAST(dq_score * 100 AS BIGINT)) AS BIGINT) / count(*) / 100', 4)} AS avg_dq FROM v_silver GROUP BY ALL""")
 def stream_medallion(spark, folder):
-    out = jobs.medallion(spark, _events(folder), AS_OF)
+    out = jobs.medallion(spark, _events(folder), AS_OF())
     return M.status_counts(spark.read.parquet(f"{out}/silver")).withColumn("avg_dq", rnd("avg_dq", 4))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import rnd
@@ -12,7 +14,7 @@ from tidemark.plans import sqlviews as V
 from tidemark.plans.catalog import query
 from tidemark.sources import views
 
-AS_OF = views.clock(views.AS_OF_ORDERS)
+AS_OF = partial(views.clock, views.AS_OF_ORDERS)
 
 
 @query("forecast_trend", uses=["series"], sql=f"""
@@ -38,7 +40,7 @@ _BEST = """best AS (SELECT * FROM (SELECT indicator_code, country_code, period_q
 
 def _best(spark, folder):
     g = views.gold(spark, folder).withColumn("period", F.col("period_q"))
-    return T.best_per_period(g, AS_OF)
+    return T.best_per_period(g, AS_OF())
 
 
 @query("best_per_period", uses=["gold"], sql=f"""

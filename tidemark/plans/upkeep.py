@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
@@ -15,8 +17,8 @@ from tidemark.plans.medallion import silver
 from tidemark.sources import views
 from tidemark.sources.tables import source_dim, table
 
-AS_OF = views.clock(views.AS_OF_EVENTS)
-AS_OF_O = views.clock(views.AS_OF_ORDERS)
+AS_OF = partial(views.clock, views.AS_OF_EVENTS)
+AS_OF_O = partial(views.clock, views.AS_OF_ORDERS)
 
 
 @query("crawl_efficiency", uses=["crawl_log"], sql=f"""
@@ -25,13 +27,13 @@ AS_OF_O = views.clock(views.AS_OF_ORDERS)
     {V.rnd("count(*) FILTER (action = 'SKIP') * 0.00006::DOUBLE", 6)} AS saved_usd, count(DISTINCT source_code) FILTER (action = 'DEFER') AS sources_deferred
   FROM v_crawl_log WHERE logged_at >= {V.E} - INTERVAL 7 DAY""")
 def crawl_efficiency(spark, folder):
-    return U.crawl_efficiency(views.crawl_log(spark, folder), AS_OF)
+    return U.crawl_efficiency(views.crawl_log(spark, folder), AS_OF())
 
 
 @query("crawl_deferred", uses=["crawl_log"], sql=f"""
   SELECT DISTINCT source_code FROM v_crawl_log WHERE logged_at >= {V.E} - INTERVAL 7 DAY AND action = 'DEFER'""")
 def crawl_deferred(spark, folder):
-    return U.deferred_sources(views.crawl_log(spark, folder), AS_OF)
+    return U.deferred_sources(views.crawl_log(spark, folder), AS_OF())
 
 
 @query("crawl_budget", uses=["supply_sources"], sql="""
@@ -73,7 +75,7 @@ def latest_hash(spark, folder):
 def page_hashes(spark, folder):
     return table(spark, folder, "pages").select(
         "page_id", text.short_hash(F.col("html")).alias("content_hash"),
-        text.daily_ip_hash(F.col("url"), AS_OF.cast("date")).alias("url_hash"),
+        text.daily_ip_hash(F.col("url"), AS_OF().cast("date")).alias("url_hash"),
     )
 
 
@@ -82,7 +84,7 @@ def page_hashes(spark, folder):
   s AS (SELECT source_url, block_count, block_count >= 3 AS is_permanent, CASE block_count WHEN 1 THEN l + INTERVAL 1 HOUR WHEN 2 THEN l + INTERVAL 4 HOUR END AS cooldown_until FROM b)
   SELECT *, is_permanent OR coalesce(cooldown_until > {V.E}, false) AS is_blocked FROM s""")
 def block_state(spark, folder):
-    return U.block_state(views.blocks(spark, folder), AS_OF)
+    return U.block_state(views.blocks(spark, folder), AS_OF())
 
 
 _PRICED = """pr AS (SELECT *, CASE category WHEN 'LLM' THEN quantity / 1000e0 * CASE provider WHEN 'groq' THEN 0e0 WHEN 'gemini' THEN 0.00015::DOUBLE WHEN 'cerebras' THEN 0e0 ELSE 0.001::DOUBLE END
@@ -94,7 +96,7 @@ _PRICED = """pr AS (SELECT *, CASE category WHEN 'LLM' THEN quantity / 1000e0 *
 
 
 def _costs(spark, folder):
-    return U.priced(U.since(views.cost_events(spark, folder), "occurred_at", AS_OF, 30))
+    return U.priced(U.since(views.cost_events(spark, folder), "occurred_at", AS_OF(), 30))
 
 
 @query("cost_report", uses=["cost_events"], sql=f"WITH {_PRICED} SELECT * FROM cs")
@@ -120,7 +122,7 @@ def supply_cost_top20(spark, folder):
 @query("retention_split", uses=["bronze"], sql=f"""
   SELECT record_id, crawled_at < {V.E} - INTERVAL 90 DAY AS archive FROM v_bronze""")
 def retention_split(spark, folder):
-    cutoff = F.timestamp_add("DAY", F.lit(-90), AS_OF)
+    cutoff = F.timestamp_add("DAY", F.lit(-90), AS_OF())
     return U.retention_split(views.bronze(spark, folder), cutoff, ["crawled_at"]).select("record_id", "archive")
 
 
@@ -134,7 +136,7 @@ def retention_audit(spark, folder):
     parts = []
     for name, days, stamps in (("bronze_records", K.RETENTION_DAYS["bronze"], ["crawled_at", "promoted_at"]),
                                ("silver_records", K.RETENTION_DAYS["silver"], ["promoted_at"])):
-        cutoff = F.timestamp_add("DAY", F.lit(-days), AS_OF_O)
+        cutoff = F.timestamp_add("DAY", F.lit(-days), AS_OF_O())
         parts.append(U.retention_audit(U.retention_split(g, cutoff, stamps), name, cutoff))
     return parts[0].unionByName(parts[1])
 
@@ -208,7 +210,7 @@ def resource_profile(spark, folder):
 @query("resource_trend", uses=["crawl_log"], sql=f"""
   SELECT CAST(logged_at AS DATE) AS day, count(*) AS n_rows FROM v_crawl_log WHERE logged_at >= {V.E} - INTERVAL 30 DAY GROUP BY 1""")
 def resource_trend(spark, folder):
-    return U.daily_trend(views.crawl_log(spark, folder), "logged_at", AS_OF)
+    return U.daily_trend(views.crawl_log(spark, folder), "logged_at", AS_OF())
 
 
 @query("missing_vectors", sql="""
@@ -228,7 +230,7 @@ def distinct_pairs(spark, folder):
   SELECT p_partkey AS definition_id, p_brand AS code FROM part WHERE p_size % 10 <> 0""")
 def active_definitions(spark, folder):
     """Definitions (parts) without a deprecation mark."""
-    marked = table(spark, folder, "part").withColumn("deprecated_at", F.when(F.col("p_size") % 10 == 0, AS_OF))
+    marked = table(spark, folder, "part").withColumn("deprecated_at", F.when(F.col("p_size") % 10 == 0, AS_OF()))
     return marked.filter(F.col("deprecated_at").isNull()).select(F.col("p_partkey").alias("definition_id"), F.col("p_brand").alias("code"))
 
 

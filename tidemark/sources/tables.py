@@ -12,6 +12,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that has fewer splits than there are cores.
+
+    For CPU-heavy row work (text patterns, scoring) on few or unsplittable files. A
+    table with enough splits is returned as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def guarded_broadcast(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """Broadcast hint only when the optimizer's own size estimate is below the bound.
 

@@ -13,7 +13,7 @@ from tidemark import constants as K
 from tidemark.functions import parsing
 from tidemark.functions.numeric import lookup
 from tidemark.operators import keyed
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 AS_OF_EVENTS = "2024-02-01 00:00:00"
 AS_OF_ORDERS = "2001-08-02 00:00:00"
@@ -32,7 +32,7 @@ def _plus_seconds(ts: Column, seconds: Column) -> Column:
 
 
 def bronze(spark: SparkSession, folder: str) -> DataFrame:
-    return bronze_from(table(spark, folder, "events"))
+    return bronze_from(spread(table(spark, folder, "events")))
 
 
 def bronze_from(e: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def exchanges(spark: SparkSession, folder: str) -> DataFrame:
 
 def news(spark: SparkSession, folder: str) -> DataFrame:
     did = F.col("doc_id")
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         did.alias("news_id"),
         F.when(did % 4 != 0, did % 4).alias("tenant_id"),
         F.substring("text", 1, 80).alias("title"),
