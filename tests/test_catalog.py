@@ -40,7 +40,10 @@ def test_tools(spark, sf):
     from tidemark.sources.tables import table
 
     tables = {"gold": views.gold(spark, sf), "news": views.news(spark, sf), "vectors": table(spark, sf, "embeddings")}
-    assert tools.run("get_indicator_timeseries", tables, indicator_code="cpi_inflation", country_code="nation_3").count() > 0
+    known = tables["gold"].filter("tenant_id IS NULL AND NOT is_forecast").first()
+    args = {"indicator_code": known.indicator_code.lower(), "country_code": known.country_code.lower()}
+    assert tools.run("get_indicator_timeseries", tables, **args).count() > 0
+    assert tools.run("compare_countries", tables, indicator_code=args["indicator_code"], countries=[args["country_code"]]).count() == 1
     assert tools.run("search_gold_records", tables, query=[0.0] * 64).count() == 6
     assert tools.run("search_news", tables, query="the").count() == 5
     with pytest.raises(ValueError):
