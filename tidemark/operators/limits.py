@@ -139,8 +139,10 @@ def decide(hits: DataFrame, group_rows: int = 1_000_000) -> DataFrame:
         allowance, (F.col("identifier") == F.col("_bi")) & (F.col("win") == F.col("_bw")) & (F.col("day") == F.col("_bd")), "left"
     ).withColumn("_left", F.coalesce(F.col("_left"), F.col("burst").cast("bigint")))
     minute_ok = joined.withColumn("minute_ok", F.col("pos") <= F.col("_left"))
-    # Rank within the day among hits the minute rule lets pass; the others never count.
-    per_day = Window.partitionBy("identifier", "day", "minute_ok").orderBy(*order)
+    # Rank within the day among hits the minute rule lets pass. The others never count; they
+    # are scattered so that a flood of refused hits does not gather in one partition.
+    lane = F.when(F.col("minute_ok"), F.lit(-1)).otherwise(F.pmod(F.col("hit_id"), F.lit(1024)))
+    per_day = Window.partitionBy("identifier", "day", lane).orderBy(*order)
     ranked_day = minute_ok.withColumn("day_rank", F.row_number().over(per_day))
     return ranked_day.select(
         "hit_id", "identifier", "role", "hit_at",

@@ -10,6 +10,7 @@ from tidemark.functions.numeric import (
     fixed, lookup, pct_change, plain, rnd, seconds_between, whole_days,
 )
 from tidemark.operators import keyed
+from tidemark.sources.tables import measured
 
 KEY = ["indicator_code", "country_code", "period"]
 
@@ -184,7 +185,9 @@ def previous_period_value(gold: DataFrame) -> DataFrame:
 def validate(rows: DataFrame, gold: DataFrame, as_of: Column) -> DataFrame:
     """Schema, range, consistency and freshness failures with the resulting score."""
     c = F.col
-    latest = previous_period_value(gold).withColumnsRenamed({"indicator_code": "_pi", "country_code": "_pc"})
+    latest = measured(
+        previous_period_value(gold).withColumnsRenamed({"indicator_code": "_pi", "country_code": "_pc"}), "latest-periods"
+    )
     joined = rows.join(
         latest, (c("indicator_code") == c("_pi")) & (c("country_code") == c("_pc")), "left"
     ).withColumns({

@@ -73,39 +73,46 @@ def value_buckets(gold: DataFrame) -> DataFrame:
     )
 
 
-def near_any_value(numbers: DataFrame, gold: DataFrame, number: str = "x") -> DataFrame:
-    """One row per number and bucket it may meet; ``_in`` says a published value lies within 10 %.
+def bucket_map(gold: DataFrame) -> Column:
+    """The value buckets as one map (bucket -> low, high), a scalar subquery of bounded size."""
+    entry = F.struct("bucket", F.struct("low", "high"))
+    return value_buckets(gold).agg(F.map_from_entries(F.collect_list(entry))).scalar()
+
+
+def near_any(x: Column, buckets: Column) -> Column:
+    """Some published value lies within 10 % of the number.
 
     The interval [0.9x, 1.1x] spans two to four buckets. In the first one a value
     lies inside iff the bucket's maximum reaches the lower end, in the last one
     iff its minimum does not pass the upper end, and any bucket between counts
-    when it holds a value at all. Exact, with a bounded broadcast side.
+    when it holds a value at all. Exact, and evaluated where the text is: nothing
+    is shuffled.
     """
-    lo, hi = F.col(number) * F.lit(0.9), F.col(number) * F.lit(1.1)
-    buckets = F.broadcast(value_buckets(gold))
-    spread = numbers.withColumns({"_lo": lo, "_hi": hi}).withColumn("_b", F.explode(F.sequence(_log_bucket(F.col("_lo")), _log_bucket(F.col("_hi")))))
-    inside = (F.col("high") >= F.col("_lo")) & (F.col("low") <= F.col("_hi"))
-    return spread.join(buckets, F.col("_b") == F.col("bucket"), "left").select(
-        *numbers.columns, F.coalesce(inside, F.lit(False)).alias("_in")
+    lo, hi = x * F.lit(0.9), x * F.lit(1.1)
+    inside = F.exists(
+        F.sequence(_log_bucket(lo), _log_bucket(hi)),
+        lambda b: F.coalesce((buckets[b]["high"] >= lo) & (buckets[b]["low"] <= hi), F.lit(False)),
     )
+    return inside
 
 
 def validate_output(rows: DataFrame, gold: DataFrame, key: str, column: str = "text") -> DataFrame:
     """Citation, length and number checks of each response, with a confidence.
 
     Confidence: 0.8 without numbers, 0.4 when none matches, else 0.2 per matching
-    number up to 1.
+    number up to 1. One pass over the texts.
     """
     body = F.col(column)
-    numbers = rows.select(key, F.posexplode(text.claim_numbers(body)).alias("pos", "x"))
-    hit = near_any_value(numbers, gold).groupBy(key, "pos").agg(F.bool_or("_in").alias("hit"))
-    counted = hit.groupBy(F.col(key).alias("_k")).agg(
-        F.count(F.lit(1)).alias("n_numbers"), F.count_if("hit").alias("n_matched")
+    read = rows.select(
+        key, text.has_citation(body).alias("has_citation"), F.length(body).alias("n_chars"),
+        text.claim_numbers(body).alias("_x"), bucket_map(gold).alias("_b"),
+    )
+    matched = F.filter("_x", lambda x: near_any(x, F.col("_b")))
+    counted = read.select(
+        key, "has_citation", "n_chars", F.size("_x").cast("bigint").alias("n_numbers"),
+        F.size(matched).cast("bigint").alias("n_matched"),
     )
-    base = rows.select(
-        key, text.has_citation(body).alias("has_citation"), F.length(body).alias("n_chars")
-    ).join(counted, F.col(key) == F.col("_k"), "left")
-    n, m = F.coalesce(F.col("n_numbers"), F.lit(0)), F.coalesce(F.col("n_matched"), F.lit(0))
+    n, m = F.col("n_numbers"), F.col("n_matched")
     confidence = (
         F.when(n == 0, F.lit(0.8)).when(m == 0, F.lit(0.4)).otherwise(F.least(F.lit(1.0), m / F.lit(5.0)))
     )
@@ -115,8 +122,8 @@ def validate_output(rows: DataFrame, gold: DataFrame, key: str, column: str = "t
         F.when(F.col("n_chars") > K.MAX_RESPONSE_CHARS, F.lit("Response too long (> 4000 chars)")),
         F.when((n > 0) & (m == 0), F.lit("Numeric values could not be cross-referenced against Gold layer")),
     ))
-    return base.select(
-        key, n.alias("n_numbers"), m.alias("n_matched"), confidence.alias("confidence"),
+    return counted.select(
+        key, "n_numbers", "n_matched", confidence.alias("confidence"),
         issues.alias("issues"), (F.size(issues) == 0).alias("valid"),
     )
 
@@ -135,8 +142,9 @@ def grounding(responses: DataFrame, values: DataFrame, key: str, column: str = "
     instead of comparing all pairs. ``values``: key, value.
     """
     tokens = F.filter(text.number_tokens(F.col(column)), text.is_significant)
-    numbers = responses.select(key, F.posexplode(tokens).alias("pos", "token")).select(
-        key, F.col("pos"), F.col("token").cast("double").alias("at"), F.lit(1).alias("kind"),
+    # At least one row per response, so that responses without numbers stay in.
+    numbers = responses.select(key, F.explode_outer(tokens).alias("token")).select(
+        key, F.col("token").cast("double").alias("at"), F.lit(1).alias("kind"),
         F.lit(None).cast("double").alias("reach"), F.lit(0).cast("bigint").alias("n")
     )
     v = F.col("value")
@@ -147,19 +155,14 @@ def grounding(responses: DataFrame, values: DataFrame, key: str, column: str = "
     merged = values.filter(v.isNotNull()).groupBy(key, bucket.alias("_bucket")).agg(
         F.min(v - radius).alias("at"), F.max(v + radius).alias("reach"), F.count(F.lit(1)).alias("n")
     )
-    cover = merged.select(key, F.lit(None).cast("int").alias("pos"), "at", F.lit(0).alias("kind"), "reach", "n")
+    cover = merged.select(key, "at", F.lit(0).alias("kind"), "reach", "n")
     sweep = Window.partitionBy(key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     checked = numbers.unionByName(cover).withColumn("_reach", F.max("reach").over(sweep))
-    is_number = F.col("kind") == 1
-    per = checked.groupBy(F.col(key).alias("_k")).agg(
-        F.count_if(is_number).alias("_n"), F.sum("n").alias("_g"),
+    is_number = (F.col("kind") == 1) & F.col("at").isNotNull()
+    joined = checked.groupBy(key).agg(
+        F.count_if(F.col("kind") == 1).alias("_responses"), F.count_if(is_number).alias("n_numbers"), F.sum("n").alias("n_grounded"),
         F.count_if(is_number & (F.col("_reach").isNull() | (F.col("_reach") < F.col("at")))).alias("_u"),
-    )
-    zero = F.lit(0)
-    joined = responses.select(key).join(per, F.col(key) == F.col("_k"), "left").select(
-        key, F.coalesce("_n", zero).alias("n_numbers"), F.coalesce("_g", zero).alias("n_grounded"),
-        F.coalesce("_u", zero).alias("_u"),
-    )
+    ).filter(F.col("_responses") > 0)
     n, g, u = F.col("n_numbers"), F.col("n_grounded"), F.col("_u")
     level = (
         F.when((n > 0) & (g == 0), "low").when((n == 0) | (u == 0), "high")

@@ -14,6 +14,8 @@ from tidemark import constants as K
 from tidemark.functions import periods
 from tidemark.functions.numeric import fixed, plain, rnd
 from tidemark.operators import keyed
+from tidemark.session import materialise
+from tidemark.sources.tables import measured
 
 SERIES = ["indicator_code", "country_code"]
 _STEPS = {"ANNUAL": 12, "QUARTERLY": 3, "MONTHLY": 1}
@@ -182,9 +184,9 @@ def history_stats(gold: DataFrame, focus: DataFrame, n: int = 10) -> DataFrame:
 
     ``focus``: one row per (indicator, country) with the period to leave out.
     """
-    skip = focus.select(
+    skip = measured(focus.select(
         F.col("indicator_code").alias("_i"), F.col("country_code").alias("_c"), F.col("period").alias("_p")
-    )
+    ), "series-focus")
     others = gold.join(
         skip, (F.col("indicator_code") == F.col("_i")) & (F.col("country_code") == F.col("_c"))
         & (F.col("period") != F.col("_p"))
@@ -202,10 +204,10 @@ def explain_latest(gold: DataFrame) -> DataFrame:
 
     ``gold`` carries revision_flag and revision_delta.
     """
-    newest = keyed.latest(
+    newest = materialise(gold.sparkSession, keyed.latest(
         gold, SERIES, [F.col("promoted_at"), F.col("record_id")],
         ["record_id", "period", "value", "standard_unit", "promoted_at", "revision_flag", "revision_delta"],
-    )
+    ), "series-newest")
     stats = history_stats(gold, newest)
     c = F.col
     j = newest.join(stats.withColumnsRenamed({"indicator_code": "_si", "country_code": "_sc"}),

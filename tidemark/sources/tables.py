@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
+from tidemark.session import materialise
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +32,15 @@ def guarded_broadcast(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataF
     return F.broadcast(df) if int(str(size)) <= max_bytes else df
 
 
+def measured(df: DataFrame, name: str) -> DataFrame:
+    """Write a small result once, then broadcast it if its size on disk turns out small.
+
+    For a per-series summary joined back to the rows it came from: its size is only
+    known once computed, and a broadcast saves shuffling the large side.
+    """
+    return guarded_broadcast(materialise(df.sparkSession, df, name))
+
+
 def _dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
