@@ -7,12 +7,13 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
-from tidemark.functions import parsing, scoring
+from tidemark.functions import parsing, periods, scoring
 from tidemark.functions.numeric import plain, rnd
 from tidemark.operators import medallion as M
 from tidemark.plans import sqlviews as V
 from tidemark.plans.catalog import query
-from tidemark.sources import views
+from tidemark.session import fresh_path
+from tidemark.sources import sinks, views
 from tidemark.sources.tables import source_dim
 
 AS_OF = partial(views.clock, views.AS_OF_EVENTS)
@@ -200,3 +201,30 @@ def unit_repair(spark, folder):
     return M.repair_units(raw).groupBy("standard_unit").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("fixed").alias("fixed"), rnd(F.max("value"), 4).alias("max_value")
     )
+
+
+@query("period_dates", uses=["bronze"], sql="""
+  WITH p AS (SELECT record_id, period, TRY_CAST(regexp_extract(period, '(\\d{4})', 1) AS INT) AS year, regexp_extract(period, '^\\d{4}-Q([1-4])$', 1) AS q FROM v_bronze)
+  SELECT record_id, period, year,
+    TRY_CAST(CASE WHEN length(period) = 4 THEN period || '-01-01' WHEN q <> '' THEN substr(period, 1, 4) || '-' || lpad(CAST(CAST(q AS INT) * 3 - 2 AS VARCHAR), 2, '0') || '-01'
+      WHEN length(period) = 7 THEN period || '-01' ELSE period END AS DATE) AS start_date,
+    CASE WHEN length(period) = 4 THEN period || '-12-31' WHEN q <> '' THEN substr(period, 1, 4) || '-' || lpad(CAST(CAST(q AS INT) * 3 AS VARCHAR), 2, '0') || '-28' ELSE substr(period, 1, 10) END AS end_key FROM p""")
+def period_dates(spark, folder):
+    period = F.col("period")
+    return views.bronze(spark, folder).select(
+        "record_id", "period", scoring.period_year(period).alias("year"),
+        periods.start_date(period).alias("start_date"), periods.end_key(period).alias("end_key"),
+    )
+
+
+@query("silver_layers", uses=["silver"], sql="""
+  SELECT dq_status, count(*) AS n, min(record_id) AS first_id, max(record_id) AS last_id FROM v_silver GROUP BY ALL""")
+def silver_layers(spark, folder):
+    """Scored rows written once and read back route by route."""
+    routes = sinks.write_routed(spark, silver(spark, folder), fresh_path(spark, "silver-layers"))
+    out = None
+    for status, rows in routes.items():
+        one = rows.groupBy("dq_status").agg(
+            F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -169,3 +169,9 @@ def summary_block(spark, folder):
 def embedding_backlog(spark, folder):
     have = table(spark, folder, "embeddings").select(F.col("vec_id").alias("record_id"))
     return P.embedding_backlog(views.gold(spark, folder), have, 1)
+
+
+@query("gold_point_lookup", uses=["gold"], sql=f"""
+  SELECT record_id, indicator_code, country_code, period, {V.rnd('value', 6)} AS value FROM v_gold WHERE record_id = 42""")
+def gold_point_lookup(spark, folder):
+    return views.gold(spark, folder).filter(F.col("record_id") == 42).select("record_id", *P.KEY, rnd("value", 6).alias("value"))

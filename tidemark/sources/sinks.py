@@ -15,6 +15,13 @@ def append_bronze(raw: DataFrame, path: str, crawled_at: Column, run: str) -> No
     ).partitionBy("source_code").parquet(path)
 
 
+def write_routed(spark: SparkSession, silver: DataFrame, path: str) -> dict[str, DataFrame]:
+    """Scored rows written once, split by routing status; each route reads back only its own part."""
+    silver.write.mode("errorifexists").partitionBy("dq_status").parquet(path)
+    whole = spark.read.parquet(path)
+    return {s: whole.filter(F.col("dq_status") == s) for s in ("AUTO_PROMOTED", "REVIEW", "REJECTED")}
+
+
 def merge_by_key(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Upsert as a frame: incoming rows replace current rows with the same key."""
     kept = current.join(incoming.select(*keys).distinct(), keys, "left_anti")

@@ -23,17 +23,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def guarded_broadcast(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """Broadcast hint only when the optimizer's own size estimate is below the bound.
+def guarded_broadcast(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Broadcast hint only for a frame counted to be within the bound.
 
-    Above it the plain frame is returned and the join shuffles both sides.
+    Counting stops one row past the bound. Beyond it the plain frame is returned
+    and the join shuffles both sides.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= max_bytes else df
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def measured(df: DataFrame, name: str) -> DataFrame:
-    """Write a small result once, then broadcast it if its size on disk turns out small.
+    """Write a small result once, then broadcast it if it turns out small.
 
     For a per-series summary joined back to the rows it came from: its size is only
     known once computed, and a broadcast saves shuffling the large side.
