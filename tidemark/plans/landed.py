@@ -139,7 +139,7 @@ def _links_sql(patterns: list[str]) -> str:
       trim(regexp_replace(regexp_replace(body, '{K.TAG}', '', 'g'), '\\s+', ' ', 'g')) AS title FROM a),
   f AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS k FROM l WHERE length(title) >= 8 AND ({wanted})),
   r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM f WHERE k = 1)
-  SELECT page_id, rank, url, substr(title, 1, 120) AS title FROM r WHERE rank <= 25"""
+  SELECT page_id, CAST(rank AS INT) AS rank, url, substr(title, 1, 120) AS title FROM r WHERE rank <= 25"""
 
 
 @query("page_links", sql=_links_sql(["/[A-Za-z]"]))

@@ -131,7 +131,7 @@ def citation_trail(spark, folder):
 
 
 @query("extraction_traces", sql="""
-  SELECT page_id AS trace_id, url AS source_url, substr(html, 1, 500) AS raw_excerpt, length(html) AS source_chars, 'm' || CAST(page_id % 3 AS VARCHAR) AS model, (page_id % 100) / 100e0 AS confidence FROM pages""")
+  SELECT page_id AS trace_id, url AS source_url, substr(html, 1, 500) AS raw_excerpt, CAST(length(html) AS INT) AS source_chars, 'm' || CAST(page_id % 3 AS VARCHAR) AS model, (page_id % 100) / 100e0 AS confidence FROM pages""")
 def extraction_traces(spark, folder):
     rows = table(spark, folder, "pages").select(
         F.col("page_id").alias("trace_id"), F.col("url").alias("source_url"), F.col("html").alias("raw_text"),

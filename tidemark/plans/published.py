@@ -116,7 +116,7 @@ def explorer_page(spark, folder):
   SELECT (SELECT count(*) FROM v_gold WHERE tenant_id IS NULL OR tenant_id = 1) AS gold_records,
     (SELECT count(*) FROM v_silver WHERE tenant_id IS NULL OR tenant_id = 1) AS total_ingested,
     (SELECT count(*) FROM v_silver WHERE dq_status = 'REVIEW' AND tenant_id = 1) AS pending_review,
-    {len(K.SOURCES)} AS active_sources,
+    CAST({len(K.SOURCES)} AS BIGINT) AS active_sources,
     (SELECT {V.rnd('avg(dq_score)', 1)} FROM v_gold WHERE tenant_id IS NULL OR tenant_id = 1) AS avg_dq_score""")
 def overview_stats(spark, folder):
     queue = M.review_items(silver(spark, folder), AS_OF())

@@ -26,7 +26,7 @@ def _redact_sql(column: str) -> str:
 
 
 _N_PII = ", ".join(
-    f"len(regexp_extract_all(text, {V.q(_sql_pii(n))})) AS n_{n.lower()}" for n in K.PII_PATTERNS
+    f"CAST(len(regexp_extract_all(text, {V.q(_sql_pii(n))})) AS INT) AS n_{n.lower()}" for n in K.PII_PATTERNS
 )
 
 
@@ -53,7 +53,7 @@ _GUARD = f"""
 
 
 @query("guardrails", uses=["exchanges"], sql=_GUARD.replace("FROM src", "FROM v_exchanges") + """
-  SELECT session_id, turn, triggered_filter, triggered_filter IS NULL AS passed, final_response, length(final_response) AS response_length, sha256(query) AS query_hash FROM f""")
+  SELECT session_id, turn, triggered_filter, triggered_filter IS NULL AS passed, final_response, CAST(length(final_response) AS INT) AS response_length, sha256(query) AS query_hash FROM f""")
 def guardrails(spark, folder):
     return R.guard(views.exchanges(spark, folder))
 

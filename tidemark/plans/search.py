@@ -32,7 +32,7 @@ def _label_queries(spark, folder):
 @query("vector_topk", sql=f"""
   WITH {_CENT}, d AS (SELECT c.label AS query_id, vec_id, {_DIST} AS distance FROM cent c, embeddings e),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
-  SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 6""")
+  SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INT) AS rank, vec_id, distance FROM r WHERE rank <= 6""")
 def vector_topk(spark, folder):
     """Six nearest vectors to each label's mean vector, over all vectors."""
     return S.nearest(_vectors(spark, folder), _label_queries(spark, folder), 6).select(
@@ -44,7 +44,7 @@ def vector_topk(spark, folder):
   WITH {_CENT}, d AS (SELECT c.label AS query_id, vec_id, {_DIST} AS distance FROM cent c, embeddings JOIN v_news ON vec_id = news_id
     WHERE country_code = 'DEU' AND (tenant_id IS NULL OR tenant_id = 2)),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
-  SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 5""")
+  SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INT) AS rank, vec_id, distance FROM r WHERE rank <= 5""")
 def vector_topk_country(spark, folder):
     pool = P.visible_to(views.news(spark, folder), 2).filter(F.col("country_code") == "DEU").select("news_id")
     vectors = _vectors(spark, folder).join(pool, F.col("vec_id") == F.col("news_id"))

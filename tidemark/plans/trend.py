@@ -69,7 +69,7 @@ _SPLIT = f"""
 
 
 @query("train_test_windows", uses=["gold"], sql=_SPLIT + f"""
-  SELECT indicator_code, country_code, period, {V.rnd('value', 6)} AS value, pos, role FROM t""")
+  SELECT indicator_code, country_code, period, {V.rnd('value', 6)} AS value, CAST(pos AS INT) AS pos, role FROM t""")
 def train_test_windows(spark, folder):
     return T.split_windows(_best(spark, folder)).withColumn("value", rnd("value", 6))
 
@@ -115,7 +115,7 @@ _REF = """,
       ORDER BY covered = total DESC, covered DESC, year DESC) AS rn FROM y JOIN tt USING (indicator_code)) WHERE rn = 1)"""
 
 
-@query("anomaly_reference_year", uses=["gold"], sql=_ANOM + _REF + " SELECT indicator_code, year, covered, total FROM ref")
+@query("anomaly_reference_year", uses=["gold"], sql=_ANOM + _REF + " SELECT indicator_code, CAST(year AS INT) AS year, covered, total FROM ref")
 def anomaly_reference_year(spark, folder):
     return T.reference_years(_anomalies(spark, folder))
 
