@@ -61,3 +61,9 @@ def lookup(key: Column, table: dict) -> Column:
     """Fixed dictionary as a map literal; missing keys give null."""
     parts = [F.lit(x) for pair in table.items() for x in pair]
     return F.create_map(*parts)[key]
+
+
+def text_array(parts: list[Column]) -> Column:
+    """Non-null texts as an array, by joining and splitting (stays in generated code)."""
+    joined = F.concat_ws("\u0001", *parts)
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, "\u0001"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
-from tidemark.functions.numeric import as_col, lookup
+from tidemark.functions.numeric import as_col, lookup, text_array
 
 
 def _any_word(text: Column, words: list[str]) -> Column:
@@ -93,22 +93,18 @@ def record_errors(country: Column, period: Column, indicator: Column, raw_value:
     def shown(c: Column) -> Column:
         return F.coalesce(c, F.lit("None"))
 
-    return F.array_compact(
-        F.array(
-            F.when(
-                ~F.coalesce(country.rlike(K.ISO3), F.lit(False)),
-                F.concat(F.lit("invalid_country_code: "), shown(country)),
-            ),
-            F.when(
-                ~F.coalesce(period.rlike(K.PERIOD), F.lit(False)),
-                F.concat(F.lit("invalid_period: "), shown(period)),
-            ),
-            F.when(
-                ~F.coalesce(indicator.isin(K.RAW_RECORD_INDICATORS), F.lit(False)),
-                F.concat(F.lit("unknown_indicator: "), shown(indicator)),
-            ),
-            F.when(
-                raw_value.isNull() | raw_value.isin(K.MISSING_RAW_VALUES), F.lit("missing_raw_value")
-            ),
-        )
-    )
+    return text_array([
+        F.when(
+            ~F.coalesce(country.rlike(K.ISO3), F.lit(False)),
+            F.concat(F.lit("invalid_country_code: "), shown(country)),
+        ),
+        F.when(
+            ~F.coalesce(period.rlike(K.PERIOD), F.lit(False)),
+            F.concat(F.lit("invalid_period: "), shown(period)),
+        ),
+        F.when(
+            ~F.coalesce(indicator.isin(K.RAW_RECORD_INDICATORS), F.lit(False)),
+            F.concat(F.lit("unknown_indicator: "), shown(indicator)),
+        ),
+        F.when(raw_value.isNull() | raw_value.isin(K.MISSING_RAW_VALUES), F.lit("missing_raw_value")),
+    ])

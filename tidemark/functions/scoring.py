@@ -16,20 +16,12 @@ def bound(indicator: Column, unit: Column, side: int) -> Column:
     return F.coalesce(own, by_unit)
 
 
-def accuracy(value: Column, low: Column, high: Column) -> tuple[Column, Column]:
-    reasons = F.array_compact(
-        F.array(
-            F.when(value.isNull(), F.lit("value_not_parseable")),
-            F.when(
-                value < low,
-                F.concat(F.lit("value_"), plain(value), F.lit("_below_min_"), plain(low)),
-            ),
-            F.when(
-                value > high,
-                F.concat(F.lit("value_"), plain(value), F.lit("_above_max_"), plain(high)),
-            ),
-        )
-    )
+def accuracy(value: Column, low: Column, high: Column) -> tuple[Column, list[Column]]:
+    reasons = [
+        F.when(value.isNull(), F.lit("value_not_parseable")),
+        F.when(value < low, F.concat(F.lit("value_"), plain(value), F.lit("_below_min_"), plain(low))),
+        F.when(value > high, F.concat(F.lit("value_"), plain(value), F.lit("_above_max_"), plain(high))),
+    ]
     score = (
         F.when(value.isNull(), F.lit(0.0))
         .when((value < low) | (value > high), F.lit(20.0))
@@ -38,13 +30,14 @@ def accuracy(value: Column, low: Column, high: Column) -> tuple[Column, Column]:
     return score, reasons
 
 
-def completeness(fields: dict[str, Column]) -> tuple[Column, Column]:
-    gaps = [
-        F.when(c.isNull() | F.trim(c).isin(K.MISSING_FIELD_TOKENS), F.lit(f"missing_{name}"))
-        for name, c in fields.items()
-    ]
-    reasons = F.array_compact(F.array(*gaps))
-    return F.lit(100.0) - F.size(reasons) * F.lit(100.0 / len(fields)), reasons
+def completeness(fields: dict[str, Column]) -> tuple[Column, list[Column]]:
+    lost = F.lit(0.0)
+    reasons = []
+    for name, c in fields.items():
+        missing = c.isNull() | F.trim(c).isin(K.MISSING_FIELD_TOKENS)
+        lost = lost + F.when(missing, F.lit(100.0 / len(fields))).otherwise(F.lit(0.0))
+        reasons.append(F.when(missing, F.lit(f"missing_{name}")))
+    return F.lit(100.0) - lost, reasons
 
 
 def period_year(period: Column) -> Column:
@@ -52,7 +45,7 @@ def period_year(period: Column) -> Column:
     return F.regexp_extract(F.coalesce(period, F.lit("")), r"(\d{4})", 1).try_cast("int")
 
 
-def timeliness(year: Column, years_old: Column, age_days: Column) -> tuple[Column, Column]:
+def timeliness(year: Column, years_old: Column, age_days: Column) -> tuple[Column, list[Column]]:
     score = (
         F.when(year.isNull(), F.lit(70.0))
         .when(years_old > K.STALE_YEARS, F.lit(50.0))
@@ -70,10 +63,10 @@ def timeliness(year: Column, years_old: Column, age_days: Column) -> tuple[Colum
             F.concat(F.lit("crawled_"), age_days.cast("string"), F.lit("_days_ago")),
         )
     )
-    return score, F.array_compact(F.array(reason))
+    return score, [reason]
 
 
-def consistency(unit: Column, raw_unit: Column) -> tuple[Column, Column]:
+def consistency(unit: Column, raw_unit: Column) -> tuple[Column, list[Column]]:
     no_unit = F.coalesce(unit, F.lit("")) == ""
     stated = F.coalesce(raw_unit, F.lit(""))
     mentions_pct = F.lower(stated).rlike("(" + "|".join(K.PCT_UNIT_WORDS) + ")")
@@ -82,7 +75,7 @@ def consistency(unit: Column, raw_unit: Column) -> tuple[Column, Column]:
     reason = F.when(no_unit, F.lit("missing_standard_unit")).when(
         clash, F.concat(F.lit("unit_mismatch_raw="), raw_unit, F.lit("_expected_PCT"))
     )
-    return score, F.array_compact(F.array(reason))
+    return score, [reason]
 
 
 def weighted_total(acc: Column, comp: Column, time: Column, cons: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as K
 from tidemark.functions import parsing, scoring
-from tidemark.functions.numeric import plain, whole_days
+from tidemark.functions.numeric import plain, text_array, whole_days
 from tidemark.operators import keyed
 from tidemark.operators.shape import computed_once
 
@@ -32,19 +32,21 @@ def to_silver(bronze: DataFrame, as_of: Column) -> DataFrame:
     )
     time, time_why = scoring.timeliness(c("_year"), F.year(as_of) - c("_year"), c("_age"))
     cons, cons_why = scoring.consistency(c("standard_unit"), c("raw_unit"))
-    scored = parsed.select(
-        *bronze.columns, "value",
-        parsing.is_forecast("raw_value").alias("is_forecast"),
-        acc.alias("accuracy"), comp.alias("completeness"),
-        time.alias("timeliness"), cons.alias("consistency"),
-        F.concat(acc_why, comp_why, time_why, cons_why).alias("failure_reasons"),
-        parsing.conversion_note(c("value"), c("raw_unit"), c("standard_unit")).alias("normalisation"),
-    ).withColumn(
+    scored = parsed.withColumns({
+        "accuracy": acc, "completeness": comp, "timeliness": time, "consistency": cons,
+    }).withColumn(
         "dq_score",
         scoring.weighted_total(c("accuracy"), c("completeness"), c("timeliness"), c("consistency")),
+    ).withColumn("dq_status", scoring.dq_status(c("dq_score")))
+    pinned = computed_once(scored, [x for x in scored.columns if x not in bronze.columns])
+    # Wording and flags sit on top, so that jobs which do not read them do not compute them.
+    return pinned.select(
+        *bronze.columns, "value", parsing.is_forecast("raw_value").alias("is_forecast"),
+        "accuracy", "completeness", "timeliness", "consistency",
+        text_array([*acc_why, *comp_why, *time_why, *cons_why]).alias("failure_reasons"),
+        parsing.conversion_note(c("value"), c("raw_unit"), c("standard_unit")).alias("normalisation"),
+        "dq_score", "dq_status",
     )
-    routed = scored.withColumn("dq_status", scoring.dq_status(c("dq_score")))
-    return computed_once(routed, [x for x in routed.columns if x not in bronze.columns])
 
 
 def silver_id(bronze_id: Column) -> Column:
