@@ -49,3 +49,27 @@ def single_labels(labels: DataFrame, label: str) -> DataFrame:
         .groupBy(F.col("doc_id").alias("label_id"))
         .agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("label"))
     )
+
+
+def hash_sample(df: DataFrame, id_column: str, rows: int) -> DataFrame:
+    """About ``rows`` rows at most, chosen by the hash of their id; all of them if there are no more."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(id_column), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+
+
+def heaviest(df: DataFrame, weight: str, rows: int) -> DataFrame:
+    """The rows of largest positive weight, ``rows`` of them at most.
+
+    Weights are cut into classes a sixteenth of an octave wide; the highest classes that fit
+    together are kept whole. Only the class sizes reach the driver. ``df`` is read twice.
+    """
+    step = F.floor(F.log2(weight) * 16)
+    sizes = {r["step"]: r["n"] for r in df.where(F.col(weight) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}
+    least, held = None, 0
+    for k in sorted(sizes, reverse=True):
+        if held + sizes[k] > rows:
+            break
+        least, held = k, held + sizes[k]
+    return df.where((F.col(weight) > 0) & (step >= least)) if least is not None else df.limit(0)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, materialise, read, single_labels, slices, texts_of
+from tidemark.llm.common import hash_sample, heaviest, held_out, materialise, read, single_labels, slices, texts_of
 
 ORDER = 5
 BITS = 12  # of a five-gram's key for each character
@@ -161,10 +161,10 @@ def ratios(spark: SparkSession, counted: DataFrame) -> tuple[DataFrame, DataFram
             f"kn-level-{k}",
         )
         grams.append(level.select(tagged(F.col("gram"), k).alias("key"), F.log(F.col("p_toxic") / F.col("p_ordinary")).alias("value"), "n"))
-        contexts.append(context.select(
+        contexts.append(materialise(spark, context.select(
             tagged(F.col("context"), k).alias("key"), F.log(F.col("w_toxic") / F.col("w_ordinary")).alias("value"),
             (F.col("n_toxic") + F.col("n_ordinary")).alias("n"),
-        ))
+        ), f"kn-contexts-{k}"))
         below = level.select("gram", "p_toxic", "p_ordinary")
     return grams[0].union(grams[1]).union(grams[2]), contexts[0].union(contexts[1]).union(contexts[2])
 
@@ -176,8 +176,8 @@ def tagged(key, level: int):
 
 def _bounded(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Keys in order and values of the MODEL_ENTRIES rows that weigh most (count times log-ratio)."""
-    rows = table.orderBy(F.desc(F.abs("value") * F.col("n")), "key").limit(MODEL_ENTRIES).select("key", "value").toPandas()
-    rows = rows.sort_values("key")
+    weighed = table.select("key", "value", (F.abs("value") * F.col("n")).alias("weight"))
+    rows = heaviest(weighed, "weight", MODEL_ENTRIES).select("key", "value").toPandas().sort_values("key")
     return rows["key"].to_numpy(np.int64), rows["value"].to_numpy(np.float64)
 
 
@@ -249,11 +249,8 @@ def toxicity_values(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     fold = F.floor(F.crc32(F.col("label_id").cast("string").cast("binary")) / 5) % 5 == 0
-    rows = (
-        single_labels(labels, "toxic").where(~held_out("label_id"))
-        .select("label_id", (F.col("label") + F.when(fold, CALIBRATE).otherwise(COUNT)).alias("role"))
-        .orderBy(F.xxhash64("label_id"), "label_id").limit(label_rows).toPandas()
-    )
+    rows = hash_sample(single_labels(labels, "toxic").where(~held_out("label_id")), "label_id", label_rows)
+    rows = rows.select("label_id", (F.col("label") + F.when(fold, CALIBRATE).otherwise(COUNT)).alias("role")).toPandas()
     sample = spark.sparkContext.broadcast(dict(zip(rows["label_id"].tolist(), rows["role"].tolist())))
     counted = materialise(
         spark,
@@ -265,7 +262,7 @@ def toxicity_values(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_
     model = spark.sparkContext.broadcast({"grams": _bounded(grams), "contexts": _bounded(contexts)})
     valued = materialise(spark, docs.mapInArrow(_value(model), "doc_id bigint, value double, n bigint"), "toxicity-values")
     held = spark.createDataFrame(rows[rows["role"] >= CALIBRATE], "label_id bigint, role int")
-    points = valued.join(held, F.col("doc_id") == F.col("label_id")).where("n > 0").select("value", "n", "role").limit(label_rows).toPandas()
+    points = valued.join(held, F.col("doc_id") == F.col("label_id")).where("n > 0").select("value", "n", "role").toPandas()
     z = np.log1p(np.maximum(points["value"].to_numpy(float) / points["n"].to_numpy(float) / TOXIC_SHARE, LOWEST))
     return valued, logistic(z, points["role"].to_numpy(float) - CALIBRATE)
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import boosted_trees
-from tidemark.llm.common import held_out, materialise, read, single_labels, slices, texts_of
+from tidemark.llm.common import hash_sample, held_out, materialise, read, single_labels, slices, texts_of
 
 TRAIN_ROWS = 50_000  # labelled rows that the trees are fitted on, at most
 CUTOFF = 0.3
@@ -81,12 +81,10 @@ def _score(forest):
 
 
 def fit_forest(measured: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS):
-    """Trees fitted to the labelled rows outside the held-out fold, at most ``train_rows`` of them in hash order."""
-    rows = (
-        measured.join(single_labels(labels, label), F.col("doc_id") == F.col("label_id"))
-        .where(~held_out()).select("doc_id", "x", "label")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).toPandas()
-    )
+    """Trees fitted to the labelled rows outside the held-out fold, about ``train_rows`` of them at most, by hash."""
+    known = hash_sample(single_labels(labels, label).where(~held_out("label_id")), "label_id", train_rows)
+    rows = measured.join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "x", "label").toPandas()
+    rows = rows.sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(-1, N_STATISTICS)
     return boosted_trees.fit(x, rows["label"].to_numpy(float))
 
