@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordbpe
-from tidemark.llm.common import read, slices, texts_of
+from tidemark.llm.common import heaviest, materialise, read, slices, texts_of
 from tidemark.llm.lexicon import LONGEST, Lexicon, compile_lexicon
 
 LEXICON_WORDS = 1 << 17
@@ -45,14 +45,15 @@ def _count_words(tokenizer_path: str):
 
 
 def frequent_words(docs: DataFrame, tokenizer_path: str, limit: int = LEXICON_WORDS) -> list[str]:
-    """The ``limit`` most frequent words of all texts, ties by the word itself."""
-    counted = (
+    """The most frequent words of all texts, ``limit`` at most; words that occur once are never among them."""
+    counted = materialise(
+        docs.sparkSession,
         docs.select("text").mapInArrow(_count_words(tokenizer_path), "word string, n bigint")
         .where(F.length("word") <= LONGEST)
-        .groupBy("word").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word").limit(limit)
+        .groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"),
+        "word-counts",
     )
-    return [r.word for r in counted.select("word").collect()]
+    return [r.word for r in heaviest(counted, "n", limit).select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, limit: int = LEXICON_WORDS) -> bytes:
