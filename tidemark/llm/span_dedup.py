@@ -188,7 +188,7 @@ def op3_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH split AS (
-    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\x0B\f]+'), x -> x <> '') AS ws FROM documents
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\x0B\f]+') AS ws FROM documents
 ), words AS (
     SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM split
 ), windows AS (
