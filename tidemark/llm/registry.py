@@ -9,13 +9,14 @@ from tidemark.llm.lexicon_bpe import op5_lexicon_bpe
 from tidemark.llm.quality_trees import op2_quality_trees
 from tidemark.llm.simhash_ball import op6_simhash_ball
 from tidemark.llm.span_dedup import OP3_SQL, op3_span_dedup
+from tidemark.llm.suffix_dedup import op10_suffix_dedup
 from tidemark.llm.token_counts import op1_token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_quality_trees, op3_span_dedup, op4_compression_rules, op5_lexicon_bpe, op6_simhash_ball,
-        op7_kn_toxicity, op8_chat_trees,
+        op7_kn_toxicity, op8_chat_trees, op10_suffix_dedup,
     )
 }
 SQL = {"op3_span_dedup": OP3_SQL, "op8_chat_trees": OP8_SQL}
