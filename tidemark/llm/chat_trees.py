@@ -9,6 +9,8 @@ Only keys and scores take part in the self-joins; texts are joined once at the e
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,31 +47,35 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     spark = messages.sparkSession
     nodes = materialise(spark, messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "messages")
     real = nodes.select("tree", F.col("id").alias("parent"), F.lit(True).alias("real"))
-    jump = nodes.join(real, ["tree", "parent"], "left").select(
+    state = nodes.join(real, ["tree", "parent"], "left").select(
         "tree", "id", F.when(F.col("real"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("steps"),
     )
     leaves = nodes.select("tree", "id").join(nodes.select("tree", F.col("parent").alias("id")), ["tree", "id"], "left_anti")
-    jumps: list[DataFrame] = []
+    jumps: list[DataFrame] = []  # by round: the ancestor 2^round above, for messages that have one
     longest = nodes.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
+    done: list[DataFrame] = []  # by round: messages whose root is reached, with their sums
     while True:
-        jump = materialise(spark, jump, "jumps")
-        jumps.append(jump)
-        if 2 ** (len(jumps) - 1) > longest or not jump.where(F.col("up").isNotNull()).head(1):
+        state = materialise(spark, state, "jumps")
+        done.append(state.where(F.col("up").isNull()))
+        active = state.where(F.col("up").isNotNull())
+        if 2 ** len(jumps) > longest or not active.head(1):
             break
-        far = jump.select("tree", F.col("id").alias("up"), F.col("up").alias("up_2"), F.col("total").alias("total_2"), F.col("steps").alias("steps_2"))
-        jump = jump.join(far, ["tree", "up"], "left").select(
-            "tree", "id", F.col("up_2").alias("up"),
-            (F.col("total") + F.coalesce("total_2", F.lit(0.0))).alias("total"),
-            (F.col("steps") + F.coalesce("steps_2", F.lit(0))).alias("steps"),
+        jumps.append(active)
+        far = reduce(DataFrame.unionByName, done, active).select(
+            "tree", F.col("id").alias("up"), F.col("up").alias("up_2"), F.col("total").alias("total_2"), F.col("steps").alias("steps_2")
+        )
+        state = active.join(far, ["tree", "up"]).select(
+            "tree", "id", F.col("up_2").alias("up"), (F.col("total") + F.col("total_2")).alias("total"),
+            (F.col("steps") + F.col("steps_2")).alias("steps"),
         )
-    ends = jumps[-1].where(F.col("up").isNull()).join(leaves, ["tree", "id"])
+    ends = reduce(DataFrame.unionByName, done).join(leaves, ["tree", "id"])
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("steps")), "id")
     path = (
         ends.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
         .select("tree", F.col("id").alias("leaf"), "id", F.col("steps").alias("depth"))
     )
-    for k, jump in enumerate(jumps[:-1]):
-        above = path.join(jump.where(F.col("up").isNotNull()).select("tree", "id", "up"), ["tree", "id"])
+    for k, jump in enumerate(jumps):
+        above = path.join(jump.select("tree", "id", "up"), ["tree", "id"])
         path = path.unionByName(above.select("tree", "leaf", F.col("up").alias("id"), (F.col("depth") - 2**k).alias("depth")))
         path = materialise(spark, path, "paths")
     return path
