@@ -2,12 +2,13 @@
 
 The test items are indexed (an inverted index of their words with BM25 weights), and every
 passage of every document is a query. Weights are divided by the item's own score, so that a
-passage holding all of an item's words scores 1 whatever the item. Items are kept in blocks;
-each word has its largest weight in each block. Words that together can't add more than half
-the threshold to any item are left out of the bounds (the non-essential lists of WAND); the
-sums of the others' block maxima are upper bounds for all passages at once, and only passages
-and blocks whose bound reaches the threshold are scored exactly. All items above the threshold
-are then verified by the five-word shingles of question and answer that the passage holds.
+passage holding all of an item's words scores 1 whatever the item. As in WAND, the words that
+most items hold are non-essential: together they can't add more than SLACK to any item, and are
+looked up only for items that come near the threshold without them. Items are kept in blocks,
+and each word has its largest weight in each block. All passages of a slice are bounded block by
+block at once; postings are scored only for passages and blocks whose bound reaches the
+threshold. All items above the threshold are then verified by the five-word shingles of question
+and answer that the passage holds.
 
 Items are held in indexes of INDEX_ITEMS at most, each of which passes over all documents once.
 """
@@ -27,11 +28,14 @@ from tidemark.llm import winnow
 from tidemark.llm.common import materialise, read, slices, texts_of
 
 K1, B = 1.2, 0.75
-THRESHOLD = 0.5  # share of an item's own score
+THRESHOLD = 0.6  # share of an item's own score
+SLACK = 0.2  # what non-essential words may add to an item
+MARGIN = 1e-6  # for sums in floating point
 SHINGLE = 5
+SLICE_BYTES = 1_000_000  # text searched at a time; a slice holds one sum for each passage and item
 OVERLAP = 0.8
 INDEX_ITEMS = 2048
-BLOCK_ITEMS = 32
+BLOCK_ITEMS = 8
 SENTENCE_END = re.compile(r"[.!?:]\s+|\n+")
 
 # Words are runs of ASCII letters and digits, lower-cased, and of all other characters beyond ASCII.
@@ -98,21 +102,25 @@ class Index:
         self._bounds(row)
 
     def _bounds(self, row: np.ndarray) -> None:
-        """Essential words, and their largest weight in each block of items."""
-        # The more items hold a word, the less it tells; leave out as many as no item would notice.
+        """Essential words, what the others add to each item, and the largest weights by word and block."""
         spread = np.diff(self.start)
-        self.slack = 0.0
-        out = np.zeros(len(spread), bool)
+        self.essential = np.ones(len(spread), bool)
+        self.rest = np.zeros(len(self.ids))
         for least in sorted(set(spread.tolist()), reverse=True):
-            left_out = spread >= least
-            most = np.bincount(self.item, self.weight * left_out[row], len(self.ids)).max() if len(row) else 0.0
-            if most > THRESHOLD / 2:
+            common = spread >= least
+            rest = np.bincount(self.item, self.weight * common[row], len(self.ids))
+            if len(rest) and rest.max() > SLACK:
                 break
-            out, self.slack = left_out, float(most)
-        blocks = -(-len(self.ids) // BLOCK_ITEMS)
-        self.largest = np.zeros((len(spread) + 1, blocks))  # the last row is for words of no item
-        use = ~out[row]
-        np.maximum.at(self.largest, (row[use], self.item[use] // BLOCK_ITEMS), self.weight[use])
+            self.essential, self.rest = ~common, rest
+        self.blocks = -(-len(self.ids) // BLOCK_ITEMS)
+        use = self.essential[row]
+        pair, where = np.unique(row[use] * self.blocks + self.item[use] // BLOCK_ITEMS, return_inverse=True)
+        self.largest = np.zeros(len(pair))
+        np.maximum.at(self.largest, where, self.weight[use])
+        self.block = pair % self.blocks
+        self.block_start = np.searchsorted(pair // self.blocks, np.arange(len(spread) + 1))
+        self.block_rest = np.zeros(self.blocks)
+        np.maximum.at(self.block_rest, np.arange(len(self.ids)) // BLOCK_ITEMS, self.rest)
 
     def search(self, texts: list[str]) -> list[tuple[int, int, float, float, float, float]]:
         """(text, item, score, overlap, question overlap, answer overlap) of verified hits, the best passage of each."""
@@ -120,35 +128,60 @@ class Index:
         if not len(words.hashes) or not len(self.vocabulary):
             return []
         at = np.minimum(np.searchsorted(self.vocabulary, words.hashes), len(self.vocabulary) - 1)
-        term = np.where(self.vocabulary[at] == words.hashes, at, len(self.vocabulary))
+        place = np.flatnonzero(self.vocabulary[at] == words.hashes)
+        term = at[place]
         # Passages: windows with half a window between their starts, in each text.
         sizes, step = np.diff(words.first), self.passage // 2
         counts = np.maximum(-(-(sizes - step) // step), (sizes > 0).astype(np.int64))
+        base = np.cumsum(counts) - counts
         text = np.repeat(np.arange(len(texts)), counts)
-        number = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        begin = words.first[text] + number * step
+        begin = words.first[text] + (np.arange(int(counts.sum())) - base[text]) * step
         end = np.minimum(begin + self.passage, words.first[text + 1])
-        hits: dict[tuple[int, int], tuple[float, float, float, float]] = {}
+        # Each place lies in two passages at most; a word counts once, at its first place in the passage.
+        order = np.argsort(term, kind="stable")
+        before = np.full(len(term), -1)
+        same = term[order][1:] == term[order][:-1]
+        before[order[1:][same]] = place[order[:-1][same]]
+        own = np.searchsorted(words.first, place, "right") - 1
+        number = (place - words.first[own]) // step
+        passages, terms = [], []
+        for n in (number, number - 1):
+            valid = np.flatnonzero((n >= 0) & (n < counts[own]))
+            p = base[own[valid]] + n[valid]
+            once = before[valid] < begin[p]
+            passages.append(p[once])
+            terms.append(term[valid[once]])
+        passage, term = np.concatenate(passages), np.concatenate(terms)
+
+        use = self.essential[term]
+        bound = self._sums(passage[use], term[use], self.block_start, self.block, self.largest, len(begin), self.blocks)
+        alive = bound + self.block_rest >= THRESHOLD - MARGIN
+        some = alive.any(axis=1)
+        use &= some[passage]
+        score = self._sums(passage[use], term[use], self.start, self.item, self.weight, len(begin), len(self.ids), alive)
+        near = score + self.rest >= THRESHOLD - MARGIN
+        use = ~self.essential[term] & near.any(axis=1)[passage]
+        score += self._sums(passage[use], term[use], self.start, self.item, self.weight, len(begin), len(self.ids))
         spans = winnow.Spans(words.hashes)
-        for block in range(self.largest.shape[1]):
-            sums = np.concatenate([[0.0], np.cumsum(self.largest[term, block])])
-            for p in np.flatnonzero(sums[end] - sums[begin] + self.slack >= THRESHOLD - 1e-6).tolist():
-                for item, score in self._score(term[begin[p] : end[p]], block):
-                    found = self._verify(spans, int(begin[p]), int(end[p]), item)
-                    key = (int(text[p]), item)
-                    if found[0] >= OVERLAP and (found[0], score) > hits.get(key, (0.0, 0.0))[:2]:
-                        hits[key] = (found[0], score, found[1], found[2])
+        hits: dict[tuple[int, int], tuple[float, float, float, float]] = {}
+        for p, item in np.argwhere(near & (score >= THRESHOLD - MARGIN)).tolist():
+            whole, q, a = self._verify(spans, int(begin[p]), int(end[p]), item)
+            key, value = (int(text[p]), item), float(score[p, item])
+            if whole >= OVERLAP and (whole, value) > hits.get(key, (0.0, 0.0))[:2]:
+                hits[key] = (whole, value, q, a)
         return [(t, i, score, whole, q, a) for (t, i), (whole, score, q, a) in sorted(hits.items())]
 
-    def _score(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
-        terms = np.unique(terms)
-        terms = terms[terms < len(self.vocabulary)]
-        sizes = self.start[terms + 1] - self.start[terms]
-        posting = np.repeat(self.start[terms] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        item, weight = self.item[posting], self.weight[posting]
-        here = item // BLOCK_ITEMS == block
-        scores = np.bincount(item[here] - block * BLOCK_ITEMS, weight[here], BLOCK_ITEMS)
-        return [(block * BLOCK_ITEMS + i, float(scores[i])) for i in np.flatnonzero(scores >= THRESHOLD - 1e-9).tolist()]
+    @staticmethod
+    def _sums(passage, term, start, column, weight, rows: int, columns: int, alive=None) -> np.ndarray:
+        """Sums of the terms' weights by passage and column; ``alive`` names the passages and blocks to look at."""
+        sizes = start[term + 1] - start[term]
+        posting = np.repeat(start[term] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        row = np.repeat(passage, sizes)
+        column = column[posting]
+        if alive is not None:
+            keep = alive[row, column // BLOCK_ITEMS]
+            posting, row, column = posting[keep], row[keep], column[keep]
+        return np.bincount(row * columns + column, weight[posting], rows * columns).reshape(rows, columns)
 
     def _verify(self, spans: winnow.Spans, begin: int, end: int, item: int) -> tuple[float, float, float]:
         """Shares of the shingles of item, question and answer that the passage holds."""
@@ -210,7 +243,7 @@ FOUND = "doc_id bigint, item_id bigint, score double, overlap double, question_o
 
 def _search(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             hits = index.value.search(texts_of(batch))
             if hits:
                 text, item, score, whole, q, a = zip(*hits)
@@ -248,7 +281,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, index_items: int = I
 
     def clean(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", SLICE_BYTES):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[h[0] for h in index.value.search(texts_of(batch))]] = False
                 yield batch.filter(pa.array(keep))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.chat_trees import OP8_SQL, op8_chat_trees
 from tidemark.llm.compression_rules import op4_compression_rules
+from tidemark.llm.decontaminate import op9_decontaminate
 from tidemark.llm.kn_toxicity import op7_kn_toxicity
 from tidemark.llm.lexicon_bpe import op5_lexicon_bpe
 from tidemark.llm.quality_trees import op2_quality_trees
@@ -16,7 +17,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_quality_trees, op3_span_dedup, op4_compression_rules, op5_lexicon_bpe, op6_simhash_ball,
-        op7_kn_toxicity, op8_chat_trees, op10_suffix_dedup,
+        op7_kn_toxicity, op8_chat_trees, op9_decontaminate, op10_suffix_dedup,
     )
 }
 SQL = {"op3_span_dedup": OP3_SQL, "op8_chat_trees": OP8_SQL}
