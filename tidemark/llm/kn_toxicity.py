@@ -244,8 +244,8 @@ def logistic(z: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> tuple[float, flo
     return float(b[0]), float(b[1])
 
 
-def toxicity_values(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> tuple[DataFrame, tuple[float, float]]:
-    """(doc_id, value, n) of all rows, value being the sum of log-ratios, and the fitted curve."""
+def toxicity_values(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS):
+    """(doc_id, value, n) of all rows, value being the sum of log-ratios; the fitted curve; the broadcast model."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     fold = F.floor(F.crc32(F.col("label_id").cast("string").cast("binary")) / 5) % 5 == 0
@@ -264,7 +264,7 @@ def toxicity_values(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_
     held = spark.createDataFrame(rows[rows["role"] >= CALIBRATE], "label_id bigint, role int")
     points = valued.join(held, F.col("doc_id") == F.col("label_id")).where("n > 0").select("value", "n", "role").toPandas()
     z = np.log1p(np.maximum(points["value"].to_numpy(float) / points["n"].to_numpy(float) / TOXIC_SHARE, LOWEST))
-    return valued, logistic(z, points["role"].to_numpy(float) - CALIBRATE)
+    return valued, logistic(z, points["role"].to_numpy(float) - CALIBRATE), model
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> DataFrame:
@@ -275,7 +275,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_
     null labels are left out. Without labels of both classes every score is the same. Other
     columns are ignored; an empty table gives an empty result.
     """
-    valued, (a, b) = toxicity_values(docs, labels, label_rows)
+    valued, (a, b), _ = toxicity_values(docs, labels, label_rows)
     mean = F.when(F.col("n") > 0, F.col("value") / F.col("n")).otherwise(F.lit(0.0))
     z = F.log1p(F.greatest(mean / TOXIC_SHARE, F.lit(LOWEST)))
     return (
@@ -284,5 +284,19 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_
     )
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below CUTOFF; see ``toxicity_scores``."""
+    _, (a, b), model = toxicity_values(docs, labels, label_rows)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.value)
+        for batch in slices(batches, "text"):
+            value, n = np.array(scorer.values(texts_of(batch))).reshape(-1, 2).T
+            z = np.log1p(np.maximum(np.where(n > 0, value / np.maximum(n, 1), 0.0) / TOXIC_SHARE, LOWEST))
+            yield batch.filter(pa.array(1 / (1 + np.exp(-(a + b * z))) < CUTOFF))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op7_kn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -59,7 +59,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in slices(batches, "text"):
         prints = [_signed(fingerprint(t, xxhash.xxh64_intdigest)) for t in texts_of(batch)]
-        yield pa.record_batch([batch.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("version"), pa.array(prints, pa.int64())], names=["doc_id", "version", "fp"])
 
 
 def variants(prints: DataFrame) -> DataFrame:
@@ -160,18 +160,20 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (bigint) and component_id for every row of ``docs`` (doc_id, text, anything else).
+    """doc_id, fp (bigint), component_id, root, version for every row of ``docs`` (doc_id, text, anything else).
 
     component_id is the smallest doc_id among all rows whose fingerprints are connected by links
     of at most three differing bits. Null text counts as empty; empty and wordless texts have
-    fingerprint zero and are linked like any other. Rows with a null doc_id take part, but never
+    fingerprint zero and are linked like any other. root is the smallest fingerprint of the
+    component, version the hash of the text. Rows with a null doc_id take part, but never
     give a component its id (which is null if it has no other row). Repeated rows come back as
     often as they occur; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = materialise(
         spark,
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id bigint, fp bigint"),
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
+        .mapInArrow(_fingerprints, "doc_id bigint, version bigint, fp bigint"),
         "fingerprints",
     )
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
@@ -183,7 +185,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     classes = materialise(spark, classes, "fingerprint-classes")
     names = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(classes.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(names, "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "root", "version")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row left of each component.
+
+    The row with the smallest doc_id stays (rows without one only where there is no other), the
+    smallest hash of the text breaks ties, and of repeated rows one stays.
+    """
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version"))
+    keep = (
+        near_duplicates(docs).groupBy("root").agg(best.alias("best"))
+        .select(F.col("best.doc_id").alias("keep_id"), F.col("best.version").alias("keep_version"))
+    )
+    rows = docs.withColumn("_version", F.xxhash64("text"))
+    rows = rows.join(keep, rows["doc_id"].cast("bigint").eqNullSafe(F.col("keep_id")) & (F.col("_version") == F.col("keep_version")))
+    return rows.dropDuplicates(["keep_id", "keep_version"]).select(*docs.columns)
 
 
 def hex_print(column: str = "fp"):

@@ -456,12 +456,32 @@ def dedup_suffixes(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         .mapInArrow(_merge, "block bigint, row int, at int, n int")
         .groupBy("block").agg(F.collect_list(F.struct("row", "at", "n")).alias("spans"))
     )
-    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
     return blocks.join(found, "block", "left").select("packed", "spans").mapInArrow(
         _cut, kinds + "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     )
 
 
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
+        i = batch.schema.get_field_index("kept")
+        yield batch.set_column(i, "kept", pa.array(texts, pa.string()))
+
+
+def with_cut_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, n_chars, others) with what ``dedup_suffixes`` leaves of each text.
+
+    A character of which a part was cut goes whole; n_chars is counted anew; no row goes. A null
+    text becomes an empty one.
+    """
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = dedup_suffixes(docs, carry).select("doc_id", *carry, "kept")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString() if f.name != 'kept' else 'string'}" for f in cut.schema)
+    cut = cut.mapInArrow(_decode, kinds).withColumnRenamed("kept", "text")
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
