@@ -434,7 +434,8 @@ def dedup_suffixes(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     smaller doc_id, or with the same doc_id at a smaller offset. Texts are UTF-8 bytes, null
     counts as empty; matches stay inside a row. Rows with a null doc_id stay whole and remove
     nothing. Repeated rows (same doc_id) don't remove each other at equal offsets and come back
-    as often as they occur. Columns not named are ignored; an empty table gives an empty result.
+    as often as they occur. Columns not named are ignored, those named must not clash with the
+    result's; an empty table gives an empty result.
     A text may hold 256 MB.
     """
     spark = docs.sparkSession
@@ -475,11 +476,13 @@ def with_cut_texts(docs: DataFrame) -> DataFrame:
     A character of which a part was cut goes whole; n_chars is counted anew; no row goes. A null
     text becomes an empty one.
     """
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = dedup_suffixes(docs, carry).select("doc_id", *carry, "kept")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString() if f.name != 'kept' else 'string'}" for f in cut.schema)
-    cut = cut.mapInArrow(_decode, kinds).withColumnRenamed("kept", "text")
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    others = {c: f"_column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    carried = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(name) for c, name in others.items()])
+    cut = dedup_suffixes(carried, tuple(others.values())).select("doc_id", *others.values(), "kept")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString() if f.name != 'kept' else 'string'}" for f in cut.schema)
+    cut = cut.mapInArrow(_decode, kinds)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return cut.select(*[(made[c] if c in made else F.col(others[c])).alias(c) for c in docs.columns])
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
