@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.session import fresh_path, materialise  # noqa: F401  (re-used by the operators)
 
 WORD_BYTES = b" \t\n\r\x0b\x0c"  # what separates words in every contract: \x20 and \x09-\x0D
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000  # text that a Python process works on at a time
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ ALPHABET = 256
 TOXIC_SHARE = 0.02  # weight of the toxic model in the likelihood of a toxic document's word
 LABEL_ROWS = 200_000  # labelled rows that class counts and calibration are learned from, at most
 MODEL_ENTRIES = 1 << 20  # five-grams, and contexts, that a model holds at most
-HELD_WORDS = 200_000  # distinct words that a task or process keeps at a time
+HELD_WORDS = 100_000  # distinct words that a task or process keeps at a time
 CUTOFF = 0.5
 LOWEST = -0.99  # of a mean log-ratio in units of TOXIC_SHARE, before its logarithm is taken
 WORD = re.compile(r"[^\W\d_]+")

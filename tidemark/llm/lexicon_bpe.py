@@ -22,8 +22,8 @@ from tidemark.llm.common import heaviest, materialise, read, slices, texts_of
 from tidemark.llm.lexicon import LONGEST, Lexicon, compile_lexicon
 
 LEXICON_WORDS = 1 << 17
-HELD_WORDS = 200_000  # distinct words that one task counts before it passes them on
-MEMO_WORDS = 200_000  # merged words that one process remembers at a time
+HELD_WORDS = 100_000  # distinct words that one task counts before it passes them on
+MEMO_WORDS = 100_000  # merged words that one process remembers at a time
 
 
 def _count_words(tokenizer_path: str):
