@@ -4,7 +4,7 @@ Of all suffixes only those at content-defined anchors are sorted: every window o
 one anchor, the same for equal windows, so equal windows are found through suffixes that start
 at their anchors. The steps:
 
-1. Texts are packed into compressed blocks of about two megabytes, written once. Only blocks,
+1. Texts are packed into compressed blocks of about one megabyte, written once. Only blocks,
    anchor hashes and suffixes are shuffled afterwards.
 2. Distinguishing prefixes: blocks ask, by 32-bit hashes of the first 20 bytes, which of their
    anchors occur elsewhere. Other suffixes are told apart within those bytes and need no sorting.
@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import lcp_merge, winnow
-from tidemark.llm.common import materialise, read, slices
+from tidemark.llm.common import materialise, read, release_memory, slices
 
 WINDOW = 100
 SEED_BYTES = 20
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 RUN_RECORDS = 200_000  # suffixes that a task collects before it sorts and sends them
 MASK_32 = np.uint64(0xFFFFFFFF)
 
@@ -102,6 +102,7 @@ def _ask(buckets: int):
                     ],
                     names=["bucket", "block", "hashes"],
                 )
+        release_memory()
 
     return run
 
@@ -269,6 +270,7 @@ def _send(buckets: int, splitters):
                     yield from sent()
                     collected = _Collected()
         yield from sent()
+        release_memory()
 
     return run
 
@@ -375,35 +377,45 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while known:
             yield known.pop()
     yield from known
+    release_memory()
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for packed, spans in zip(batch.column("packed"), batch.column("spans")):
-            block = Block(packed.as_buffer(), find=False)
-            change = np.zeros(len(block.data) + 1, np.int64)
-            if spans.is_valid:
-                flat = spans.values
-                row, at, n = (flat.field(i).to_numpy().astype(np.int64) for i in range(3))
-                first = block.starts[row] + at
-                change += np.bincount(first, minlength=len(change))
-                change -= np.bincount(first + n - 1 + WINDOW, minlength=len(change))
-            gone = np.cumsum(change[:-1]) > 0
-            kept, removed, pieces = [], [], []
-            for a, b in zip(block.starts[:-1].tolist(), block.starts[1:].tolist()):
-                g = gone[a:b]
-                removed.append(int(g.sum()))
-                pieces.append(int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()))
-                kept.append(block.data[a:b][~g].tobytes() if removed[-1] else block.data[a:b].tobytes())
-            rest = [block.batch.column(c) for c in block.batch.schema.names if c != "text"]
-            names = [c for c in block.batch.schema.names if c != "text"]
-            yield pa.record_batch(
-                [
-                    *rest, pa.array(np.diff(block.starts), pa.int64()), pa.array(removed, pa.int64()),
-                    pa.array(pieces, pa.int64()), pa.array(kept, pa.binary()),
-                ],
-                names=[*names, "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+def _cut(as_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _cut_blocks(batch, as_text)
+        release_memory()
+
+    return run
+
+
+def _cut_blocks(batch: pa.RecordBatch, as_text: bool) -> Iterator[pa.RecordBatch]:
+    for packed, spans in zip(batch.column("packed"), batch.column("spans")):
+        block = Block(packed.as_buffer(), find=False)
+        change = np.zeros(len(block.data) + 1, np.int64)
+        if spans.is_valid:
+            flat = spans.values
+            row, at, n = (flat.field(i).to_numpy().astype(np.int64) for i in range(3))
+            first = block.starts[row] + at
+            change += np.bincount(first, minlength=len(change))
+            change -= np.bincount(first + n - 1 + WINDOW, minlength=len(change))
+        gone = np.cumsum(change[:-1]) > 0
+        kept, removed, pieces = [], [], []
+        for a, b in zip(block.starts[:-1].tolist(), block.starts[1:].tolist()):
+            g = gone[a:b]
+            removed.append(int(g.sum()))
+            pieces.append(int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()))
+            kept.append(block.data[a:b][~g].tobytes() if removed[-1] else block.data[a:b].tobytes())
+        rest = [block.batch.column(c) for c in block.batch.schema.names if c != "text"]
+        names = [c for c in block.batch.schema.names if c != "text"]
+        yield pa.record_batch(
+            [
+                *rest, pa.array(np.diff(block.starts), pa.int64()), pa.array(removed, pa.int64()),
+                pa.array(pieces, pa.int64()),
+                pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
+            ],
+            names=[*names, "n_bytes", "n_removed", "n_spans", "kept"],
+        )
 
 
 def _splitters(blocks: DataFrame, ranges: int) -> np.ndarray:
@@ -427,7 +439,7 @@ def _splitters(blocks: DataFrame, ranges: int) -> np.ndarray:
     return np.unique(np.array(found or [], np.int64).view(np.uint64) ^ np.uint64(1 << 63))
 
 
-def dedup_suffixes(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """doc_id, the columns named in ``carry``, n_bytes, n_removed, n_spans and kept (bytes) for every row.
 
     A byte goes if a string of 100 bytes covers it that also starts earlier: in a row with a
@@ -436,7 +448,8 @@ def dedup_suffixes(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     nothing. Repeated rows (same doc_id) don't remove each other at equal offsets and come back
     as often as they occur. Columns not named are ignored, those named must not clash with the
     result's; an empty table gives an empty result.
-    A text may hold 256 MB.
+    A text may hold 256 MB. With ``as_text`` what is kept is text; a character of which a part
+    was cut goes whole.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit("")).alias("text")
@@ -459,17 +472,10 @@ def dedup_suffixes(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
     return blocks.join(found, "block", "left").select("packed", "spans").mapInArrow(
-        _cut, kinds + "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+        _cut(as_text), kinds + f"n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}"
     )
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
-        i = batch.schema.get_field_index("kept")
-        yield batch.set_column(i, "kept", pa.array(texts, pa.string()))
-
-
 def with_cut_texts(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, n_chars, others) with what ``dedup_suffixes`` leaves of each text.
 
@@ -478,9 +484,7 @@ def with_cut_texts(docs: DataFrame) -> DataFrame:
     """
     others = {c: f"_column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
     carried = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(name) for c, name in others.items()])
-    cut = dedup_suffixes(carried, tuple(others.values())).select("doc_id", *others.values(), "kept")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString() if f.name != 'kept' else 'string'}" for f in cut.schema)
-    cut = cut.mapInArrow(_decode, kinds)
+    cut = dedup_suffixes(carried, tuple(others.values()), as_text=True)
     made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
     return cut.select(*[(made[c] if c in made else F.col(others[c])).alias(c) for c in docs.columns])
 
