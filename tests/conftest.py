@@ -14,7 +14,8 @@ def spark(tmp_path_factory):
 
     session = build_session(
         "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
-        spark__ui__showConsoleProgress="false", spark__driver__memory="4g",
+        spark__ui__showConsoleProgress="false", spark__driver__memory="4g", tidemark__scan__partitions="4",
+        spark__checkpoint__dir=tmp_path_factory.mktemp("shared").as_uri(),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

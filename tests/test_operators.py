@@ -109,8 +109,7 @@ def brute_limits(rows):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [10**6, 60])
-def test_rate_limits_equal_brute_force(spark, group_rows):
+def test_rate_limits_equal_brute_force(spark):
     rng, rows = random.Random(7), []
     for ident in range(5):
         t = dt.datetime(2024, 1, 31, 23, 20)
@@ -118,7 +117,7 @@ def test_rate_limits_equal_brute_force(spark, group_rows):
             t += dt.timedelta(seconds=rng.choice([0, 0, 1, 5, 20, 61]), microseconds=rng.randrange(10**6) if ident % 2 else 0)
             rows.append((len(rows), ident, ["PUBLIC", "EXTERNAL_BUSINESS", "ADMIN", "OTHER"][ident % 4], t))
     df = spark.createDataFrame(rows, "hit_id bigint, identifier bigint, role string, hit_at timestamp_ntz")
-    got = {r.hit_id: r.allowed for r in limits.decide(df, group_rows).collect()}
+    got = {r.hit_id: r.allowed for r in limits.decide(df).collect()}
     assert got == brute_limits(rows)
 
 
@@ -195,8 +194,9 @@ def test_vector_passes_agree(spark, monkeypatch):
     for q in qs.collect():
         ranked = sorted((round(sum((a - b) ** 2 for a, b in zip(e, q.embedding)) ** 0.5, 6), i) for i, e in rows.items())
         want[q.query_id] = [i for _, i in ranked[:3]]
-    for size in (2048, 2):
-        monkeypatch.setattr(S, "QUERIES_PER_PASS", size)
+    for vectors, queries in ((2048, 256), (7, 2)):
+        monkeypatch.setattr(S, "VECTOR_BLOCK", vectors)
+        monkeypatch.setattr(S, "QUERY_BLOCK", queries)
         got = {}
         for r in S.nearest(vec, qs, 3).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.vec_id)
@@ -335,3 +335,62 @@ def test_sinks(spark, tmp_path):
     landing.mkdir()
     (landing / "one.json").write_text('{"a":\n 1}')
     assert L.read_payloads(spark, str(landing)).first().payload == '{"a":\n 1}'
+
+
+def test_revisions_stay_with_their_tenant(spark):
+    rows = [(1, 1, 2.0, False), (2, 2, 9.0, False), (3, 1, 3.0, True), (4, None, 5.0, False), (5, 2, 6.0, False), (6, 1, 4.0, False), (7, None, 1.0, False)]
+    df = spark.createDataFrame(
+        [(i, t, "G", "USA", "2020", v, f, dt.datetime(2024, 1, i)) for i, t, v, f in rows],
+        "record_id bigint, tenant_id bigint, indicator_code string, country_code string, period string, value double, is_forecast boolean, promoted_at timestamp_ntz",
+    )
+    got = {r.record_id: (r.revision_flag, r.revision_delta) for r in M.flag_revisions(df).collect()}
+    assert got == {1: (False, None), 2: (False, None), 3: (True, 1.0), 4: (False, None), 5: (True, 1.0), 6: (True, -1.0), 7: (True, -4.0)}
+
+
+EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string, delivery bigint"
+
+
+@pytest.mark.parametrize("split", [[1, 1, 1], [2, 1], [3]])
+def test_late_publications_are_kept_and_follow_each_other(spark, tmp_path, split):
+    from tidemark.session import configure
+    from tidemark.streaming import jobs
+
+    configure(spark)
+    day = dt.datetime(2024, 1, 20)
+    rows = [
+        (1, day, 1, "a", 7.0, 1), (2, day + dt.timedelta(days=9), 2, "a", 1.0, 1),
+        (3, day + dt.timedelta(hours=1), 1, "a", 8.0, 2), (4, day - dt.timedelta(days=3), 9, "b", 5.0, 2),
+        (5, day + dt.timedelta(hours=2), 1, "a", 8.5, 3), (6, day - dt.timedelta(days=3), 9, "b", 5.0, 3),
+    ]
+    landing, at = str(tmp_path / "landing"), 0
+    for n in split:
+        for delivery in range(at + 1, at + n + 1):
+            spark.createDataFrame([(*r[:5], None, r[5]) for r in rows if r[5] == delivery], EVENT).coalesce(1).write.mode("append").parquet(landing)
+        at += n
+        jobs.published_revisions(spark, landing, str(tmp_path / "out"))
+    got = {r.event_id: (r.old_value, r.revision_flag, r.late) for r in jobs.with_lateness(spark.read.parquet(str(tmp_path / "out/published")).drop("batch")).collect()}
+    assert got == {
+        1: (None, False, False), 2: (None, False, False), 3: (7.0, True, True), 4: (None, False, True), 5: (8.0, True, True), 6: (5.0, True, True),
+    }
+
+
+def test_stream_limits_late_hits_by_their_own_day(spark, tmp_path):
+    from tidemark.session import configure
+    from tidemark.streaming import stateful
+
+    configure(spark)
+    schema = "hit_id bigint, identifier bigint, role string, hit_at timestamp_ntz"
+    second = dt.datetime(2024, 1, 2, 9)
+    first = [(i, 1, "PUBLIC", second + dt.timedelta(minutes=5 * i)) for i in range(10)]
+    later = [(10, 1, "PUBLIC", dt.datetime(2024, 1, 1, 9)), (11, 1, "PUBLIC", second + dt.timedelta(hours=5))]
+    landing, out = str(tmp_path / "hits"), str(tmp_path / "out")
+    for part in (first, later):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landing)
+        run = (
+            stateful.limit_hits(spark.readStream.schema(schema).parquet(landing)).writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
+    got = {r.hit_id: r.allowed for r in spark.read.parquet(out).collect()}
+    batch = {r.hit_id: r.allowed for r in limits.decide(spark.createDataFrame(first + later, schema)).collect()}
+    assert got == batch and not got[11] and got[10]

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column], payload: list[str]) -> DataFrame:
     """Row with the greatest ``order`` per key."""
@@ -33,40 +35,39 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, ran
 
 
 def carry(
-    df: DataFrame, keys: list[str], at: str, tie: str, value: Column, out: str, bucket: str = "DAY",
+    df: DataFrame, keys: list[str], at: str, tie: str, value: Column, out: str, bucket: str = "HOUR",
     forward: bool = True, include_self: bool = False,
 ) -> DataFrame:
     """Nearest non-null ``value`` before (or after) each row of its key, in (at, tie) order.
 
-    A key is worked on one time bucket at a time; the value entering a bucket
-    comes from the nearest non-empty bucket on that side, found on the per-bucket
-    summary (one row per key and bucket). A hot key is thereby spread over its
-    buckets; ``bucket`` is any date_trunc unit and sets how finely.
+    The rows are written once, so that whatever they come from is worked out once. A key is
+    then handled one time bucket at a time: rows are shuffled by (key, bucket), and the value
+    entering a bucket comes from the nearest non-empty bucket on that side, found on the
+    per-bucket summary (one row per key and bucket, pre-aggregated). Key and bucket are one
+    struct, which is never null itself, so that the join finds the rows already in place.
     """
-    b = df.withColumn("_bucket", F.date_trunc(bucket, F.col(at))).withColumn("_v", value)
+    place = F.struct(*[F.col(k) for k in keys], F.date_trunc(bucket, F.col(at)).alias("_bucket"))
+    b = materialise(df.sparkSession, df.withColumn("_v", value).withColumn("_place", place), "carry")
     order = F.when(F.col("_v").isNotNull(), F.struct(F.col(at), F.col(tie)))
     edge = F.max_by("_v", order) if forward else F.min_by("_v", order)
-    ends = b.groupBy(*keys, "_bucket").agg(edge.alias("_end"))
+    ends = b.groupBy(F.col("_place").alias("_at")).agg(edge.alias("_end"))
 
     def ordered(*columns: str) -> list[Column]:
         return [F.col(c).asc() if forward else F.col(c).desc() for c in columns]
 
-    earlier = Window.partitionBy(*keys).orderBy(*ordered("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_enter", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*ordered(at, tie)).rowsBetween(
+    whole = F.struct(*[F.col(f"_at.{k}") for k in keys])
+    earlier = Window.partitionBy(whole).orderBy(*ordered("_at._bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_at", F.last("_end", ignorenulls=True).over(earlier).alias("_enter"))
+    inside = Window.partitionBy("_place").orderBy(*ordered(at, tie)).rowsBetween(
         Window.unboundedPreceding, 0 if include_self else -1
     )
     b = b.withColumn("_seen", F.last("_v", ignorenulls=True).over(inside))
-    ends = ends.withColumnsRenamed({k: f"_e_{k}" for k in [*keys, "_bucket"]})
-    cond = F.lit(True)
-    for k in [*keys, "_bucket"]:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
-    return b.join(ends, cond, "left").select(
+    return b.join(ends, F.col("_place") == F.col("_at"), "left").select(
         *df.columns, F.coalesce(F.col("_seen"), F.col("_enter")).alias(out)
     )
 
 
-def carry_forward(df: DataFrame, keys: list[str], at: str, tie: str, value: Column, out: str, bucket: str = "DAY") -> DataFrame:
+def carry_forward(df: DataFrame, keys: list[str], at: str, tie: str, value: Column, out: str, bucket: str = "HOUR") -> DataFrame:
     """Latest non-null ``value`` strictly before each row of its key."""
     return carry(df, keys, at, tie, value, out, bucket)
 

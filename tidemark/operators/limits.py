@@ -39,10 +39,8 @@ def _span(level: str):
     return _micros(F.date_trunc(level, F.timestamp_add("MICROSECOND", F.col("t"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))).cast("timestamp_ntz"))
 
 
-def _leave(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pointers of the entry hits of one span: the first pointer target outside the span."""
-    pdf = pdf.sort_values("t")
-    t, nxt = pdf["t"].to_numpy(), pdf["nxt"].to_numpy()
+def _leave(t: np.ndarray, nxt: np.ndarray, entered: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which hits of one span can be entered from the span before, and every hit's first target outside the span."""
     at = np.searchsorted(t, nxt)
     inside = (at < len(t)) & (t[np.minimum(at, len(t) - 1)] == nxt)
     out = nxt.copy()
@@ -50,37 +48,55 @@ def _leave(pdf: pd.DataFrame) -> pd.DataFrame:
         if inside[i]:
             out[i] = out[at[i]]
     # Enterable: the hits of the first minute and the first one after it.
-    entry = np.arange(len(t)) <= np.searchsorted(t, pdf["span"].iloc[0] + MINUTE)
-    return pd.DataFrame({"identifier": pdf["identifier"].to_numpy()[entry], "t": t[entry], "nxt": out[entry]})
+    return np.arange(len(t)) <= np.searchsorted(t, span + MINUTE), out
 
 
-def _visit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Hits of one span that the chain passes through, from the entered hit on."""
-    pdf = pdf.sort_values("t")
-    t, nxt, hit = pdf["t"].to_numpy(), pdf["nxt"].to_numpy(), pdf["entered"].to_numpy(dtype=bool)
+def _visit(t: np.ndarray, nxt: np.ndarray, entered: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hits of one span that the chain passes through, from the entered hits on."""
     at = np.searchsorted(t, nxt)
     inside = (at < len(t)) & (t[np.minimum(at, len(t) - 1)] == nxt)
+    hit = entered.copy()
     for i in range(len(t)):
         if hit[i] and inside[i]:
             hit[at[i]] = True
-    return pd.DataFrame({"identifier": pdf["identifier"].to_numpy()[hit], "t": t[hit], "nxt": nxt[hit]})
+    return hit, nxt
 
 
-def _levels(pointers: DataFrame, group_rows: int) -> list[str]:
-    """Spans to work through: as few as keep every group below ``group_rows`` rows."""
-    def largest(*keys) -> int:
-        sizes = pointers.groupBy("identifier", *keys).agg(F.count(F.lit(1)).alias("n"))
-        return sizes.agg(F.max("n")).first()[0] or 0
+def _by_span(hits: DataFrame, step, single_is_kept: bool) -> DataFrame:
+    """Runs ``step`` on the hits of every (identifier, span), in time order.
 
-    if largest() <= group_rows:
-        return []
-    for i in range(len(_SPANS) - 1, 0, -1):
-        if largest(_span(_SPANS[i])) <= group_rows:
-            return _SPANS[i:]
-    return _SPANS
-
-
-def window_starts(hits: DataFrame, group_rows: int = 1_000_000) -> DataFrame:
+    Spans lie sorted in the partitions; one is held in memory at a time. A span with one hit
+    needs no step: it is kept always, or if it is entered.
+    """
+    def groups(pdf: pd.DataFrame) -> pd.DataFrame:
+        who, span = pdf["identifier"].to_numpy(), pdf["span"].to_numpy()
+        t, nxt, entered = pdf["t"].to_numpy(), pdf["nxt"].to_numpy().copy(), pdf["entered"].to_numpy(dtype=bool)
+        begin = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (span[1:] != span[:-1])]))
+        end = np.append(begin[1:], len(t))
+        keep = np.ones(len(t), bool) if single_is_kept else entered.copy()
+        for a, b in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
+            keep[a:b], nxt[a:b] = step(t[a:b], nxt[a:b], entered[a:b], int(span[a]))
+        return pd.DataFrame({"identifier": who[keep], "t": t[keep], "nxt": nxt[keep]})
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            open_ = (pdf["identifier"] == pdf["identifier"].iloc[-1]) & (pdf["span"] == pdf["span"].iloc[-1])
+            first = int(open_.to_numpy().argmax())
+            if first:
+                yield groups(pdf.iloc[:first])
+            held = pdf.iloc[first:]
+        if held is not None and len(held):
+            yield groups(held)
+
+    rows = hits.select("identifier", "span", "t", "nxt", "entered")
+    return rows.repartition("identifier", "span").sortWithinPartitions("identifier", "span", "t").mapInPandas(run, _POINTER)
+
+
+def window_starts(hits: DataFrame) -> DataFrame:
     """(identifier, t) of the hits that open a minute window.
 
     ``hits``: identifier, t (microseconds).
@@ -96,28 +112,26 @@ def window_starts(hits: DataFrame, group_rows: int = 1_000_000) -> DataFrame:
     # Each level is read twice (going up and coming down), so it is written once.
     spark = hits.sparkSession
     pointers = [materialise(spark, first_level, "window-pointers")]
-    levels = _levels(pointers[0], group_rows)
-    for level in levels:
-        span = pointers[-1].withColumn("span", _span(level))
-        up = span.groupBy("identifier", "span").applyInPandas(_leave, _POINTER)
-        pointers.append(materialise(spark, up, "window-pointers"))
+    for level in _SPANS:
+        span = pointers[-1].withColumn("span", _span(level)).withColumn("entered", F.lit(False))
+        pointers.append(materialise(spark, _by_span(span, _leave, True), "window-pointers"))
     # Top level: what is left of an identifier, followed from its first hit.
     top = pointers[-1]
     first = times.groupBy(F.col("identifier").alias("_i")).agg(F.min("t").alias("_t"))
     roots = top.join(first, F.col("identifier") == F.col("_i")).select(
-        "identifier", "t", "nxt", (F.col("t") == F.col("_t")).alias("entered")
+        "identifier", F.lit(0).cast("bigint").alias("span"), "t", "nxt", (F.col("t") == F.col("_t")).alias("entered")
     )
-    chain = roots.groupBy("identifier").applyInPandas(_visit, _POINTER)
-    for level, below in zip(reversed(levels), reversed(pointers[:-1])):
+    chain = _by_span(roots, _visit, False)
+    for level, below in zip(reversed(_SPANS), reversed(pointers[:-1])):
         entered = chain.select(F.col("identifier").alias("_i"), F.col("t").alias("_t"))
         marked = below.join(entered, (F.col("identifier") == F.col("_i")) & (F.col("t") == F.col("_t")), "left").select(
             "identifier", "t", "nxt", F.col("_t").isNotNull().alias("entered")
         ).withColumn("span", _span(level))
-        chain = marked.groupBy("identifier", "span").applyInPandas(_visit, _POINTER)
+        chain = _by_span(marked, _visit, False)
     return chain.select("identifier", "t")
 
 
-def decide(hits: DataFrame, group_rows: int = 1_000_000) -> DataFrame:
+def decide(hits: DataFrame) -> DataFrame:
     """``allowed`` for every hit. ``hits``: hit_id, identifier, role, hit_at."""
     known = F.create_map(*[F.lit(x) for pair in {r: v[0] for r, v in K.RATE_LIMITS.items()}.items() for x in pair])[F.col("role")]
     daily = F.coalesce(known, F.lit(K.RATE_LIMITS["PUBLIC"][0]))
@@ -126,7 +140,7 @@ def decide(hits: DataFrame, group_rows: int = 1_000_000) -> DataFrame:
         "hit_id", "identifier", "role", "hit_at", F.col("hit_at").alias("at"), _micros(F.col("hit_at")).alias("t"),
         daily.alias("daily"), burst.alias("burst"), F.col("hit_at").cast("date").alias("day"),
     )
-    starts = materialise(hits.sparkSession, window_starts(rows, group_rows), "window-starts").select(F.col("identifier").alias("_i"), F.col("t").alias("_t"))
+    starts = materialise(hits.sparkSession, window_starts(rows), "window-starts").select(F.col("identifier").alias("_i"), F.col("t").alias("_t"))
     opened = rows.join(starts, (F.col("identifier") == F.col("_i")) & (F.col("t") == F.col("_t")), "left")
     opened = opened.withColumn("_open", F.col("_t")).drop("_i", "_t")
     # Every hit of an opening time carries the mark, so "last mark up to this row" is its window.

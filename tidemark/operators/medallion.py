@@ -94,17 +94,22 @@ def with_sources(df: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def flag_revisions(promotions: DataFrame, bucket: str = "DAY") -> DataFrame:
+def flag_revisions(promotions: DataFrame, bucket: str = "HOUR") -> DataFrame:
     """Revision flag and delta against the last actual published earlier for the same key.
 
     ``promotions`` holds everything published so far plus the new rows, with
-    (promoted_at, record_id) giving the order. Publishing the same value again
-    still counts as a revision, with delta 0.
+    (promoted_at, record_id) giving the order. A row sees earlier rows of its own tenant and
+    global ones (no tenant); a global row sees global ones only. Publishing the same value
+    again still counts as a revision, with delta 0. Rows without that column are all global.
     """
     keys = ["indicator_code", "country_code", "period"]
-    previous = F.when(~F.col("is_forecast"), F.struct(F.col("value").alias("value")))
-    out = keyed.carry_forward(promotions, keys, "promoted_at", "record_id", previous, "_prev", bucket)
-    return out.select(
+    previous = F.when(~F.col("is_forecast"), F.struct("promoted_at", "record_id", F.col("value").alias("value")))
+    rows = promotions if "tenant_id" in promotions.columns else promotions.withColumn("tenant_id", F.lit(None).cast("bigint"))
+    # Nearest earlier row of the own tenant, and nearest earlier global row: the later of the two counts.
+    own = keyed.carry_forward(rows, [*keys, "tenant_id"], "promoted_at", "record_id", previous, "_own", bucket)
+    both = keyed.carry_forward(own, keys, "promoted_at", "record_id", F.when(F.col("tenant_id").isNull(), previous), "_global", bucket)
+    seen = F.greatest("_own", "_global")
+    return both.withColumn("_prev", seen).select(
         *promotions.columns,
         F.col("_prev").isNotNull().alias("revision_flag"),
         (F.col("value") - F.col("_prev.value")).alias("revision_delta"),

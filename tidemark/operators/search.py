@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +13,8 @@ from tidemark.functions.numeric import rnd
 from tidemark.operators import keyed
 from tidemark.operators.published import visible_to
 
-# Query vectors held by every task at a time; more queries run in further passes.
-QUERIES_PER_PASS = 2048
+# Vectors, and queries, that are compared at a time.
+VECTOR_BLOCK, QUERY_BLOCK = 2048, 256
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -23,10 +23,11 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def centroids(vectors: DataFrame, key: str) -> DataFrame:
-    """Mean vector per key. Components are summed as scaled integers: exact and order-free."""
+    """Mean vector per key. Components are summed as wide scaled integers: exact and order-free."""
     parts = vectors.select(key, F.posexplode("embedding").alias("i", "x"))
     scaled = F.floor(F.col("x").cast("double") * 1e9)
-    means = parts.groupBy(key, "i").agg((F.sum(scaled) / F.count(F.lit(1)) / 1e9).alias("m"))
+    total = F.sum(scaled.cast("decimal(28,0)")).cast("double")
+    means = parts.groupBy(key, "i").agg((total / F.count(F.lit(1)) / 1e9).alias("m"))
     return means.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding")
     )
@@ -45,50 +46,46 @@ def search_one(vectors: DataFrame, query: list[float], k: int = 6) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
     """Exact top k of every query by L2 distance.
 
-    ``vectors``: vec_id, embedding; ``queries``: query_id (bigint), embedding.
-    Each task keeps only its k best per query while it streams its vectors, so
-    what is shuffled is at most k rows per query and task. Query vectors travel
-    with the tasks in passes of bounded size.
+    ``vectors``: vec_id, embedding; ``queries``: query_id (bigint), embedding. Both are dealt
+    into blocks of about VECTOR_BLOCK and QUERY_BLOCK rows by hash; every block of queries meets
+    every block of vectors in one task, which passes on k rows per query. No query reaches the
+    driver; only two counts do.
     """
-    usable = vectors.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding")
-    total = queries.count()
-    passes = max(1, -(-2 * total // QUERIES_PER_PASS)) if total > QUERIES_PER_PASS else 1
-    slot = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-    partials = None
-    for p in range(passes):
-        block = queries.filter(slot == p) if passes > 1 else queries
-        rows = block.select("query_id", "embedding").collect()
-        if not rows:
-            continue
-        part = usable.mapInPandas(
-            _partial_top(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype="float64"), k),
-            "query_id bigint, vec_id bigint, distance double",
-        )
-        partials = part if partials is None else partials.unionByName(part)
-    if partials is None:
-        partials = usable.select(
-            F.lit(0).cast("bigint").alias("query_id"), "vec_id", F.lit(0.0).alias("distance")
-        ).filter(F.lit(False))
+    usable = vectors.filter(F.col("embedding").isNotNull())
+    n_vectors = max(1, -(-usable.count() // VECTOR_BLOCK))
+    n_queries = max(1, -(-queries.count() // QUERY_BLOCK))
+    held = (
+        usable.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_vectors)).alias("vector_block"))
+        .agg(F.collect_list(F.struct("vec_id", "embedding")).alias("vectors"))
+        .select("vectors", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("query_block"))
+    )
+    asked = (
+        queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).cast("int").alias("query_block"))
+        .agg(F.collect_list(F.struct("query_id", "embedding")).alias("queries"))
+    )
+    partials = held.join(asked, "query_block").select("vectors", "queries").mapInArrow(
+        _block_top(k), "query_id bigint, vec_id bigint, distance double"
+    )
     return keyed.top_per_key(partials, ["query_id"], [F.col("distance"), F.col("vec_id")], k)
 
 
-def _partial_top(query_ids: np.ndarray, targets: np.ndarray, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = [(np.empty(0), np.empty(0, dtype="int64"))] * len(query_ids)
+def _block_top(k: int):
+    def matrix(block: pa.Array, key: str) -> tuple[np.ndarray, np.ndarray]:
+        rows = block.field("embedding")
+        return block.field(key).to_numpy(), rows.flatten().to_numpy().astype("float64").reshape(len(block), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.empty:
-                continue
-            matrix = np.vstack(batch["embedding"].to_numpy()).astype("float64")
-            ids = batch["vec_id"].to_numpy()
-            for i, target in enumerate(targets):
-                gap = np.sqrt(((matrix - target) ** 2).sum(axis=1))
-                gap = np.floor(gap * 1e6 + 0.5) / 1e6
-                d, v = np.concatenate([best[i][0], gap]), np.concatenate([best[i][1], ids])
-                keep = np.lexsort((v, d))[:k]
-                best[i] = (d[keep], v[keep])
-        for qid, (d, v) in zip(query_ids, best):
-            if len(d):
-                yield pd.DataFrame({"query_id": qid, "vec_id": v, "distance": d})
+            for vectors, queries in zip(batch.column("vectors"), batch.column("queries")):
+                ids, points = matrix(vectors.values, "vec_id")
+                query_ids, targets = matrix(queries.values, "query_id")
+                for query_id, target in zip(query_ids.tolist(), targets):
+                    gap = np.floor(np.sqrt(((points - target) ** 2).sum(axis=1)) * 1e6 + 0.5) / 1e6
+                    keep = np.lexsort((ids, gap))[:k]
+                    yield pa.record_batch(
+                        [pa.array([query_id] * len(keep), pa.int64()), pa.array(ids[keep], pa.int64()), pa.array(gap[keep])],
+                        names=["query_id", "vec_id", "distance"],
+                    )
 
     return run
 

@@ -15,7 +15,6 @@ from tidemark.functions import periods
 from tidemark.functions.numeric import fixed, plain, rnd
 from tidemark.operators import keyed
 from tidemark.session import materialise
-from tidemark.sources.tables import measured
 
 SERIES = ["indicator_code", "country_code"]
 _STEPS = {"ANNUAL": 12, "QUARTERLY": 3, "MONTHLY": 1}
@@ -184,9 +183,9 @@ def history_stats(gold: DataFrame, focus: DataFrame, n: int = 10) -> DataFrame:
 
     ``focus``: one row per (indicator, country) with the period to leave out.
     """
-    skip = measured(focus.select(
+    skip = focus.select(
         F.col("indicator_code").alias("_i"), F.col("country_code").alias("_c"), F.col("period").alias("_p")
-    ), "series-focus")
+    )
     others = gold.join(
         skip, (F.col("indicator_code") == F.col("_i")) & (F.col("country_code") == F.col("_c"))
         & (F.col("period") != F.col("_p"))

@@ -65,18 +65,41 @@ def crawl_decisions(log: DataFrame) -> DataFrame:
     )
 
 
-def header_match(requests: DataFrame, log: DataFrame) -> DataFrame:
-    """ETag / Last-Modified of a request against the source's last PROCEED entry.
+def with_stored_headers(log: DataFrame) -> DataFrame:
+    """Adds the ETag and Last-Modified of the source's last PROCEED entry before each entry."""
+    kept = F.when(F.col("action") == "PROCEED", F.struct("etag", "last_modified"))
+    found = keyed.carry_forward(log, ["source_code"], "logged_at", "log_id", kept, "_last")
+    return found.select(*log.columns, F.col("_last.etag").alias("_e"), F.col("_last.last_modified").alias("_m"))
 
-    ``requests``: source_code, etag, last_modified; ``log`` carries the same two fields.
-    """
-    last = keyed.latest(
-        log.filter(F.col("action") == "PROCEED").withColumnRenamed("source_code", "_s"), ["_s"],
-        [F.col("logged_at"), F.col("log_id")], ["etag", "last_modified"],
-    ).select("_s", F.col("etag").alias("_e"), F.col("last_modified").alias("_m"))
+
+def header_match(log: DataFrame, requests: Column) -> DataFrame:
+    """ETag / Last-Modified of the entries that are ``requests`` against the last PROCEED entry before them."""
     same = (F.col("etag") == F.col("_e")) | (F.col("last_modified") == F.col("_m"))
-    return requests.join(last, F.col("source_code") == F.col("_s"), "left").select(
-        *requests.columns, F.when(F.coalesce(same, F.lit(False)), "SKIP").otherwise("PROCEED").alias("decision")
+    return with_stored_headers(log).filter(requests).select(
+        "source_code", "etag", "last_modified", "log_id",
+        F.when(F.coalesce(same, F.lit(False)), "SKIP").otherwise("PROCEED").alias("decision"),
+    )
+
+
+def crawl_decision(log: DataFrame) -> DataFrame:
+    """Whether each entry's fetch was worth it: ETag, then Last-Modified, then content hash; first match wins.
+
+    Headers are compared with the source's last PROCEED entry before the entry, the hash with
+    the last one stored for the source. Empty headers and missing content match nothing.
+    """
+    stored = keyed.carry_forward(
+        with_stored_headers(log), ["source_code"], "logged_at", "log_id", F.col("content_hash"), "_hash"
+    )
+
+    def same(a: str, b: str) -> Column:
+        return F.coalesce((F.col(a) != "") & (F.col(a) == F.col(b)), F.lit(False))
+
+    reason = (
+        F.when(same("etag", "_e"), "etag match").when(same("last_modified", "_m"), "last_modified match")
+        .when(same("content_hash", "_hash"), "content hash match").otherwise("change detected")
+    )
+    return stored.withColumn("reason", reason).select(
+        "log_id", "source_code", F.when(F.col("reason") == "change detected", "PROCEED").otherwise("SKIP").alias("decision"), "reason"
     )
 
 
@@ -120,13 +143,13 @@ def priced(events: DataFrame) -> DataFrame:
 def cost_report(costs: DataFrame) -> DataFrame:
     """Per source: total, events, and one column per category.
 
-    Costs are summed as picodollars (integers), so totals do not depend on order.
+    Costs are summed as picodollars (wide integers), so totals do not depend on order.
     """
-    pico = F.floor(F.col("cost_usd") * 1e12 + 0.5)
+    pico = F.floor(F.col("cost_usd") * 1e12 + 0.5).cast("decimal(28,0)")
 
     def total(category: str | None) -> Column:
         part = pico if category is None else F.when(F.col("category") == category, pico)
-        return F.coalesce(F.sum(part), F.lit(0)) / 1e12
+        return F.coalesce(F.sum(part).cast("double"), F.lit(0.0)) / 1e12
 
     return costs.groupBy("source_id").agg(
         total(None).alias("total_cost_usd"), F.count(F.lit(1)).alias("event_count"),

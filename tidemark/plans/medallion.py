@@ -87,21 +87,25 @@ def raw_validation_errors(spark, folder):
     return views.bronze(spark, folder).select("record_id", F.array_join(errors, ";").alias("errors"))
 
 
+_SEEN = """
+  seen AS (SELECT a.record_id, count(b.record_id) AS n_seen, max_by(b.value, (b.crawled_at, b.record_id)) FILTER (b.record_id IS NOT NULL) AS prev
+    FROM p a LEFT JOIN p b ON NOT b.is_forecast AND (b.tenant_id IS NULL OR b.tenant_id = a.tenant_id)
+      AND a.indicator_code IS NOT DISTINCT FROM b.indicator_code AND a.country_code IS NOT DISTINCT FROM b.country_code AND a.period IS NOT DISTINCT FROM b.period
+      AND (b.crawled_at < a.crawled_at OR b.crawled_at = a.crawled_at AND b.record_id < a.record_id) GROUP BY a.record_id)"""
+
+
 @query("gold_promotion_revisions", uses=["silver"], sql=f"""
-  WITH p AS (SELECT * FROM v_silver WHERE dq_status = 'AUTO_PROMOTED'),
-  w AS (SELECT *, last_value(CASE WHEN NOT is_forecast THEN value END IGNORE NULLS) OVER (
-      PARTITION BY indicator_code, country_code, period ORDER BY crawled_at, record_id
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM p)
-  SELECT record_id, indicator_code, country_code, period, source_code,
+  WITH p AS (SELECT * FROM v_silver WHERE dq_status = 'AUTO_PROMOTED'),{_SEEN}
+  SELECT record_id, tenant_id, indicator_code, country_code, period, source_code,
     CASE source_code {' '.join(f"WHEN {V.q(s[0])} THEN {V.q(s[1])}" for s in K.SOURCES)} ELSE source_code END AS source_name,
-    {V.rnd('value', 6)} AS value, prev IS NOT NULL AS revision_flag, {V.rnd('value - prev', 6)} AS revision_delta FROM w""")
+    {V.rnd('value', 6)} AS value, n_seen > 0 AS revision_flag, {V.rnd('value - prev', 6)} AS revision_delta FROM p JOIN seen USING (record_id)""")
 def gold_promotion_revisions(spark, folder):
     ready = silver(spark, folder).filter(F.col("dq_status") == "AUTO_PROMOTED").withColumn(
         "promoted_at", F.col("crawled_at")
-    ).select("record_id", "indicator_code", "country_code", "period", "source_code", "value", "is_forecast", "promoted_at")
+    ).select("record_id", "tenant_id", "indicator_code", "country_code", "period", "source_code", "value", "is_forecast", "promoted_at")
     named = M.with_sources(M.flag_revisions(ready), source_dim(spark))
     return named.select(
-        "record_id", "indicator_code", "country_code", "period", "source_code", "source_name",
+        "record_id", "tenant_id", "indicator_code", "country_code", "period", "source_code", "source_name",
         rnd("value", 6).alias("value"), "revision_flag", rnd("revision_delta", 6).alias("revision_delta"),
     )
 

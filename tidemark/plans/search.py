@@ -13,7 +13,7 @@ from tidemark.operators import search as S
 from tidemark.plans import sqlviews as V
 from tidemark.plans.catalog import query
 from tidemark.sources import views
-from tidemark.sources.tables import measured, table
+from tidemark.sources.tables import table
 
 _CENT = """cent AS (SELECT label, list(m ORDER BY i) AS q FROM (
     SELECT label, i, CAST(sum(CAST(floor(CAST(embedding[i] AS DOUBLE) * 1e9) AS BIGINT)) AS BIGINT) / count(*) / 1e9 AS m
@@ -90,7 +90,7 @@ def retrieval_eval(spark, folder):
     vectors = _vectors(spark, folder)
     queries = _label_queries(spark, folder)
     own = vectors.withColumn("label", F.col("label").cast("bigint")).join(
-        measured(queries.withColumnRenamed("embedding", "_q"), "label-means"), F.col("label") == F.col("query_id")
+        queries.withColumnRenamed("embedding", "_q"), F.col("label") == F.col("query_id")
     ).withColumn("distance", rnd(S.l2(F.col("embedding"), F.col("_q")), 6)).select("query_id", "vec_id", "distance")
     best = keyed.top_per_key(own, ["query_id"], [F.col("distance"), F.col("vec_id")], 8)
     questions = best.groupBy("query_id").agg(F.collect_list("vec_id").alias("expected_ids")).withColumn(

@@ -178,8 +178,8 @@ view("news", [], f"""
     source AS source_name, {pick('doc_id % 20', K.COUNTRIES)} AS country_code,
     CASE WHEN doc_id % 11 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 30 AS INT)) END AS published_at FROM documents""")
 view("hits", [], f"""
-  SELECT event_id AS hit_id, user_id % 10 AS identifier, {pick('(user_id % 10) % 3', ['PUBLIC', 'EXTERNAL_BUSINESS', 'ADMIN'])} AS role,
-    date_trunc('hour', ts) AS hit_at FROM events""")
+  SELECT event_id * 12 + k AS hit_id, user_id AS identifier, {pick('user_id % 3', ['PUBLIC', 'EXTERNAL_BUSINESS', 'ADMIN'])} AS role,
+    ts + to_seconds(k * (event_id % 19 + 7)) AS hit_at FROM (SELECT *, unnest(range(event_id % 12 + 1)) AS k FROM events)""")
 view("blocks", [], """
   SELECT event_id AS block_id, user_id AS source_url, ts AS blocked_at FROM events WHERE event_type = 'error'""")
 view("crawl_log", [], """
@@ -214,6 +214,8 @@ def compose(deps: list[str], select: str) -> str:
         visit(d)
     ctes = [f"v_{n} AS ({_refer(VIEWS[n][1], VIEWS[n][0])})" for n in order]
     body = select.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join([*ctes, body[15:]])
     if body.upper().startswith("WITH "):
         return "WITH " + ", ".join([*ctes, body[5:]])
     return ("WITH " + ", ".join(ctes) + " " if ctes else "") + body

@@ -76,19 +76,21 @@ def stream_dedupe(spark, folder):
 
 
 @query("stream_late_revisions", sql=f"""
-  WITH a AS (SELECT * FROM events WHERE event_id % 10 <> 0), b AS (SELECT * FROM events WHERE event_id % 10 = 0 AND ts < (SELECT max(ts) FROM a) - INTERVAL 1 DAY),
-  c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS k FROM a) WHERE k = 1)
-  SELECT b.event_id, b.user_id, b.event_type, CAST(b.ts AS DATE) AS day, c.value AS old_value, b.value AS new_value,
-    {V.rnd('CASE WHEN c.value = 0 THEN 0 ELSE (b.value - c.value) / abs(c.value) * 100 END', 4)} AS revision_pct
-  FROM b JOIN c ON b.user_id = c.user_id AND b.event_type = c.event_type AND CAST(b.ts AS DATE) = CAST(c.ts AS DATE) WHERE b.value <> c.value""")
+  WITH d AS (SELECT *, CAST(CASE WHEN event_id % 10 = 0 THEN 3 WHEN event_id % 10 = 1 THEN 2 ELSE 1 END AS BIGINT) AS delivery, CAST(ts AS DATE) AS day FROM events),
+  m AS (SELECT delivery AS md, max(max(ts)) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS lim FROM d GROUP BY delivery),
+  w AS (SELECT *, lag(value) OVER k AS old_value, row_number() OVER k > 1 AS revision_flag FROM d WINDOW k AS (PARTITION BY user_id, event_type, day ORDER BY delivery, ts, event_id))
+  SELECT event_id, user_id, event_type, day, delivery, ts, value, old_value, revision_flag, coalesce(ts < lim, false) AS late,
+    {V.rnd('CASE WHEN old_value = 0 THEN 0 ELSE (value - old_value) / abs(old_value) * 100 END', 4)} AS revision_pct
+  FROM w JOIN m ON delivery = md""")
 def stream_late_revisions(spark, folder):
-    """A tenth of the events arrives in a second delivery; what is late by then only logs revisions."""
+    """A tenth of the events arrives in a second delivery and a tenth in a third; all are published."""
     landing, out = fresh_path(spark, "late-landing"), fresh_path(spark, "late-out")
-    events = table(spark, folder, "events")
-    for part in (F.col("event_id") % 10 != 0, F.col("event_id") % 10 == 0):
-        events.filter(part).write.mode("append").parquet(landing)
-        jobs.with_late_revisions(spark, landing, f"{out}/checkpoint", out)
-    return spark.read.parquet(f"{out}/revisions").drop("batch")
+    late = F.when(F.col("event_id") % 10 == 0, 3).when(F.col("event_id") % 10 == 1, 2).otherwise(1).cast("bigint")
+    events = table(spark, folder, "events").withColumn("delivery", late)
+    for n in (1, 2, 3):
+        events.filter(F.col("delivery") == n).write.mode("append").parquet(landing)
+        jobs.published_revisions(spark, landing, out)
+    return jobs.with_lateness(spark.read.parquet(f"{out}/published").drop("batch"))
 
 
 @query("stream_rate_limit", sql=CATALOG["rate_limit_decisions"].sql)

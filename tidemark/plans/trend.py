@@ -134,8 +134,11 @@ def _signed(expr: str, digits: int) -> str:
 
 
 @query("anomaly_explanations", uses=["gold"], sql=f"""
-  WITH r AS (SELECT *, last_value(CASE WHEN NOT is_forecast THEN value END IGNORE NULLS) OVER (PARTITION BY indicator_code, country_code, period
-      ORDER BY promoted_at, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM v_gold),
+  WITH s AS (SELECT a.record_id AS sid, max_by(b.value, (b.promoted_at, b.record_id)) FILTER (b.record_id IS NOT NULL) AS prev
+    FROM v_gold a LEFT JOIN v_gold b ON NOT b.is_forecast AND (b.tenant_id IS NULL OR b.tenant_id = a.tenant_id)
+      AND a.indicator_code = b.indicator_code AND a.country_code = b.country_code AND a.period = b.period
+      AND (b.promoted_at < a.promoted_at OR b.promoted_at = a.promoted_at AND b.record_id < a.record_id) GROUP BY 1),
+  r AS (SELECT v_gold.*, prev FROM v_gold JOIN s ON record_id = sid),
   n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY indicator_code, country_code ORDER BY promoted_at DESC, record_id DESC) AS rn FROM r) WHERE rn = 1),
   h AS (SELECT indicator_code, country_code, avg(value) AS mean, stddev_samp(value) AS sd, min(value) AS low, max(value) AS high FROM (
       SELECT g.*, row_number() OVER (PARTITION BY g.indicator_code, g.country_code ORDER BY g.promoted_at DESC, g.record_id DESC) AS k
@@ -153,7 +156,7 @@ def _signed(expr: str, digits: int) -> str:
       ELSE CASE WHEN z > 3 THEN 'HIGH' WHEN z > 2 THEN 'MEDIUM' ELSE 'LOW' END END AS severity FROM p""")
 def anomaly_explanations(spark, folder):
     flagged = M.flag_revisions(views.gold(spark, folder).select(
-        "record_id", "indicator_code", "country_code", "period", "value", "standard_unit", "is_forecast", "promoted_at"))
+        "record_id", "tenant_id", "indicator_code", "country_code", "period", "value", "standard_unit", "is_forecast", "promoted_at"))
     return T.explain_latest(flagged)
 
 

@@ -50,18 +50,34 @@ def content_change(spark, folder):
     return U.crawl_decisions(views.crawl_log(spark, folder))
 
 
-@query("header_match", uses=["crawl_log"], sql="""
+_HEADERS = """
   WITH l AS (SELECT *, 'e' || CAST(log_id % 3 AS VARCHAR) AS etag, 'm' || CAST(log_id % 5 AS VARCHAR) AS lm FROM v_crawl_log),
-  p AS (SELECT source_code AS s, etag AS e, lm AS m FROM (SELECT *, row_number() OVER (PARTITION BY source_code ORDER BY logged_at DESC, log_id DESC) AS k FROM l WHERE action = 'PROCEED') WHERE k = 1)
-  SELECT source_code, etag, lm AS last_modified, log_id, CASE WHEN coalesce(etag = e OR lm = m, false) THEN 'SKIP' ELSE 'PROCEED' END AS decision FROM l LEFT JOIN p ON source_code = s WHERE action = 'DEFER'""")
-def header_match(spark, folder):
-    """Deferred fetches are checked against the last fetch that went through."""
-    log = views.crawl_log(spark, folder).withColumns({
+  p AS (SELECT *, last_value(CASE WHEN action = 'PROCEED' THEN {'e': etag, 'm': lm} END IGNORE NULLS) OVER w AS last,
+      lag(content_hash) OVER (PARTITION BY source_code ORDER BY logged_at, log_id) AS stored
+    FROM l WINDOW w AS (PARTITION BY source_code ORDER BY logged_at, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def _headers(spark, folder):
+    return views.crawl_log(spark, folder).withColumns({
         "etag": F.concat(F.lit("e"), (F.col("log_id") % 3).cast("string")),
         "last_modified": F.concat(F.lit("m"), (F.col("log_id") % 5).cast("string")),
     })
-    requests = log.filter(F.col("action") == "DEFER").select("source_code", "etag", "last_modified", "log_id")
-    return U.header_match(requests, log)
+
+
+@query("header_match", uses=["crawl_log"], sql=_HEADERS + """
+  SELECT source_code, etag, lm AS last_modified, log_id, CASE WHEN coalesce(etag = last.e OR lm = last.m, false) THEN 'SKIP' ELSE 'PROCEED' END AS decision FROM p WHERE action = 'DEFER'""")
+def header_match(spark, folder):
+    """Deferred fetches are checked against the last fetch before them that went through."""
+    return U.header_match(_headers(spark, folder), F.col("action") == "DEFER")
+
+
+@query("crawl_decision", uses=["crawl_log"], sql=_HEADERS + """
+  , r AS (SELECT log_id, source_code, CASE WHEN coalesce(etag = last.e, false) THEN 'etag match' WHEN coalesce(lm = last.m, false) THEN 'last_modified match'
+      WHEN coalesce(content_hash = stored, false) THEN 'content hash match' ELSE 'change detected' END AS reason FROM p)
+  SELECT log_id, source_code, CASE WHEN reason = 'change detected' THEN 'PROCEED' ELSE 'SKIP' END AS decision, reason FROM r""")
+def crawl_decision(spark, folder):
+    """ETag, Last-Modified and content hash of every fetch in one decision."""
+    return U.crawl_decision(_headers(spark, folder))
 
 
 @query("latest_hash", uses=["crawl_log"], sql="""

@@ -9,10 +9,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -28,13 +32,15 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 def configure(spark: SparkSession) -> SparkSession:
     """Settings that results depend on; the cluster's own sizing is left alone."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own, which goes when the
+    process ends; on a cluster the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -43,11 +49,11 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     global _LOCAL_DIR
     if _LOCAL_DIR is None:
-        _LOCAL_DIR = tempfile.mkdtemp(prefix="tidemark-")
-    return _LOCAL_DIR
+        _LOCAL_DIR = tempfile.TemporaryDirectory(prefix="tidemark-", ignore_cleanup_errors=True)
+    return _LOCAL_DIR.name
 
 
-_LOCAL_DIR: str | None = None
+_LOCAL_DIR: tempfile.TemporaryDirectory | None = None
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

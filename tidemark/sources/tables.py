@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark import constants as K
-from tidemark.session import materialise
 
 
 # Column types of the tables, so that reading needs no inference job.
@@ -33,31 +31,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that has fewer splits than there are cores.
+    """Deal a scan out to ``tidemark.scan.partitions`` tasks, if the session sets that.
 
-    For CPU-heavy row work (text patterns, scoring) on few or unsplittable files. A
-    table with enough splits is returned as it is, so nothing is shuffled at scale.
+    For small or unsplittable files that feed CPU-heavy row work. Nothing is shuffled unless
+    asked for.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def guarded_broadcast(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Broadcast hint only for a frame counted to be within the bound.
-
-    Counting stops one row past the bound. Beyond it the plain frame is returned
-    and the join shuffles both sides.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def measured(df: DataFrame, name: str) -> DataFrame:
-    """Write a small result once, then broadcast it if it turns out small.
-
-    For a per-series summary joined back to the rows it came from: its size is only
-    known once computed, and a broadcast saves shuffling the large side.
-    """
-    return guarded_broadcast(materialise(df.sparkSession, df, name))
+    n = df.sparkSession.conf.get("tidemark.scan.partitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def _dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -253,12 +253,14 @@ def hits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hits_from(e: DataFrame) -> DataFrame:
-    ident = F.col("user_id") % 10
-    return e.select(
-        F.col("event_id").alias("hit_id"),
-        ident.alias("identifier"),
-        _pick(ident % 3, ["PUBLIC", "EXTERNAL_BUSINESS", "ADMIN"]).alias("role"),
-        F.date_trunc("HOUR", F.col("ts")).cast("timestamp_ntz").alias("hit_at"),
+    """API hits of the users: an event is followed by up to eleven more hits, 7 to 25 seconds apart."""
+    burst = e.select("*", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 12).cast("int"))).alias("_n"))
+    gap = F.col("_n") * (F.col("event_id") % 19 + 7)
+    return burst.select(
+        (F.col("event_id") * 12 + F.col("_n")).alias("hit_id"),
+        F.col("user_id").alias("identifier"),
+        _pick(F.col("user_id") % 3, ["PUBLIC", "EXTERNAL_BUSINESS", "ADMIN"]).alias("role"),
+        F.timestamp_add("SECOND", gap, F.col("ts").cast("timestamp_ntz")).alias("hit_at"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import pct_change, rnd
@@ -60,32 +60,58 @@ def first_deliveries(events: DataFrame, key: str = "event_id", delay: str = "1 h
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def with_late_revisions(spark: SparkSession, path: str, checkpoint: str, out: str, delay_days: int = 1) -> None:
-    """On-time observations join the current table; late ones only log the revision they cause.
+CURRENT = "user_id bigint, event_type string, value double, batch bigint, day date"
 
-    Late means older than the newest observation landed in earlier batches minus
-    the delay. Late values are compared with the current value of their key
-    (user, kind, day), and a difference is appended to the revision log.
+
+def published_revisions(spark: SparkSession, path: str, out: str, files_per_batch: int | None = None) -> None:
+    """Deliveries of observations -> a table of publications, each with the value it replaces.
+
+    Reads what is new under ``path`` (event columns and ``delivery``, the number of the
+    delivery). The current value of each key (user, kind, day) is kept in a table partitioned
+    by day, of which a batch reads only the days it touches and to which it adds the keys it
+    changed; the history isn't read again. How deliveries are split into batches doesn't matter
+    as long as they come in order. A repeated batch overwrites its own folders.
     """
     keys = ["user_id", "event_type", "day"]
+    current = f"{out}/current"
+    spark.createDataFrame([], "user_id bigint, event_type string, value double").write.mode("ignore").parquet(f"{current}/batch=-1/day=1970-01-01")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("event_id", "user_id", "event_type", F.col("ts").cast("date").alias("day"),
-                            F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
-        landed = f"{out}/current"
-        if batch_id == 0:
-            runs.batch_writer(landed)(rows, batch_id)
-            return
-        known = spark.read.parquet(landed).filter(F.col("batch") < batch_id)
-        newest = known.agg(F.max("ts").alias("t")).first()["t"]
-        limit = F.timestamp_add("DAY", F.lit(-delay_days), F.lit(newest).cast("timestamp_ntz"))
-        late = rows.filter(F.col("ts") < limit)
-        current = keyed.latest(known, keys, [F.col("ts"), F.col("event_id")], ["value"]).withColumnRenamed("value", "old_value")
-        revised = late.join(current, keys).filter(F.col("value") != F.col("old_value")).select(
-            "event_id", *keys, "old_value", F.col("value").alias("new_value"),
-            rnd(pct_change("value", "old_value"), 4).alias("revision_pct"),
-        )
-        runs.batch_writer(f"{out}/revisions")(revised, batch_id)
-        runs.batch_writer(landed)(rows.filter(F.col("ts") >= limit), batch_id)
-
-    runs.drain_batches(runs.event_stream(spark, path), checkpoint, handle)
+        rows = batch.select(
+            "event_id", "user_id", "event_type", F.col("ts").cast("date").alias("day"), "delivery",
+            F.col("ts").cast("timestamp_ntz").alias("ts"), "value",
+        ).persist()
+        try:
+            known = spark.read.schema(CURRENT).parquet(current).filter(F.col("batch") < batch_id)
+            known = known.join(rows.select("day").distinct(), "day", "left_semi")
+            known = keyed.latest(known, keys, [F.col("batch")], ["value"]).withColumnRenamed("value", "known_value")
+            order = Window.partitionBy(*keys).orderBy("delivery", "ts", "event_id")
+            chained = rows.join(known.withColumn("is_known", F.lit(True)), keys, "left").withColumns({
+                "place": F.row_number().over(order), "before": F.lag("value").over(order),
+            })
+            first = F.col("place") == 1
+            published = chained.select(
+                *rows.columns, F.when(first, F.col("known_value")).otherwise(F.col("before")).alias("old_value"),
+                (~first | F.coalesce("is_known", F.lit(False))).alias("revision_flag"),
+            )
+            runs.batch_writer(f"{out}/published")(published, batch_id)
+            newest = keyed.latest(rows, keys, [F.col("delivery"), F.col("ts"), F.col("event_id")], ["value"])
+            newest.select("user_id", "event_type", "value", "day").write.mode("overwrite").partitionBy("day").parquet(f"{current}/batch={batch_id}")
+        finally:
+            rows.unpersist()
+
+    runs.drain_batches(runs.event_stream(spark, path, files_per_batch, "delivery bigint"), f"{out}/checkpoint", handle)
+
+
+def with_lateness(published: DataFrame, delay_days: int = 1) -> DataFrame:
+    """Marks what was late when delivered: older than the newest of all earlier deliveries, minus the delay.
+
+    There are few deliveries, so their maxima are carried along one window and joined back.
+    """
+    newest = published.groupBy("delivery").agg(F.max("ts").alias("newest"))
+    before = Window.orderBy("delivery").rowsBetween(Window.unboundedPreceding, -1)
+    limits = newest.select(F.col("delivery").alias("_d"), F.timestamp_add("DAY", F.lit(-delay_days), F.max("newest").over(before)).alias("_limit"))
+    return published.join(limits, F.col("delivery") == F.col("_d")).select(
+        *published.columns, F.coalesce(F.col("ts") < F.col("_limit"), F.lit(False)).alias("late"),
+        rnd(pct_change("value", "old_value"), 4).alias("revision_pct"),
+    )

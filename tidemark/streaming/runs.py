@@ -13,23 +13,35 @@ EVENT_SCHEMA = (
 )
 
 
-def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Event files as a stream; ``ts`` becomes a zoned timestamp so that it can carry a watermark."""
-    reader = spark.readStream.schema(EVENT_SCHEMA)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    stream = reader.parquet(path)
+FILES_PER_BATCH = 64
+
+
+def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None, more: str | None = None) -> DataFrame:
+    """Event files as a stream; ``ts`` becomes a zoned timestamp so that it can carry a watermark.
+
+    A batch takes ``FILES_PER_BATCH`` files unless told otherwise, so that a backlog is worked
+    off in bounded steps. ``more`` names further columns.
+    """
+    stream = (
+        spark.readStream.schema(EVENT_SCHEMA + (f", {more}" if more else ""))
+        .option("maxFilesPerTrigger", files_per_batch or FILES_PER_BATCH).parquet(path)
+    )
     return stream.withColumn("ts", stream["ts"].cast("timestamp"))
 
 
-def drain_to_files(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run the stream over what is available into a file sink in the shared folder; return the result table."""
-    out = fresh_path(spark, name)
+def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
+    """Run the stream over what is available into a file sink."""
     run = (
         stream.writeStream.outputMode(mode).format("parquet").option("path", out)
-        .option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     run.awaitTermination()
+
+
+def drain_to_files(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run the stream over what is available into a file sink in the shared folder; return the result table."""
+    out = fresh_path(spark, name)
+    drain(stream, out, f"{out}-checkpoint", mode)
     return spark.read.schema(stream.schema).parquet(out)
 
 

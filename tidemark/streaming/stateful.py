@@ -7,6 +7,7 @@ order. Micro-batch size (files or bytes per trigger) bounds what one call sorts.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark import constants as K
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+RETAINED_DAYS = 31
 
 
 def _in_order(rows: Iterator[pd.DataFrame], *columns: str) -> pd.DataFrame:
@@ -24,27 +25,48 @@ def _in_order(rows: Iterator[pd.DataFrame], *columns: str) -> pd.DataFrame:
 
 
 class RateLimiter(StatefulProcessor):
-    """Day counter and anchored minute window per identifier."""
+    """Daily counts and anchored minute windows per identifier, one small state for each day.
+
+    A hit that arrives late is judged by the counts of its own day. Days older than
+    ``RETAINED_DAYS`` before the newest one are forgotten. With ``expire`` an identifier without
+    hits for that long loses its state; this needs processing time, under which a one-shot
+    (availableNow) run doesn't end.
+    """
+
+    def __init__(self, expire: bool):
+        self.expire = expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bucket = handle.getValueState("bucket", "day date, used bigint, opened timestamp, passed bigint")
+        # One small JSON text per identifier: day -> [hits used, window opened at, hits passed in it]
+        self.state = handle.getValueState("days", "days string", RETAINED_DAYS * 86_400_000 if self.expire else None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        stored = json.loads(self.state.get()[0]) if self.state.exists() else {}
+        days = {
+            dt.date.fromisoformat(d): [used, dt.datetime.fromisoformat(opened) if opened else None, passed]
+            for d, (used, opened, passed) in stored.items()
+        }
         hits = _in_order(rows, "hit_at", "hit_id")
-        state = self.bucket.get() if self.bucket.exists() else None
-        day, used, opened, passed = state or (None, 0, None, 0)
         allowed = []
         for role, at in zip(hits["role"], hits["hit_at"]):
             daily, burst = K.RATE_LIMITS.get(role, K.RATE_LIMITS["PUBLIC"])
             at = at.to_pydatetime()
-            if day != at.date():
-                day, used = at.date(), 0
-            if opened is None or at - opened >= dt.timedelta(minutes=1):
-                opened, passed = at, 0
-            ok = used < daily and passed < burst
-            used, passed = used + ok, passed + ok
+            own = days.setdefault(at.date(), [0, None, 0])
+            # The window that is open: this day's, or one that goes on over midnight.
+            before = days.get(at.date() - dt.timedelta(days=1))
+            source = own if own[1] is not None else before if before and before[1] is not None else own
+            if source[1] is None or at - source[1] >= dt.timedelta(minutes=1):
+                own[1], own[2], source = at, 0, own
+            ok = own[0] < daily and source[2] < burst
+            own[0] += ok
+            source[2] += ok
             allowed.append(bool(ok))
-        self.bucket.update((day, int(used), opened, int(passed)))
+        oldest = max(days) - dt.timedelta(days=RETAINED_DAYS)
+        kept = {
+            d.isoformat(): (int(used), opened.isoformat() if opened else None, int(passed))
+            for d, (used, opened, passed) in days.items() if d >= oldest
+        }
+        self.state.update((json.dumps(kept),))
         yield hits[["hit_id", "identifier", "role", "hit_at"]].assign(allowed=allowed)
 
     def close(self) -> None:
@@ -94,17 +116,18 @@ class ContentChange(StatefulProcessor):
         pass
 
 
-def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, time: str = "None") -> DataFrame:
+    """Needs the RocksDB state store, which ``session.configure`` sets."""
     return df.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time
     )
 
 
-def limit_hits(hits: DataFrame) -> DataFrame:
+def limit_hits(hits: DataFrame, expire: bool = False) -> DataFrame:
     zoned = hits.withColumn("hit_at", F.col("hit_at").cast("timestamp"))
-    return _stateful(zoned, "identifier", RateLimiter(),
-                     "hit_id bigint, identifier bigint, role string, hit_at timestamp, allowed boolean")
+    return _stateful(zoned, "identifier", RateLimiter(expire),
+                     "hit_id bigint, identifier bigint, role string, hit_at timestamp, allowed boolean",
+                     "ProcessingTime" if expire else "None")
 
 
 def escalate_blocks(blocks: DataFrame) -> DataFrame:
