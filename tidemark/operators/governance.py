@@ -9,6 +9,7 @@ from tidemark import constants as K
 from tidemark.functions import scoring, text
 from tidemark.functions.numeric import lookup, plain, rnd, seconds_between
 from tidemark.operators import keyed
+from tidemark.session import materialise
 from tidemark.operators.published import visible_to
 
 
@@ -20,29 +21,35 @@ def week_start(ts: Column) -> Column:
 
 
 def scorecards(activity: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row per source and active week.
+    """One row per active source and week, from the first to the last week with any activity.
 
-    ``activity`` is read once: weekly figures come from (source, week) partial
+    A source counts as active unless ``sources`` says otherwise in is_active. A week without
+    rows has success rate 0, no quality (80 in the score), no revisions, and the source's overall
+    conflict rate. ``activity`` is read once: weekly figures come from (source, week) partial
     aggregates, all-time figures from re-aggregating those.
     """
+    c = F.col
     non_routine = F.col("severity") != "ROUTINE"
     weekly = activity.groupBy("source_code", week_start(F.col("crawled_at")).alias("week_start")).agg(
         F.count(F.lit(1)).alias("n"), F.count("raw_value").alias("n_ok"),
         F.sum("dq_score").alias("dq_sum"), F.count("dq_score").alias("dq_n"),
         F.count_if("is_revision").alias("n_revised"), F.count_if(non_routine).alias("n_conflict"),
     )
+    weekly = materialise(activity.sparkSession, weekly, "weekly-activity")
     total = weekly.groupBy(F.col("source_code").alias("_src")).agg(
         F.sum("n").alias("_n"), F.sum("n_conflict").alias("_conflict")
     )
-    c = F.col
-    dim = sources.select(c("source_code").alias("_dim"), c("has_error"))
-    joined = weekly.join(total, c("source_code") == c("_src")).join(dim, c("source_code") == c("_dim"), "left")
+    first, last = weekly.agg(F.min("week_start"), F.max("week_start")).head()
+    active = sources.filter(F.coalesce(c("is_active"), F.lit(True))) if "is_active" in sources.columns else sources
+    span = F.sequence(F.lit(first), F.lit(last), F.expr("INTERVAL 7 DAYS")) if first else F.array().cast("array<date>")
+    grid = active.select("source_code", "has_error", F.explode(span).alias("week_start"))
+    joined = grid.join(weekly, ["source_code", "week_start"], "left").join(total, c("source_code") == c("_src"), "left")
     measured = joined.select(
         "source_code", "week_start",
-        (c("n_ok") / c("n") * 100).alias("extraction_success_rate"),
+        F.coalesce(c("n_ok") / c("n") * 100, F.lit(0.0)).alias("extraction_success_rate"),
         F.try_divide(c("dq_sum"), c("dq_n")).alias("avg_quality_score"),
-        (c("n_revised") / c("_n")).alias("revision_frequency"),
-        (c("_conflict") / c("_n")).alias("conflict_rate"),
+        F.coalesce(c("n_revised") / c("_n"), F.lit(0.0)).alias("revision_frequency"),
+        F.coalesce(c("_conflict") / c("_n"), F.lit(0.0)).alias("conflict_rate"),
         F.when(c("has_error"), F.lit(90.0)).otherwise(F.lit(95.0)).alias("availability_uptime"),
     )
     score = (

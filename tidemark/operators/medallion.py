@@ -129,14 +129,14 @@ def review_items(silver: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def apply_decisions(queue: DataFrame, decisions: DataFrame) -> DataFrame:
+def apply_decisions(queue: DataFrame, decisions: DataFrame, key: str = "queue_id") -> DataFrame:
     """Analyst decisions on pending items: ADJUSTED (new value), APPROVED or REJECTED.
 
-    ``decisions``: queue_id, action (approve / reject), adjusted_value, reviewer. Items not
-    pending, or without a decision, are unchanged.
+    ``decisions``: the queue's ``key``, action (approve / reject), adjusted_value, reviewer. Items
+    not pending, or without a decision, are unchanged.
     """
     d = decisions.select(
-        F.col("queue_id").alias("_qid"), "action", "adjusted_value", F.col("reviewer").alias("reviewed_by")
+        F.col(key).alias("_qid"), "action", "adjusted_value", F.col("reviewer").alias("reviewed_by")
     )
     open_item = (F.col("status") == "PENDING") & F.col("_qid").isNotNull()
     approve = open_item & (F.col("action") == "approve")
@@ -148,7 +148,7 @@ def apply_decisions(queue: DataFrame, decisions: DataFrame) -> DataFrame:
     )
     final = F.when(approve, F.coalesce(F.col("adjusted_value"), F.col("value"))).otherwise(F.col("value"))
     keep = [c for c in queue.columns if c not in ("status", "value")]
-    return queue.join(d, F.col("queue_id") == F.col("_qid"), "left").select(
+    return queue.join(d, F.col(key) == F.col("_qid"), "left").select(
         *keep, status.alias("status"), final.alias("value"),
         F.when(open_item, F.col("reviewed_by")).alias("reviewed_by"),
     )
@@ -158,6 +158,20 @@ def approved_for_gold(queue: DataFrame) -> DataFrame:
     return queue.filter(F.col("status").isin("APPROVED", "ADJUSTED"))
 
 
+def promoted_and_approved(silver: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """What reaches Gold: rows promoted on their own and rows that an analyst approved or adjusted.
+
+    ``silver`` carries promoted_at; ``reviewed`` is the queue after ``apply_decisions``, with the
+    time of the decision in decided_at.
+    """
+    keys = ["tenant_id", "indicator_code", "country_code", "period", "source_code", "value", "is_forecast"]
+    auto = silver.filter(F.col("dq_status") == "AUTO_PROMOTED").select("record_id", *keys, "promoted_at", F.lit("auto").alias("approved_by"))
+    approved = approved_for_gold(reviewed).select(
+        F.col("bronze_id").alias("record_id"), *keys, F.col("decided_at").alias("promoted_at"), F.col("reviewed_by").alias("approved_by")
+    )
+    return auto.unionByName(approved)
+
+
 def review_stats(queue: DataFrame, as_of: Column) -> DataFrame:
     status = F.col("status")
     return queue.agg(

@@ -179,6 +179,20 @@ def retention_audit(split: DataFrame, table_name: str, cutoff: Column) -> DataFr
     )
 
 
+def archive_and_keep(split: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Writes rows marked by ``retention_split`` into an archive and a keep folder; returns both, read back."""
+    split.write.mode("errorifexists").partitionBy("archive").parquet(path)
+    whole = split.sparkSession.read.schema(split.schema).parquet(path)
+    return whole.filter("archive").drop("archive"), whole.filter("NOT archive").drop("archive")
+
+
+def chat_audit(sessions: DataFrame, messages: DataFrame, cutoff: Column) -> DataFrame:
+    """Audit row for chats: sessions last active before the cutoff go, with their messages."""
+    marked = sessions.select("session_id", (F.col("last_active") < cutoff).alias("archive"))
+    rows = marked.select("archive").unionByName(messages.join(marked, "session_id").select("archive"))
+    return retention_audit(rows, "chat_sessions+chat_messages", cutoff)
+
+
 def expired_sessions(sessions: DataFrame, cutoff: Column) -> DataFrame:
     return sessions.filter(F.col("last_active") < cutoff)
 
@@ -188,10 +202,18 @@ def without_sessions(messages: DataFrame, gone: DataFrame) -> DataFrame:
     return messages.join(gone.select(F.col("session_id").alias("_sid")), F.col("session_id") == F.col("_sid"), "left_anti")
 
 
-def erase_user(messages: DataFrame, sessions: DataFrame, users: DataFrame) -> DataFrame:
-    """Messages left after every session of the given users is erased."""
+def erase_user(messages: DataFrame, sessions: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages and sessions left after every session of the given users is erased."""
     gone = sessions.join(users.select(F.col("user_id").alias("_u")), F.col("user_id") == F.col("_u"), "left_semi")
-    return without_sessions(messages, gone)
+    return without_sessions(messages, gone), without_sessions(sessions, gone)
+
+
+def erasure_audit(users: DataFrame, at: Column) -> DataFrame:
+    """One audit row per erased user; counts aren't recorded for erasures."""
+    return users.select(
+        "user_id", F.lit("chat_sessions+chat_messages (user erasure)").alias("table_name"), F.lit(-1).cast("bigint").alias("records_deleted"),
+        at.alias("date_range_end"), F.lit("GDPR Article 17 - Right to Erasure").alias("compliance_context"),
+    )
 
 
 # --- Consent ----------------------------------------------------------------

@@ -23,11 +23,13 @@ _CARDS = f"""
   WITH w AS (SELECT source_code, CAST(date_trunc('week', crawled_at) AS DATE) AS week_start, count(*) AS n, count(raw_value) AS ok,
       CAST(sum(dq_score) AS BIGINT) AS dq, count(*) FILTER (is_revision) AS rev, count(*) FILTER (severity <> 'ROUTINE') AS con FROM v_supply GROUP BY ALL),
   t AS (SELECT source_code, CAST(sum(n) AS BIGINT) AS tn, CAST(sum(con) AS BIGINT) AS tc FROM w GROUP BY ALL),
-  m AS (SELECT w.source_code, week_start, ok / n * 100 AS a, dq / n AS b, rev / tn AS c, tc / tn AS d, CASE WHEN has_error THEN 90e0 ELSE 95e0 END AS u
-    FROM w JOIN t USING (source_code) LEFT JOIN v_supply_sources s ON w.source_code = s.source_code),
+  g AS (SELECT source_code, has_error, CAST(unnest(generate_series(CAST((SELECT min(week_start) FROM w) AS TIMESTAMP), CAST((SELECT max(week_start) FROM w) AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS week_start
+    FROM v_supply_sources WHERE is_active),
+  m AS (SELECT g.source_code, g.week_start, coalesce(ok / n * 100, 0) AS a, dq / n AS b, coalesce(rev / tn, 0) AS c, coalesce(tc / tn, 0) AS d, CASE WHEN has_error THEN 90e0 ELSE 95e0 END AS u
+    FROM g LEFT JOIN w ON g.source_code = w.source_code AND g.week_start = w.week_start LEFT JOIN t ON g.source_code = t.source_code),
   cards AS (SELECT source_code, week_start, {V.rnd('a', 4)} AS extraction_success_rate, {V.rnd('b', 4)} AS avg_quality_score, {V.rnd('c', 6)} AS revision_frequency,
     {V.rnd('d', 6)} AS conflict_rate, u AS availability_uptime,
-    {V.rnd('(a / 100 * 0.3::DOUBLE + b / 100 * 0.3::DOUBLE + (1 - c) * 0.2::DOUBLE + (1 - d) * 0.1::DOUBLE + u / 100 * 0.1::DOUBLE) * 100', 4)} AS source_reputation_score FROM m)"""
+    {V.rnd('(a / 100 * 0.3::DOUBLE + coalesce(b, 80) / 100 * 0.3::DOUBLE + (1 - c) * 0.2::DOUBLE + (1 - d) * 0.1::DOUBLE + u / 100 * 0.1::DOUBLE) * 100', 4)} AS source_reputation_score FROM m)"""
 
 
 def _cards(spark, folder):
@@ -52,7 +54,7 @@ def scorecards_latest(spark, folder):
 
 
 @query("sources_by_reputation", uses=["supply_sources"], sql="""
-  SELECT source_code, reputation, has_error FROM v_supply_sources ORDER BY reputation DESC, source_code""")
+  SELECT source_code, reputation, has_error, is_active FROM v_supply_sources ORDER BY reputation DESC, source_code""")
 def sources_by_reputation(spark, folder):
     return views.supply_sources(spark, folder).orderBy(F.col("reputation").desc(), "source_code")
 

@@ -12,7 +12,7 @@ from tidemark.functions.numeric import plain, rnd
 from tidemark.operators import medallion as M
 from tidemark.plans import sqlviews as V
 from tidemark.plans.catalog import query
-from tidemark.session import fresh_path
+from tidemark.session import fresh_path, materialise
 from tidemark.sources import sinks, views
 from tidemark.sources.tables import source_dim
 
@@ -122,23 +122,32 @@ def review_queue_items(spark, folder):
     )
 
 
-def _queue(spark, folder):
+def silver_once(spark, folder):
+    """Silver as a table: scored once, read wherever it is needed."""
+    return materialise(spark, silver(spark, folder), "silver")
+
+
+def _queue(scored):
     """Review queue as it stood: due from the crawl time on."""
-    items = M.review_items(silver(spark, folder).withColumn("_at", F.col("crawled_at")), F.col("_at"))
-    return items
+    return M.review_items(scored.withColumn("_at", F.col("crawled_at")), F.col("_at"))
 
 
-def _decisions(spark, folder):
+def _decisions(scored):
     """One analyst decision per queued record, from the events the records came from."""
-    kind = F.col("bronze_id") % 4
-    return _queue(spark, folder).filter(kind != 3).select(
-        "queue_id",
+    kind = F.col("record_id") % 4
+    return scored.filter((F.col("dq_status") == "REVIEW") & (kind != 3)).select(
+        F.col("record_id").alias("bronze_id"),
         F.when(kind == 2, "reject").otherwise("approve").alias("action"),
-        F.when(kind == 1, (F.col("bronze_id") % 1000) / F.lit(10.0)).alias("adjusted_value"),
-        F.concat(F.lit("analyst"), (F.col("bronze_id") % 3).cast("string")).alias("reviewer"),
+        F.when(kind == 1, (F.col("record_id") % 1000) / F.lit(10.0)).alias("adjusted_value"),
+        F.concat(F.lit("analyst"), (F.col("record_id") % 3).cast("string")).alias("reviewer"),
     )
 
 
+def reviewed(scored):
+    """The queue after all decisions."""
+    return M.apply_decisions(_queue(scored), _decisions(scored), "bronze_id")
+
+
 _APPLIED = f"""
   WITH qd AS (SELECT *, record_id % 4 AS kind, crawled_at + INTERVAL 4 HOUR AS due FROM v_silver WHERE dq_status = 'REVIEW'),
   done AS (SELECT *, CASE kind WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'ADJUSTED' WHEN 2 THEN 'REJECTED' ELSE 'PENDING' END AS status,
@@ -150,8 +159,7 @@ _APPLIED = f"""
     CASE WHEN kind <> 3 THEN 'analyst' || CAST(record_id % 3 AS VARCHAR) END AS reviewed_by,
     status IN ('APPROVED', 'ADJUSTED') AS to_gold FROM done""")
 def review_decisions(spark, folder):
-    done = M.apply_decisions(_queue(spark, folder), _decisions(spark, folder))
-    return done.select(
+    return reviewed(silver_once(spark, folder)).select(
         "bronze_id", "status", rnd("value", 6).alias("value"), "reviewed_by",
         F.col("status").isin("APPROVED", "ADJUSTED").alias("to_gold"),
     )
@@ -161,14 +169,30 @@ def review_decisions(spark, folder):
   SELECT count(*) FILTER (status = 'PENDING') AS pending, count(*) FILTER (status IN ('APPROVED', 'ADJUSTED')) AS approved,
     count(*) FILTER (status = 'REJECTED') AS rejected, count(*) FILTER (status = 'PENDING' AND due < {V.E}) AS sla_breached FROM done""")
 def review_stats(spark, folder):
-    return M.review_stats(M.apply_decisions(_queue(spark, folder), _decisions(spark, folder)), AS_OF())
+    return M.review_stats(reviewed(silver_once(spark, folder)), AS_OF())
+
+
+@query("review_promotion", uses=["silver"], sql=_APPLIED + f""",
+  p AS (SELECT record_id, tenant_id, indicator_code, country_code, period, source_code, value, is_forecast, crawled_at, 'auto' AS approved_by FROM v_silver WHERE dq_status = 'AUTO_PROMOTED'
+    UNION ALL SELECT record_id, tenant_id, indicator_code, country_code, period, source_code, final, is_forecast, due, 'analyst' || CAST(record_id % 3 AS VARCHAR)
+    FROM done WHERE status IN ('APPROVED', 'ADJUSTED')),{_SEEN}
+  SELECT record_id, tenant_id, indicator_code, country_code, period, approved_by, {V.rnd('value', 6)} AS value, n_seen > 0 AS revision_flag,
+    {V.rnd('value - prev', 6)} AS revision_delta FROM p JOIN seen USING (record_id)""")
+def review_promotion(spark, folder):
+    """Approved and adjusted reviews join the promoted rows in Gold, at the time of the decision."""
+    scored = silver_once(spark, folder).withColumn("promoted_at", F.col("crawled_at"))
+    done = reviewed(scored).withColumn("decided_at", F.col("sla_deadline"))
+    return M.flag_revisions(M.promoted_and_approved(scored, done)).select(
+        "record_id", "tenant_id", "indicator_code", "country_code", "period", "approved_by",
+        rnd("value", 6).alias("value"), "revision_flag", rnd("revision_delta", 6).alias("revision_delta"),
+    )
 
 
 @query("review_queue_page", uses=["silver"], sql=f"""
   SELECT record_id AS bronze_id, dq_score, crawled_at + INTERVAL 4 HOUR AS sla_deadline, crawled_at + INTERVAL 4 HOUR < {V.E} AS sla_breached
   FROM v_silver WHERE dq_status = 'REVIEW' AND tenant_id = 1 ORDER BY 3, 1 LIMIT 50""")
 def review_queue_page(spark, folder):
-    return M.review_page(_queue(spark, folder), AS_OF(), tenant=1).select(
+    return M.review_page(_queue(silver(spark, folder)), AS_OF(), tenant=1).select(
         "bronze_id", "dq_score", "sla_deadline", "sla_breached"
     )
 

@@ -10,7 +10,7 @@ from tidemark.functions.numeric import rnd
 from tidemark.operators import provenance as PV
 from tidemark.plans import sqlviews as V
 from tidemark.plans.catalog import query
-from tidemark.plans.medallion import _decisions, _queue, silver
+from tidemark.plans.medallion import reviewed, silver, silver_once
 from tidemark.operators import medallion as M
 from tidemark.sources import views
 from tidemark.sources.tables import table
@@ -32,12 +32,12 @@ def quality_breakdown(spark, folder):
 
 
 def _lineage(spark, folder):
-    reviews = M.apply_decisions(_queue(spark, folder), _decisions(spark, folder))
+    scored = silver_once(spark, folder)
     edges = table(spark, folder, "events").select(
         (F.col("event_id") * 2).alias("edge_id"), F.col("event_id").alias("source_record_id"),
         F.floor(F.col("event_id") / 2).alias("target_record_id"),
     )
-    return PV.lineage(views.gold(spark, folder), silver(spark, folder), reviews, edges)
+    return PV.lineage(views.gold(spark, folder), scored, reviewed(scored), edges)
 
 
 _EDGE = "ed AS (SELECT node, count(*) AS n FROM (SELECT event_id // 2 AS node FROM events UNION ALL SELECT event_id FROM events WHERE event_id <> event_id // 2) GROUP BY ALL)"

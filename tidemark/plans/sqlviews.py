@@ -163,7 +163,7 @@ view("supply", [], f"""
     {pick('l_linenumber % 4', ['groq', 'gemini', 'openrouter', 'cerebras'])} AS provider,
     CAST(l_quantity AS BIGINT) * 100 AS tokens FROM lineitem""")
 view("supply_sources", [], """
-  SELECT s_suppkey AS source_code, s_acctbal AS reputation, s_suppkey % 5 = 0 AS has_error FROM supplier""")
+  SELECT s_suppkey AS source_code, s_acctbal AS reputation, s_suppkey % 5 = 0 AS has_error, s_suppkey % 7 <> 0 AS is_active FROM supplier""")
 
 view("messages", [], """
   SELECT conv_id AS session_id, turn, role, text, conv_id % 60 AS user_id,

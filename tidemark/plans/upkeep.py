@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
@@ -14,6 +15,7 @@ from tidemark.operators import upkeep as U
 from tidemark.plans import sqlviews as V
 from tidemark.plans.catalog import query
 from tidemark.plans.medallion import silver
+from tidemark.session import fresh_path
 from tidemark.sources import views
 from tidemark.sources.tables import source_dim, table
 
@@ -142,19 +144,45 @@ def retention_split(spark, folder):
     return U.retention_split(views.bronze(spark, folder), cutoff, ["crawled_at"]).select("record_id", "archive")
 
 
-@query("retention_audit", uses=["gold"], sql=f"""
+@query("retention_archive", uses=["bronze"], sql=f"""
+  SELECT CASE WHEN crawled_at < {V.E} - INTERVAL 15 DAY THEN 'archive' ELSE 'keep' END AS part, source_code, count(*) AS n, min(record_id) AS first_id, max(record_id) AS last_id
+  FROM v_bronze GROUP BY ALL""")
+def retention_archive(spark, folder):
+    """Raw rows written to an archive and a keep table, both read back."""
+    cutoff = F.timestamp_add("DAY", F.lit(-15), AS_OF())
+    split = U.retention_split(views.bronze(spark, folder), cutoff, ["crawled_at"])
+    out = []
+    for part, rows in zip(("archive", "keep"), U.archive_and_keep(split, fresh_path(spark, "retention"))):
+        out.append(rows.groupBy(F.lit(part).alias("part"), "source_code").agg(
+            F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id")))
+    return out[0].unionByName(out[1])
+
+
+@query("retention_audit", uses=["gold", "sessions"], sql=f"""
   SELECT 'bronze_records' AS table_name, count(*) FILTER (crawled_at < {V.O} - INTERVAL 730 DAY) AS records_deleted,
     count(*) FILTER (crawled_at >= {V.O} - INTERVAL 730 DAY) AS records_kept, {V.O} - INTERVAL 730 DAY AS date_range_end FROM v_gold
-  UNION ALL SELECT 'silver_records', count(*) FILTER (promoted_at < {V.O} - INTERVAL 1095 DAY), count(*) FILTER (promoted_at >= {V.O} - INTERVAL 1095 DAY), {V.O} - INTERVAL 1095 DAY FROM v_gold""")
+  UNION ALL SELECT 'silver_records', count(*) FILTER (promoted_at < {V.O} - INTERVAL 1095 DAY), count(*) FILTER (promoted_at >= {V.O} - INTERVAL 1095 DAY), {V.O} - INTERVAL 1095 DAY FROM v_gold
+  UNION ALL SELECT 'chat_sessions+chat_messages', count(*) FILTER (session_id % 180 > 90), count(*) FILTER (session_id % 180 <= 90), {V.O} - INTERVAL 90 DAY
+    FROM (SELECT session_id FROM v_sessions UNION ALL SELECT session_id FROM v_messages)
+  UNION ALL SELECT 'privacy_audit_log', count(*) FILTER (doc_id % 800 > 365), count(*) FILTER (doc_id % 800 <= 365), {V.O} - INTERVAL 365 DAY FROM documents""")
 def retention_audit(spark, folder):
-    """Deletion counts per policy: raw rows by crawl or load time, scored rows by processing time."""
+    """Deletion counts of all four policies: raw rows by crawl or load time, scored rows by processing
+    time, chats by last activity, privacy log entries by redaction time."""
+    def cutoff(policy):
+        return F.timestamp_add("DAY", F.lit(-K.RETENTION_DAYS[policy]), AS_OF_O())
+
+    def days_before(n):
+        return F.timestamp_add("DAY", (-n).cast("int"), AS_OF_O())
+
     g = views.gold(spark, folder)
-    parts = []
-    for name, days, stamps in (("bronze_records", K.RETENTION_DAYS["bronze"], ["crawled_at", "promoted_at"]),
-                               ("silver_records", K.RETENTION_DAYS["silver"], ["promoted_at"])):
-        cutoff = F.timestamp_add("DAY", F.lit(-days), AS_OF_O())
-        parts.append(U.retention_audit(U.retention_split(g, cutoff, stamps), name, cutoff))
-    return parts[0].unionByName(parts[1])
+    out = []
+    for name, policy, stamps in (("bronze_records", "bronze", ["crawled_at", "promoted_at"]), ("silver_records", "silver", ["promoted_at"])):
+        out.append(U.retention_audit(U.retention_split(g, cutoff(policy), stamps), name, cutoff(policy)))
+    sessions = views.sessions(spark, folder).withColumn("last_active", days_before(F.col("session_id") % 180))
+    out.append(U.chat_audit(sessions, views.messages(spark, folder).select("session_id"), cutoff("chat")))
+    log = table(spark, folder, "documents").select(days_before(F.col("doc_id") % 800).alias("redacted_at"))
+    out.append(U.retention_audit(U.retention_split(log, cutoff("privacy_log"), ["redacted_at"]), "privacy_audit_log", cutoff("privacy_log")))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("chat_retention", uses=["sessions"], sql="""
@@ -165,13 +193,33 @@ def chat_retention(spark, folder):
     return U.without_sessions(views.messages(spark, folder), gone).select("session_id", "turn")
 
 
-@query("erasure", uses=["sessions"], sql="""
-  SELECT session_id, turn FROM v_messages WHERE session_id NOT IN (SELECT session_id FROM v_sessions
-    WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3))""")
-def erasure(spark, folder):
+_FORGOTTEN = "SELECT c_custkey FROM customer WHERE c_nationkey = 3"
+
+
+def _forgotten(spark, folder):
     """All users of one nation asked to be forgotten."""
-    users = table(spark, folder, "customer").filter(F.col("c_nationkey") == 3).select(F.col("c_custkey").alias("user_id"))
-    return U.erase_user(views.messages(spark, folder), views.sessions(spark, folder), users).select("session_id", "turn")
+    return table(spark, folder, "customer").filter(F.col("c_nationkey") == 3).select(F.col("c_custkey").alias("user_id"))
+
+
+@query("erasure", uses=["sessions"], sql=f"""
+  SELECT session_id, turn FROM v_messages WHERE session_id NOT IN (SELECT session_id FROM v_sessions WHERE user_id IN ({_FORGOTTEN}))""")
+def erasure(spark, folder):
+    left, _ = U.erase_user(views.messages(spark, folder), views.sessions(spark, folder), _forgotten(spark, folder))
+    return left.select("session_id", "turn")
+
+
+@query("erasure_sessions", uses=["sessions"], sql=f"""
+  SELECT session_id, user_id FROM v_sessions WHERE user_id NOT IN ({_FORGOTTEN})""")
+def erasure_sessions(spark, folder):
+    _, left = U.erase_user(views.messages(spark, folder), views.sessions(spark, folder), _forgotten(spark, folder))
+    return left.select("session_id", "user_id")
+
+
+@query("erasure_audit", sql=f"""
+  SELECT c_custkey AS user_id, 'chat_sessions+chat_messages (user erasure)' AS table_name, CAST(-1 AS BIGINT) AS records_deleted, {V.E} AS date_range_end,
+    'GDPR Article 17 - Right to Erasure' AS compliance_context FROM customer WHERE c_nationkey = 3""")
+def erasure_audit(spark, folder):
+    return U.erasure_audit(_forgotten(spark, folder), AS_OF())
 
 
 @query("consent_state", uses=["consent_events"], sql="""

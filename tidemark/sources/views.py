@@ -203,6 +203,7 @@ def supply_sources(spark: SparkSession, folder: str) -> DataFrame:
         F.col("s_suppkey").alias("source_code"),
         F.col("s_acctbal").alias("reputation"),
         (F.col("s_suppkey") % 5 == 0).alias("has_error"),
+        (F.col("s_suppkey") % 7 != 0).alias("is_active"),
     )
 
 
