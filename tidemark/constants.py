@@ -297,25 +297,12 @@ TREND_GAP_YEARS = 5
 ANSWER_REL_TOL = 0.02
 ANSWER_ABS_TOL = 0.1
 
-# --- Source code tables: indicator -> code used by the source ---
-WORLD_BANK_CODES = {
-    "GDP_CURRENT_USD": "NY.GDP.MKTP.CD", "GDP_GROWTH": "NY.GDP.MKTP.KD.ZG",
-    "CPI_INFLATION": "FP.CPI.TOTL.ZG", "UNEMPLOYMENT_RATE": "SL.UEM.TOTL.ZS",
-    "CURRENT_ACCOUNT_PCT_GDP": "BN.CAB.XOKA.GD.ZS", "GOVT_DEBT_PCT_GDP": "GC.DOD.TOTL.GD.ZS",
-    "POPULATION": "SP.POP.TOTL", "EXPORTS_PCT_GDP": "NE.EXP.GNFS.ZS",
-    "IMPORTS_PCT_GDP": "NE.IMP.GNFS.ZS", "GOVT_REVENUE_PCT_GDP": "GC.REV.XIGT.GD.ZS",
-    "GOVT_EXPENDITURE_PCT_GDP": "GC.XPN.TOTL.GD.ZS",
-}
 IMF_CODES = {
     "GDP_CURRENT_USD": "NGDPD", "GDP_GROWTH": "NGDP_RPCH", "CPI_INFLATION": "PCPIPCH",
     "UNEMPLOYMENT_RATE": "LUR", "CURRENT_ACCOUNT_PCT_GDP": "BCA_NGDPD",
     "GOVT_DEBT_PCT_GDP": "GGXWDG_NGDP", "POPULATION": "LP",
     "GOVT_REVENUE_PCT_GDP": "GGR_NGDP", "GOVT_EXPENDITURE_PCT_GDP": "GGX_NGDP",
 }
-FRED_SERIES = {
-    "GDP_CURRENT_USD": "GDP", "CPI_INFLATION": "CPIAUCSL",
-    "UNEMPLOYMENT_RATE": "UNRATE", "POPULATION": "POPTHM",
-}
 
 # --- Trust explanation wording ---
 TRUST_LABELS = {

@@ -181,6 +181,12 @@ def research_context(gold: DataFrame, news: DataFrame, codes: list[str], tenant:
     return g.unionByName(n)
 
 
+def by_sector(gold: DataFrame) -> DataFrame:
+    """Each record once for every sector that lists its indicator."""
+    pairs = [F.when(F.col("indicator_code").isin(*codes), F.lit(sector)) for sector, codes in K.SECTOR_INDICATORS.items()]
+    return gold.withColumn("sector", F.explode(F.array_compact(F.array(*pairs))))
+
+
 def summary_lines(gold: DataFrame, tenant: int | None, group: str, year_from: int | None = None,
                   limit: int = K.SUMMARY_RECORD_LIMIT) -> DataFrame:
     """Data block per group value: its newest records as sorted lines, with their ids.

@@ -167,6 +167,22 @@ def value_as_of(gold: DataFrame, log: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def values_as_of(requests: DataFrame, gold: DataFrame, log: DataFrame) -> DataFrame:
+    """Value of each request's key as it was known at the request's own ``as_of``.
+
+    ``requests``: request_id, the key, as_of. Revisions and requests of a key are put in one
+    order of time; each request takes the old value of the first revision after it, and the
+    current value if there is none.
+    """
+    marks = log.select(*KEY, F.col("revised_at").alias("at"), F.col("record_id").alias("tie"), F.struct("old_value").alias("old"), F.lit(None).cast("bigint").alias("request_id"))
+    asked = requests.select(*KEY, F.col("as_of").alias("at"), F.lit(2**62).alias("tie"), F.lit(None).cast("struct<old_value:double>").alias("old"), "request_id")
+    found = keyed.carry(marks.unionByName(asked), KEY, "at", "tie", F.col("old"), "_next", forward=False).filter(F.col("request_id").isNotNull())
+    return found.join(current_values(gold).select(*KEY, "value"), KEY, "left").select(
+        "request_id", *KEY, F.col("at").alias("as_of"), F.coalesce(F.col("_next.old_value"), F.col("value")).alias("value"),
+        F.col("_next").isNotNull().alias("was_revised"),
+    )
+
+
 # --- Validator --------------------------------------------------------------
 
 def previous_period_value(gold: DataFrame) -> DataFrame:

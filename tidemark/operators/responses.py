@@ -212,9 +212,10 @@ def last_messages(messages: DataFrame, n: int = 6) -> DataFrame:
     return keyed.top_per_key(messages, ["session_id"], [F.col("turn").desc()], n, "_r").drop("_r")
 
 
-def session_messages(messages: DataFrame, sessions: DataFrame, user: int) -> DataFrame:
-    """Messages of the sessions a user owns."""
-    own = sessions.filter(F.col("user_id") == user).select(F.col("session_id").alias("_sid"))
+def session_messages(messages: DataFrame, sessions: DataFrame, user: int, tenant: int | None) -> DataFrame:
+    """Messages of the sessions that a user owns within a tenant."""
+    mine = (F.col("user_id") == user) & F.col("tenant_id").eqNullSafe(F.lit(tenant))
+    own = sessions.filter(mine).select(F.col("session_id").alias("_sid"))
     return messages.join(own, F.col("session_id") == F.col("_sid"), "left_semi")
 
 

@@ -150,18 +150,35 @@ def research_context(spark, folder):
     )
 
 
-@query("summary_block", uses=["gold"], sql=f"""
-  WITH t AS (SELECT *, row_number() OVER (PARTITION BY country_code ORDER BY period DESC, record_id) AS rn FROM v_gold
+def _summary_sql(source: str, group: str) -> str:
+    return f"""
+  WITH t AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY period DESC, record_id) AS rn FROM {source}
       WHERE (tenant_id IS NULL OR tenant_id = 1) AND period >= '1998'),
   l AS (SELECT *, '- ' || indicator_code || ': ' || {V.plain('value')} || ' ' || standard_unit || ' (' || country_code || ', ' || period || ')' ||
       CASE WHEN is_forecast THEN ' [FORECAST]' ELSE '' END || ' [Source: ' || source_code || ']' AS line FROM t WHERE rn <= 50)
-  SELECT country_code, string_agg(line, chr(10) ORDER BY indicator_code, period, record_id) AS data_block,
+  SELECT {group}, string_agg(line, chr(10) ORDER BY indicator_code, period, record_id) AS data_block,
     string_agg(CAST(record_id AS VARCHAR), ',' ORDER BY indicator_code, period, record_id) AS record_ids, count(*) AS n_records
-  FROM l GROUP BY country_code""")
+  FROM l GROUP BY {group}"""
+
+
+_SECTORS = ", ".join(f"({V.q(s)}, {V.q(c)})" for s, codes in K.SECTOR_INDICATORS.items() for c in codes)
+
+
+@query("summary_block", uses=["gold"], sql=_summary_sql("v_gold", "country_code"))
 def summary_block(spark, folder):
     return P.summary_lines(views.gold(spark, folder), 1, "country_code", 1998)
 
 
+@query("summary_indicator", uses=["gold"], sql=_summary_sql("v_gold", "indicator_code"))
+def summary_indicator(spark, folder):
+    return P.summary_lines(views.gold(spark, folder), 1, "indicator_code", 1998)
+
+
+@query("summary_sector", uses=["gold"], sql=_summary_sql(f"(SELECT * FROM v_gold JOIN (VALUES {_SECTORS}) x(sector, ic) ON indicator_code = ic)", "sector"))
+def summary_sector(spark, folder):
+    return P.summary_lines(P.by_sector(views.gold(spark, folder)), 1, "sector", 1998)
+
+
 @query("embedding_backlog", uses=["gold"], sql=f"""
   SELECT record_id, 'Indicator: ' || indicator_code || ' | Country: ' || country_code || ' | Period: ' || period || ' | Value: ' ||
     {V.plain('value')} || ' ' || standard_unit || ' | Source: ' || source_code || CASE WHEN is_forecast THEN ' | Type: forecast/projection' ELSE '' END AS text

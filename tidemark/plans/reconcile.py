@@ -129,6 +129,20 @@ def value_as_of(spark, folder):
     return out.withColumn("value", rnd("value", 6))
 
 
+@query("values_as_of", uses=["gold"], sql=f"""
+  WITH l AS ({_CHAIN}), c AS ({_CURRENT}),
+  q AS (SELECT record_id AS request_id, indicator_code, country_code, period, crawled_at AS as_of FROM v_gold),
+  f AS (SELECT request_id, first(old_value ORDER BY revised_at, l.record_id) AS old_value, count(*) AS n FROM q JOIN l
+    ON q.indicator_code = l.indicator_code AND q.country_code = l.country_code AND q.period = l.period AND revised_at > as_of GROUP BY ALL)
+  SELECT q.request_id, q.indicator_code, q.country_code, q.period, as_of, {V.rnd('CASE WHEN n > 0 THEN old_value ELSE c.value END', 6)} AS value, coalesce(n > 0, false) AS was_revised
+  FROM q JOIN c ON q.indicator_code = c.indicator_code AND q.country_code = c.country_code AND q.period = c.period LEFT JOIN f ON q.request_id = f.request_id""")
+def values_as_of(spark, folder):
+    """What every record's key was known to be at the time the record was crawled."""
+    g = views.gold(spark, folder)
+    requests = g.select(F.col("record_id").alias("request_id"), *R.KEY, F.col("crawled_at").alias("as_of"))
+    return R.values_as_of(requests, g, R.revision_chain(g)).withColumn("value", rnd("value", 6))
+
+
 _VR = K.VALIDATOR_RANGES
 
 

@@ -203,9 +203,11 @@ def chat_last_n(spark, folder):
 
 
 @query("chat_user_messages", uses=["sessions"], sql="""
-  SELECT m.session_id, m.turn, m.role FROM v_messages m JOIN v_sessions s ON m.session_id = s.session_id WHERE s.user_id = 7""")
+  SELECT m.session_id, m.turn, m.role FROM v_messages m JOIN v_sessions s ON m.session_id = s.session_id WHERE s.user_id = 7 AND s.session_id % 3 = 1""")
 def chat_user_messages(spark, folder):
-    return R.session_messages(views.messages(spark, folder), views.sessions(spark, folder), 7).select("session_id", "turn", "role")
+    """Every third session belongs to the tenant that asks."""
+    sessions = views.sessions(spark, folder).withColumn("tenant_id", F.col("session_id") % 3)
+    return R.session_messages(views.messages(spark, folder), sessions, 7, 1).select("session_id", "turn", "role")
 
 
 @query("run_trace", uses=["messages"], sql="""
