@@ -254,7 +254,7 @@ def _send(buckets: int, splitters):
                 later = (ids[order] > ids[leader]) | (at[order] > at[leader])
                 gone, keep = order[later], order[~later]
                 if len(gone):
-                    spread = winnow.mixed(np.full(len(gone), number, np.uint64)) % np.uint64(ranges)
+                    spread = winnow.mixed(row[gone].astype(np.uint64) + (np.uint64(number) << np.uint64(20))) % np.uint64(ranges)
                     yield _routed(spread.astype(np.int32), np.full(len(gone), number), row[gone], at[gone], count[gone])
                 if len(keep):
                     limit = len(block.data) - 1
