@@ -394,3 +394,24 @@ def test_stream_limits_late_hits_by_their_own_day(spark, tmp_path):
     got = {r.hit_id: r.allowed for r in spark.read.parquet(out).collect()}
     batch = {r.hit_id: r.allowed for r in limits.decide(spark.createDataFrame(first + later, schema)).collect()}
     assert got == batch and not got[11] and got[10]
+
+
+def test_a_retrieved_zero_supports_numbers_below_the_tolerance_only(spark):
+    answers = spark.createDataFrame([(1, "It was 0.05 then."), (2, "It was 0.049 then.")], "run_id bigint, text string")
+    values = spark.createDataFrame([(1, 0.0), (2, 0.0)], "run_id bigint, value double")
+    got = {r.run_id: r.n_unmatched for r in RS.grounding(answers, values, "run_id").collect()}
+    assert got == {1: 1, 2: 0}
+
+
+def test_crawl_decision_takes_the_first_match(spark):
+    day = dt.datetime(2024, 1, 1)
+    log = [
+        (1, "s", "PROCEED", "e1", "m1", "h1"), (2, "s", "SKIP", "e1", "m9", "h9"), (3, "s", "SKIP", "e2", "m1", "h9"),
+        (4, "s", "SKIP", "e2", "m2", "h9"), (5, "s", "PROCEED", "e2", "m2", "h5"), (6, "s", "SKIP", "", None, "h6"),
+    ]
+    df = spark.createDataFrame(
+        [(i, s, a, e, m, h, day + dt.timedelta(minutes=20 * i)) for i, s, a, e, m, h in log],
+        "log_id bigint, source_code string, action string, etag string, last_modified string, content_hash string, logged_at timestamp_ntz",
+    )
+    got = {r.log_id: r.reason for r in U.crawl_decision(df).collect()}
+    assert got == {1: "change detected", 2: "etag match", 3: "last_modified match", 4: "content hash match", 5: "change detected", 6: "change detected"}

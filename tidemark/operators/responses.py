@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,7 +150,8 @@ def grounding(responses: DataFrame, values: DataFrame, key: str, column: str = "
         F.lit(None).cast("double").alias("reach"), F.lit(0).cast("bigint").alias("n")
     )
     v = F.col("value")
-    radius = F.greatest(F.lit(tolerance), F.abs(v) * tolerance)
+    # A retrieved zero supports numbers strictly below the tolerance.
+    radius = F.when(v == 0, F.lit(math.nextafter(tolerance, 0.0))).otherwise(F.greatest(F.lit(tolerance), F.abs(v) * tolerance))
     bucket = F.when(F.abs(v) <= 1, F.floor(v / tolerance)).otherwise(
         F.signum(v).cast("bigint") * (F.floor(F.log(F.abs(v)) / F.log(F.lit(1.0 + tolerance))) + 1_000_000)
     )

@@ -116,7 +116,7 @@ _GROUND = f"""
   gt AS (SELECT run_id, tok, CAST(tok AS DOUBLE) AS x FROM (SELECT run_id, unnest(regexp_extract_all(text, '{K.NUMBER_PLAIN}')) AS tok FROM gr)),
   gs AS (SELECT *, row_number() OVER () AS id FROM gt WHERE NOT (x BETWEEN 1900 AND 2100 AND NOT contains(tok, '.')) AND (abs(x) >= 0.01::DOUBLE OR contains(tok, '.'))),
   gv AS (SELECT customer_id AS run_id, value FROM v_gold),
-  gm AS (SELECT gs.run_id, id, bool_or(x >= value - greatest(0.05::DOUBLE, abs(value) * 0.05::DOUBLE) AND x <= value + greatest(0.05::DOUBLE, abs(value) * 0.05::DOUBLE)) AS ok
+  gm AS (SELECT gs.run_id, id, bool_or(CASE WHEN value = 0 THEN abs(x) < 0.05::DOUBLE ELSE x >= value - greatest(0.05::DOUBLE, abs(value) * 0.05::DOUBLE) AND x <= value + greatest(0.05::DOUBLE, abs(value) * 0.05::DOUBLE) END) AS ok
     FROM gs LEFT JOIN gv ON gs.run_id = gv.run_id GROUP BY ALL),
   gn AS (SELECT run_id, count(*) AS n, count(*) FILTER (NOT coalesce(ok, false)) AS u FROM gm GROUP BY ALL),
   gg AS (SELECT run_id, count(*) AS g FROM gv GROUP BY ALL),
