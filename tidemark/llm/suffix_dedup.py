@@ -77,8 +77,10 @@ class Block:
         a = winnow.anchors(grams, SEED_BYTES, WINDOW, row)
         row = row[a.first]
         use = np.flatnonzero(known[row])
-        use = use[np.argsort(grams[a.place[use]], kind="stable")]
-        self.hash, self.row = grams[a.place[use]], row[use]
+        # Anchors have the smallest hashes of their windows; mixed again, they spread over all buckets.
+        spread = winnow.mixed(grams[a.place] + np.uint64(1))
+        use = use[np.argsort(spread[use], kind="stable")]
+        self.hash, self.row = spread[use], row[use]
         self.place, self.first, self.count = a.place[use], a.first[use], a.count[use]
 
     def cuts(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
