@@ -1,3 +1,4 @@
+import base64
 import random
 import zlib
 from collections import Counter
@@ -52,6 +53,32 @@ def test_compression_bands(spark):
     assert 0 < compression_rules.compression(b"abc", lambda b: b)[0] == 1.0
 
 
+def test_incompressible_texts_are_rejected(spark):
+    rnd = random.Random(2)
+
+    def noise(alphabet, n_bytes):
+        out = ""
+        while len(out.encode()) < n_bytes or len(out.split()) < 60:
+            out += "".join(rnd.choices(alphabet, k=rnd.randint(2, 9))) + " "
+        return out
+
+    han, hangul = [chr(c) for c in range(0x4E00, 0x9FA6)], [chr(c) for c in range(0xAC00, 0xD7A4)]
+    printable, letters = [chr(c) for c in range(33, 127)], [chr(c) for c in range(48, 123) if chr(c).isalnum()]
+    bad = [noise(a, n) for a in (printable, letters) for n in (500, 1000, 3000, 5000, 20000)]
+    bad += [noise(hangul, n) for n in (1000, 5000, 20000)] + [noise(han, n) for n in (5000, 20000)]
+    bad += [noise("0123456789abcdef", n) for n in (5000, 20000)]
+    bad += ["\n".join(base64.b64encode(rnd.randbytes(12)).decode() for _ in range(n)) for n in (60, 300, 2000)]
+    bad += [" ".join("".join(rnd.choices(han, k=20)) for _ in range(200)), " ".join(f"{rnd.getrandbits(64):016x}" for _ in range(300))]
+    bad.append(prose(30, 700) + " " + noise(letters, 6000))  # chunks alone tell
+    good = [prose(40 + n, n) for n in (50, 60, 120, 250, 500, 1000, 3000)]
+    data = [(i, t, "a") for i, t in enumerate(bad + good)]
+    got = {r.doc_id: r for r in compression_rules.quality_rules(docs(spark, data)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i in range(len(bad)) if got[i].kept] == []
+    assert all(got[len(bad) + i].kept for i in range(len(good)))
+    assert got[len(bad) - 1].ratio > compression_rules.band(len(bad[-1]))[0] or got[len(bad) - 1].bad_chunk_percent >= 30
+
+
 # -- quality trees ---------------------------------------------------------------------------------
 
 
