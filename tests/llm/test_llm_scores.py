@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from llm_cases import CLASHES, docs, empty_docs, prose, rows, same_rows, sha, words
 
+import corpus_pipeline
 from tidemark.llm import boosted_trees, chat_trees, compression_rules, decontaminate, kn_toxicity, quality_trees
 
 
@@ -248,6 +249,28 @@ def test_decontamination_matches_all_windows(spark):
     assert decontaminate.contaminated(docs(spark), bench.limit(0)).count() == 0
 
 
+def test_text_between_question_and_answer(spark, tmp_path):
+    items = [(i, f"{prose(800 + i, 8 + i % 6)}? {prose(900 + i, 6)}.") for i in range(30)] + [(90, f"{prose(990, 14)}? --"), (91, prose(991, 15))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    data, expected = [], set()
+    for i, text in items[:30]:
+        q, a = decontaminate.question_and_answer(text)
+        for k, between in enumerate(("Answer:", "xa xb xc xd xe xf xg xh xi xj", "12")):
+            for shift in range(0, 20, 5):
+                data.append((1000 * i + 100 * k + shift, f"{prose(3000 + i, 40 + shift)}\n{q} {between} {a}\n{prose(4000 + i, 60)}", "s"))
+                expected.add((data[-1][0], i))
+        data.append((1000 * i + 900, f"{prose(5000 + i, 40)} {q} {prose(6000 + i, 60)}", "s"))  # the question alone
+    data += [(90_000, f"{prose(1, 30)} {items[30][1]} {prose(2, 30)}", "s"), (91_000, f"{prose(3, 30)} {items[31][1]} {prose(4, 30)}", "s")]
+    expected |= {(90_000, 90), (91_000, 91)}
+    frame = docs(spark, data)
+    got = decontaminate.contaminated(frame, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == expected
+    assert all(r.overlap >= 0.8 or min(r.question_overlap, r.answer_overlap) >= 0.8 for r in got)
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.drop_contaminated(spark, frame, str(tmp_path))
+    assert {r.doc_id for r in left.collect()} == {d[0] for d in data} - {d for d, _ in expected}
+
+
 def test_question_and_answer():
     split = decontaminate.question_and_answer
     assert split("What is it? A stone.") == ("What is it? ", "A stone.")

@@ -7,8 +7,9 @@ most items hold are non-essential: together they can't add more than SLACK to an
 looked up only for items that come near the threshold without them. Items are kept in blocks,
 and each word has its largest weight in each block. All passages of a slice are bounded block by
 block at once; postings are scored only for passages and blocks whose bound reaches the
-threshold. All items above the threshold are then verified by the five-word shingles of question
-and answer that the passage holds.
+threshold. All items above the threshold are then verified by the five-word shingles that the
+passage holds: of the whole item, or of its question and its answer each, so that text between the
+two doesn't hide an item.
 
 Items are held in indexes of INDEX_ITEMS at most, each of which passes over all documents once.
 """
@@ -85,6 +86,7 @@ class Index:
             words = np.array(item["words"], np.uint64)
             q = item["n_question"]
             parts = (words, words[:q], words[item["answer_from"] :])
+            parts = parts if all(map(len, parts)) else (words, words, words)
             self.parts.append([(min(SHINGLE, len(p)), shingles(p, min(SHINGLE, len(p)))) for p in parts])
             unique, counts = np.unique(words, return_counts=True)
             df = np.array([item["dfs"][w] for w in unique.tolist()], float)
@@ -165,9 +167,10 @@ class Index:
         spans = winnow.Spans(words.hashes)
         hits: dict[tuple[int, int], tuple[float, float, float, float]] = {}
         for p, item in np.argwhere(near & (score >= THRESHOLD - MARGIN)).tolist():
-            whole, q, a = self._verify(spans, int(begin[p]), int(end[p]), item)
+            near_by = max(int(begin[p]) - step, int(words.first[text[p]])), min(int(end[p]) + step, int(words.first[text[p] + 1]))
+            whole, q, a = self._verify(spans, [(int(begin[p]), int(end[p])), near_by, near_by], item)
             key, value = (int(text[p]), item), float(score[p, item])
-            if whole >= OVERLAP and (whole, value) > hits.get(key, (0.0, 0.0))[:2]:
+            if (whole >= OVERLAP or min(q, a) >= OVERLAP) and (whole, value) > hits.get(key, (-1.0, 0.0))[:2]:
                 hits[key] = (whole, value, q, a)
         return [(t, i, score, whole, q, a) for (t, i), (whole, score, q, a) in sorted(hits.items())]
 
@@ -183,10 +186,10 @@ class Index:
             posting, row, column = posting[keep], row[keep], column[keep]
         return np.bincount(row * columns + column, weight[posting], rows * columns).reshape(rows, columns)
 
-    def _verify(self, spans: winnow.Spans, begin: int, end: int, item: int) -> tuple[float, float, float]:
-        """Shares of the shingles of item, question and answer that the passage holds."""
+    def _verify(self, spans: winnow.Spans, ranges: list[tuple[int, int]], item: int) -> tuple[float, float, float]:
+        """Shares of the shingles of item, question and answer that these ranges of words hold."""
         out = []
-        for size, wanted in self.parts[item]:
+        for (begin, end), (size, wanted) in zip(ranges, self.parts[item]):
             starts = np.arange(begin, end - size + 1)
             held = np.unique(spans.hash(starts, starts + size)) if len(starts) else np.zeros(0, np.uint64)
             out.append(len(np.intersect1d(held, wanted, assume_unique=True)) / len(wanted))
@@ -263,8 +266,9 @@ def contaminated(docs: DataFrame, items: DataFrame, index_items: int = INDEX_ITE
 
     An item is found where one passage (twice as many words as the longest item has, starting
     every half passage) scores at least THRESHOLD of the item's own BM25 score and holds at least
-    OVERLAP of its distinct five-word shingles; an item of fewer words counts as one shingle. Per
-    row and item the passage with the largest overlap is reported. Null texts and items without
+    OVERLAP of its distinct five-word shingles, or OVERLAP of those of its question and of its
+    answer alike in the passage and half a passage on either side (see ``question_and_answer``; an item
+    without a split is both). Parts of fewer words count as one shingle. Per row and item the passage with the largest overlap is reported. Null texts and items without
     words match nothing; null ids are kept; repeated rows are reported as often as they occur and
     repeated items each on their own. Other columns are ignored; empty tables give an empty result.
     """
