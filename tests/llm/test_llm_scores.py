@@ -193,6 +193,55 @@ def test_class_chances_sum_to_one(spark):
     assert contexts.count() > 0
 
 
+def test_toxicity_keeps_every_gram(spark):
+    rnd = random.Random(9)
+    data, marks = [], []
+    for i in range(400):
+        toxic = rnd.random() < 0.3
+        w = prose(7000 + i, rnd.randint(20, 60)).split(" ")
+        if toxic:
+            w[rnd.randrange(len(w))] = "vex" + "".join(rnd.choices("aeiouklm", k=6))  # each of them once
+        data.append((i, " ".join(w), "s"))
+        marks.append((i, 1, int(toxic)))
+    frame, judged = docs(spark, data), labels(spark, marks)
+    sent, joined = (
+        {r.doc_id: r.score for r in kn_toxicity.toxicity_scores(frame, judged, top_words=n).collect()} for n in (1 << 16, 3)
+    )
+    assert sent.keys() == joined.keys() and all(abs(sent[k] - joined[k]) < 1e-9 for k in sent)
+    for n in (1 << 16, 3):
+        kept = {r.doc_id for r in kn_toxicity.without_toxic(frame, judged, top_words=n).collect()}
+        assert kept == {k for k, v in sent.items() if v < 0.5}
+    # Words are valued as by a walk over the whole tables.
+    cut = [kn_toxicity.words_of(t) for _, t, _ in data]
+    words = sorted({w for ws in cut for w in ws})
+    counts = {w: [0, 0] for w in words}
+    for ws, (_, _, toxic) in zip(cut, marks):
+        for w in ws:
+            counts[w][toxic] += 1
+    grams = {}
+    for w in words:
+        for k in kn_toxicity.keys_of([w])[0].tolist():
+            g = grams.setdefault(k, [0, 0])
+            g[0] += counts[w][0]
+            g[1] += counts[w][1]
+    counted = spark.createDataFrame([(k, *v) for k, v in grams.items()], "gram bigint, ordinary bigint, toxic bigint")
+    seen, contexts = kn_toxicity.ratios(spark, counted)
+    own, weight = ({r.key: r.value for r in t.collect()} for t in (seen, contexts))
+    frame = spark.createDataFrame([(w, 1) for w in words], "word string, n bigint")
+    got = {r.word: r.value for r in kn_toxicity.word_values(frame, kn_toxicity.gram_values(counted, seen, contexts)).collect()}
+    for w in words:
+        total = 0.0
+        for key in kn_toxicity.keys_of([w])[0].tolist():
+            for k in range(5, 2, -1):
+                if key >> (12 * (k - 1)) > 0:
+                    gram = key & ((1 << (12 * k)) - 1)
+                    if kn_toxicity.tagged(gram, k) in own:
+                        total += own[kn_toxicity.tagged(gram, k)]
+                        break
+                    total += weight.get(kn_toxicity.tagged(gram >> 12, k), 0.0)
+        assert abs(got[w] - np.log1p(kn_toxicity.TOXIC_SHARE * (np.exp(np.clip(total, -30, 30)) - 1))) < 1e-9
+
+
 # -- decontamination -------------------------------------------------------------------------------
 
 

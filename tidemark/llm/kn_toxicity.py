@@ -5,7 +5,9 @@ They discount their own counts from order five down to order three, by Kneser-Ne
 continuation counts, and both end in one shared model of order two, whose continuation counts
 come from the words of all documents. For what neither class has seen the shared part cancels,
 so a score needs two tables only: the log-ratios of seen grams, and the log-ratios of the
-backoff weights of seen contexts. Toxic documents mostly
+backoff weights of seen contexts. Both stay whole, as Parquet: every distinct gram, and from
+these every distinct word, is valued once by joins. The values of the most frequent words reach
+the tasks that read documents; all other words are joined. Toxic documents mostly
 consist of ordinary words, so a document is compared with its ordinary reading word by word:
 the toxic likelihood of a word mixes the ordinary one with TOXIC_SHARE of the toxic model's.
 The sum of the log-ratios over the number of words is the document's value; a logistic curve
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm.common import hash_sample, heaviest, held_out, materialise, read, single_labels, slices, texts_of
 
@@ -32,8 +35,9 @@ DISCOUNT = 0.75
 ALPHABET = 256
 TOXIC_SHARE = 0.02  # weight of the toxic model in the likelihood of a toxic document's word
 LABEL_ROWS = 200_000  # labelled rows that class counts and calibration are learned from, at most
-MODEL_ENTRIES = 1 << 20  # five-grams, and contexts, that a model holds at most
-HELD_WORDS = 100_000  # distinct words that a task or process keeps at a time
+TOP_WORDS = 1 << 16  # frequent words whose values are sent to the tasks; the others are joined
+HELD_WORDS = 100_000  # distinct words that a task keeps at a time
+WORD_SLICE_BYTES = 200_000  # words cut into grams at a time
 CUTOFF = 0.5
 LOWEST = -0.99  # of a mean log-ratio in units of TOXIC_SHARE, before its logarithm is taken
 WORD = re.compile(r"[^\W\d_]+")
@@ -70,13 +74,9 @@ def keys_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _count(sample):
-    def grams(counts: dict[str, list[int]]) -> pa.RecordBatch:
-        words = list(counts)
-        key, word, _ = keys_of(words)
-        n = np.array([counts[w] for w in words], np.int64).reshape(-1, 2)[word]
-        unique, where = np.unique(key, return_inverse=True)
-        sums = [np.bincount(where, n[:, c], len(unique)).astype(np.int64) for c in (0, 1)]
-        return pa.record_batch([pa.array(unique), pa.array(sums[0]), pa.array(sums[1])], names=["gram", "ordinary", "toxic"])
+    def rows(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        columns = [pa.array(list(c), pa.int64()) for c in zip(*counts.values())]
+        return pa.record_batch([pa.array(list(counts), pa.string()), *columns], names=["word", "n", "ordinary", "toxic"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         role = sample.value
@@ -87,18 +87,37 @@ def _count(sample):
                 for w, n in Counter(words_of(text)).items():
                     c = counts.get(w)
                     if c is None:
-                        c = counts[w] = [0, 0]
+                        c = counts[w] = [0, 0, 0]
+                    c[0] += n
                     if label == 0 or label == 1:
-                        c[label] += n
+                        c[1 + label] += n
             if len(counts) >= HELD_WORDS:
-                yield grams(counts)
+                yield rows(counts)
                 counts = {}
         if counts:
-            yield grams(counts)
+            yield rows(counts)
 
     return run
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by gram of words with counts."""
+    for batch in slices(batches, "word", WORD_SLICE_BYTES):
+        key, word, _ = keys_of(batch.column("word").to_pylist())
+        unique, where = np.unique(key, return_inverse=True)
+        sums = [
+            pa.array(np.bincount(where, batch.column(c).to_numpy()[word], len(unique)).astype(np.int64)) for c in ("ordinary", "toxic")
+        ]
+        yield pa.record_batch([pa.array(unique), *sums], names=["gram", "ordinary", "toxic"])
+
+
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each character of each word."""
+    for batch in slices(batches, "word", WORD_SLICE_BYTES):
+        key, word, _ = keys_of(batch.column("word").to_pylist())
+        yield pa.record_batch([batch.column("word").take(pa.array(word)), pa.array(key)], names=["word", "gram"])
+
+
 def _low(chars: int) -> int:
     return (1 << (BITS * chars)) - 1
 
@@ -174,61 +193,87 @@ def tagged(key, level: int):
     return key + (level << (BITS * ORDER))
 
 
-def _bounded(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and values of the MODEL_ENTRIES rows that weigh most (count times log-ratio)."""
-    weighed = table.select("key", "value", (F.abs("value") * F.col("n")).alias("weight"))
-    rows = heaviest(weighed, "weight", MODEL_ENTRIES).select("key", "value").toPandas().sort_values("key")
-    return rows["key"].to_numpy(np.int64), rows["value"].to_numpy(np.float64)
-
-
-class Scorer:
-    """Sums of log-ratios by word; words are remembered up to a bound."""
-
-    def __init__(self, model: dict):
-        self.model, self.known = model, {}
-
-    def _look(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        table, values = self.model[name]
-        if not len(table):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return table[at] == keys, values[at]
-
-    def values(self, texts: list[str]) -> list[tuple[float, int]]:
-        """(sum of log-ratios, words) of each text."""
-        cut = [words_of(t) for t in texts]
-        if len(self.known) > HELD_WORDS:
-            self.known = {}
-        new = list({w for words in cut for w in words} - self.known.keys())
-        if new:
-            key, word, _ = keys_of(new)
-            total, open_ = np.zeros(len(key)), np.ones(len(key), bool)
-            for level in range(ORDER, 2, -1):
-                at = np.flatnonzero(open_ & (key >> (BITS * (level - 1)) > 0))
-                gram = key[at] & _low(level)
-                seen, value = self._look("grams", tagged(gram, level))
-                backed, weight = self._look("contexts", tagged(gram >> BITS, level))
-                total[at] += np.where(seen, value, np.where(backed, weight, 0.0))
-                open_[at[seen]] = False
-            ratio = np.exp(np.clip(np.bincount(word, total, len(new)), -30, 30))
-            self.known.update(zip(new, np.log1p(TOXIC_SHARE * (ratio - 1)).tolist()))
-        get = self.known.__getitem__
-        return [(math.fsum(map(get, words)), len(words)) for words in cut]
-
-
-def _value(model):
+def gram_values(counted: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(gram, value) of all grams of three and more characters: the log-ratio with its backoff."""
+    out, below = [], None
+    length = {k: F.shiftrightunsigned("gram", BITS * (k - 1)) > 0 for k in range(3, ORDER + 2)}
+    wanted = {ORDER: counted.where(length[ORDER]).select("gram")}
+    for k in range(ORDER - 1, 2, -1):
+        shorter = wanted[k + 1].select(F.col("gram").bitwiseAND(F.lit(_low(k))).alias("gram"))
+        wanted[k] = shorter.unionByName(counted.where(length[k] & ~length[k + 1]).select("gram")).distinct()
+    for k in range(3, ORDER + 1):
+        seen = grams.select("key", F.col("value").alias("own"))
+        backed = contexts.select(F.col("key").alias("context"), F.col("value").alias("weight"))
+        table = (
+            wanted[k].withColumns({
+                "key": tagged(F.col("gram"), k), "context": tagged(F.shiftrightunsigned("gram", BITS), k),
+                "suffix": F.col("gram").bitwiseAND(F.lit(_low(k - 1))),
+            })
+            .join(seen, "key", "left").join(backed, "context", "left")
+        )
+        lower = F.lit(0.0)
+        if below is not None:
+            table = table.join(below.select(F.col("gram").alias("suffix"), F.col("value").alias("lower")), "suffix", "left")
+            lower = F.coalesce("lower", F.lit(0.0))
+        value = F.coalesce("own", F.coalesce("weight", F.lit(0.0)) + lower)
+        below = materialise(counted.sparkSession, table.select("gram", value.alias("value")), f"kn-values-{k}")
+        out.append(below)
+    return out[0].union(out[1]).union(out[2])
+
+
+def word_values(words: DataFrame, values: DataFrame) -> DataFrame:
+    """(word, n, value) of all distinct words."""
+    ratio = F.exp(F.greatest(F.least(F.sum("value"), F.lit(30.0)), F.lit(-30.0)))
+    summed = (
+        words.select("word").mapInArrow(_word_grams, "word string, gram bigint").join(values, "gram")
+        .groupBy("word").agg(F.log1p(TOXIC_SHARE * (ratio - 1)).alias("value"))
+    )
+    return words.select("word", "n").join(summed, "word", "left").select("word", "n", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def _value(top):
+    rest_type = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        known = top.value
         for batch in slices(batches, "text"):
-            pairs = scorer.values(texts_of(batch))
+            value, n, rest = [], [], []
+            for text in texts_of(batch):
+                words = words_of(text)
+                found = list(map(known.get, words))
+                value.append(math.fsum(v for v in found if v is not None))
+                n.append(len(words))
+                others = Counter(w for w, v in zip(words, found) if v is None)
+                rest.append([{"word": w, "times": k} for w, k in others.items()])
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([v for v, _ in pairs], pa.float64()), pa.array([n for _, n in pairs], pa.int64())],
-                names=["doc_id", "value", "n"],
+                [batch.column("row"), batch.column("doc"), pa.array(value, pa.float64()), pa.array(n, pa.int64()), pa.array(rest, rest_type)],
+                names=["row", "doc", "value", "n", "rest"],
             )
 
     return run
 
 
+def document_values(docs: DataFrame, words: DataFrame, columns: list[str], top_words: int = TOP_WORDS) -> DataFrame:
+    """(doc, value, n) of all rows, ``doc`` being a struct of ``columns``."""
+    spark = docs.sparkSession
+    top = heaviest(words, "n", top_words).select("word", "value").toPandas()
+    top = spark.sparkContext.broadcast(dict(zip(top["word"].tolist(), top["value"].tolist())))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", F.struct(*columns).alias("doc"))
+    kind = spark.createDataFrame([], "row bigint, value double, n bigint, rest array<struct<word:string,times:bigint>>").schema
+    kind = StructType([kind["row"], rows.schema["doc"], kind["value"], kind["n"], kind["rest"]])
+    found = materialise(spark, rows.mapInArrow(_value(top), kind), "toxicity-values")
+    more = materialise(
+        spark,
+        found.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times")
+        .join(words.select("word", F.col("value").alias("each")), "word")
+        .groupBy("row").agg(F.sum(F.col("times") * F.col("each")).alias("more")),
+        "toxicity-rest",
+    )
+    whole = found.where(F.size("rest") == 0).select("doc", "value", "n")
+    joined = found.where(F.size("rest") > 0).select("row", "doc", "value", "n").join(more, "row")
+    return whole.unionByName(joined.select("doc", (F.col("value") + F.col("more")).alias("value"), "n"))
+
+
 def logistic(z: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> tuple[float, float]:
     """Intercept and slope of a logistic curve by Newton steps."""
     if not len(y) or y.min() == y.max():
@@ -244,30 +289,44 @@ def logistic(z: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> tuple[float, flo
     return float(b[0]), float(b[1])
 
 
-def toxicity_values(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS):
-    """(doc_id, value, n) of all rows, value being the sum of log-ratios; the fitted curve; the broadcast model."""
+def toxicity_values(docs: DataFrame, labels: DataFrame, label_rows: int, columns: list[str], top_words: int):
+    """(doc, value, n) of all rows, value being the sum of log-ratios; the fitted curve."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")) if columns == ["doc_id"] else docs
     fold = F.floor(F.crc32(F.col("label_id").cast("string").cast("binary")) / 5) % 5 == 0
     rows = hash_sample(single_labels(labels, "toxic").where(~held_out("label_id")), "label_id", label_rows)
     rows = rows.select("label_id", (F.col("label") + F.when(fold, CALIBRATE).otherwise(COUNT)).alias("role")).toPandas()
     sample = spark.sparkContext.broadcast(dict(zip(rows["label_id"].tolist(), rows["role"].tolist())))
+    words = materialise(
+        spark,
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        .mapInArrow(_count(sample), "word string, n bigint, ordinary bigint, toxic bigint")
+        .groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "ordinary", "toxic")]),
+        "kn-words",
+    )
     counted = materialise(
         spark,
-        docs.mapInArrow(_count(sample), "gram bigint, ordinary bigint, toxic bigint")
+        words.select("word", "ordinary", "toxic").mapInArrow(_grams, "gram bigint, ordinary bigint, toxic bigint")
         .groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")),
         "char-grams",
     )
-    grams, contexts = ratios(spark, counted)
-    model = spark.sparkContext.broadcast({"grams": _bounded(grams), "contexts": _bounded(contexts)})
-    valued = materialise(spark, docs.mapInArrow(_value(model), "doc_id bigint, value double, n bigint"), "toxicity-values")
+    valued_words = materialise(spark, word_values(words, gram_values(counted, *ratios(spark, counted))), "kn-word-values")
+    valued = document_values(docs, valued_words, columns, top_words)
     held = spark.createDataFrame(rows[rows["role"] >= CALIBRATE], "label_id bigint, role int")
-    points = valued.join(held, F.col("doc_id") == F.col("label_id")).where("n > 0").select("value", "n", "role").toPandas()
+    points = (
+        valued.where("n > 0").select(F.col("doc.doc_id").cast("bigint").alias("doc_id"), "value", "n")
+        .join(held, F.col("doc_id") == F.col("label_id")).select("value", "n", "role").toPandas()
+    )
     z = np.log1p(np.maximum(points["value"].to_numpy(float) / points["n"].to_numpy(float) / TOXIC_SHARE, LOWEST))
-    return valued, logistic(z, points["role"].to_numpy(float) - CALIBRATE), model
+    return valued, logistic(z, points["role"].to_numpy(float) - CALIBRATE)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> DataFrame:
+def _score(a: float, b: float):
+    mean = F.when(F.col("n") > 0, F.col("value") / F.col("n")).otherwise(F.lit(0.0))
+    return 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p(F.greatest(mean / TOXIC_SHARE, F.lit(LOWEST))))))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, top_words: int = TOP_WORDS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; labels (doc_id, toxic).
 
     Null or wordless text has value 0. A null doc_id is scored, isn't held out and never trained
@@ -275,27 +334,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_
     null labels are left out. Without labels of both classes every score is the same. Other
     columns are ignored; an empty table gives an empty result.
     """
-    valued, (a, b), _ = toxicity_values(docs, labels, label_rows)
-    mean = F.when(F.col("n") > 0, F.col("value") / F.col("n")).otherwise(F.lit(0.0))
-    z = F.log1p(F.greatest(mean / TOXIC_SHARE, F.lit(LOWEST)))
+    valued, curve = toxicity_values(docs, labels, label_rows, ["doc_id"], top_words)
     return (
-        valued.withColumn("score", 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * z))))
+        valued.select(F.col("doc.doc_id").alias("doc_id"), _score(*curve).alias("score"))
         .select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
     )
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, top_words: int = TOP_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below CUTOFF; see ``toxicity_scores``."""
-    _, (a, b), model = toxicity_values(docs, labels, label_rows)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
-        for batch in slices(batches, "text"):
-            value, n = np.array(scorer.values(texts_of(batch))).reshape(-1, 2).T
-            z = np.log1p(np.maximum(np.where(n > 0, value / np.maximum(n, 1), 0.0) / TOXIC_SHARE, LOWEST))
-            yield batch.filter(pa.array(1 / (1 + np.exp(-(a + b * z))) < CUTOFF))
-
-    return docs.mapInArrow(keep, docs.schema)
+    valued, curve = toxicity_values(docs, labels, label_rows, docs.columns, top_words)
+    return valued.where(_score(*curve) < CUTOFF).select("doc.*")
 
 
 def op7_kn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
