@@ -227,3 +227,11 @@ def test_components(spark):
     got = components.connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
     assert {r.node: r.root for r in got} == expected and len(got) == len(expected)
     assert components.connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_anchors_refuse_more_items_than_they_can_place(monkeypatch):
+    monkeypatch.setattr(winnow, "PLACE_BITS", np.uint64(10))
+    grams = winnow.mixed(np.arange(1025, dtype=np.uint64))
+    assert len(winnow.anchors(grams[:1024], 5, 20, np.zeros(1028, np.int64)).place)
+    with pytest.raises(ValueError):
+        winnow.anchors(grams, 5, 20, np.zeros(1029, np.int64))

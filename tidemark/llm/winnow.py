@@ -61,8 +61,10 @@ def anchors(grams: np.ndarray, k: int, window: int, group: np.ndarray) -> Anchor
 
     It is the leftmost k-gram of smallest hash inside the window, so equal windows have their
     anchor at the same distance, wherever they occur. ``group`` numbers the items' documents in
-    order.
+    order. Raises ValueError beyond 2^PLACE_BITS items, whose places would run into the hashes.
     """
+    if len(grams) > 1 << int(PLACE_BITS):
+        raise ValueError(f"{len(grams)} items are more than the 2^{int(PLACE_BITS)} that anchors can place")
     w = window - k + 1
     n = len(grams) - w + 1
     none = np.zeros(0, np.int64)
