@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from tidemark.llm import registry, simhash_ball, suffix_dedup
 
-TABLES = ("documents", "benchmark", "labels", "conversations")
+TABLES = ("documents", "benchmark", "labels", "conversations", "pages", "embeddings")
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
@@ -22,8 +22,8 @@ def test_query_matches_its_sql(spark, sf, name):
     assert sorted(map(tuple, frame.select(*columns).collect()), key=repr) == sorted(expected, key=repr)
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages_follow_each_other(spark, sf):
