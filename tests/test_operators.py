@@ -185,24 +185,6 @@ def test_output_validation(spark):
     assert got[3].confidence == 0.4 and not got[3].valid
 
 
-def test_vector_passes_agree(spark, monkeypatch):
-    rng = random.Random(2)
-    vec = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(80)], "vec_id bigint, embedding array<float>").repartition(3)
-    qs = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(9)], "query_id bigint, embedding array<double>")
-    rows = {r.vec_id: r.embedding for r in vec.collect()}
-    want = {}
-    for q in qs.collect():
-        ranked = sorted((round(sum((a - b) ** 2 for a, b in zip(e, q.embedding)) ** 0.5, 6), i) for i, e in rows.items())
-        want[q.query_id] = [i for _, i in ranked[:3]]
-    for vectors, queries in ((2048, 256), (7, 2)):
-        monkeypatch.setattr(S, "VECTOR_BLOCK", vectors)
-        monkeypatch.setattr(S, "QUERY_BLOCK", queries)
-        got = {}
-        for r in S.nearest(vec, qs, 3).orderBy("query_id", "rank").collect():
-            got.setdefault(r.query_id, []).append(r.vec_id)
-        assert got == want
-
-
 def test_anomaly_and_forecast(spark):
     rows = [("G", "USA", str(1995 + i), 2.0 + 0.1 * i + (0.01 if i % 2 else 0.0)) for i in range(14)]
     rows[-1] = ("G", "USA", "2008", 9.0)

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import rnd
-from tidemark.operators import keyed
+from tidemark.operators import vector_index
 from tidemark.operators.published import visible_to
 
-# Vectors, and queries, that are compared at a time.
-VECTOR_BLOCK, QUERY_BLOCK = 2048, 256
-
 
 def l2(a: Column, b: Column) -> Column:
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
@@ -43,51 +36,16 @@ def search_one(vectors: DataFrame, query: list[float], k: int = 6) -> DataFrame:
     )
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
-    """Exact top k of every query by L2 distance.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 6, probes: int | None = None) -> DataFrame:
+    """Top k of every query by L2 distance, through an index of the vectors; see ``vector_index``.
 
-    ``vectors``: vec_id, embedding; ``queries``: query_id (bigint), embedding. Both are dealt
-    into blocks of about VECTOR_BLOCK and QUERY_BLOCK rows by hash; every block of queries meets
-    every block of vectors in one task, which passes on k rows per query. No query reaches the
-    driver; only two counts do.
+    ``vectors``: vec_id, embedding; ``queries``: query_id (bigint), embedding. Exact unless
+    ``probes`` limits the cells that are looked into.
     """
-    usable = vectors.filter(F.col("embedding").isNotNull())
-    n_vectors = max(1, -(-usable.count() // VECTOR_BLOCK))
-    n_queries = max(1, -(-queries.count() // QUERY_BLOCK))
-    held = (
-        usable.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_vectors)).alias("vector_block"))
-        .agg(F.collect_list(F.struct("vec_id", "embedding")).alias("vectors"))
-        .select("vectors", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("query_block"))
-    )
-    asked = (
-        queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).cast("int").alias("query_block"))
-        .agg(F.collect_list(F.struct("query_id", "embedding")).alias("queries"))
-    )
-    partials = held.join(asked, "query_block").select("vectors", "queries").mapInArrow(
-        _block_top(k), "query_id bigint, vec_id bigint, distance double"
-    )
-    return keyed.top_per_key(partials, ["query_id"], [F.col("distance"), F.col("vec_id")], k)
-
-
-def _block_top(k: int):
-    def matrix(block: pa.Array, key: str) -> tuple[np.ndarray, np.ndarray]:
-        rows = block.field("embedding")
-        return block.field(key).to_numpy(), rows.flatten().to_numpy().astype("float64").reshape(len(block), -1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for vectors, queries in zip(batch.column("vectors"), batch.column("queries")):
-                ids, points = matrix(vectors.values, "vec_id")
-                query_ids, targets = matrix(queries.values, "query_id")
-                for query_id, target in zip(query_ids.tolist(), targets):
-                    gap = np.floor(np.sqrt(((points - target) ** 2).sum(axis=1)) * 1e6 + 0.5) / 1e6
-                    keep = np.lexsort((ids, gap))[:k]
-                    yield pa.record_batch(
-                        [pa.array([query_id] * len(keep), pa.int64()), pa.array(ids[keep], pa.int64()), pa.array(gap[keep])],
-                        names=["query_id", "vec_id", "distance"],
-                    )
-
-    return run
+    index = vector_index.build(vectors)
+    if index is None:
+        return queries.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, distance double, rank int")
+    return vector_index.search(queries.sparkSession, index, queries, k, probes)
 
 
 def newest_records(gold: DataFrame, tenant: int | None, k: int = 6) -> DataFrame:
