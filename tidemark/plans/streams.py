@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import partial
 
 from pyspark.sql import functions as F
 
+from tidemark import constants as K
 from tidemark.functions.numeric import rnd
 from tidemark.operators import medallion as M
 from tidemark.plans import sqlviews as V
@@ -100,14 +102,38 @@ def stream_rate_limit(spark, folder):
 
 
 @query("stream_block_ladder", uses=["blocks"], sql="""
-  WITH r AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY blocked_at, block_id) AS block_count FROM v_blocks)
-  SELECT block_id, source_url, block_count, block_count >= 3 AS is_permanent,
-    CASE block_count WHEN 1 THEN blocked_at + INTERVAL 1 HOUR WHEN 2 THEN blocked_at + INTERVAL 4 HOUR END AS cooldown_until FROM r""")
+  WITH r AS (SELECT *, row_number() OVER w AS block_count, lead(blocked_at) OVER w AS next_at FROM v_blocks WINDOW w AS (PARTITION BY source_url ORDER BY blocked_at, block_id)),
+  b AS (SELECT *, block_count >= 3 AS is_permanent, CASE block_count WHEN 1 THEN blocked_at + INTERVAL 1 HOUR WHEN 2 THEN blocked_at + INTERVAL 4 HOUR END AS cooldown_until FROM r)
+  SELECT 'block' AS kind, block_id, source_url, block_count, is_permanent, cooldown_until FROM b
+  UNION ALL SELECT 'unblock', block_id, source_url, block_count, is_permanent, cooldown_until FROM b
+  WHERE cooldown_until <= next_at OR (next_at IS NULL AND cooldown_until < (SELECT max(blocked_at) FROM v_blocks) - INTERVAL 1 HOUR)""")
 def stream_block_ladder(spark, folder):
+    """Blocks, and the ends of cooldowns that pass without another block."""
     blocks = views.blocks_from(runs.event_stream(spark, _events(folder)))
     return _plain_times(runs.drain_to_files(spark, stateful.escalate_blocks(blocks), "stream-blocks"), "cooldown_until")
 
 
+_WATCHED = [(code, tier, K.SLA_WINDOW_MINUTES[tier]) for tier, codes in K.SLA_TIERS.items() for code in codes]
+_START = "2024-01-01 00:00:00"
+
+
+@query("stream_freshness", uses=["bronze"], sql=f"""
+  WITH watched(indicator_code, tier, window_minutes) AS (VALUES {', '.join(str(w) for w in _WATCHED)}),
+  ticks AS (SELECT unnest(range(TIMESTAMP '{_START}' + INTERVAL 4 HOUR, (SELECT max(crawled_at) FROM v_bronze) - INTERVAL 1 HOUR, INTERVAL 4 HOUR)) AS checked_at),
+  c AS (SELECT indicator_code, crawled_at FROM v_bronze UNION ALL SELECT indicator_code, NULL FROM watched),
+  a AS (SELECT w.indicator_code, tier, window_minutes, checked_at, max(crawled_at) FILTER (crawled_at <= checked_at) AS last_crawled_at
+    FROM watched w CROSS JOIN ticks JOIN c USING (indicator_code) GROUP BY ALL)
+  SELECT *, coalesce({V.rnd('epoch_us(checked_at - last_crawled_at) / 60e6', 2)}, -1) AS age_minutes,
+    coalesce(epoch_us(checked_at - last_crawled_at) / 60e6 <= window_minutes, false) AS compliant FROM a""")
+def stream_freshness(spark, folder):
+    """Watched indicators every four hours, also those that nothing arrives for."""
+    arrivals = views.bronze_from(runs.event_stream(spark, _events(folder))).select("indicator_code", "crawled_at")
+    watched = spark.createDataFrame(_WATCHED, "indicator_code string, tier string, window_minutes int")
+    checked = stateful.freshness(arrivals, watched, dt.datetime.fromisoformat(_START), 240)
+    found = _plain_times(runs.drain_to_files(spark, checked, "stream-freshness"), "checked_at", "last_crawled_at")
+    return found.withColumn("age_minutes", rnd("age_minutes", 2))
+
+
 @query("stream_content_change", uses=["crawl_log"], sql="""
   SELECT log_id, source_code, content_hash, CASE WHEN lag(content_hash) OVER (PARTITION BY source_code ORDER BY logged_at, log_id) = content_hash
     THEN 'SKIP' ELSE 'PROCEED' END AS decision FROM v_crawl_log""")

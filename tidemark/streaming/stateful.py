@@ -73,29 +73,143 @@ class RateLimiter(StatefulProcessor):
         pass
 
 
+def _ms(at: pd.Timestamp | dt.datetime) -> int:
+    """Milliseconds since the epoch of a time without zone (UTC)."""
+    return int(pd.Timestamp(at).value // 1_000_000)
+
+
 class BlockLadder(StatefulProcessor):
-    """Blocks so far per source -> cooldown or permanent block."""
+    """Blocks so far per source -> cooldown or permanent block, and an unblock row when a cooldown ends.
+
+    A cooldown ends at its time unless another block comes before it. If a later block of the
+    source has arrived, the end is known at once; otherwise an event-time timer reports it when
+    the watermark has passed it, without any new row of the source. The pending cooldown is
+    forgotten with that. The number of blocks is kept for good, as the ladder asks, unless
+    ``forget_days`` ends it so long after the last block.
+    """
+
+    def __init__(self, forget_days: int | None = None):
+        self.forget_days = forget_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n bigint")
+        self.handle = handle
+        self.count = handle.getValueState("count", "n bigint, last_ms bigint")
+        self.pending = handle.getValueState("pending", "block_id bigint, n bigint, until timestamp")
+
+    def _row(self, kind: str, url, block_id: int, n: int, until) -> dict:
+        return {"kind": kind, "block_id": block_id, "source_url": url, "block_count": n, "is_permanent": n >= K.BLOCKS_UNTIL_PERMANENT, "cooldown_until": until}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         blocks = _in_order(rows, "blocked_at", "block_id")
-        start = self.count.get()[0] if self.count.exists() else 0
-        n = pd.Series(range(start + 1, start + 1 + len(blocks)), index=blocks.index)
-        self.count.update((int(n.iloc[-1]),))
-        hours = n.clip(upper=len(K.BLOCK_COOLDOWN_HOURS)).map(lambda i: K.BLOCK_COOLDOWN_HOURS[i - 1])
-        until = blocks["blocked_at"] + pd.to_timedelta(hours, unit="h")
-        permanent = n >= K.BLOCKS_UNTIL_PERMANENT
-        yield pd.DataFrame({
-            "block_id": blocks["block_id"], "source_url": blocks["source_url"], "block_count": n,
-            "is_permanent": permanent, "cooldown_until": until.where(~permanent),
-        })
+        n, last_ms = self.count.get() if self.count.exists() else (0, None)
+        patience = (self.forget_days or 0) * 86_400_000
+        open_ = self.pending.get() if self.pending.exists() else None
+        if open_ is not None:
+            self.handle.deleteTimer(_ms(open_[2]))
+        if patience and n:
+            self.handle.deleteTimer(last_ms + patience)
+        out = []
+        for block_id, at in zip(blocks["block_id"], blocks["blocked_at"]):
+            if open_ is not None and open_[2] <= at:
+                out.append(self._row("unblock", key[0], open_[0], open_[1], open_[2]))
+            n = 1 if patience and n and _ms(at) >= last_ms + patience else n + 1
+            last_ms, until = _ms(at), None
+            if n < K.BLOCKS_UNTIL_PERMANENT:
+                until = at + pd.Timedelta(hours=K.BLOCK_COOLDOWN_HOURS[min(n, len(K.BLOCK_COOLDOWN_HOURS)) - 1])
+            open_ = None if until is None else (int(block_id), n, until)
+            out.append(self._row("block", key[0], block_id, n, until))
+        self.count.update((n, last_ms))
+        if open_ is None:
+            self.pending.clear()
+        else:
+            self.pending.update((open_[0], open_[1], open_[2].to_pydatetime()))
+            self.handle.registerTimer(_ms(open_[2]))
+        if patience:
+            self.handle.registerTimer(last_ms + patience)
+        yield _block_frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if self.pending.exists():
+            block_id, n, until = self.pending.get()
+            if _ms(until) <= at:
+                self.pending.clear()
+                yield _block_frame([self._row("unblock", key[0], block_id, n, until)])
+        if self.forget_days and self.count.exists() and self.count.get()[1] + self.forget_days * 86_400_000 <= at:
+            self.count.clear()
 
     def close(self) -> None:
         pass
 
 
+def _block_frame(rows: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["kind", "block_id", "source_url", "block_count", "is_permanent", "cooldown_until"])
+    return out.assign(cooldown_until=pd.to_datetime(out["cooldown_until"]))
+
+
+class Freshness(StatefulProcessor):
+    """State of each watched indicator at the end of every period, also of those that don't arrive.
+
+    Watched indicators come as initial state, which starts a chain of event-time timers, one at
+    the end of each period. Arrivals are noted by period; a timer takes those up to its own end,
+    so what arrived later in the same micro-batch doesn't count yet.
+    """
+
+    def __init__(self, start: dt.datetime, minutes: int):
+        self.start_ms, self.step = _ms(start), minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.watched = handle.getValueState("watched", "tier string, window_minutes int, next_ms bigint")
+        self.last = handle.getValueState("last", "at timestamp")
+        self.arrived = handle.getMapState("arrived", "period bigint", "at timestamp")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.iloc[0]
+        first = self.start_ms + self.step
+        self.watched.update((row["tier"], int(row["window_minutes"]), first))
+        self.handle.registerTimer(first)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            ms = frame["crawled_at"].astype("datetime64[ns]").astype("int64") // 1_000_000
+            # An arrival at the very end of a period still belongs to it.
+            period = (ms - self.start_ms + self.step - 1).clip(lower=0) // self.step
+            for number, at in frame.groupby(period)["crawled_at"].max().items():
+                known = self.arrived.getValue((int(number),)) if self.arrived.containsKey((int(number),)) else None
+                if known is None or known[0] < at:
+                    self.arrived.updateValue((int(number),), (at.to_pydatetime(),))
+        yield pd.DataFrame(columns=_FRESH_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        tier, window, tick = self.watched.get()
+        last = self.last.get()[0] if self.last.exists() else None
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        noted = sorted((k[0], v[0]) for k, v in self.arrived.iterator())
+        while tick < now:
+            end = (tick - self.start_ms) // self.step
+            for number, at in [x for x in noted if x[0] <= end]:
+                last = at if last is None or at > last else last
+                self.arrived.removeKey((number,))
+            noted = [x for x in noted if x[0] > end]
+            at = pd.Timestamp(tick, unit="ms")
+            age = -1.0 if last is None else (at - pd.Timestamp(last)).total_seconds() / 60
+            out.append((key[0], tier, window, at, last, age, last is not None and age <= window))
+            tick += self.step
+        if last is not None:
+            self.last.update((last,))
+        self.watched.update((tier, window, tick))
+        self.handle.registerTimer(tick)
+        frame = pd.DataFrame(out, columns=_FRESH_COLUMNS)
+        yield frame.assign(last_crawled_at=pd.to_datetime(frame["last_crawled_at"]))
+
+    def close(self) -> None:
+        pass
+
+
+_FRESH_COLUMNS = ["indicator_code", "tier", "window_minutes", "checked_at", "last_crawled_at", "age_minutes", "compliant"]
+
+
 class ContentChange(StatefulProcessor):
     """Last content hash per source; the same hash again means skip."""
 
@@ -130,10 +244,28 @@ def limit_hits(hits: DataFrame, expire: bool = False) -> DataFrame:
                      "ProcessingTime" if expire else "None")
 
 
-def escalate_blocks(blocks: DataFrame) -> DataFrame:
-    zoned = blocks.withColumn("blocked_at", F.col("blocked_at").cast("timestamp"))
-    return _stateful(zoned, "source_url", BlockLadder(),
-                     "block_id bigint, source_url bigint, block_count bigint, is_permanent boolean, cooldown_until timestamp")
+def escalate_blocks(blocks: DataFrame, delay: str = "1 hour", forget_days: int | None = None) -> DataFrame:
+    """Rows ``block`` as they come and ``unblock`` as cooldowns end; blocks later than ``delay`` are dropped."""
+    zoned = blocks.withColumn("blocked_at", F.col("blocked_at").cast("timestamp")).withWatermark("blocked_at", delay)
+    return _stateful(
+        zoned, "source_url", BlockLadder(forget_days),
+        "kind string, block_id bigint, source_url bigint, block_count bigint, is_permanent boolean, cooldown_until timestamp", "EventTime",
+    )
+
+
+def freshness(arrivals: DataFrame, watched: DataFrame, start: dt.datetime, minutes: int, delay: str = "1 hour") -> DataFrame:
+    """State of every watched indicator every ``minutes`` from ``start`` on, once the watermark has passed that time.
+
+    ``arrivals``: indicator_code, crawled_at; ``watched``: indicator_code, tier, window_minutes.
+    An indicator that never arrived has the age -1; indicators that aren't watched are dropped.
+    """
+    codes = watched.select(F.col("indicator_code").alias("_w"))
+    zoned = arrivals.withColumn("crawled_at", F.col("crawled_at").cast("timestamp")).withWatermark("crawled_at", delay)
+    known = zoned.join(codes, F.col("indicator_code") == F.col("_w"), "left_semi").select("indicator_code", "crawled_at")
+    return known.groupBy("indicator_code").transformWithStateInPandas(
+        statefulProcessor=Freshness(start, minutes), outputMode="Append", timeMode="EventTime", initialState=watched.groupBy("indicator_code"),
+        outputStructType="indicator_code string, tier string, window_minutes int, checked_at timestamp, last_crawled_at timestamp, age_minutes double, compliant boolean",
+    )
 
 
 def detect_changes(log: DataFrame) -> DataFrame:
