@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
 from tidemark.functions import text
 from tidemark.functions.numeric import fixed, rnd
 from tidemark.operators import keyed
+from tidemark.sources import generations
 
 _DIMS = list(K.DQ_WEIGHTS)
 
@@ -186,6 +187,61 @@ def citation_trails(gold: DataFrame, accesses: DataFrame) -> DataFrame:
     )
 
 
+TRAIL_KEY = ["indicator_code", "country_code", "period"]
+TRAIL_BUCKETS = 64
+_TRAIL_LEVELS = ["record_id", "value", "standard_unit", "source_code", "dq_score", "crawled_at", "promoted_at"]
+_TRAIL_COLUMNS = (
+    "indicator_code string, country_code string, period string, record_id bigint, value double, standard_unit string, source_code string, "
+    "dq_score double, crawled_at timestamp_ntz, promoted_at timestamp_ntz, chatbot_sessions_count bigint, api_calls_count bigint"
+)
+
+
+def trail_store(spark: SparkSession, path: str, every: int = generations.EVERY) -> generations.Generations:
+    """Stored trails, one row per key, in buckets by key."""
+    return generations.Generations(spark, path, TRAIL_KEY, _TRAIL_COLUMNS, "bucket", "int", every)
+
+
+def update_trails(store: generations.Generations, gold: DataFrame, accesses: DataFrame, run: int) -> None:
+    """One run: levels 1 and 2 of the keys in ``gold`` replaced, look-ups since the last run added to level 3.
+
+    Only what is new is read, and only the buckets it falls into. A figure published earlier
+    than the stored one replaces nothing; a new key starts at zero; look-ups of unknown keys are
+    ignored. Repeating a run changes nothing.
+    """
+    store.tidy(run)
+    if store.settled(run):
+        return
+    newest = keyed.latest(gold, TRAIL_KEY, [F.col("promoted_at"), F.col("record_id")], _TRAIL_LEVELS)
+    counted = accesses.groupBy(*TRAIL_KEY).agg(
+        F.count_if(F.col("access_type") == "chatbot").alias("_chat"), F.count_if(F.col("access_type") != "chatbot").alias("_api")
+    )
+    touched = newest.withColumn("_new", F.lit(True)).join(counted, TRAIL_KEY, "full_outer").withColumn(
+        "bucket", F.pmod(F.xxhash64(*TRAIL_KEY), F.lit(TRAIL_BUCKETS)).cast("int")
+    )
+    known = store.newest(run, touched)
+    both = touched.alias("n").join(known.alias("k"), [*TRAIL_KEY, "bucket"], "left")
+    at = {side: F.struct(F.col(f"{side}.promoted_at"), F.col(f"{side}.record_id")) for side in "nk"}
+    replaced = F.col("_new").isNotNull() & (F.col("k.record_id").isNull() | (at["n"] >= at["k"]))
+    zero = F.lit(0).cast("bigint")
+    rows = both.where(F.col("_new").isNotNull() | F.col("k.record_id").isNotNull()).select(
+        *TRAIL_KEY, *[F.when(replaced, F.col(f"n.{c}")).otherwise(F.col(f"k.{c}")).alias(c) for c in _TRAIL_LEVELS],
+        *[(F.coalesce(F.col(new), zero) + F.coalesce(F.col(f"k.{old}"), zero)).alias(old)
+          for new, old in (("_chat", "chatbot_sessions_count"), ("_api", "api_calls_count"))],
+        "bucket",
+    )
+    store.add(rows, run)
+
+
+def stored_trails(store: generations.Generations, before: int) -> DataFrame:
+    """Three levels per key, as ``citation_trails`` gives them, from the store."""
+    return store.newest(before).select(
+        F.md5(F.concat_ws("|", F.lit("trail"), *TRAIL_KEY)).alias("trail_id"), *TRAIL_KEY,
+        F.struct("value", "standard_unit", "source_code").alias("level1"),
+        F.struct("record_id", "dq_score", "crawled_at").alias("level2"),
+        F.struct("chatbot_sessions_count", "api_calls_count").alias("level3"),
+    )
+
+
 # --- Traces -----------------------------------------------------------------
 
 def extraction_traces(rows: DataFrame) -> DataFrame:

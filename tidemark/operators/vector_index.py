@@ -76,33 +76,33 @@ def _assign(pivots: np.ndarray):
     return run
 
 
-def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of up to ``BLOCK_ROWS`` rows of one cell, from rows in order of cell and radius."""
-    number, held = TaskContext.get().partitionId() << 32, None
-
-    def block(rows: pa.RecordBatch) -> pa.RecordBatch:
-        nonlocal number
-        number += 1
-        radius = rows.column("radius").to_numpy()
-        points = rows.column("embedding")
+def _blocks_of(block_rows: int):
+    """Runs of up to ``block_rows`` rows of one cell, from rows in order of cell and radius."""
+
+    def block(rows: pa.RecordBatch, number: int) -> pa.RecordBatch:
+        radius, points = rows.column("radius").to_numpy(), rows.column("embedding")
         return pa.RecordBatch.from_arrays(
             [rows.column("cell").slice(0, 1), pa.array([number]), pa.array([radius.min()]), pa.array([radius.max()]), pa.array([len(rows)]),
              pa.array([rows.column("vec_id").to_pylist()], pa.list_(pa.int64())), pa.array([points.flatten().to_numpy(zero_copy_only=False)], pa.list_(pa.float64()))],
             names=["cell", "block", "low", "high", "n", "vec_ids", "points"],
         )
 
-    for batch in batches:
-        rows = batch if held is None else pa.concat_batches([held, batch])
-        cells, start = rows.column("cell").to_numpy(), 0
-        while start < len(cells):
-            end = min(start + BLOCK_ROWS, int(np.searchsorted(cells, cells[start], "right")))
-            if end == len(cells) and end - start < BLOCK_ROWS:
-                break  # more rows of the cell may follow
-            yield block(rows.slice(start, end - start))
-            start = end
-        held = rows.slice(start) if start < len(cells) else None
-    if held is not None and held.num_rows:
-        yield block(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, None
+        for batch in batches:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            cells, start = rows.column("cell").to_numpy(), 0
+            while start < len(cells):
+                end = min(start + block_rows, int(np.searchsorted(cells, cells[start], "right")))
+                if end == len(cells) and end - start < block_rows:
+                    break  # more rows of the cell may follow
+                yield block(rows.slice(start, end - start), number)
+                start, number = end, number + 1
+            held = rows.slice(start) if start < len(cells) else None
+        if held is not None and held.num_rows:
+            yield block(held, number)
+
+    return run
 
 
 def build(vectors: DataFrame, cells: int | None = None, path: str | None = None) -> Index | None:
@@ -124,7 +124,7 @@ def build(vectors: DataFrame, cells: int | None = None, path: str | None = None)
     (
         usable.where(F.size("embedding") == sample.shape[1]).mapInArrow(_assign(pivots), "cell int, radius double, vec_id long, embedding array<double>")
         .repartitionByRange("cell", "radius", "vec_id").sortWithinPartitions("cell", "radius")
-        .mapInArrow(_to_blocks, _BLOCKS).write.partitionBy("cell").parquet(path)
+        .mapInArrow(_blocks_of(BLOCK_ROWS), _BLOCKS).write.partitionBy("cell").parquet(path)
     )
     rows, low, high = np.zeros(len(pivots)), np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
     for r in blocks(spark, path).groupBy("cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect():

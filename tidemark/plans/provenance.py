@@ -9,9 +9,10 @@ from tidemark.functions import text
 from tidemark.functions.numeric import rnd
 from tidemark.operators import provenance as PV
 from tidemark.plans import sqlviews as V
-from tidemark.plans.catalog import query
+from tidemark.plans.catalog import CATALOG, query
 from tidemark.plans.medallion import reviewed, silver, silver_once
 from tidemark.operators import medallion as M
+from tidemark.session import fresh_path
 from tidemark.sources import views
 from tidemark.sources.tables import table
 
@@ -111,6 +112,22 @@ def failure_reasons(spark, folder):
     )
 
 
+def _accesses(spark, folder, gold):
+    """Every line item is one look-up of the record it belongs to."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
+    return lines.join(gold.select("record_id", "indicator_code", "country_code", "period"), F.col("l_orderkey") == F.col("record_id")).select(
+        "indicator_code", "country_code", "period", F.when(F.col("l_linenumber") % 2 == 0, "chatbot").otherwise("api").alias("access_type"),
+        "l_linenumber",
+    )
+
+
+def _flat_trails(trails):
+    return trails.select(
+        "trail_id", "indicator_code", "country_code", "period", "level2.record_id", rnd("level1.value", 6).alias("value"),
+        "level1.source_code", "level3.chatbot_sessions_count", "level3.api_calls_count",
+    )
+
+
 @query("citation_trail", uses=["gold"], sql=f"""
   WITH k AS (SELECT *, row_number() OVER (PARTITION BY indicator_code, country_code, period ORDER BY promoted_at DESC, record_id DESC) AS rn FROM v_gold),
   a AS (SELECT indicator_code, country_code, period, count(*) FILTER (ch) AS chat, count(*) FILTER (NOT ch) AS api FROM (SELECT g.*, l_linenumber % 2 = 0 AS ch FROM lineitem JOIN v_gold g ON l_orderkey = record_id) GROUP BY ALL)
@@ -118,16 +135,25 @@ def failure_reasons(spark, folder):
     coalesce(chat, 0) AS chatbot_sessions_count, coalesce(api, 0) AS api_calls_count
   FROM k LEFT JOIN a ON k.indicator_code = a.indicator_code AND k.country_code = a.country_code AND k.period = a.period WHERE rn = 1""")
 def citation_trail(spark, folder):
-    """Every line item is one look-up of the record it belongs to."""
     g = views.gold(spark, folder)
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
-    accesses = lines.join(g.select("record_id", "indicator_code", "country_code", "period"), F.col("l_orderkey") == F.col("record_id")).select(
-        "indicator_code", "country_code", "period", F.when(F.col("l_linenumber") % 2 == 0, "chatbot").otherwise("api").alias("access_type")
-    )
-    return PV.citation_trails(g, accesses).select(
-        "trail_id", "indicator_code", "country_code", "period", "level2.record_id", rnd("level1.value", 6).alias("value"),
-        "level1.source_code", "level3.chatbot_sessions_count", "level3.api_calls_count",
-    )
+    return _flat_trails(PV.citation_trails(g, _accesses(spark, folder, g)))
+
+
+@query("citation_trail_kept", sql=CATALOG["citation_trail"].sql)
+def citation_trail_kept(spark, folder):
+    """Trails kept over three runs, two of which are repeated: older figures first, then the published ones by halves.
+
+    Each run brings a third of the look-ups.
+    """
+    g = views.gold(spark, folder)
+    older = g.withColumn("promoted_at", F.timestamp_add("DAY", F.lit(-4000), F.col("promoted_at"))).withColumn("value", F.lit(0.0))
+    part = F.pmod(F.col("record_id"), F.lit(2))
+    batches = [older, g.where(part == 0), g.where(part == 1)]
+    accesses = _accesses(spark, folder, g)
+    store = PV.trail_store(spark, fresh_path(spark, "trails"))
+    for run in (0, 1, 1, 2, 0):
+        PV.update_trails(store, batches[run], accesses.where(F.col("l_linenumber") % 3 == run), run)
+    return _flat_trails(PV.stored_trails(store, 3))
 
 
 @query("extraction_traces", sql="""

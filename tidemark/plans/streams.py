@@ -17,7 +17,7 @@ from tidemark.plans.catalog import CATALOG
 from tidemark.session import fresh_path
 from tidemark.sources import views
 from tidemark.sources.tables import table
-from tidemark.streaming import jobs, runs, stateful
+from tidemark.streaming import jobs, runs, stateful, unique
 
 AS_OF = partial(views.clock, views.AS_OF_EVENTS)
 
@@ -77,6 +77,22 @@ def stream_dedupe(spark, folder):
     return once.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query("stream_unique_urls", sql="""
+  WITH d AS (SELECT page_id, url, CAST(CASE WHEN page_id % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS delivery FROM pages)
+  SELECT arg_min(page_id, (delivery, page_id)) AS page_id, url, min(delivery) AS delivery FROM d GROUP BY url""")
+def stream_unique_urls(spark, folder):
+    """A third of the articles, then all of them, then all of them again: each url is accepted once and for all."""
+    landing, out = fresh_path(spark, "url-landing"), fresh_path(spark, "url-out")
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    schema = "page_id bigint, url string, delivery bigint"
+    accepted = None
+    for n, rows in enumerate((pages.where("page_id % 3 = 0"), pages, pages), 1):
+        rows.withColumn("delivery", F.lit(n).cast("bigint")).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", runs.FILES_PER_BATCH).parquet(landing)
+        accepted = unique.unique_deliveries(stream, out, "url", ["delivery", "page_id"])
+    return accepted
+
+
 @query("stream_late_revisions", sql=f"""
   WITH d AS (SELECT *, CAST(CASE WHEN event_id % 10 = 0 THEN 3 WHEN event_id % 10 = 1 THEN 2 ELSE 1 END AS BIGINT) AS delivery, CAST(ts AS DATE) AS day FROM events),
   m AS (SELECT delivery AS md, max(max(ts)) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS lim FROM d GROUP BY delivery),

@@ -65,3 +65,30 @@ def materialise(spark: SparkSession, df, name: str):
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _file_system(spark, path)
+    return fs.exists(target)
+
+
+def entries(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark can reach."""
+    fs, target = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, target = _file_system(spark, path)
+    fs.mkdirs(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder that this library wrote."""
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)

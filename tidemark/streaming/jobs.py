@@ -9,7 +9,7 @@ from tidemark.functions.numeric import pct_change, rnd
 from tidemark.operators import keyed
 from tidemark.operators import medallion as M
 from tidemark.session import fresh_path
-from tidemark.sources import views
+from tidemark.sources import generations, views
 from tidemark.streaming import runs
 
 
@@ -60,21 +60,44 @@ def first_deliveries(events: DataFrame, key: str = "event_id", delay: str = "1 h
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-CURRENT = "user_id bigint, event_type string, value double, batch bigint, day date"
+def current_values(spark: SparkSession, out: str, every: int = generations.EVERY) -> generations.Generations:
+    """Store of the current value of each key (user, kind, day), by day."""
+    keys = ["user_id", "event_type", "day"]
+    return generations.Generations(spark, f"{out}/current", keys, "user_id bigint, event_type string, value double", "day", "date", every)
+
+
+def publish(store: generations.Generations, rows: DataFrame, out: str, run: int) -> None:
+    """One delivery batch -> publications, each with the value it replaces; the store gets the keys it changed.
+
+    ``rows``: event_id, user_id, event_type, day, delivery, ts, value. Only the days that the
+    batch touches are read from the store. A repeated run overwrites what it wrote before.
+    """
+    store.tidy(run)
+    if store.settled(run):
+        return
+    known = store.newest(run, rows.select("day")).withColumnRenamed("value", "known_value")
+    order = Window.partitionBy(*store.keys).orderBy("delivery", "ts", "event_id")
+    chained = rows.join(known.withColumn("is_known", F.lit(True)), store.keys, "left").withColumns({
+        "place": F.row_number().over(order), "before": F.lag("value").over(order),
+    })
+    first = F.col("place") == 1
+    published = chained.select(
+        *rows.columns, F.when(first, F.col("known_value")).otherwise(F.col("before")).alias("old_value"),
+        (~first | F.coalesce("is_known", F.lit(False))).alias("revision_flag"),
+    )
+    runs.batch_writer(f"{out}/published")(published, run)
+    store.add(keyed.latest(rows, store.keys, [F.col("delivery"), F.col("ts"), F.col("event_id")], ["value"]), run)
 
 
 def published_revisions(spark: SparkSession, path: str, out: str, files_per_batch: int | None = None) -> None:
     """Deliveries of observations -> a table of publications, each with the value it replaces.
 
     Reads what is new under ``path`` (event columns and ``delivery``, the number of the
-    delivery). The current value of each key (user, kind, day) is kept in a table partitioned
-    by day, of which a batch reads only the days it touches and to which it adds the keys it
-    changed; the history isn't read again. How deliveries are split into batches doesn't matter
-    as long as they come in order. A repeated batch overwrites its own folders.
+    delivery). The current value of each key is kept in a store of a bounded number of files a
+    day; the history isn't read again. How deliveries are split into batches doesn't matter as
+    long as they come in order.
     """
-    keys = ["user_id", "event_type", "day"]
-    current = f"{out}/current"
-    spark.createDataFrame([], "user_id bigint, event_type string, value double").write.mode("ignore").parquet(f"{current}/batch=-1/day=1970-01-01")
+    store = current_values(spark, out)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(
@@ -82,21 +105,7 @@ def published_revisions(spark: SparkSession, path: str, out: str, files_per_batc
             F.col("ts").cast("timestamp_ntz").alias("ts"), "value",
         ).persist()
         try:
-            known = spark.read.schema(CURRENT).parquet(current).filter(F.col("batch") < batch_id)
-            known = known.join(rows.select("day").distinct(), "day", "left_semi")
-            known = keyed.latest(known, keys, [F.col("batch")], ["value"]).withColumnRenamed("value", "known_value")
-            order = Window.partitionBy(*keys).orderBy("delivery", "ts", "event_id")
-            chained = rows.join(known.withColumn("is_known", F.lit(True)), keys, "left").withColumns({
-                "place": F.row_number().over(order), "before": F.lag("value").over(order),
-            })
-            first = F.col("place") == 1
-            published = chained.select(
-                *rows.columns, F.when(first, F.col("known_value")).otherwise(F.col("before")).alias("old_value"),
-                (~first | F.coalesce("is_known", F.lit(False))).alias("revision_flag"),
-            )
-            runs.batch_writer(f"{out}/published")(published, batch_id)
-            newest = keyed.latest(rows, keys, [F.col("delivery"), F.col("ts"), F.col("event_id")], ["value"])
-            newest.select("user_id", "event_type", "value", "day").write.mode("overwrite").partitionBy("day").parquet(f"{current}/batch={batch_id}")
+            publish(store, rows, out, batch_id)
         finally:
             rows.unpersist()
 
