@@ -72,6 +72,24 @@ def carry_forward(df: DataFrame, keys: list[str], at: str, tie: str, value: Colu
     return carry(df, keys, at, tie, value, out, bucket)
 
 
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Position (from 1) of every row in the whole order, without a window over all rows.
+
+    Rows are dealt into ranges of the order and written with the number of their range; the
+    sizes of the ranges, one number each, are summed up on the driver, and rows are counted
+    inside their range. Rows that are equal in ``order`` get positions in no given order.
+    """
+    ranged = materialise(df.sparkSession, df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    before, offsets = 0, []
+    for k in sorted(sizes):
+        offsets.append((k, before))
+        before += sizes[k]
+    starts = df.sparkSession.createDataFrame(offsets, "_range int, _start bigint")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(starts, "_range").withColumn(out, F.col("_start") + inside).drop("_range", "_start")
+
+
 def first_seen(df: DataFrame, keys: list[Column], position: list[Column], payload: list[str]) -> DataFrame:
     """Keep the first row (by position) of each key; null-safe keys, order-preserving dedupe."""
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]

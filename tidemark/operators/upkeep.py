@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
@@ -38,16 +40,12 @@ def deferred_sources(log: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
 def crawl_budget(sources: DataFrame, cost_each: float, ceiling: float = K.CRAWL_COST_CEILING) -> DataFrame:
     """Best-reputed sources first until the money is spent, the rest deferred.
 
-    With one cost per source the greedy pick is exactly the best n by rank, so a
-    bounded top-n is enough and no running total over all sources is needed.
+    The running cost of a source is its place in the order times the cost, and places come from
+    a distributed prefix sum, so nothing grows with the budget but the number of rows.
     """
-    affordable = int(ceiling / cost_each + 1e-9)
-    best = sources.orderBy(F.col("reputation").desc_nulls_last(), "source_code").limit(affordable).select(
-        F.col("source_code").alias("_s")
-    )
-    return sources.join(best, F.col("source_code") == F.col("_s"), "left").select(
-        "source_code", "reputation", F.when(F.col("_s").isNotNull(), "CRAWL").otherwise("DEFER").alias("decision")
-    )
+    placed = keyed.numbered(sources, [F.col("reputation").desc_nulls_last(), F.col("source_code")], "_place")
+    affordable = F.col("_place") * F.lit(cost_each) <= F.lit(ceiling + 1e-9)
+    return placed.select("source_code", "reputation", F.when(affordable, "CRAWL").otherwise("DEFER").alias("decision"))
 
 
 def crawl_decisions(log: DataFrame) -> DataFrame:
@@ -258,19 +256,51 @@ def policy_thresholds(active: DataFrame) -> DataFrame:
 
 # --- Profile ----------------------------------------------------------------
 
-def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """Row count per table, each counted where it lives."""
-    out = None
-    for name, df in tables.items():
-        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+V1_SOURCES = "spark.sql.sources.useV1SourceList"
+FOOTERS = {V1_SOURCES: "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+@contextmanager
+def from_footers(spark: SparkSession):
+    """Inside, counts of Parquet tables are pushed down to their footers: no column is read."""
+    before = {k: spark.conf.get(k, None) for k in FOOTERS}
+    for k, v in FOOTERS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def counted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def profile(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
+    """table_name, n_rows, n_bytes of stored Parquet tables (name -> path), from footers and file listings."""
+    rows = []
+    for name, path in tables.items():
+        with from_footers(spark):
+            n = counted(spark, path).head()["n_rows"]
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+        size = files.agg(F.sum("length").alias("n")).head()["n"]  # a listing: contents aren't read
+        rows.append((name, n, size or 0))
+    return spark.createDataFrame(rows, "table_name string, n_rows bigint, n_bytes bigint")
+
+
+def store_measurement(measured: DataFrame, path: str, at: Column) -> None:
+    """Append a profile as one measurement row: time, bytes in all, and rows per table."""
+    names = [r["table_name"] for r in measured.select("table_name").collect()]
+    measured.agg(
+        F.sum("n_bytes").alias("db_size_bytes"), *[F.sum(F.when(F.col("table_name") == n, F.col("n_rows"))).alias(f"{n}_rows") for n in names]
+    ).withColumn("measured_at", at).write.mode("append").parquet(path)
 
 
-def daily_trend(rows: DataFrame, column: str, as_of: Column, days: int = 30) -> DataFrame:
-    return since(rows, column, as_of, days).groupBy(F.col(column).cast("date").alias("day")).agg(
-        F.count(F.lit(1)).alias("n_rows")
-    ).orderBy("day")
+def measured_trend(measurements: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """Stored measurements of the last days, oldest first."""
+    rest = [c for c in measurements.columns if c != "measured_at"]
+    return since(measurements, "measured_at", as_of, days).orderBy("measured_at").select(F.col("measured_at").cast("date").alias("date"), *rest)
 
 
 def missing_vectors(records: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
 from tidemark.functions.numeric import rnd
+from tidemark.operators import backfill
 from tidemark.operators import medallion as M
 from tidemark.operators import published as P
 from tidemark.plans import sqlviews as V
 from tidemark.plans.catalog import query
 from tidemark.plans.medallion import AS_OF, silver
+from tidemark.session import fresh_path
 from tidemark.sources import views
 from tidemark.sources.tables import indicator_dim, source_dim, table
 
@@ -188,6 +192,29 @@ def embedding_backlog(spark, folder):
     return P.embedding_backlog(views.gold(spark, folder), have, 1)
 
 
+def _model(texts, broken=()):
+    """Stands in for an embedding service: lengths of the text and of its longest word."""
+    if any(f"| Country: {c} |" in t for t in texts[:1] for c in broken):
+        raise ConnectionError("service unavailable")
+    return [[len(t), max(map(len, t.split(" ")))] for t in texts]
+
+
+@query("embedding_backfill", uses=["gold"], sql=f"""
+  WITH t AS (SELECT record_id, country_code, 'Indicator: ' || indicator_code || ' | Country: ' || country_code || ' | Period: ' || period || ' | Value: ' ||
+      {V.plain('value')} || ' ' || standard_unit || ' | Source: ' || source_code || CASE WHEN is_forecast THEN ' | Type: forecast/projection' ELSE '' END AS text
+    FROM v_gold WHERE tenant_id = 1 AND record_id NOT IN (SELECT vec_id FROM embeddings)),
+  b AS (SELECT *, (row_number() OVER (ORDER BY record_id) - 1) // 200 AS batch FROM t)
+  SELECT batch, record_id, CAST(length(text) AS BIGINT) AS text_chars,
+    CASE WHEN arg_min(country_code, record_id) OVER (PARTITION BY batch) IN {_NATIONS} THEN 1 ELSE 0 END AS run FROM b""")
+def embedding_backfill(spark, folder):
+    """Batches of 200; some fail in the first run and only those are done in the second."""
+    path = fresh_path(spark, "backfill")
+    backfill.plan(embedding_backlog(spark, folder), path)
+    backfill.run_pending(spark, path, 0, partial(_model, broken=NATIONS))
+    backfill.run_pending(spark, path, 1, _model)
+    return backfill.vectors(spark, path).select("batch", "record_id", F.col("embedding")[0].cast("bigint").alias("text_chars"), "run")
+
+
 @query("gold_point_lookup", uses=["gold"], sql=f"""
   SELECT record_id, indicator_code, country_code, period, {V.rnd('value', 6)} AS value FROM v_gold WHERE record_id = 42""")
 def gold_point_lookup(spark, folder):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
@@ -16,7 +16,7 @@ from tidemark.plans import sqlviews as V
 from tidemark.plans.catalog import query
 from tidemark.plans.medallion import silver
 from tidemark.session import fresh_path
-from tidemark.sources import views
+from tidemark.sources import sinks, views
 from tidemark.sources.tables import source_dim, table
 
 AS_OF = partial(views.clock, views.AS_OF_EVENTS)
@@ -260,21 +260,34 @@ def policy_active(spark, folder):
     return U.policy_thresholds(U.active_policies(_policies(spark, folder)))
 
 
+def _stored(folder, **paths):
+    return {n: f"{folder}/{t}.parquet" for n, t in (("bronze", "events"), ("gold", "orders"), ("vectors", "embeddings"))} | paths
+
+
 @query("resource_profile", uses=["silver"], sql="""
-  SELECT 'bronze' AS table_name, count(*) AS n_rows FROM events UNION ALL SELECT 'silver', count(*) FROM events UNION ALL SELECT 'gold', count(*) FROM orders
-  UNION ALL SELECT 'review_queue', count(*) FROM v_silver WHERE dq_status = 'REVIEW' UNION ALL SELECT 'vectors', count(*) FROM embeddings""")
+  SELECT table_name, n_rows, true AS has_bytes FROM (
+    SELECT 'bronze' AS table_name, count(*) AS n_rows FROM events UNION ALL SELECT 'silver', count(*) FROM events UNION ALL SELECT 'gold', count(*) FROM orders
+    UNION ALL SELECT 'review_queue', count(*) FROM v_silver WHERE dq_status = 'REVIEW' UNION ALL SELECT 'vectors', count(*) FROM embeddings)""")
 def resource_profile(spark, folder):
-    s = silver(spark, folder)
-    return U.row_counts({
-        "bronze": views.bronze(spark, folder), "silver": s, "gold": table(spark, folder, "orders"),
-        "review_queue": s.filter(F.col("dq_status") == "REVIEW"), "vectors": table(spark, folder, "embeddings"),
-    })
+    """Rows and bytes of the stored tables, Silver among them by routing status."""
+    path = fresh_path(spark, "profiled-silver")
+    sinks.write_routed(spark, silver(spark, folder), path)
+    found = U.profile(spark, _stored(folder, silver=path, review_queue=f"{path}/dq_status=REVIEW"))
+    return found.select("table_name", "n_rows", (F.col("n_bytes") > 0).alias("has_bytes"))
 
 
-@query("resource_trend", uses=["crawl_log"], sql=f"""
-  SELECT CAST(logged_at AS DATE) AS day, count(*) AS n_rows FROM v_crawl_log WHERE logged_at >= {V.E} - INTERVAL 30 DAY GROUP BY 1""")
+@query("resource_trend", sql=f"""
+  SELECT CAST({V.E} - to_days(d) AS DATE) AS date, (SELECT count(*) FROM events) AS bronze_rows, (SELECT count(*) FROM orders WHERE o_orderkey % 4 <= k) AS gold_rows,
+    (SELECT count(*) FROM embeddings) AS vectors_rows, true AS grows FROM (VALUES (1, 20), (2, 10), (3, 0)) t(k, d)""")
 def resource_trend(spark, folder):
-    return U.daily_trend(views.crawl_log(spark, folder), "logged_at", AS_OF())
+    """Gold grows by a quarter at a time and is measured each time; the first measurement is older than the trend."""
+    gold, measured = fresh_path(spark, "profiled-gold"), fresh_path(spark, "measurements")
+    for k, days in enumerate((40, 20, 10, 0)):
+        table(spark, folder, "orders").where(F.col("o_orderkey") % 4 == k).write.mode("append").parquet(gold)
+        U.store_measurement(U.profile(spark, _stored(folder, gold=gold)), measured, F.timestamp_add("DAY", F.lit(-days), AS_OF()))
+    trend = U.measured_trend(spark.read.parquet(measured), AS_OF())
+    before = F.lag("db_size_bytes").over(Window.partitionBy(F.lit(1)).orderBy("date"))
+    return trend.withColumn("grows", F.coalesce(F.col("db_size_bytes") > before, F.lit(True))).drop("db_size_bytes")
 
 
 @query("missing_vectors", sql="""
