@@ -22,8 +22,9 @@ from tidemark.llm.common import materialise, read, slices
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")  # of UTF-8 bytes: ASCII letters and all beyond ASCII
 GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
 PIECE_BYTES = 1 << 20  # of a text, tokenised at a time
-HELD_TERMS = 200_000  # sums kept by a task before they are handed on
+HELD_TERMS = 500_000  # sums kept by a task before they are handed on
 LEAST_DOCS, TERM_RANKS, UNIT = 3, 200, 1_000_000_000
+LONG_COUNT = (1 << 63) // UNIT - 1  # counts below it give products that fit a long
 COUNTS_SCHEMA = "lang string, source string, term binary, n long, docs long"
 
 
@@ -91,9 +92,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
 def share(n: Column | str, total: Column | str, kinds: Column | str) -> Column:
     """1 + floor(10^9 * (n + 1) / (total + kinds)), exact; null where there are no terms."""
     n, total, kinds = (F.col(c) if isinstance(c, str) else c for c in (n, total, kinds))
-    product = (n + 1).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)")
-    below = F.when(total + kinds > 0, (total + kinds).cast("decimal(20,0)"))
-    return F.call_function("div", product, below) + 1
+    below = F.when(total + kinds > 0, total + kinds)
+    in_long = F.call_function("div", (n + 1) * UNIT, below)
+    beyond = F.call_function("div", (n + 1).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)"), below.cast("decimal(20,0)"))
+    return F.when(n < LONG_COUNT, in_long).otherwise(beyond) + 1
 
 
 def gap(p: Column, q: Column) -> Column:
@@ -163,7 +165,7 @@ def pair_values(groups: DataFrame, scored: DataFrame) -> DataFrame:
         shared.select("lang", F.col("source_b").alias("source_a"), F.col("source_a").alias("source_b"), F.col("back").alias("shared"))
     )
     # Terms of one: sums over its histogram of counts, against the other's share of an absent term.
-    histogram = scored.groupBy("lang", "source", "p").agg(F.count("*").alias("terms"))
+    histogram = materialise(scored.sparkSession, scored.groupBy("lang", "source", "p").agg(F.count("*").alias("terms")), "term-histogram")
     of_a = histogram.select("lang", F.col("source").alias("source_a"), F.col("p").alias("p_a"), "terms")
     of_b = histogram.select("lang", F.col("source").alias("source_b"), F.col("p").alias("p_b"), "terms")
     key = ["lang", "source_a", "source_b"]
