@@ -2,9 +2,10 @@
 
 Writing: equal payloads are stored once (one response, the others revisit it). A payload gets
 chunked transfer framing; a block beyond the segment size is cut into a first record and
-continuation records. Segments, not pages, are dealt out to archives, so that archives stay near
-their size whatever the pages are. Spark's text writer ends each record with the blank line
-that the format asks for, so archives go to any file system Spark can write to.
+continuation records. An archive ends after a fixed number of records, which are no longer than
+a segment, so archives are bounded whatever the pages are. Spark's text writer ends each record
+with the blank line that the format asks for, so archives go to any file system Spark can write
+to; payloads are shuffled once, and archives are written where they land.
 
 Reading: each archive is parsed by its Content-Length fields. Unsegmented records are decoded
 where they are read; only segments are shuffled, grouped by the id of their origin, ordered by
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh_path, materialise, read, release_memory, slices
 
-ARCHIVE_BYTES, SEGMENT_BYTES, CHUNK_BYTES = 16 << 20, 16 << 10, 4 << 10
-HEAD_BYTES = 600  # of a record besides its payload, for the number of archives
+SEGMENT_BYTES, CHUNK_BYTES = 16 << 10, 4 << 10
+ARCHIVE_RECORDS = 1000  # about 17 MB at most
 BATCH_BYTES = 4 << 20  # of blocks, handed on at a time
 END = "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -160,21 +161,21 @@ def planned(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
 
 
 def write_archives(
-    pages: DataFrame, path: str, revisit_from: int = 0, archive_bytes: int = ARCHIVE_BYTES,
+    pages: DataFrame, path: str, revisit_from: int = 0, archive_records: int = ARCHIVE_RECORDS,
     segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES,
 ) -> None:
-    """Archives in ``path``, one record per row of ``pages`` (page_id, url, html) and its continuations.
+    """Archives (gzip) in ``path``, one record per row of ``pages`` (page_id, url, html) and its continuations.
 
     Null html is an empty payload; null page_id and url are left out of the record; other columns
     are ignored. Equal payloads of at least ``revisit_from`` bytes are stored once; rows that
     repeat page_id, url and html are a response and revisits like any other. No page gives no
     record. A page may be as long as a row can be; its segments go to different archives.
     """
-    size = pages.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint") + HEAD_BYTES)).head()[0] or 0
-    archives = max(1, -(-size // archive_bytes))
     records = planned(pages, revisit_from).mapInArrow(_to_records(segment_bytes, chunk_bytes), "record binary")
-    dealt = records.repartition(archives, F.xxhash64("record")).select(F.col("record").cast("string").alias("value"))
-    dealt.write.option("lineSep", END).text(path)
+    (
+        records.select(F.col("record").cast("string").alias("value")).write
+        .options(lineSep=END, compression="gzip", maxRecordsPerFile=archive_records).text(path)
+    )
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
