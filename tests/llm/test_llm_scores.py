@@ -174,23 +174,75 @@ def test_five_gram_keys_follow_the_words():
     assert key[-2:].tolist() == [packed("bcdef"), packed("cdef\x02")]
 
 
-def test_class_chances_sum_to_one(spark):
-    """Own, continuation and shared counts smooth into a distribution at every seen context."""
-    import math
-
-    words_by_class = {"toxic": ["zorg", "zorgu", "the"], "ordinary": ["the", "then", "ore", "zen"]}
-    table = {}
-    for c, ws in words_by_class.items():
-        key, *_ = kn_toxicity.keys_of(ws)
-        for k in key.tolist():
-            table.setdefault(k, {"toxic": 0, "ordinary": 0})[c] += 1
-    counted = spark.createDataFrame([(k, v["ordinary"], v["toxic"]) for k, v in table.items()], "gram bigint, ordinary bigint, toxic bigint")
-    grams, contexts = kn_toxicity.ratios(spark, counted)
-    value = {r.key: r.value for r in grams.collect()}
-    assert all(math.isfinite(v) for v in value.values())
-    key, *_ = kn_toxicity.keys_of(["zorg"])
-    assert value[kn_toxicity.tagged(int(key[3]) , 5)] > 0  # "zorg" behind the start mark is toxic only
-    assert contexts.count() > 0
+class PlainKneserNey:
+    """Both classes' models in plain Python, from (word, class or None) pairs."""
+
+    def __init__(self, uses):
+        self.counts = {k: {} for k in range(2, 6)}  # level -> gram -> [ordinary, toxic]
+        for word, label in uses:
+            framed = f"\x01{word}\x02"
+            for i in range(1, len(framed)):
+                gram = framed[max(0, i - 4) : i + 1]
+                own = self.counts[len(gram)].setdefault(gram, [0, 0])
+                if label is not None:
+                    own[label] += 1
+        self.ways = {}
+        for k in range(4, 1, -1):
+            starts = set(self.counts[k])
+            for longer, n in self.counts[k + 1].items():
+                cell = self.counts[k].setdefault(longer[1:], [0, 0])
+                cell[0] += n[0] > 0
+                cell[1] += n[1] > 0
+                if k == 2:
+                    self.ways[longer[1:]] = self.ways.get(longer[1:], 0) + 1
+            if k == 2:
+                for g in starts:
+                    self.ways[g] = self.ways.get(g, 0) + 1
+
+    def chance(self, gram, label):
+        if len(gram) == 2:
+            row = {g: n for g, n in self.ways.items() if g[0] == gram[0]}
+            return (max(row.get(gram, 0) - 0.75, 0) + 0.75 * len(row) / 256) / sum(row.values()) if row else 1 / 256
+        row = [n[label] for g, n in self.counts[len(gram)].items() if g[:-1] == gram[:-1] and n[label]]
+        below = self.chance(gram[1:], label)
+        if not row:
+            return below
+        own = self.counts[len(gram)].get(gram, [0, 0])[label]
+        return max(own - 0.75, 0) / sum(row) + 0.75 * len(row) / sum(row) * below
+
+    def value(self, word):
+        framed, total = f"\x01{word}\x02", 0.0
+        for i in range(2, len(framed)):
+            gram = framed[max(0, i - 4) : i + 1]
+            total += np.log(self.chance(gram, 1) / self.chance(gram, 0))
+        return np.log1p(kn_toxicity.TOXIC_SHARE * (np.exp(np.clip(total, -30, 30)) - 1))
+
+
+def test_class_chances_sum_to_one():
+    model = PlainKneserNey([(w, 1) for w in ("zorg", "zorgu", "the")] + [(w, 0) for w in ("the", "then", "ore", "zen")] + [("zebra", None)])
+    letters = [chr(i) for i in range(256)]
+    for label in (0, 1):
+        for context in ("\x01zor", "\x01th", "or", "rg", "z", "hen", "ebr"):
+            assert sum(model.chance(context + c, label) for c in letters) == pytest.approx(1.0)
+    assert model.value("zorg") > 0 > model.value("ore")
+
+
+@pytest.mark.parametrize("model_rows", [1 << 20, 0])
+def test_scores_equal_plain_kneser_ney(spark, model_rows):
+    data, marks = labelled(150)
+    label = {i: t for i, _, t in marks if not held(i)}
+    calibrate = {i for i in label if zlib.crc32(str(i).encode()) // 5 % 5 == 0}
+    texts = {i: kn_toxicity.words_of(t) for i, t, _ in data}
+    model = PlainKneserNey([(w, label.get(i) if i not in calibrate else None) for i, ws in texts.items() for w in ws])
+    worth = {w: model.value(w) for ws in texts.values() for w in ws}
+    mean = {i: sum(worth[w] for w in ws) / len(ws) if ws else 0.0 for i, ws in texts.items()}
+    z = {i: np.log1p(max(m / kn_toxicity.TOXIC_SHARE, kn_toxicity.LOWEST)) for i, m in mean.items()}
+    used = sorted(i for i in calibrate if texts.get(i))
+    a, b = kn_toxicity.logistic(np.array([z[i] for i in used]), np.array([float(label[i]) for i in used]))
+    got = kn_toxicity.toxicity_scores(docs(spark, data), labels(spark, marks), model_rows=model_rows).collect()
+    for r in got:
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(a + b * z[r.doc_id]))), abs=1e-6)
+    assert len({round(r.score, 3) for r in got}) > 10
 
 
 def test_toxicity_keeps_every_gram(spark):
@@ -204,12 +256,12 @@ def test_toxicity_keeps_every_gram(spark):
         data.append((i, " ".join(w), "s"))
         marks.append((i, 1, int(toxic)))
     frame, judged = docs(spark, data), labels(spark, marks)
-    sent, joined = (
-        {r.doc_id: r.score for r in kn_toxicity.toxicity_scores(frame, judged, top_words=n).collect()} for n in (1 << 16, 3)
-    )
-    assert sent.keys() == joined.keys() and all(abs(sent[k] - joined[k]) < 1e-9 for k in sent)
-    for n in (1 << 16, 3):
-        kept = {r.doc_id for r in kn_toxicity.without_toxic(frame, judged, top_words=n).collect()}
+    ways = ({}, {"model_rows": 0}, {"model_rows": 0, "top_words": 3})
+    sent, *joined = ({r.doc_id: r.score for r in kn_toxicity.toxicity_scores(frame, judged, **way).collect()} for way in ways)
+    for other in joined:
+        assert sent.keys() == other.keys() and all(abs(sent[k] - other[k]) < 1e-9 for k in sent)
+    for way in ({}, {"top_words": 3}):
+        kept = {r.doc_id for r in kn_toxicity.without_toxic(frame, judged, **way).collect()}
         assert kept == {k for k, v in sent.items() if v < 0.5}
     # Words are valued as by a walk over the whole tables.
     cut = [kn_toxicity.words_of(t) for _, t, _ in data]

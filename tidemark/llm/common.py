@@ -21,6 +21,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str):
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole_row(columns: list[str]):
+    """All given columns as one struct, so that helper columns beside it can't clash with them."""
+    return F.struct(*[named(c) for c in columns])
+
+
 def release_memory() -> None:
     """Hand freed memory back to the system, so that idle Python processes stay small."""
     pa.default_memory_pool().release_unused()

@@ -5,9 +5,10 @@ They discount their own counts from order five down to order three, by Kneser-Ne
 continuation counts, and both end in one shared model of order two, whose continuation counts
 come from the words of all documents. For what neither class has seen the shared part cancels,
 so a score needs two tables only: the log-ratios of seen grams, and the log-ratios of the
-backoff weights of seen contexts. Both stay whole, as Parquet: every distinct gram, and from
-these every distinct word, is valued once by joins. The values of the most frequent words reach
-the tasks that read documents; all other words are joined. Toxic documents mostly
+backoff weights of seen contexts. Both stay whole. They come from the labelled rows only, whose
+number has a bound: up to MODEL_ROWS entries they are sent to the tasks, which value each word
+where they read it. A larger model stays in Parquet: every distinct gram, and from these every
+distinct word, is valued once by joins. Toxic documents mostly
 consist of ordinary words, so a document is compared with its ordinary reading word by word:
 the toxic likelihood of a word mixes the ordinary one with TOXIC_SHARE of the toxic model's.
 The sum of the log-ratios over the number of words is the document's value; a logistic curve
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import hash_sample, heaviest, held_out, materialise, read, single_labels, slices, texts_of
+from tidemark.llm.common import hash_sample, heaviest, held_out, materialise, read, single_labels, slices, texts_of, whole_row
 
 ORDER = 5
 BITS = 12  # of a five-gram's key for each character
@@ -35,6 +36,8 @@ DISCOUNT = 0.75
 ALPHABET = 256
 TOXIC_SHARE = 0.02  # weight of the toxic model in the likelihood of a toxic document's word
 LABEL_ROWS = 200_000  # labelled rows that class counts and calibration are learned from, at most
+MODEL_ROWS = 1 << 23  # entries (16 bytes) of a model that is sent to the tasks; a larger one is joined
+CACHED_WORDS = 200_000  # values of words that a task keeps
 TOP_WORDS = 1 << 16  # frequent words whose values are sent to the tasks; the others are joined
 HELD_WORDS = 100_000  # distinct words that a task keeps at a time
 WORD_SLICE_BYTES = 200_000  # words cut into grams at a time
@@ -231,6 +234,73 @@ def word_values(words: DataFrame, values: DataFrame) -> DataFrame:
     return words.select("word", "n").join(summed, "word", "left").select("word", "n", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+class Model:
+    """Sorted keys and values of seen grams and seen contexts."""
+
+    def __init__(self, grams: pa.Table, contexts: pa.Table):
+        self.grams, self.contexts = self._sorted(grams), self._sorted(contexts)
+
+    @staticmethod
+    def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        key, value = table.column("key").to_numpy(), table.column("value").to_numpy()
+        order = np.argsort(key)
+        return key[order], value[order]
+
+    @staticmethod
+    def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys the table has, and their values (0 for others)."""
+        known, values = table
+        if not len(known):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        found = known[at] == keys
+        return found, np.where(found, values[at], 0.0)
+
+    def gram_values(self, grams: np.ndarray) -> np.ndarray:
+        """As the function of that name: a seen gram's own value, or its context's weight and what the shorter gram has."""
+        out, open_ = np.zeros(len(grams)), np.ones(len(grams), bool)
+        for k in range(ORDER, 2, -1):
+            rows = np.flatnonzero(open_ & (grams >> (BITS * (k - 1)) > 0))
+            part = grams[rows] & _low(k)
+            seen, own = self._find(self.grams, tagged(part, k))
+            out[rows] += np.where(seen, own, self._find(self.contexts, tagged(part >> BITS, k))[1])
+            open_[rows[seen]] = False
+        return out
+
+    def word_values(self, words: list[str]) -> np.ndarray:
+        key, word, _ = keys_of(words)
+        unique, where = np.unique(key, return_inverse=True)
+        sums = np.bincount(word, self.gram_values(unique)[where], len(words))
+        return np.log1p(TOXIC_SHARE * (np.exp(np.clip(sums, -30.0, 30.0)) - 1))
+
+
+def _value_by_model(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, float] = {}
+        for batch in slices(batches, "text"):
+            texts = [words_of(t) for t in texts_of(batch)]
+            missing = list({w for words in texts for w in words if w not in known})
+            for start in range(0, len(missing), CACHED_WORDS):
+                part = missing[start : start + CACHED_WORDS]
+                known.update(zip(part, model.value.word_values(part).tolist()))
+            value = [math.fsum(map(known.__getitem__, words)) for words in texts]
+            yield pa.record_batch(
+                [batch.column("doc"), pa.array(value, pa.float64()), pa.array([len(w) for w in texts], pa.int64())], names=["doc", "value", "n"],
+            )
+            if len(known) > CACHED_WORDS:
+                known = {}
+
+    return run
+
+
+def document_values_by_model(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+    """As ``document_values``, with a model that every task has."""
+    rows = docs.select("text", whole_row(columns).alias("doc"))
+    kind = docs.sparkSession.createDataFrame([], "value double, n bigint").schema
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return materialise(docs.sparkSession, rows.mapInArrow(_value_by_model(sent), StructType([rows.schema["doc"], *kind])), "toxicity-values")
+
+
 def _value(top):
     rest_type = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
 
@@ -258,7 +328,7 @@ def document_values(docs: DataFrame, words: DataFrame, columns: list[str], top_w
     spark = docs.sparkSession
     top = heaviest(words, "n", top_words).select("word", "value").toPandas()
     top = spark.sparkContext.broadcast(dict(zip(top["word"].tolist(), top["value"].tolist())))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", F.struct(*columns).alias("doc"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", whole_row(columns).alias("doc"))
     kind = spark.createDataFrame([], "row bigint, value double, n bigint, rest array<struct<word:string,times:bigint>>").schema
     kind = StructType([kind["row"], rows.schema["doc"], kind["value"], kind["n"], kind["rest"]])
     found = materialise(spark, rows.mapInArrow(_value(top), kind), "toxicity-values")
@@ -289,12 +359,13 @@ def logistic(z: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> tuple[float, flo
     return float(b[0]), float(b[1])
 
 
-def toxicity_values(docs: DataFrame, labels: DataFrame, label_rows: int, columns: list[str], top_words: int):
+def toxicity_values(docs: DataFrame, labels: DataFrame, label_rows: int, columns: list[str], top_words: int, model_rows: int = MODEL_ROWS):
     """(doc, value, n) of all rows, value being the sum of log-ratios; the fitted curve."""
     spark = docs.sparkSession
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")) if columns == ["doc_id"] else docs
     fold = F.floor(F.crc32(F.col("label_id").cast("string").cast("binary")) / 5) % 5 == 0
     rows = hash_sample(single_labels(labels, "toxic").where(~held_out("label_id")), "label_id", label_rows)
+    # One row an id: what reaches the driver is bounded by label_rows, however often a document repeats.
     rows = rows.select("label_id", (F.col("label") + F.when(fold, CALIBRATE).otherwise(COUNT)).alias("role")).toPandas()
     sample = spark.sparkContext.broadcast(dict(zip(rows["label_id"].tolist(), rows["role"].tolist())))
     words = materialise(
@@ -310,12 +381,18 @@ def toxicity_values(docs: DataFrame, labels: DataFrame, label_rows: int, columns
         .groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")),
         "char-grams",
     )
-    valued_words = materialise(spark, word_values(words, gram_values(counted, *ratios(spark, counted))), "kn-word-values")
-    valued = document_values(docs, valued_words, columns, top_words)
+    grams, contexts = ratios(spark, counted)
+    if grams.count() + contexts.count() <= model_rows:
+        model = Model(*(t.select("key", "value").toArrow() for t in (grams, contexts)))
+        valued = document_values_by_model(docs, model, columns)
+    else:
+        valued_words = materialise(spark, word_values(words, gram_values(counted, grams, contexts)), "kn-word-values")
+        valued = document_values(docs, valued_words, columns, top_words)
     held = spark.createDataFrame(rows[rows["role"] >= CALIBRATE], "label_id bigint, role int")
     points = (
         valued.where("n > 0").select(F.col("doc.doc_id").cast("bigint").alias("doc_id"), "value", "n")
-        .join(held, F.col("doc_id") == F.col("label_id")).select("value", "n", "role").toPandas()
+        .join(held, F.col("doc_id") == F.col("label_id")).groupBy("doc_id").agg(F.min_by(F.struct("value", "n", "role"), F.struct("value", "n")).alias("p"))
+        .select("p.*").toPandas()
     )
     z = np.log1p(np.maximum(points["value"].to_numpy(float) / points["n"].to_numpy(float) / TOXIC_SHARE, LOWEST))
     return valued, logistic(z, points["role"].to_numpy(float) - CALIBRATE)
@@ -326,7 +403,9 @@ def _score(a: float, b: float):
     return 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p(F.greatest(mean / TOXIC_SHARE, F.lit(LOWEST))))))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, top_words: int = TOP_WORDS) -> DataFrame:
+def toxicity_scores(
+    docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, top_words: int = TOP_WORDS, model_rows: int = MODEL_ROWS
+) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; labels (doc_id, toxic).
 
     Null or wordless text has value 0. A null doc_id is scored, isn't held out and never trained
@@ -334,7 +413,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_
     null labels are left out. Without labels of both classes every score is the same. Other
     columns are ignored; an empty table gives an empty result.
     """
-    valued, curve = toxicity_values(docs, labels, label_rows, ["doc_id"], top_words)
+    valued, curve = toxicity_values(docs, labels, label_rows, ["doc_id"], top_words, model_rows)
     return (
         valued.select(F.col("doc.doc_id").alias("doc_id"), _score(*curve).alias("score"))
         .select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
