@@ -7,7 +7,7 @@ import random
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CLASHES = "version string, fp string, root string, block string, row string, at string, n string, label string, content string, score string, kept string, anchor string"
+CLASHES = "version string, fp string, root string, block string, row string, at string, n string, label string, content string, score string, kept string, anchor string, _version string, keep_id string, keep_version string, doc string, `a.b` string"
 
 
 def prose(seed: int, n: int) -> str:

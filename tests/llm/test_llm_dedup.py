@@ -229,9 +229,35 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
-def test_anchors_refuse_more_items_than_they_can_place(monkeypatch):
+@pytest.mark.parametrize("n", [1023, 1024, 1025, 5000])
+def test_anchors_of_long_texts_are_found_in_segments(monkeypatch, n):
+    items = np.random.default_rng(n).integers(1, 9, n).astype(np.uint64)
+    group = np.sort(np.random.default_rng(1).integers(0, 3, n))
+    grams = winnow.Spans(items).grams(5)
+    whole = winnow.anchors(grams, 5, 20, group)
+    kept = (np.uint64(2**64 - 1) >> np.uint64(28)) << np.uint64(28)  # the hash bits that count are the same ones
     monkeypatch.setattr(winnow, "PLACE_BITS", np.uint64(10))
-    grams = winnow.mixed(np.arange(1025, dtype=np.uint64))
-    assert len(winnow.anchors(grams[:1024], 5, 20, np.zeros(1028, np.int64)).place)
-    with pytest.raises(ValueError):
-        winnow.anchors(grams, 5, 20, np.zeros(1029, np.int64))
+    cut = winnow.anchors(grams & kept | np.uint64(0), 5, 20, group)
+    for x, y in ((whole.place, cut.place), (whole.first, cut.first), (whole.count, cut.count)):
+        assert x.tolist() == y.tolist()
+
+
+def thue_morse(bits):
+    text = "a"
+    for _ in range(bits):
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text
+
+
+def test_words_that_a_polynomial_confuses_are_told_apart(spark):
+    one, rest = thue_morse(11), prose(77, 49)
+    other = one.translate(str.maketrans("ab", "ba"))
+    frame = docs(spark, [(1, f"{one} {rest}", "s"), (2, f"{other} {rest}", "s"), (3, f"{one} {rest}", "s")])
+    assert {r.doc_id: r.n_removed for r in span_dedup.dedup_spans(frame).collect()} == {1: 0, 2: 0, 3: 50}
+
+
+def test_many_repeated_rows_take_linear_time(spark):
+    text, late = prose(5, 120), f"{prose(6, 30)} {prose(5, 120)}"
+    frame = docs(spark, [(1, text, "s")] * 5000 + [(2, late, "s")] * 5000)
+    got = span_dedup.dedup_spans(frame).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 120, 0, 5000), (2, 150, 120, 5000)]

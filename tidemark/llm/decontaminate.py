@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import winnow
-from tidemark.llm.common import materialise, read, slices, texts_of
+from tidemark.llm.common import materialise, read, slices, texts_of, whole_row
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # share of an item's own score
@@ -55,7 +55,7 @@ class Words:
         inside = IN_WORD[data]
         starts = np.flatnonzero(~inside[:-1] & inside[1:]) + 1
         ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-        self.hashes = winnow.Spans(LOWER[data] + np.uint64(1)).hash(starts, ends) | np.uint64(1)
+        self.hashes = winnow.word_hashes(LOWER[data] + np.uint64(1), starts, ends)
         self.first = np.searchsorted(starts, np.cumsum([1, *(len(r) + 1 for r in raw)]))
 
 
@@ -292,9 +292,10 @@ def without_contaminated(docs: DataFrame, items: DataFrame, index_items: int = I
 
         return run
 
+    rows = docs.select(whole_row(docs.columns).alias("row"), "text")
     for index in build_indexes(items, index_items):
-        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
-    return docs
+        rows = rows.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(index)), rows.schema)
+    return rows.select("row.*")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, read, slices, texts_of
+from tidemark.llm.common import materialise, read, slices, texts_of, whole_row
 from tidemark.llm.components import connected_components
 
 SHINGLE = 3
@@ -200,9 +200,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         near_duplicates(docs).groupBy("root").agg(best.alias("best"))
         .select(F.col("best.doc_id").alias("keep_id"), F.col("best.version").alias("keep_version"))
     )
-    rows = docs.withColumn("_version", F.xxhash64("text"))
-    rows = rows.join(keep, rows["doc_id"].cast("bigint").eqNullSafe(F.col("keep_id")) & (F.col("_version") == F.col("keep_version")))
-    return rows.dropDuplicates(["keep_id", "keep_version"]).select(*docs.columns)
+    rows = docs.select(
+        whole_row(docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("version")
+    )
+    rows = rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("version") == F.col("keep_version")))
+    return rows.dropDuplicates(["keep_id", "keep_version"]).select("row.*")
 
 
 def hex_print(column: str = "fp"):

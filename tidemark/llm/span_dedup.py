@@ -40,7 +40,7 @@ class Words:
         space = IS_SPACE[data]
         starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
         ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-        self.hashes = winnow.Spans(data.astype(np.uint64) + np.uint64(1)).hash(starts, ends) | np.uint64(1)
+        self.hashes = winnow.word_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends)
         begins = np.cumsum([1, *(len(r) + 1 for r in raw)])
         self.first = np.searchsorted(starts, begins)  # of each document among all words
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
@@ -99,10 +99,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     records = materialise(
         spark, docs.mapInArrow(_records, "doc_id bigint, version int, anchor bigint, context bigint, at int, n int"), "anchors"
     )
-    seeds = (
+    # Seeds are written before they are joined: a join that reads two plain shuffles can be split
+    # where an anchor is hot, one that continues the aggregation can't.
+    seeds = materialise(
+        spark,
         records.groupBy("anchor")
         .agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"), (F.min("context") == F.max("context")).alias("alike"))
-        .where("lowest < highest").select("anchor", "lowest", "alike")
+        .where("lowest < highest").select("anchor", "lowest", "alike"),
+        "seeds",
     )
     shared = materialise(spark, records.join(seeds, "anchor"), "shared-anchors")
 
@@ -114,20 +118,22 @@ def repeats(docs: DataFrame) -> DataFrame:
         "contexts",
     )
     lowest = classes.select("anchor", "context", F.col("doc_id").alias("lowest"))
-    runs = classes.groupBy("doc_id", "version").agg(F.collect_list(F.struct("anchor", "context", "at", "n")).alias("runs"))
+    runs = classes.groupBy("doc_id", "version").agg(F.collect_set(F.struct("anchor", "context", "at", "n")).alias("runs"))
     windows = materialise(
         spark,
-        docs.join(runs, ["doc_id", "version"]).select("doc_id", "text", "runs")
+        docs.join(runs, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"]).select("doc_id", "text", "runs")
         .mapInArrow(_windows, "anchor bigint, context bigint, doc_id bigint, step int, hash bigint"),
         "windows",
     )
-    earliest = (
+    earliest = materialise(
+        spark,
         windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"))
-        .where("lowest < highest").drop("highest")
+        .where("lowest < highest").drop("highest"),
+        "earliest-windows",
     )
     found = (
         windows.join(earliest, ["anchor", "hash"]).where("lowest < doc_id")
-        .groupBy("anchor", "context").agg(F.collect_list("step").alias("steps"))
+        .groupBy("anchor", "context").agg(F.collect_set("step").alias("steps"))
     )
     own = varied.join(lowest, ["anchor", "context"])
     later = own.where("doc_id > lowest")
@@ -173,7 +179,7 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("version", F.hash("text"))
     found = repeats(docs.where(F.col("doc_id").isNotNull()))
-    spans = found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    spans = found.groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "n")).alias("spans"))  # rows that repeat have the same
     return (
         docs.join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "spans")
         .mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 PLACE_BITS = np.uint64(28)  # of a packed (hash, place) for the place
 
+LONG_WORD = 48
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -30,6 +33,18 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def word_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash, never zero, of each word: of ``values`` (1 to 256, by byte) from its start to its end.
+
+    Short words are hashed by a polynomial. Modulo 2^64 that has built-in collisions from some
+    hundred symbols on, so words beyond LONG_WORD are hashed by XXH64 of their values.
+    """
+    out = Spans(values).hash(starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(values[starts[i] : ends[i]].astype(np.uint16).tobytes(), 7)
+    return out | np.uint64(1)
+
+
 class Spans:
     """Hashes of any span of an array of items (values below 2^64, none zero)."""
 
@@ -61,10 +76,25 @@ def anchors(grams: np.ndarray, k: int, window: int, group: np.ndarray) -> Anchor
 
     It is the leftmost k-gram of smallest hash inside the window, so equal windows have their
     anchor at the same distance, wherever they occur. ``group`` numbers the items' documents in
-    order. Raises ValueError beyond 2^PLACE_BITS items, whose places would run into the hashes.
+    order. Beyond 2^PLACE_BITS items, whose places would run into the hashes, the windows are
+    walked in segments of that many grams; runs that a border cuts are put together again.
     """
-    if len(grams) > 1 << int(PLACE_BITS):
-        raise ValueError(f"{len(grams)} items are more than the 2^{int(PLACE_BITS)} that anchors can place")
+    segment, w = 1 << int(PLACE_BITS), window - k + 1
+    if len(grams) <= segment:
+        return _anchors(grams, k, window, group)
+    step = segment - w + 1  # windows that begin in a segment and end in it
+    found = []
+    for at in range(0, len(grams) - w + 1, step):
+        a = _anchors(grams[at : at + segment], k, window, group[at : at + segment + k - 1])
+        found.append((a.place + at, a.first + at, a.count))
+    place, first, count = (np.concatenate(c) for c in zip(*found))
+    if not len(place):
+        return Anchors(place, first, count)
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (first[1:] != first[:-1] + count[:-1])]))
+    return Anchors(place[new], first[new], np.add.reduceat(count, new))
+
+
+def _anchors(grams: np.ndarray, k: int, window: int, group: np.ndarray) -> Anchors:
     w = window - k + 1
     n = len(grams) - w + 1
     none = np.zeros(0, np.int64)
