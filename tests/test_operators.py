@@ -103,12 +103,18 @@ def brute_limits(rows):
         if t - s[2] >= dt.timedelta(minutes=1):
             s[2], s[3] = t, 0
         ok = s[1] < daily and s[3] < burst
+        midnight = dt.datetime.combine(t.date() + dt.timedelta(days=1), dt.time())
+        wait = None if ok else int((midnight - t).total_seconds()) if s[1] >= daily else max(1, int((s[2] + dt.timedelta(minutes=1) - t).total_seconds()))
         s[1] += ok
         s[3] += ok
-        out[hit] = ok
+        out[hit] = (ok, max(0, daily - s[1]), max(0, burst - s[3]), wait)
     return out
 
 
+def limit_rows(frame):
+    return {r.hit_id: (r.allowed, r.daily_remaining, r.minute_remaining, r.retry_after) for r in frame.collect()}
+
+
 def test_rate_limits_equal_brute_force(spark):
     rng, rows = random.Random(7), []
     for ident in range(5):
@@ -117,8 +123,19 @@ def test_rate_limits_equal_brute_force(spark):
             t += dt.timedelta(seconds=rng.choice([0, 0, 1, 5, 20, 61]), microseconds=rng.randrange(10**6) if ident % 2 else 0)
             rows.append((len(rows), ident, ["PUBLIC", "EXTERNAL_BUSINESS", "ADMIN", "OTHER"][ident % 4], t))
     df = spark.createDataFrame(rows, "hit_id bigint, identifier bigint, role string, hit_at timestamp_ntz")
-    got = {r.hit_id: r.allowed for r in limits.decide(df).collect()}
-    assert got == brute_limits(rows)
+    assert limit_rows(limits.decide(df)) == brute_limits(rows)
+
+
+def test_rate_limits_over_midnight_and_hours(spark):
+    rng, rows = random.Random(8), []
+    for ident, role in enumerate(["PUBLIC", "EXTERNAL_BUSINESS", "PUBLIC"]):
+        for day in (0, 1, 3):
+            for hour in (0, 23):
+                start = dt.datetime(2024, 1, 1 + day, hour, 0 if hour == 0 else 59)
+                rows += [(0, ident, role, start + dt.timedelta(seconds=rng.randrange(120))) for _ in range(rng.choice([1, 4, 40, 900]))]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "hit_id bigint, identifier bigint, role string, hit_at timestamp_ntz").repartition(3)
+    assert limit_rows(limits.decide(df)) == brute_limits(rows)
 
 
 def test_range_match_equals_brute_force(spark):
@@ -364,7 +381,10 @@ def test_stream_limits_late_hits_by_their_own_day(spark, tmp_path):
     schema = "hit_id bigint, identifier bigint, role string, hit_at timestamp_ntz"
     second = dt.datetime(2024, 1, 2, 9)
     first = [(i, 1, "PUBLIC", second + dt.timedelta(minutes=5 * i)) for i in range(10)]
+    # Of the second batch, one hit is a day old, two are forty days younger and three as much older.
     later = [(10, 1, "PUBLIC", dt.datetime(2024, 1, 1, 9)), (11, 1, "PUBLIC", second + dt.timedelta(hours=5))]
+    later += [(12 + i, 1, "PUBLIC", second + dt.timedelta(days=40, seconds=i)) for i in range(2)]
+    later += [(14 + i, 1, "PUBLIC", second - dt.timedelta(days=40, seconds=i)) for i in range(3)]
     landing, out = str(tmp_path / "hits"), str(tmp_path / "out")
     for part in (first, later):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landing)
@@ -373,9 +393,8 @@ def test_stream_limits_late_hits_by_their_own_day(spark, tmp_path):
             .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
         )
         run.awaitTermination()
-    got = {r.hit_id: r.allowed for r in spark.read.parquet(out).collect()}
-    batch = {r.hit_id: r.allowed for r in limits.decide(spark.createDataFrame(first + later, schema)).collect()}
-    assert got == batch and not got[11] and got[10]
+    got, batch = limit_rows(spark.read.parquet(out)), limit_rows(limits.decide(spark.createDataFrame(first + later, schema)))
+    assert got == batch and not got[11][0] and got[10][0]
 
 
 def test_a_retrieved_zero_supports_numbers_below_the_tolerance_only(spark):

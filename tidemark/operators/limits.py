@@ -5,216 +5,179 @@ window opened; inside it at most ``burst`` hits pass; at most ``daily`` hits pas
 per calendar day; refused hits count for nothing. The role of an identifier is
 constant.
 
-Where windows open does not depend on what passes, only on hit times. So the
-opening hits are found first, on distinct times per identifier, by following
-"first hit at least 60 s later" pointers. A busy identifier is split into hours,
-days and months: each group handles one such span, and passes on only the hits
-that can be entered from the span before. Everything after that is ranking inside minute
-windows and days.
+The hits of an identifier and hour are one cell. What an hour does depends on the
+hours before only through three numbers: when the open window opened, how many
+hits passed in it, how many passed that day. A first pass over the cells
+says, for every hit that can be the first to open a window there, what the
+hour then makes of these numbers; that is one short row per cell. A fold over the
+rows of an identifier gives the numbers that enter each cell, and a second pass
+decides the hits. Hits are shuffled twice, and a busy identifier is spread over its hours.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
 from tidemark.functions.numeric import lookup
-from tidemark.operators import keyed
 from tidemark.session import materialise
 
-MINUTE = 60_000_000  # microseconds
-_SPANS = ["HOUR", "DAY", "MONTH"]
-_POINTER = "identifier bigint, t bigint, nxt bigint"
+MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000  # microseconds
+NEVER = -(1 << 62)  # opening time of a window that is long over
+
+_CELL = (
+    "identifier bigint, hour bigint, n bigint, burst bigint, daily bigint, "
+    "enter array<bigint>, head array<bigint>, passes array<bigint>, opened array<bigint>, last array<bigint>"
+)
+_STATE = "identifier bigint, hour bigint, opened bigint, passed bigint, used bigint"
+_DECIDED = "hit_id bigint, identifier bigint, role string, t bigint, allowed boolean, daily_remaining bigint, minute_remaining bigint, retry_after bigint"
 
 
 def _micros(c):
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
 
 
-def _span(level: str):
-    """Start of the hour / day / month of a microsecond time, as microseconds."""
-    return _micros(F.date_trunc(level, F.timestamp_add("MICROSECOND", F.col("t"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))).cast("timestamp_ntz"))
-
-
-def _leave(t: np.ndarray, nxt: np.ndarray, entered: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which hits of one span can be entered from the span before, and every hit's first target outside the span."""
-    at = np.searchsorted(t, nxt)
-    inside = (at < len(t)) & (t[np.minimum(at, len(t) - 1)] == nxt)
-    out = nxt.copy()
-    for i in range(len(t) - 1, -1, -1):
-        if inside[i]:
-            out[i] = out[at[i]]
-    # Enterable: the hits of the first minute and the first one after it.
-    return np.arange(len(t)) <= np.searchsorted(t, span + MINUTE), out
-
-
-def _visit(t: np.ndarray, nxt: np.ndarray, entered: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hits of one span that the chain passes through, from the entered hits on."""
-    at = np.searchsorted(t, nxt)
-    inside = (at < len(t)) & (t[np.minimum(at, len(t) - 1)] == nxt)
-    hit = entered.copy()
-    for i in range(len(t)):
-        if hit[i] and inside[i]:
-            hit[at[i]] = True
-    return hit, nxt
+def _frames(rows: Iterator[tuple], columns: list[str], size: int = 5000) -> Iterator[pd.DataFrame]:
+    out = []
+    for row in rows:
+        out.append(row)
+        if len(out) == size:
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=columns)
 
 
-def _by_span(hits: DataFrame, step, single_is_kept: bool) -> DataFrame:
-    """Runs ``step`` on the hits of every (identifier, span), in time order.
+def _summary(t: list[int], hour: int, burst: int) -> tuple[list, ...]:
+    """For each hit that may open the first window of the hour: its time, the hits before it, the
+    hits that pass from it on by the minute rule, and the last window: its opening and its hits.
 
-    Spans lie sorted in the partitions; one is held in memory at a time. A span with one hit
-    needs no step: it is kept always, or if it is entered.
+    A window of the hour before began less than a minute before this one, so these are
+    the hits of the first minute and the first one after it.
     """
-    def groups(pdf: pd.DataFrame) -> pd.DataFrame:
-        who, span = pdf["identifier"].to_numpy(), pdf["span"].to_numpy()
-        t, nxt, entered = pdf["t"].to_numpy(), pdf["nxt"].to_numpy().copy(), pdf["entered"].to_numpy(dtype=bool)
-        begin = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (span[1:] != span[:-1])]))
-        end = np.append(begin[1:], len(t))
-        keep = np.ones(len(t), bool) if single_is_kept else entered.copy()
-        for a, b in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
-            keep[a:b], nxt[a:b] = step(t[a:b], nxt[a:b], entered[a:b], int(span[a]))
-        return pd.DataFrame({"identifier": who[keep], "t": t[keep], "nxt": nxt[keep]})
-
-    def run(batches):
-        held = None
+    after = bisect_left(t, hour + MINUTE)
+    can = [i for i in range(min(after + 1, len(t))) if i == 0 or t[i] != t[i - 1]]
+    known: dict[int, tuple[int, int, int]] = {}
+    for first in reversed(can):
+        chain, i = [], first
+        while i < len(t) and i not in known:
+            chain.append(i)
+            i = bisect_left(t, t[i] + MINUTE, i)
+        passes, opened, last = known.get(i, (0, None, 0))
+        for j in reversed(chain):
+            size = i - j
+            passes += min(size, burst)
+            if opened is None:
+                opened, last = t[j], size
+            known[j], i = (passes, opened, last), j
+    return [t[i] for i in can], can, *(list(c) for c in zip(*(known[i] for i in can)))
+
+
+def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per cell, from hits in order of cell and time; a cell may go on in the next batch."""
+    def rows():
+        cell, t = None, []
         for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if pdf.empty:
+            for who, hour, at, burst, daily in zip(*(pdf[c].tolist() for c in ("identifier", "hour", "t", "burst", "daily"))):
+                if cell is None or hour != cell[1] or who != cell[0]:
+                    if cell is not None:
+                        yield *cell[:2], len(t), *cell[2:], *_summary(t, cell[1], cell[2])
+                    cell, t = (who, hour, burst, daily), []
+                t.append(at)
+        if cell is not None:
+            yield *cell[:2], len(t), *cell[2:], *_summary(t, cell[1], cell[2])
+
+    yield from _frames(rows(), [c.split()[0] for c in _CELL.split(", ")])
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What enters each cell of an identifier, cell by cell in time order."""
+    def rows():
+        before = None
+        for pdf in batches:
+            for who, hour, n, burst, daily, enter, head, passes, opens, last in pdf.itertuples(index=False, name=None):
+                if who != before:
+                    before, day, opened, passed, used = who, None, NEVER, 0, 0
+                if hour // DAY != day:
+                    day, used = hour // DAY, 0
+                yield who, hour, opened, passed, used
+                i = int(np.searchsorted(enter, opened + MINUTE))
+                goes_on = int(head[i]) if i < len(enter) else n  # hits of the window that is open
+                by_minute = min(goes_on, max(0, burst - passed))
+                room = daily - used
+                if i < len(enter):
+                    in_last = min(int(last[i]), burst)
+                    allowed = min(room, by_minute + int(passes[i]))
+                    opened, passed = int(opens[i]), max(0, allowed - (by_minute + int(passes[i]) - in_last))
+                else:
+                    allowed = min(room, by_minute)
+                    passed += allowed
+                used += allowed
+
+    yield from _frames(rows(), [c.split()[0] for c in _STATE.split(", ")])
+
+
+def _decisions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walks the hits of cell after cell; the first row of a cell holds what enters it."""
+    opened, passed, used = NEVER, 0, 0
+    for pdf in batches:
+        out = []
+        columns = (pdf[c].tolist() for c in ("kind", "t", "burst", "daily", "opened", "passed", "used"))
+        for kind, t, burst, daily, was_opened, had_passed, was_used in zip(*columns):
+            if kind == 0:
+                opened, passed, used = was_opened, had_passed, was_used
                 continue
-            open_ = (pdf["identifier"] == pdf["identifier"].iloc[-1]) & (pdf["span"] == pdf["span"].iloc[-1])
-            first = int(open_.to_numpy().argmax())
-            if first:
-                yield groups(pdf.iloc[:first])
-            held = pdf.iloc[first:]
-        if held is not None and len(held):
-            yield groups(held)
-
-    rows = hits.select("identifier", "span", "t", "nxt", "entered")
-    return rows.repartition("identifier", "span").sortWithinPartitions("identifier", "span", "t").mapInPandas(run, _POINTER)
+            if t - opened >= MINUTE:
+                opened, passed = t, 0
+            ok, retry = used < daily and passed < burst, None
+            if ok:
+                used += 1
+                passed += 1
+            elif used >= daily:
+                retry = ((t // DAY + 1) * DAY - t) // 1_000_000
+            else:
+                retry = max(1, (opened + MINUTE - t) // 1_000_000)
+            out.append((ok, max(0, daily - used), max(0, burst - passed), retry))
+        hits = pdf.loc[pdf["kind"] == 1, ["hit_id", "identifier", "role", "t"]]
+        if out:
+            allowed, day, minute, retry = zip(*out)
+            yield hits.assign(allowed=allowed, daily_remaining=day, minute_remaining=minute, retry_after=pd.array(retry, "Int64"))
 
 
-def window_starts(hits: DataFrame) -> DataFrame:
-    """(identifier, t) of the hits that open a minute window.
+def decide(hits: DataFrame) -> DataFrame:
+    """For every hit (hit_id, identifier, role, hit_at): ``allowed``, and what is left after it.
 
-    ``hits``: identifier, t (microseconds).
+    ``daily_remaining`` and ``minute_remaining`` count hits; ``retry_after`` is the whole seconds
+    until a refused hit could pass: to midnight where the day is used up, else to the end of the
+    minute window (one at least); null where the hit passes.
     """
-    times = hits.groupBy("identifier", "t").agg(F.first("at").alias("at"))
-    due = times.select("identifier", (F.col("t") + MINUTE).alias("t"), F.timestamp_add("SECOND", F.lit(60), F.col("at")).alias("at"),
-                       F.col("t").alias("of"), F.lit(0).alias("side"))
-    marks = times.select("identifier", "t", "at", F.lit(None).cast("bigint").alias("of"), F.lit(1).alias("side"))
-    target = F.when(F.col("side") == 1, F.col("t"))
-    base = keyed.carry(due.unionByName(marks), ["identifier"], "at", "side", target, "nxt", "HOUR", forward=False)
-    end = F.lit(2**62)
-    first_level = base.filter(F.col("of").isNotNull()).select("identifier", F.col("of").alias("t"), F.coalesce("nxt", end).alias("nxt"))
-    # Each level is read twice (going up and coming down), so it is written once.
     spark = hits.sparkSession
-    pointers = [materialise(spark, first_level, "window-pointers")]
-    for level in _SPANS:
-        span = pointers[-1].withColumn("span", _span(level)).withColumn("entered", F.lit(False))
-        pointers.append(materialise(spark, _by_span(span, _leave, True), "window-pointers"))
-    # Top level: what is left of an identifier, followed from its first hit.
-    top = pointers[-1]
-    first = times.groupBy(F.col("identifier").alias("_i")).agg(F.min("t").alias("_t"))
-    roots = top.join(first, F.col("identifier") == F.col("_i")).select(
-        "identifier", F.lit(0).cast("bigint").alias("span"), "t", "nxt", (F.col("t") == F.col("_t")).alias("entered")
-    )
-    chain = _by_span(roots, _visit, False)
-    for level, below in zip(reversed(_SPANS), reversed(pointers[:-1])):
-        entered = chain.select(F.col("identifier").alias("_i"), F.col("t").alias("_t"))
-        marked = below.join(entered, (F.col("identifier") == F.col("_i")) & (F.col("t") == F.col("_t")), "left").select(
-            "identifier", "t", "nxt", F.col("_t").isNotNull().alias("entered")
-        ).withColumn("span", _span(level))
-        chain = _by_span(marked, _visit, False)
-    return chain.select("identifier", "t")
-
-
-def decide(hits: DataFrame) -> DataFrame:
-    """``allowed`` for every hit. ``hits``: hit_id, identifier, role, hit_at."""
-    known = F.create_map(*[F.lit(x) for pair in {r: v[0] for r, v in K.RATE_LIMITS.items()}.items() for x in pair])[F.col("role")]
-    daily = F.coalesce(known, F.lit(K.RATE_LIMITS["PUBLIC"][0]))
+    daily = F.coalesce(lookup(F.col("role"), {r: v[0] for r, v in K.RATE_LIMITS.items()}), F.lit(K.RATE_LIMITS["PUBLIC"][0]))
     burst = F.coalesce(lookup(F.col("role"), {r: v[1] for r, v in K.RATE_LIMITS.items()}), F.lit(K.RATE_LIMITS["PUBLIC"][1]))
+    t = _micros(F.col("hit_at"))
     rows = hits.select(
-        "hit_id", "identifier", "role", "hit_at", F.col("hit_at").alias("at"), _micros(F.col("hit_at")).alias("t"),
-        daily.alias("daily"), burst.alias("burst"), F.col("hit_at").cast("date").alias("day"),
-    )
-    starts = materialise(hits.sparkSession, window_starts(rows), "window-starts").select(F.col("identifier").alias("_i"), F.col("t").alias("_t"))
-    opened = rows.join(starts, (F.col("identifier") == F.col("_i")) & (F.col("t") == F.col("_t")), "left")
-    opened = opened.withColumn("_open", F.col("_t")).drop("_i", "_t")
-    # Every hit of an opening time carries the mark, so "last mark up to this row" is its window.
-    windowed = keyed.carry(opened, ["identifier"], "at", "hit_id", F.col("_open"), "win", "HOUR", include_self=True)
-    order = [F.col("at"), F.col("hit_id")]
-    per_part = Window.partitionBy("identifier", "win", "day").orderBy(*order)
-    ranked = windowed.withColumn("pos", F.row_number().over(per_part))
-    allowance = _burst_left(ranked)
-    joined = ranked.join(
-        allowance, (F.col("identifier") == F.col("_bi")) & (F.col("win") == F.col("_bw")) & (F.col("day") == F.col("_bd")), "left"
-    ).withColumn("_left", F.coalesce(F.col("_left"), F.col("burst").cast("bigint")))
-    minute_ok = joined.withColumn("minute_ok", F.col("pos") <= F.col("_left"))
-    # Rank within the day among hits the minute rule lets pass. The others never count; they
-    # are scattered so that a flood of refused hits does not gather in one partition.
-    lane = F.when(F.col("minute_ok"), F.lit(-1)).otherwise(F.pmod(F.col("hit_id"), F.lit(1024)))
-    per_day = Window.partitionBy("identifier", "day", lane).orderBy(*order)
-    ranked_day = minute_ok.withColumn("day_rank", F.row_number().over(per_day))
-    return ranked_day.select(
-        "hit_id", "identifier", "role", "hit_at",
-        (F.col("minute_ok") & (F.col("day_rank") <= F.col("daily"))).alias("allowed"),
-    )
-
-
-def _burst_left(ranked: DataFrame) -> DataFrame:
-    """Hits still allowed after midnight in windows that straddle it.
-
-    How many passed before midnight depends on that day's limit, which depends on
-    what the day before left over, and so on: a fold over the days of an
-    identifier, one small row per day.
-    """
-    parts = ranked.groupBy("identifier", "win", "day").agg(
-        F.count(F.lit(1)).alias("n"), F.max("burst").cast("bigint").alias("burst"), F.max("daily").cast("bigint").alias("daily")
-    )
-    opens_on = F.timestamp_add("MICROSECOND", F.col("win"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("date")
-    parts = parts.withColumn("late", opens_on < F.col("day"))
-    cont = parts.filter("late").select(
-        F.col("identifier").alias("_ci"), F.col("win").alias("_cw"), F.lit(True).alias("_goes_on")
-    )
-    own = parts.filter(~F.col("late")).join(
-        cont, (F.col("identifier") == F.col("_ci")) & (F.col("win") == F.col("_cw")), "left"
+        "hit_id", "identifier", "role", "hit_at", t.alias("t"), (t - F.pmod(t, F.lit(HOUR))).alias("hour"),
+        burst.cast("bigint").alias("burst"), daily.cast("bigint").alias("daily"),
     )
-    passed = F.least("n", "burst")
-    per_day = own.groupBy("identifier", "day").agg(
-        F.max("burst").alias("burst"), F.max("daily").alias("daily"),
-        F.coalesce(F.sum(F.when(F.col("_goes_on").isNull(), passed)), F.lit(0)).alias("full"),
-        F.max(F.when(F.col("_goes_on"), passed)).alias("tail"), F.max(F.when(F.col("_goes_on"), F.col("win"))).alias("tail_win"),
+    cells = (
+        rows.select("identifier", "hour", "t", "burst", "daily")
+        .repartition("identifier", "hour").sortWithinPartitions("identifier", "hour", "t").mapInPandas(_summaries, _CELL)
     )
-    late = parts.filter("late").select(
-        F.col("identifier").alias("_li"), F.col("win").alias("_lw"), F.col("day").alias("_ld"), F.col("n").alias("head"),
-        F.col("burst").alias("_lb"), F.col("daily").alias("_lq"),
+    states = materialise(spark, cells.repartition("identifier").sortWithinPartitions("identifier", "hour").mapInPandas(_fold, _STATE), "limit-states")
+    # What enters a cell travels as its first row, so that hits are shuffled without a join.
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("string")
+    columns = ["identifier", "hour", "kind", "t", "hit_id", "role", "burst", "daily", "opened", "passed", "used"]
+    first = states.select("*", F.lit(0).alias("kind"), none.alias("role"), *[zero.alias(c) for c in ("t", "hit_id", "burst", "daily")])
+    rest = rows.select("*", F.lit(1).alias("kind"), *[zero.alias(c) for c in ("opened", "passed", "used")])
+    decided = (
+        first.select(*columns).unionByName(rest.select(*columns)).repartition("identifier", "hour")
+        .sortWithinPartitions("identifier", "hour", "kind", "t", "hit_id").mapInPandas(_decisions, _DECIDED)
     )
-    days = per_day.join(late, (F.col("identifier") == F.col("_li")) & (F.col("day") == F.col("_ld")), "full_outer").select(
-        F.coalesce("identifier", "_li").alias("identifier"), F.coalesce("day", "_ld").alias("day"),
-        F.coalesce("burst", "_lb").alias("burst"), F.coalesce("daily", "_lq").alias("daily"),
-        F.coalesce("full", F.lit(0)).alias("full"), F.col("tail"), F.col("tail_win"),
-        F.coalesce("head", F.lit(0)).alias("head"), F.col("_lw").alias("head_win"),
-    )
-    folded = days.groupBy("identifier").agg(F.array_sort(F.collect_list(F.struct(
-        "day", "burst", "daily", "full", "tail", "tail_win", "head", "head_win"))).alias("days"))
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(
-        zero.alias("before"), F.lit(None).cast("bigint").alias("win"),
-        F.array().cast("array<struct<win:bigint,day:date,left:bigint>>").alias("out"),
-    )
-
-    def step(acc, d):
-        linked = d["head_win"].isNotNull() & acc["win"].eqNullSafe(d["head_win"])
-        left = F.when(linked, F.greatest(zero, d["burst"] - acc["before"])).otherwise(d["burst"])
-        used = F.least(d["daily"], F.least(d["head"], left) + d["full"])
-        before = F.least(F.coalesce(d["tail"], zero), d["daily"] - used)
-        note = F.when(d["head_win"].isNotNull(), F.array(F.struct(
-            d["head_win"].alias("win"), d["day"].alias("day"), left.alias("left")))).otherwise(
-            F.array().cast("array<struct<win:bigint,day:date,left:bigint>>"))
-        return F.struct(before.alias("before"), d["tail_win"].alias("win"), F.concat(acc["out"], note).alias("out"))
-
-    notes = folded.select("identifier", F.inline(F.aggregate("days", start, step)["out"]))
-    return notes.select(F.col("identifier").alias("_bi"), F.col("win").alias("_bw"), F.col("day").alias("_bd"), F.col("left").alias("_left"))
+    at = F.timestamp_add("MICROSECOND", F.col("t"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return decided.select("hit_id", "identifier", "role", at.alias("hit_at"), "allowed", "daily_remaining", "minute_remaining", "retry_after")

@@ -7,7 +7,6 @@ order. Micro-batch size (files or bytes per trigger) bounds what one call sorts.
 from __future__ import annotations
 
 import datetime as dt
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,57 +16,59 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark import constants as K
 
-RETAINED_DAYS = 31
-
-
 def _in_order(rows: Iterator[pd.DataFrame], *columns: str) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(list(columns))
 
 
 class RateLimiter(StatefulProcessor):
-    """Daily counts and anchored minute windows per identifier, one small state for each day.
+    """Daily counts and anchored minute windows per identifier, one small state row for each day.
 
-    A hit that arrives late is judged by the counts of its own day. Days older than
-    ``RETAINED_DAYS`` before the newest one are forgotten. With ``expire`` an identifier without
-    hits for that long loses its state; this needs processing time, under which a one-shot
+    A hit that arrives late, however late, is judged by the counts of its own day. Only the days
+    that a micro-batch touches, and the ones before them, are read. With ``ttl_days`` the row of a day that wasn't
+    touched for that long is dropped; this needs processing time, under which a one-shot
     (availableNow) run doesn't end.
     """
 
-    def __init__(self, expire: bool):
-        self.expire = expire
+    def __init__(self, ttl_days: int | None):
+        self.ttl_days = ttl_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # One small JSON text per identifier: day -> [hits used, window opened at, hits passed in it]
-        self.state = handle.getValueState("days", "days string", RETAINED_DAYS * 86_400_000 if self.expire else None)
+        ttl = self.ttl_days * 86_400_000 if self.ttl_days else None
+        self.days = handle.getMapState("days", "day date", "used bigint, opened timestamp, passed bigint", ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stored = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        days = {
-            dt.date.fromisoformat(d): [used, dt.datetime.fromisoformat(opened) if opened else None, passed]
-            for d, (used, opened, passed) in stored.items()
-        }
-        hits = _in_order(rows, "hit_at", "hit_id")
-        allowed = []
+        hits, touched, out = _in_order(rows, "hit_at", "hit_id"), {}, []
+
+        def of(day: dt.date) -> list:
+            if day not in touched:
+                touched[day] = list(self.days.getValue((day,))) if self.days.containsKey((day,)) else [0, None, 0]
+            return touched[day]
+
         for role, at in zip(hits["role"], hits["hit_at"]):
             daily, burst = K.RATE_LIMITS.get(role, K.RATE_LIMITS["PUBLIC"])
             at = at.to_pydatetime()
-            own = days.setdefault(at.date(), [0, None, 0])
+            own = of(at.date())
             # The window that is open: this day's, or one that goes on over midnight.
-            before = days.get(at.date() - dt.timedelta(days=1))
-            source = own if own[1] is not None else before if before and before[1] is not None else own
+            before = of(at.date() - dt.timedelta(days=1)) if own[1] is None else None
+            source = own if own[1] is not None else before if before[1] is not None else own
             if source[1] is None or at - source[1] >= dt.timedelta(minutes=1):
                 own[1], own[2], source = at, 0, own
             ok = own[0] < daily and source[2] < burst
+            retry = None
+            if not ok and own[0] >= daily:
+                retry = int((dt.datetime.combine(at.date() + dt.timedelta(days=1), dt.time()) - at).total_seconds())
+            elif not ok:
+                retry = max(1, int((source[1] + dt.timedelta(minutes=1) - at).total_seconds()))
             own[0] += ok
             source[2] += ok
-            allowed.append(bool(ok))
-        oldest = max(days) - dt.timedelta(days=RETAINED_DAYS)
-        kept = {
-            d.isoformat(): (int(used), opened.isoformat() if opened else None, int(passed))
-            for d, (used, opened, passed) in days.items() if d >= oldest
-        }
-        self.state.update((json.dumps(kept),))
-        yield hits[["hit_id", "identifier", "role", "hit_at"]].assign(allowed=allowed)
+            out.append((bool(ok), max(0, daily - own[0]), max(0, burst - source[2]), retry))
+        for day, state in touched.items():
+            if state[0] or state[1] is not None:
+                self.days.updateValue((day,), (int(state[0]), state[1], int(state[2])))
+        allowed, daily_left, minute_left, retry = zip(*out)
+        yield hits[["hit_id", "identifier", "role", "hit_at"]].assign(
+            allowed=allowed, daily_remaining=daily_left, minute_remaining=minute_left, retry_after=pd.array(retry, "Int64")
+        )
 
     def close(self) -> None:
         pass
@@ -237,11 +238,14 @@ def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str
     )
 
 
-def limit_hits(hits: DataFrame, expire: bool = False) -> DataFrame:
+def limit_hits(hits: DataFrame, ttl_days: int | None = None) -> DataFrame:
+    """Decisions as ``limits.decide`` gives them, with what is left after each hit."""
     zoned = hits.withColumn("hit_at", F.col("hit_at").cast("timestamp"))
-    return _stateful(zoned, "identifier", RateLimiter(expire),
-                     "hit_id bigint, identifier bigint, role string, hit_at timestamp, allowed boolean",
-                     "ProcessingTime" if expire else "None")
+    return _stateful(
+        zoned, "identifier", RateLimiter(ttl_days),
+        "hit_id bigint, identifier bigint, role string, hit_at timestamp, allowed boolean, daily_remaining bigint, minute_remaining bigint, retry_after bigint",
+        "ProcessingTime" if ttl_days else "None",
+    )
 
 
 def escalate_blocks(blocks: DataFrame, delay: str = "1 hour", forget_days: int | None = None) -> DataFrame:
