@@ -314,9 +314,9 @@ def test_page_links(spark):
 def test_sinks(spark, tmp_path):
     base = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 2.0)], "k string, w int, v double")
     path = str(tmp_path / "cards")
-    base.write.parquet(path)
-    target = sinks.upsert(spark, path, spark.createDataFrame([("b", 1, 5.0), ("c", 1, 6.0)], "k string, w int, v double"), ["k", "w"], "v2")
-    assert sorted((r.k, r.v) for r in spark.read.parquet(target).collect()) == [("a", 1.0), ("b", 5.0), ("c", 6.0)]
+    base.write.partitionBy("w").parquet(path)
+    sinks.upsert_partitions(spark, path, spark.createDataFrame([("b", 1, 5.0), ("c", 1, 6.0)], "k string, w int, v double"), ["k", "w"], "w")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1.0), ("b", 5.0), ("c", 6.0)]
     parts = str(tmp_path / "parts")
     sinks.replace_partitions(base, parts, ["k"])
     sinks.replace_partitions(spark.createDataFrame([("b", 1, 9.0)], "k string, w int, v double"), parts, ["k"])

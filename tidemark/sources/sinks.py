@@ -29,14 +29,6 @@ def merge_by_key(current: DataFrame, incoming: DataFrame, keys: list[str]) -> Da
     return kept.unionByName(incoming)
 
 
-def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], version: str) -> str:
-    """Write the merged table beside the old one and return its path (never over its own input)."""
-    current = spark.read.parquet(path)
-    target = f"{path.rstrip('/')}__{version}"
-    merge_by_key(current, incoming, keys).write.mode("errorifexists").parquet(target)
-    return target
-
-
 def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], partition: str) -> None:
     """Upsert into a table partitioned by ``partition``, one of the keys: only partitions with incoming rows are rewritten."""
     touched = incoming.select(partition).distinct()
