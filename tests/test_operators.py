@@ -85,6 +85,33 @@ def test_carry_equals_brute_force(spark, bucket, forward):
             last[k] = v
 
 
+@pytest.mark.parametrize("forward", [True, False])
+def test_carry_of_several_values_equals_brute_force(spark, forward):
+    rng = random.Random(2)
+    rows = [
+        (i, rng.choice(["a", "a", "b", None]), rng.choice([1, 2, None]), DAY + dt.timedelta(minutes=rng.randrange(6000)), rng.choice([None, rng.random()]))
+        for i in range(300)
+    ]
+    df = spark.createDataFrame(rows, "id bigint, k string, t bigint, at timestamp_ntz, v double")
+    values = {"own": (F.col("v"), ["t"]), "whole": (F.col("v") * 2, []), "few": (F.when(F.col("t") == 1, F.col("v")), [])}
+    got = {r.id: (r.own, r.whole, r.few) for r in keyed.carry_several(df, ["k"], "at", "id", values, "DAY", forward).collect()}
+    own, whole, few = {}, {}, {}
+    for i, k, t, _, v in sorted(rows, key=lambda r: (r[3], r[0]), reverse=not forward):
+        assert got[i] == (own.get((k, t)), whole.get(k), few.get(k))
+        if v is not None:
+            own[k, t], whole[k] = v, 2 * v
+            if t == 1:
+                few[k] = v
+
+
+def test_carry_shuffles_its_rows_once(spark):
+    df = spark.createDataFrame([(1, "a", 1, DAY, 1.0)], "id bigint, k string, t bigint, at timestamp_ntz, v double")
+    values = {"own": (F.col("v"), ["t"]), "whole": (F.col("v"), [])}
+    plan = keyed.carry_several(df, ["k"], "at", "id", values)._jdf.queryExecution().executedPlan().toString()
+    # One exchange of all rows; the others belong to the summaries (partial aggregate, then their window).
+    assert plan.count("Exchange hashpartitioning(_place#") <= 1 + len(values) and "Join" not in plan
+
+
 def test_republishing_flags_a_revision_with_delta(spark):
     rows = [(1, "G", "U", "23", 2.0, False, DAY), (2, "G", "U", "23", 9.0, True, DAY + dt.timedelta(1)),
             (3, "G", "U", "23", 2.0, False, DAY + dt.timedelta(2)), (4, "G", "U", "24", 1.0, False, DAY)]

@@ -4,7 +4,7 @@
 reduced before the shuffle. ``top_per_key`` filters ``row_number() <= n`` right
 above the window, which Spark turns into a per-partition group limit before the
 exchange. ``carry`` splits each key by time bucket and stitches the
-buckets through a small per-bucket summary.
+buckets through a small per-bucket summary; several values share one placement.
 """
 
 from __future__ import annotations
@@ -38,33 +38,45 @@ def carry(
     df: DataFrame, keys: list[str], at: str, tie: str, value: Column, out: str, bucket: str = "HOUR",
     forward: bool = True, include_self: bool = False,
 ) -> DataFrame:
-    """Nearest non-null ``value`` before (or after) each row of its key, in (at, tie) order.
+    """Nearest non-null ``value`` before (or after) each row of its key, in (at, tie) order."""
+    return carry_several(df, keys, at, tie, {out: (value, [])}, bucket, forward, include_self)
 
-    The rows are written once, so that whatever they come from is worked out once. A key is
-    then handled one time bucket at a time: rows are shuffled by (key, bucket), and the value
-    entering a bucket comes from the nearest non-empty bucket on that side, found on the
-    per-bucket summary (one row per key and bucket, pre-aggregated). Key and bucket are one
-    struct, which is never null itself, so that the join finds the rows already in place.
+
+def carry_several(
+    df: DataFrame, keys: list[str], at: str, tie: str, values: dict[str, tuple[Column, list[str]]], bucket: str = "HOUR",
+    forward: bool = True, include_self: bool = False,
+) -> DataFrame:
+    """``carry`` of several values over one placement: output column -> (value, further key columns of this value).
+
+    The rows are written once, so that whatever they come from is worked out once. A key is then
+    handled one time bucket at a time. What enters a bucket comes from the nearest non-empty
+    bucket on that side, found on a summary (one row per key, further keys and bucket,
+    pre-aggregated). The summary rows go before the bucket's own rows in the same shuffle by (key,
+    bucket), which serves all values. Key and bucket are one struct, which is never null itself.
     """
     place = F.struct(*[F.col(k) for k in keys], F.date_trunc(bucket, F.col(at)).alias("_bucket"))
-    b = materialise(df.sparkSession, df.withColumn("_v", value).withColumn("_place", place), "carry")
-    order = F.when(F.col("_v").isNotNull(), F.struct(F.col(at), F.col(tie)))
-    edge = F.max_by("_v", order) if forward else F.min_by("_v", order)
-    ends = b.groupBy(F.col("_place").alias("_at")).agg(edge.alias("_end"))
+    held = {f"_v{i}": value for i, (value, _) in enumerate(values.values())}
+    b = materialise(df.sparkSession, df.select("*", place.alias("_place"), *[v.alias(c) for c, v in held.items()]), "carry")
 
     def ordered(*columns: str) -> list[Column]:
         return [F.col(c).asc() if forward else F.col(c).desc() for c in columns]
 
-    whole = F.struct(*[F.col(f"_at.{k}") for k in keys])
-    earlier = Window.partitionBy(whole).orderBy(*ordered("_at._bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("_at", F.last("_end", ignorenulls=True).over(earlier).alias("_enter"))
-    inside = Window.partitionBy("_place").orderBy(*ordered(at, tie)).rowsBetween(
-        Window.unboundedPreceding, 0 if include_self else -1
-    )
-    b = b.withColumn("_seen", F.last("_v", ignorenulls=True).over(inside))
-    return b.join(ends, F.col("_place") == F.col("_at"), "left").select(
-        *df.columns, F.coalesce(F.col("_seen"), F.col("_enter")).alias(out)
-    )
+    whole = [F.col(f"_place.{k}") for k in keys]
+    rows = b.withColumn("_own", F.lit(True))
+    for c, (_, further) in zip(held, values.values()):
+        order = F.when(F.col(c).isNotNull(), F.struct(F.col(at), F.col(tie)))
+        edge = F.max_by(c, order) if forward else F.min_by(c, order)
+        earlier = Window.partitionBy(F.struct(*whole, *further)).orderBy(*ordered("_place._bucket")).rowsBetween(Window.unboundedPreceding, -1)
+        entering = F.last("_end", ignorenulls=True).over(earlier)
+        ends = b.groupBy("_place", *further).agg(edge.alias("_end")).select("_place", *further, entering.alias(c))
+        rows = rows.unionByName(ends.where(F.col(c).isNotNull()).withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    rows = rows.repartition("_place")
+    for out, c in zip(values, held):
+        inside = Window.partitionBy("_place", *values[out][1]).orderBy("_own", *ordered(at, tie)).rowsBetween(
+            Window.unboundedPreceding, 0 if include_self else -1
+        )
+        rows = rows.withColumn(out, F.last(c, ignorenulls=True).over(inside))
+    return rows.where("_own").select(*df.columns, *values)
 
 
 def carry_forward(df: DataFrame, keys: list[str], at: str, tie: str, value: Column, out: str, bucket: str = "HOUR") -> DataFrame:

@@ -106,9 +106,9 @@ def flag_revisions(promotions: DataFrame, bucket: str = "HOUR") -> DataFrame:
     previous = F.when(~F.col("is_forecast"), F.struct("promoted_at", "record_id", F.col("value").alias("value")))
     rows = promotions if "tenant_id" in promotions.columns else promotions.withColumn("tenant_id", F.lit(None).cast("bigint"))
     # Nearest earlier row of the own tenant, and nearest earlier global row: the later of the two counts.
-    own = keyed.carry_forward(rows, [*keys, "tenant_id"], "promoted_at", "record_id", previous, "_own", bucket)
-    both = keyed.carry_forward(own, keys, "promoted_at", "record_id", F.when(F.col("tenant_id").isNull(), previous), "_global", bucket)
-    seen = F.greatest("_own", "_global")
+    values = {"_tenants": (previous, ["tenant_id"]), "_global": (F.when(F.col("tenant_id").isNull(), previous), [])}
+    both = keyed.carry_several(rows, keys, "promoted_at", "record_id", values, bucket)
+    seen = F.greatest("_tenants", "_global")
     return both.withColumn("_prev", seen).select(
         *promotions.columns,
         F.col("_prev").isNotNull().alias("revision_flag"),

@@ -63,17 +63,18 @@ def crawl_decisions(log: DataFrame) -> DataFrame:
     )
 
 
-def with_stored_headers(log: DataFrame) -> DataFrame:
-    """Adds the ETag and Last-Modified of the source's last PROCEED entry before each entry."""
+def with_stored(log: DataFrame, **others: Column) -> DataFrame:
+    """Adds the ETag and Last-Modified of the source's last PROCEED entry before each entry, and the last of ``others``."""
     kept = F.when(F.col("action") == "PROCEED", F.struct("etag", "last_modified"))
-    found = keyed.carry_forward(log, ["source_code"], "logged_at", "log_id", kept, "_last")
-    return found.select(*log.columns, F.col("_last.etag").alias("_e"), F.col("_last.last_modified").alias("_m"))
+    values = {"_last": (kept, []), **{name: (value, []) for name, value in others.items()}}
+    found = keyed.carry_several(log, ["source_code"], "logged_at", "log_id", values)
+    return found.select(*log.columns, F.col("_last.etag").alias("_e"), F.col("_last.last_modified").alias("_m"), *others)
 
 
 def header_match(log: DataFrame, requests: Column) -> DataFrame:
     """ETag / Last-Modified of the entries that are ``requests`` against the last PROCEED entry before them."""
     same = (F.col("etag") == F.col("_e")) | (F.col("last_modified") == F.col("_m"))
-    return with_stored_headers(log).filter(requests).select(
+    return with_stored(log).filter(requests).select(
         "source_code", "etag", "last_modified", "log_id",
         F.when(F.coalesce(same, F.lit(False)), "SKIP").otherwise("PROCEED").alias("decision"),
     )
@@ -85,9 +86,7 @@ def crawl_decision(log: DataFrame) -> DataFrame:
     Headers are compared with the source's last PROCEED entry before the entry, the hash with
     the last one stored for the source. Empty headers and missing content match nothing.
     """
-    stored = keyed.carry_forward(
-        with_stored_headers(log), ["source_code"], "logged_at", "log_id", F.col("content_hash"), "_hash"
-    )
+    stored = with_stored(log, _hash=F.col("content_hash"))
 
     def same(a: str, b: str) -> Column:
         return F.coalesce((F.col(a) != "") & (F.col(a) == F.col(b)), F.lit(False))
