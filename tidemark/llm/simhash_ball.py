@@ -13,6 +13,7 @@ the group passes on one edge per fingerprint (to the smallest one it is connecte
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,6 +29,7 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 3
 BLOCKS = [(16 * j, 0xFFFF << (16 * j)) for j in range(4)]
+DEALT_PRINTS = 1 << 17  # fingerprints of a task that emits variants: 196 rows each
 SMALL_GROUP = 48  # up to here all pairs of a group are compared in memory
 
 
@@ -176,9 +178,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .mapInArrow(_fingerprints, "doc_id bigint, version bigint, fp bigint"),
         "fingerprints",
     )
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = materialise(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    # Fingerprints are few bytes, their variants 196 times as many: tasks are dealt by the latter.
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(distinct.count() / DEALT_PRINTS))
     edges = (
-        variants(distinct.select("fp")).repartition("block", "key").sortWithinPartitions("block", "key", "fp")
+        variants(distinct.select("fp").repartition(tasks, "fp")).repartition("block", "key").sortWithinPartitions("block", "key", "fp")
         .mapInArrow(_links, "u bigint, v bigint")
     )
     roots = connected_components(edges)
