@@ -12,7 +12,7 @@ from tidemark.llm.quality_trees import op2_quality_trees
 from tidemark.llm.simhash_ball import op6_simhash_ball
 from tidemark.llm.source_divergence import OP11_SQL, op11_source_divergence
 from tidemark.llm.span_dedup import OP3_SQL, op3_span_dedup
-from tidemark.llm.suffix_dedup import op10_suffix_dedup
+from tidemark.llm.suffix_dedup import OP10_SQL, op10_suffix_dedup
 from tidemark.llm.token_counts import op1_token_counts
 from tidemark.llm.warc_segments import OP12_SQL, op12_warc_segments
 
@@ -25,6 +25,6 @@ QUERIES = {
     )
 }
 SQL = {
-    "op3_span_dedup": OP3_SQL, "op8_chat_trees": OP8_SQL, "op11_source_divergence": OP11_SQL, "op12_warc_segments": OP12_SQL,
+    "op3_span_dedup": OP3_SQL, "op8_chat_trees": OP8_SQL, "op10_suffix_dedup": OP10_SQL, "op11_source_divergence": OP11_SQL, "op12_warc_segments": OP12_SQL,
     "op13_centroids": OP13_SQL,
 }

@@ -495,3 +495,32 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+# Every string of 100 bytes, as hexadecimal digits, by its digest; texts are cut into overlapping pieces first.
+OP10_SQL = """
+WITH held AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), pieces AS (
+    SELECT doc_id, n, piece, substr(h, 1000 * piece + 1, 1198) AS p
+    FROM (SELECT doc_id, h, n, CAST(unnest(range(0, (n + 499) // 500)) AS BIGINT) AS piece FROM held)
+), places AS (
+    SELECT doc_id, n, piece, p, CAST(unnest(range(1, least(500, n - 500 * piece) + 1)) AS BIGINT) AS k FROM pieces
+), strings AS (
+    SELECT doc_id, 500 * piece + k AS pos, substr(p, 2 * k - 1, 2) AS code,
+        CASE WHEN 500 * piece + k <= n - 99 THEN md5(substr(p, 2 * k - 1, 200)) END AS s FROM places
+), firsts AS (
+    SELECT doc_id, pos, code, CAST(s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) > 1 AS INT) AS again FROM strings
+), covered AS (
+    SELECT doc_id, pos, code, max(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM firsts
+), runs AS (
+    SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM covered
+), per AS (
+    SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (WHERE gone = 1 AND before = 0) AS n_spans,
+        string_agg(code, '' ORDER BY pos) FILTER (WHERE gone = 0) AS kept
+    FROM runs GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM held LEFT JOIN per USING (doc_id)
+"""
