@@ -350,6 +350,32 @@ def test_decontamination_matches_all_windows(spark):
     assert decontaminate.contaminated(docs(spark), bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_runs_and_passes_equals_one_sweep(spark, monkeypatch):
+    """Long texts in short runs, words in small pieces, long items in indexes of their own, a pass for each index."""
+    items = [(i, f"{prose(500 + i, 8 + i)}. {prose(600 + i, 5)}") for i in range(40)] + [(90, prose(90, 300)), (91, prose(91, 90))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    data = [(i, " ".join([prose(3000 + i, 200), items[i][1], "w" * 90, prose(4000 + i, 800), items[-1 - i % 3][1]]), "s") for i in range(20)]
+    data += [(99, "x" * 5000, "s"), (98, None, "s")]
+    frame = docs(spark, data)
+    words = decontaminate.Words([t or "" for _, t, _ in data])
+    want = sorted(map(tuple, decontaminate.contaminated(frame, bench).selectExpr("doc_id", "item_id", "round(score, 6)", "overlap").collect()))
+    assert {(i, items[i][0]) for i in range(20)} | {(i, items[-1 - i % 3][0]) for i in range(20)} <= {r[:2] for r in want}
+    for name, value in (("HASHED_BYTES", 64), ("RUN_WORDS", 500), ("RUN_SUMS", 300), ("INDEX_WORDS", 256), ("HELD_BYTES", 1)):
+        monkeypatch.setattr(decontaminate, name, value)
+    pieces = decontaminate.Words([t or "" for _, t, _ in data])
+    assert (pieces.hashes == words.hashes).all() and (pieces.first == words.first).all()
+    groups = list(decontaminate.index_groups(bench, 8))
+    sizes = sorted(len(i.value.ids) for g in groups for i in g)
+    assert all(len(g) == 1 for g in groups) and sum(sizes) == len(items) and sizes[-1] <= 8 and sizes[:2] == [1, 1]
+    found = [
+        (data[t][0], index.value.ids[i], round(score, 6), whole)
+        for g in groups for index in g for t, i, score, whole, _, _ in index.value.search(pieces)
+    ]
+    assert sorted(found) == want
+    kept = decontaminate.without_contaminated(frame, bench, 8)
+    assert {r.doc_id for r in kept.collect()} == {98, 99} | set(range(20)) - {r[0] for r in want}
+
+
 def test_text_between_question_and_answer(spark, tmp_path):
     items = [(i, f"{prose(800 + i, 8 + i % 6)}? {prose(900 + i, 6)}.") for i in range(30)] + [(90, f"{prose(990, 14)}? --"), (91, prose(991, 15))]
     bench = spark.createDataFrame(items, "item_id bigint, text string")

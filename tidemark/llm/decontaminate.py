@@ -5,37 +5,47 @@ passage of every document is a query. Weights are divided by the item's own scor
 passage holding all of an item's words scores 1 whatever the item. As in WAND, the words that
 most items hold are non-essential: together they can't add more than SLACK to any item, and are
 looked up only for items that come near the threshold without them. Items are kept in blocks,
-and each word has its largest weight in each block. All passages of a slice are bounded block by
-block at once; postings are scored only for passages and blocks whose bound reaches the
-threshold. All items above the threshold are then verified by the five-word shingles that the
+and each word has its largest weight in each block. Instead of moving one passage's cursors from
+pivot to pivot, the passages of a run are bounded block by block at once, in arrays; postings are
+scored only for passages and blocks whose bound reaches the threshold. Both skip the same blocks, and
+both are exact. All items above the threshold are then verified by the five-word shingles that the
 passage holds: of the whole item, or of its question and its answer each, so that text between the
 two doesn't hide an item.
 
-Items are held in indexes of INDEX_ITEMS at most, each of which passes over all documents once.
+Indexes hold INDEX_ITEMS items and about INDEX_WORDS words at most. They are built in tasks, written
+to the shared folder, and reach the searching tasks one by one, as many as HELD_BYTES allow for one
+pass over the documents. Passages are searched in runs of bounded size, however long a text is.
 """
 
 from __future__ import annotations
 
-import math
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import winnow
 from tidemark.llm.common import materialise, read, slices, texts_of, whole_row
+from tidemark.operators.keyed import numbered
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # share of an item's own score
 SLACK = 0.2  # what non-essential words may add to an item
 MARGIN = 1e-6  # for sums in floating point
 SHINGLE = 5
-SLICE_BYTES = 1_000_000  # text searched at a time; a slice holds one sum for each passage and item
+SLICE_BYTES = 1_000_000  # short texts searched together
+HASHED_BYTES = 1 << 20  # of a text, split into words at a time
+RUN_WORDS = 1 << 18  # of a text, searched at a time
+RUN_SUMS = 1 << 22  # sums and postings of the passages searched at a time
 OVERLAP = 0.8
 INDEX_ITEMS = 2048
+INDEX_WORDS = 1 << 20  # of the items in one index (a longer item has an index of its own)
+HELD_BYTES = 1 << 28  # of the indexes searched in one pass over the documents
 BLOCK_ITEMS = 8
 SENTENCE_END = re.compile(r"[.!?:]\s+|\n+")
 
@@ -52,10 +62,24 @@ class Words:
     def __init__(self, texts: list[str]):
         raw = [t.encode("utf-8") for t in texts]
         data = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
-        inside = IN_WORD[data]
-        starts = np.flatnonzero(~inside[:-1] & inside[1:]) + 1
-        ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-        self.hashes = winnow.word_hashes(LOWER[data] + np.uint64(1), starts, ends)
+        hashes, begins, at = [], [], 0
+        while at < len(data):
+            to = at + HASHED_BYTES
+            while to < len(data):  # up to the next gap between words
+                gaps = np.flatnonzero(~IN_WORD[data[to : to + HASHED_BYTES]])
+                if len(gaps):
+                    to += int(gaps[0]) + 1
+                    break
+                to += HASHED_BYTES
+            part = data[at:to]
+            inside = np.concatenate([[False], IN_WORD[part], [False]])
+            starts = np.flatnonzero(~inside[:-1] & inside[1:])
+            ends = np.flatnonzero(inside[:-1] & ~inside[1:])
+            hashes.append(winnow.word_hashes(LOWER[part] + np.uint64(1), starts, ends))
+            begins.append(starts + at)
+            at = to
+        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        starts = np.concatenate(begins) if begins else np.zeros(0, np.int64)
         self.first = np.searchsorted(starts, np.cumsum([1, *(len(r) + 1 for r in raw)]))
 
 
@@ -124,55 +148,80 @@ class Index:
         self.block_rest = np.zeros(self.blocks)
         np.maximum.at(self.block_rest, np.arange(len(self.ids)) // BLOCK_ITEMS, self.rest)
 
-    def search(self, texts: list[str]) -> list[tuple[int, int, float, float, float, float]]:
+    def search(self, words: Words) -> list[tuple[int, int, float, float, float, float]]:
         """(text, item, score, overlap, question overlap, answer overlap) of verified hits, the best passage of each."""
-        words = Words(texts)
-        if not len(words.hashes) or not len(self.vocabulary):
-            return []
-        at = np.minimum(np.searchsorted(self.vocabulary, words.hashes), len(self.vocabulary) - 1)
-        place = np.flatnonzero(self.vocabulary[at] == words.hashes)
-        term = at[place]
+        hits: dict[tuple[int, int], tuple[float, float, float, float]] = {}
         # Passages: windows with half a window between their starts, in each text.
         sizes, step = np.diff(words.first), self.passage // 2
         counts = np.maximum(-(-(sizes - step) // step), (sizes > 0).astype(np.int64))
         base = np.cumsum(counts) - counts
-        text = np.repeat(np.arange(len(texts)), counts)
+        text = np.repeat(np.arange(len(sizes)), counts)
         begin = words.first[text] + (np.arange(int(counts.sum())) - base[text]) * step
         end = np.minimum(begin + self.passage, words.first[text + 1])
+        at = 0
+        while at < len(begin):
+            to = int(np.searchsorted(begin, begin[at] + max(RUN_WORDS, 1)))
+            self._search_run(words, text[at:to], begin[at:to], end[at:to], hits)
+            at = to
+        return [(t, i, score, whole, q, a) for (t, i), (whole, score, q, a) in sorted(hits.items())]
+
+    def _search_run(self, words: Words, text: np.ndarray, begin: np.ndarray, end: np.ndarray, hits: dict) -> None:
+        """Add the hits of some passages, given by text, first word and end."""
+        low, step = int(begin[0]), self.passage // 2
+        hashes = words.hashes[low : int(end[-1])]
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        place = np.flatnonzero(self.vocabulary[at] == hashes)
+        term = at[place]
+        place += low
         # Each place lies in two passages at most; a word counts once, at its first place in the passage.
         order = np.argsort(term, kind="stable")
         before = np.full(len(term), -1)
         same = term[order][1:] == term[order][:-1]
         before[order[1:][same]] = place[order[:-1][same]]
-        own = np.searchsorted(words.first, place, "right") - 1
-        number = (place - words.first[own]) // step
+        last = np.searchsorted(begin, place, "right") - 1
         passages, terms = [], []
-        for n in (number, number - 1):
-            valid = np.flatnonzero((n >= 0) & (n < counts[own]))
-            p = base[own[valid]] + n[valid]
-            once = before[valid] < begin[p]
-            passages.append(p[once])
-            terms.append(term[valid[once]])
+        for p in (last, last - 1):
+            held = np.maximum(p, 0)
+            valid = np.flatnonzero((p >= 0) & (place < end[held]) & (before < begin[held]))
+            passages.append(p[valid])
+            terms.append(term[valid])
         passage, term = np.concatenate(passages), np.concatenate(terms)
-
+        order = np.argsort(passage, kind="stable")
+        passage, term = passage[order], term[order]
+        # Passages are scored together as far as their sums and postings go into RUN_SUMS.
+        postings = np.bincount(passage, np.diff(self.start)[term], len(begin)).astype(np.int64)
+        cost = np.cumsum(postings + len(self.ids))
+        spans, left = None, max(low - step, 0)
+        at = 0
+        while at < len(begin):
+            held = int(cost[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(cost, held + RUN_SUMS, "right")))
+            mine = slice(*np.searchsorted(passage, [at, to]))
+            for p, item, value in self._candidates(passage[mine] - at, term[mine], to - at):
+                p += at
+                if spans is None:
+                    spans = winnow.Spans(words.hashes[left : int(end[-1]) + step])
+                own = (int(begin[p]), int(end[p]))
+                near_by = (max(own[0] - step, int(words.first[text[p]])), min(own[1] + step, int(words.first[text[p] + 1])))
+                ranges = [(a - left, b - left) for a, b in (own, near_by, near_by)]
+                whole, q, a = self._verify(spans, ranges, item)
+                key = (int(text[p]), item)
+                if (whole >= OVERLAP or min(q, a) >= OVERLAP) and (whole, value) > hits.get(key, (-1.0, 0.0))[:2]:
+                    hits[key] = (whole, value, q, a)
+            at = to
+
+    def _candidates(self, passage: np.ndarray, term: np.ndarray, passages: int) -> Iterator[tuple[int, int, float]]:
+        """(passage, item, score) at or above the threshold, by block bounds first."""
         use = self.essential[term]
-        bound = self._sums(passage[use], term[use], self.block_start, self.block, self.largest, len(begin), self.blocks)
+        bound = self._sums(passage[use], term[use], self.block_start, self.block, self.largest, passages, self.blocks)
         alive = bound + self.block_rest >= THRESHOLD - MARGIN
-        some = alive.any(axis=1)
-        use &= some[passage]
-        score = self._sums(passage[use], term[use], self.start, self.item, self.weight, len(begin), len(self.ids), alive)
+        use &= alive.any(axis=1)[passage]
+        score = self._sums(passage[use], term[use], self.start, self.item, self.weight, passages, len(self.ids), alive)
         near = score + self.rest >= THRESHOLD - MARGIN
         use = ~self.essential[term] & near.any(axis=1)[passage]
-        score += self._sums(passage[use], term[use], self.start, self.item, self.weight, len(begin), len(self.ids))
-        spans = winnow.Spans(words.hashes)
-        hits: dict[tuple[int, int], tuple[float, float, float, float]] = {}
+        score += self._sums(passage[use], term[use], self.start, self.item, self.weight, passages, len(self.ids))
         for p, item in np.argwhere(near & (score >= THRESHOLD - MARGIN)).tolist():
-            near_by = max(int(begin[p]) - step, int(words.first[text[p]])), min(int(end[p]) + step, int(words.first[text[p] + 1]))
-            whole, q, a = self._verify(spans, [(int(begin[p]), int(end[p])), near_by, near_by], item)
-            key, value = (int(text[p]), item), float(score[p, item])
-            if (whole >= OVERLAP or min(q, a) >= OVERLAP) and (whole, value) > hits.get(key, (-1.0, 0.0))[:2]:
-                hits[key] = (whole, value, q, a)
-        return [(t, i, score, whole, q, a) for (t, i), (whole, score, q, a) in sorted(hits.items())]
+            yield p, item, float(score[p, item])
 
     @staticmethod
     def _sums(passage, term, start, column, weight, rows: int, columns: int, alive=None) -> np.ndarray:
@@ -209,8 +258,26 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["item_id", "words", "n_question", "answer_from"])
 
 
-def build_indexes(items: DataFrame, index_items: int = INDEX_ITEMS) -> list[Index]:
-    """Indexes of all ``items`` (item_id, text) that have a word. Document frequencies are counted in Spark."""
+def _packed(n_items: int, mean_length: float, longest: int):
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        items = [
+            {
+                "item_id": None if pd.isna(r.item_id) else int(r.item_id), "words": np.asarray(r.words, np.int64).view(np.uint64),
+                "n_question": r.n_question, "answer_from": r.answer_from, "dfs": {d["word"] % (1 << 64): d["df"] for d in r.dfs},
+            }
+            for r in rows.sort_values("row").itertuples()
+        ]
+        return pd.DataFrame({"packed": [pickle.dumps(Index(items, n_items, mean_length, longest))]})
+
+    return build
+
+
+def build_indexes(items: DataFrame, index_items: int = INDEX_ITEMS) -> DataFrame:
+    """packed (binary): indexes of all ``items`` (item_id, text) that have a word, built in tasks and written.
+
+    Items of up to INDEX_WORDS / ``index_items`` words come ``index_items`` to an index; of items up to
+    twice as long half as many, and so on. Document frequencies are those of all items.
+    """
     spark = items.sparkSession
     rows = materialise(
         spark,
@@ -220,43 +287,58 @@ def build_indexes(items: DataFrame, index_items: int = INDEX_ITEMS) -> list[Inde
         "test-items",
     )
     n, mean, longest = rows.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).head()
-    if not n:
-        return []
+    share = F.size("words") / F.lit(max(INDEX_WORDS // index_items, 1))
+    grade = F.greatest(F.lit(0), F.ceil(F.log2(share))).cast("int").alias("grade")
+    places = materialise(spark, numbered(rows.select("row", grade), [F.col("grade"), F.col("row")], "place"), "item-places")
+    starts = places.groupBy(F.col("grade").alias("of")).agg(F.min("place").alias("start"))  # 32 rows at most
+    many = F.greatest(F.lit(1), F.floor(F.lit(index_items) / F.pow(F.lit(2.0), "grade")))
+    numbers = places.join(F.broadcast(starts), F.col("grade") == F.col("of")).select(
+        F.col("row").alias("item_row"), "grade", F.floor((F.col("place") - F.col("start")) / many).alias("number")
+    )
     words = rows.select("row", F.explode(F.array_distinct("words")).alias("word"))
     counted = words.join(words.groupBy("word").agg(F.count("*").alias("df")), "word")
     with_df = rows.join(counted.groupBy("row").agg(F.collect_list(F.struct("word", "df")).alias("dfs")), "row")
-    passes = math.ceil(n / index_items)
-    out = []
-    for k in range(passes):
-        part = with_df.where(F.pmod(F.xxhash64("row"), F.lit(passes)) == k).orderBy("row").collect()
-        wrap = [
-            {
-                "item_id": r.item_id, "words": [w % (1 << 64) for w in r.words], "n_question": r.n_question,
-                "answer_from": r.answer_from, "dfs": {d.word % (1 << 64): d.df for d in r.dfs},
-            }
-            for r in part
-        ]
-        if wrap:
-            out.append(Index(wrap, n, mean, longest))
-    return out
+    built = (
+        with_df.join(numbers, F.col("row") == F.col("item_row"))
+        .groupBy("grade", "number").applyInPandas(_packed(n, mean, longest), "packed binary")
+    )
+    return materialise(spark, built, "test-indexes")
+
+
+def index_groups(items: DataFrame, index_items: int) -> Iterator[list]:
+    """Indexes as broadcast variables, in groups of HELD_BYTES at most (one index at least).
+
+    One index at a time passes through the driver.
+    """
+    context, group, held = items.sparkSession.sparkContext, [], 0
+    for r in build_indexes(items, index_items).toLocalIterator():
+        if group and held + len(r.packed) > HELD_BYTES:
+            yield group
+            group, held = [], 0
+        group.append(context.broadcast(pickle.loads(r.packed)))
+        held += len(r.packed)
+    if group:
+        yield group
 
 
 FOUND = "doc_id bigint, item_id bigint, score double, overlap double, question_overlap double, answer_overlap double"
 
 
-def _search(index):
+def _search(indexes: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            hits = index.value.search(texts_of(batch))
-            if hits:
-                text, item, score, whole, q, a = zip(*hits)
-                yield pa.record_batch(
-                    [
-                        batch.column("doc_id").take(pa.array(text)), pa.array([index.value.ids[i] for i in item], pa.int64()),
-                        *(pa.array(c, pa.float64()) for c in (score, whole, q, a)),
-                    ],
-                    names=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"],
-                )
+            words = Words(texts_of(batch))
+            for index in indexes:
+                hits = index.value.search(words)
+                if hits:
+                    text, item, score, whole, q, a = zip(*hits)
+                    yield pa.record_batch(
+                        [
+                            batch.column("doc_id").take(pa.array(text)), pa.array([index.value.ids[i] for i in item], pa.int64()),
+                            *(pa.array(c, pa.float64()) for c in (score, whole, q, a)),
+                        ],
+                        names=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"],
+                    )
 
     return run
 
@@ -275,26 +357,28 @@ def contaminated(docs: DataFrame, items: DataFrame, index_items: int = INDEX_ITE
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     out = spark.createDataFrame([], FOUND)
-    for index in build_indexes(items, index_items):
-        out = out.unionByName(docs.mapInArrow(_search(spark.sparkContext.broadcast(index)), FOUND))
+    for group in index_groups(items, index_items):
+        out = out.unionByName(docs.mapInArrow(_search(group), FOUND))
     return out
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, index_items: int = INDEX_ITEMS) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is found (see ``contaminated``)."""
 
-    def clean(index):
+    def clean(indexes: list):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", SLICE_BYTES):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[h[0] for h in index.value.search(texts_of(batch))]] = False
+                words, keep = Words(texts_of(batch)), np.ones(batch.num_rows, bool)
+                for index in indexes:
+                    keep[[h[0] for h in index.value.search(words)]] = False
                 yield batch.filter(pa.array(keep))
 
         return run
 
-    rows = docs.select(whole_row(docs.columns).alias("row"), "text")
-    for index in build_indexes(items, index_items):
-        rows = rows.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(index)), rows.schema)
+    rows, passes = docs.select(whole_row(docs.columns).alias("row"), "text"), 0
+    for group in index_groups(items, index_items):
+        rows = materialise(docs.sparkSession, rows, "clean-so-far") if passes else rows
+        rows, passes = rows.mapInArrow(clean(group), rows.schema), passes + 1
     return rows.select("row.*")
 
 
