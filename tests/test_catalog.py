@@ -48,6 +48,8 @@ def test_tools(spark, sf):
     assert tools.run("search_news", tables, query="the").count() == 5
     with pytest.raises(ValueError):
         tools.run("get_forecast", tables, indicator_code="GDP_GROWTH")
+    with pytest.raises(ValueError):
+        tools.run("search_news", tables, query="the", pages=2)
     with pytest.raises(KeyError):
         tools.run("nope", tables)
 

@@ -250,6 +250,20 @@ def test_custom_model_hook(spark):
     assert out.first().value == 5.5
 
 
+def test_robust_band_ignores_a_wild_train_point(spark):
+    values = [float(i % 3) for i in range(20)] + [1.0, 2.0, 9.0, -9.0, 0.0]
+    values[7] = 14.0
+    rows = [("G", "USA", str(1990 + i), v) for i, v in enumerate(values)]
+    short = [("H", "USA", str(1990 + i), 1.0, i, "TRAIN" if i < 4 else "TEST") for i in range(5)]
+    windows = T.split_windows(spark.createDataFrame(rows, "indicator_code string, country_code string, period string, value double"))
+    few = spark.createDataFrame(short, "indicator_code string, country_code string, period string, value double, pos int, role string")
+    found = T.with_model(windows.unionByName(few.withColumn("value", T.F.col("value") * T.F.col("pos"))), T.robust_band, T.ROBUST_SCHEMA)
+    got = found.orderBy("period").collect()
+    assert [(r.period, r.actual, r.outside) for r in got] == [
+        ("2010", 1.0, False), ("2011", 2.0, False), ("2012", 9.0, True), ("2013", -9.0, True), ("2014", 0.0, False)]
+    assert {(r.expected, r.lower, r.upper) for r in got} == {(1.0, -3.5, 5.5)}
+
+
 def test_costs(spark):
     df = spark.createDataFrame([(1, "s", "LLM", "gemini", 1000), (2, "s", "STORAGE", None, 2**30), (3, "s", "CRAWLER", None, 60), (4, "t", "LLM", "unknown", 1000)],
                                "cost_id bigint, source_id string, category string, provider string, quantity bigint")

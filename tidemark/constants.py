@@ -279,6 +279,8 @@ SUMMARY_TTL_HOURS = 24
 
 # --- Forecast and anomaly model ---
 BAND_Z = 1.96
+# Band of the robust model, in median absolute deviations.
+ROBUST_WIDTH = 4.5
 FORECAST_MIN_POINTS = 5
 ANOMALY_MIN_POINTS = 10
 TEST_POINTS = 5

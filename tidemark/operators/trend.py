@@ -7,6 +7,7 @@ errors, in closed form, so every series is fitted by the same aggregate.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +151,24 @@ def with_model(windows: DataFrame, model, schema: str) -> DataFrame:
     return windows.groupBy(*SERIES).applyInPandas(model, schema)
 
 
+ROBUST_SCHEMA = "indicator_code string, country_code string, period string, actual double, expected double, lower double, upper double, outside boolean"
+
+
+def robust_band(series: pd.DataFrame) -> pd.DataFrame:
+    """Every test point against median +- ``ROBUST_WIDTH`` median absolute deviations of the train points.
+
+    A model for ``with_model`` with ``ROBUST_SCHEMA``. Unlike the fitted line it isn't moved by
+    one wild train point. Series with too few train points give no rows.
+    """
+    train = series.loc[series["role"] == "TRAIN", "value"].dropna()
+    expected = train.median()
+    half = K.ROBUST_WIDTH * (train - expected).abs().median()
+    test = series[(series["role"] == "TEST") & (len(train) >= K.MIN_TRAIN_POINTS)]
+    return test[[*SERIES, "period"]].assign(
+        actual=test["value"], expected=expected, lower=expected - half, upper=expected + half, outside=(test["value"] - expected).abs() > half
+    )
+
+
 def ranked(found: DataFrame, limit: int | None = None, by: str = "deviation_pct") -> DataFrame:
     out = found.orderBy(F.abs(F.col(by)).desc(), *SERIES, "date")
     return out if limit is None else out.limit(limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["medallion", "published", "reconcile", "governance", "trend", "search", "responses", "landed", "upkeep", "provenance", "limits", "streams", "stores"]
+AREAS = ["medallion", "published", "reconcile", "governance", "trend", "search", "responses", "landed", "upkeep", "provenance", "limits", "streams", "stores", "tools"]
 
 
 def load_catalog():

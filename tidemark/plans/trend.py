@@ -6,6 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from tidemark import constants as K
 from tidemark.functions.numeric import rnd
 from tidemark.operators import keyed
 from tidemark.operators import medallion as M
@@ -102,6 +103,19 @@ def anomalies(spark, folder):
     return _shown(T.ranked(_anomalies(spark, folder)))
 
 
+@query("anomalies_custom_model", uses=["gold"], sql=_SPLIT + f""",
+  m AS (SELECT *, count(*) FILTER (role = 'TRAIN') OVER s AS nt, median(CASE WHEN role = 'TRAIN' THEN value END) OVER s AS expected FROM t
+    WINDOW s AS (PARTITION BY indicator_code, country_code)),
+  d AS (SELECT *, {K.ROBUST_WIDTH}::DOUBLE * median(CASE WHEN role = 'TRAIN' THEN abs(value - expected) END)
+    OVER (PARTITION BY indicator_code, country_code) AS half FROM m)
+  SELECT indicator_code, country_code, period, {V.rnd('value', 4)} AS actual, {V.rnd('expected', 4)} AS expected,
+    {V.rnd('expected - half', 4)} AS lower, {V.rnd('expected + half', 4)} AS upper, abs(value - expected) > half AS outside
+  FROM d WHERE role = 'TEST' AND nt >= {K.MIN_TRAIN_POINTS}""")
+def anomalies_custom_model(spark, folder):
+    found = T.with_model(T.split_windows(_best(spark, folder)), T.robust_band, T.ROBUST_SCHEMA)
+    return found.select("indicator_code", "country_code", "period", *[rnd(c, 4).alias(c) for c in ("actual", "expected", "lower", "upper")], "outside")
+
+
 @query("anomaly_ticker", uses=["gold"], sql=_ANOM + """
   SELECT indicator_code, country_code, date, sigma FROM an ORDER BY abs(sigma) DESC, indicator_code, country_code, date LIMIT 4""")
 def anomaly_ticker(spark, folder):
