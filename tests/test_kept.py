@@ -1,6 +1,7 @@
 """Tables kept over runs: bounded files, repeated runs, any split, keys that stay unique."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -130,3 +131,20 @@ def test_filters_spare_most_reads(spark):
     assert store.accept(old, 0).count() == 3000
     asked = store.maybe(store.placed(new.unionByName(old.limit(5))), 1).where("maybe")
     assert 5 <= asked.count() < 35
+
+
+def test_content_changes_over_batches(spark):
+    out = fresh_path(spark, "changes")
+    store = jobs.last_hashes(spark, out, every=2)
+    day = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 11 == 0 else 1 if i % 3 else i % 5, None if i % 17 == 0 else "ab"[i * i % 7 % 2], day + dt.timedelta(minutes=i * 13 // 2)) for i in range(240)]
+    log = spark.createDataFrame(rows, "log_id bigint, source_code bigint, content_hash string, logged_at timestamp_ntz")
+    for run in [0, 1, 1, 2, 3, 3, 4, 2, 5]:  # with replays, also of a run that is merged already
+        jobs.judge_changes(store, log.where(F.col("log_id").between(run * 40, run * 40 + 39)), out, run)
+    last, want = {}, {}
+    for i, source, digest, _ in rows:
+        want[i] = "SKIP" if digest is not None and last.get(source) == digest else "PROCEED"
+        last[source] = digest
+    got = {r.log_id: r.decision for r in spark.read.parquet(f"{out}/changes").collect()}
+    assert got == want and set(got.values()) == {"SKIP", "PROCEED"}
+    assert not os.path.exists(f"{out}/work")

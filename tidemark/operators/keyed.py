@@ -36,19 +36,20 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, ran
 
 def carry(
     df: DataFrame, keys: list[str], at: str, tie: str, value: Column, out: str, bucket: str = "HOUR",
-    forward: bool = True, include_self: bool = False,
+    forward: bool = True, include_self: bool = False, folder: str | None = None,
 ) -> DataFrame:
     """Nearest non-null ``value`` before (or after) each row of its key, in (at, tie) order."""
-    return carry_several(df, keys, at, tie, {out: (value, [])}, bucket, forward, include_self)
+    return carry_several(df, keys, at, tie, {out: (value, [])}, bucket, forward, include_self, folder)
 
 
 def carry_several(
     df: DataFrame, keys: list[str], at: str, tie: str, values: dict[str, tuple[Column, list[str]]], bucket: str = "HOUR",
-    forward: bool = True, include_self: bool = False,
+    forward: bool = True, include_self: bool = False, folder: str | None = None,
 ) -> DataFrame:
     """``carry`` of several values over one placement: output column -> (value, further key columns of this value).
 
-    The rows are written once, so that whatever they come from is worked out once. A key is then
+    The rows are written once (to ``folder``, if given, which the caller deletes), so that
+    whatever they come from is worked out once. A key is then
     handled one time bucket at a time. What enters a bucket comes from the nearest non-empty
     bucket on that side, found on a summary (one row per key, further keys and bucket,
     pre-aggregated). The summary rows go before the bucket's own rows in the same shuffle by (key,
@@ -56,7 +57,7 @@ def carry_several(
     """
     place = F.struct(*[F.col(k) for k in keys], F.date_trunc(bucket, F.col(at)).alias("_bucket"))
     held = {f"_v{i}": value for i, (value, _) in enumerate(values.values())}
-    b = materialise(df.sparkSession, df.select("*", place.alias("_place"), *[v.alias(c) for c, v in held.items()]), "carry")
+    b = materialise(df.sparkSession, df.select("*", place.alias("_place"), *[v.alias(c) for c, v in held.items()]), "carry", folder)
 
     def ordered(*columns: str) -> list[Column]:
         return [F.col(c).asc() if forward else F.col(c).desc() for c in columns]

@@ -150,9 +150,21 @@ def stream_freshness(spark, folder):
     return found.withColumn("age_minutes", rnd("age_minutes", 2))
 
 
-@query("stream_content_change", uses=["crawl_log"], sql="""
+_CHANGES = """
   SELECT log_id, source_code, content_hash, CASE WHEN lag(content_hash) OVER (PARTITION BY source_code ORDER BY logged_at, log_id) = content_hash
-    THEN 'SKIP' ELSE 'PROCEED' END AS decision FROM v_crawl_log""")
+    THEN 'SKIP' ELSE 'PROCEED' END AS decision FROM v_crawl_log"""
+
+
+@query("stream_content_change", uses=["crawl_log"], sql=_CHANGES)
 def stream_content_change(spark, folder):
     log = views.crawl_log_from(runs.event_stream(spark, _events(folder)))
     return runs.drain_to_files(spark, stateful.detect_changes(log), "stream-changes")
+
+
+@query("stream_content_change_kept", uses=["crawl_log"], sql=_CHANGES)
+def stream_content_change_kept(spark, folder):
+    """The same through a kept table, with a source's rows split over tasks."""
+    out = fresh_path(spark, "stream-changes-kept")
+    jobs.content_changes(spark, _events(folder), out)
+    found = spark.read.schema("log_id bigint, source_code bigint, content_hash string, decision string").parquet(f"{out}/changes")
+    return found.drop("batch")

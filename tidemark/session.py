@@ -60,10 +60,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def materialise(spark: SparkSession, df, name: str):
-    """Write ``df`` once to the shared folder and read it back (cuts lineage)."""
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
+def materialise(spark: SparkSession, df, name: str, folder: str | None = None):
+    """Write ``df`` once to the shared folder and read it back (cuts lineage).
+
+    With ``folder`` it goes there, in place of what a failed attempt left; the caller deletes it.
+    """
+    path = os.path.join(folder, name) if folder else fresh_path(spark, name)
+    df.write.mode("overwrite" if folder else "errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import pct_change, rnd
 from tidemark.operators import keyed
 from tidemark.operators import medallion as M
-from tidemark.session import fresh_path
+from tidemark.session import delete, fresh_path
 from tidemark.sources import generations, views
 from tidemark.streaming import runs
 
@@ -112,6 +112,56 @@ def published_revisions(spark: SparkSession, path: str, out: str, files_per_batc
     runs.drain_batches(runs.event_stream(spark, path, files_per_batch, "delivery bigint"), f"{out}/checkpoint", handle)
 
 
+HASH_PARTS = 16
+
+
+def last_hashes(spark: SparkSession, out: str, every: int = generations.EVERY) -> generations.Generations:
+    """Store of the last content hash of each source."""
+    return generations.Generations(spark, f"{out}/last", ["source_code"], "source_code bigint, content_hash string", "part", "int", every)
+
+
+def judge_changes(store: generations.Generations, log: DataFrame, out: str, run: int) -> None:
+    """One batch of the crawl log -> SKIP where a source's hash is that of its row before, else PROCEED.
+
+    ``log``: log_id, source_code, content_hash, logged_at. The kept hash of a source stands as one
+    row before its first row of the batch, so a source with very many rows is still split by hour.
+    A null hash is equal to none. A repeated run overwrites what it wrote before.
+    """
+    store.tidy(run)
+    if store.settled(run):
+        return
+    own = log.withColumn("part", F.pmod(F.xxhash64("source_code"), F.lit(HASH_PARTS)).cast("int"))
+    starts = own.groupBy(F.col("source_code").alias("_s")).agg(F.min("logged_at").alias("logged_at"))
+    kept = store.newest(run, own.select("part")).join(starts, F.col("source_code").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = own.withColumn("_kept", F.lit(False)).unionByName(kept.withColumn("_kept", F.lit(True)), allowMissingColumns=True)
+    work = f"{out}/work"
+    carried = keyed.carry(rows, ["source_code"], "logged_at", "log_id", F.struct("content_hash"), "_before", folder=work)
+    same = F.col("_before.content_hash") == F.col("content_hash")
+    decided = carried.where(~F.col("_kept")).select(
+        "log_id", "source_code", "content_hash", F.when(same, "SKIP").otherwise("PROCEED").alias("decision")
+    )
+    runs.batch_writer(f"{out}/changes")(decided, run)
+    delete(store.spark, work)
+    store.add(keyed.latest(own, ["source_code"], [F.col("logged_at"), F.col("log_id")], ["content_hash", "part"]), run)
+
+
+def content_changes(spark: SparkSession, path: str, out: str, files_per_batch: int | None = None) -> None:
+    """Crawl log as a stream -> table of decisions, with the last hash of each source kept over batches.
+
+    The distributed form of ``stateful.detect_changes``: no task walks all rows of a source.
+    """
+    store = last_hashes(spark, out)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        log = views.crawl_log_from(batch).select("log_id", "source_code", "content_hash", "logged_at").persist()
+        try:
+            judge_changes(store, log, out, batch_id)
+        finally:
+            log.unpersist()
+
+    runs.drain_batches(runs.event_stream(spark, path, files_per_batch), f"{out}/checkpoint", handle)
+
+
 def with_lateness(published: DataFrame, delay_days: int = 1) -> DataFrame:
     """Marks what was late when delivered: older than the newest of all earlier deliveries, minus the delay.
 
