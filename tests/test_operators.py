@@ -438,6 +438,58 @@ def test_stream_limits_late_hits_by_their_own_day(spark, tmp_path):
     assert got == batch and not got[11][0] and got[10][0]
 
 
+HITS = "hit_id bigint, identifier bigint, role string, hit_at timestamp_ntz"
+
+
+def limited(spark, tmp_path, batches):
+    """Decisions on micro-batches in order, and the progress of the last one."""
+    from tidemark.session import configure
+    from tidemark.streaming import stateful
+
+    configure(spark)
+    landing, out = str(tmp_path / "hits"), str(tmp_path / "out")
+    for part in batches:
+        spark.createDataFrame(part, HITS).coalesce(1).write.mode("append").parquet(landing)
+        run = (
+            stateful.limit_hits(spark.readStream.schema(HITS).parquet(landing)).writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
+    return spark.read.parquet(out), run.lastProgress
+
+
+def test_stream_limits_write_few_state_rows(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1, 9)
+    rows = [(100 * i + d, i, "PUBLIC", start + dt.timedelta(days=d)) for i in range(3) for d in range(60)]
+    got, progress = limited(spark, tmp_path, [rows])
+    assert limit_rows(got) == brute_limits(rows)
+    assert progress["stateOperators"][0]["numRowsUpdated"] <= 3 * 3  # not one for each day
+
+
+def test_stream_limits_over_batches_with_nulls_and_large_identifiers(spark, tmp_path):
+    rng, rows = random.Random(9), []
+    for ident in (None, 0, 2**60, 2**60 + 1, -7):
+        t = dt.datetime(2024, 1, 31, 23, 40)
+        for _ in range(120):
+            t += dt.timedelta(seconds=rng.choice([0, 1, 5, 20, 61]), microseconds=rng.randrange(10**6))
+            rows.append((2**60 + len(rows), ident, {0: "EXTERNAL_BUSINESS", -7: None}.get(ident, "PUBLIC"), t))
+    rows.sort(key=lambda r: r[3])
+    got, _ = limited(spark, tmp_path, [rows[:150], rows[150:400], rows[400:]])
+    each = [brute_limits([r for r in rows if r[1] == ident]) for ident in {r[1] for r in rows}]
+    assert limit_rows(got) == {hit: decided for part in each for hit, decided in part.items()}
+    assert {r.hit_id: r.identifier for r in got.collect()} == {r[0]: r[1] for r in rows}
+
+
+def test_stream_limits_many_hits_of_one_identifier_and_hits_without_id(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, 5, "ADMIN", start + dt.timedelta(milliseconds=i)) for i in range(25_000)]
+    rows += [(i, 6, "PUBLIC", start + dt.timedelta(seconds=10 * i)) for i in range(30)] + [(None, 6, "PUBLIC", start)]
+    got = limited(spark, tmp_path, [rows])[0].collect()
+    assert len(got) == len(rows)
+    assert sum(r.allowed for r in got if r.identifier == 5) == 999  # the minute's burst
+    assert [(r.allowed, r.minute_remaining) for r in got if r.hit_id is None] == [(True, 0)]  # after the hit of its time that has an id
+
+
 def test_a_retrieved_zero_supports_numbers_below_the_tolerance_only(spark):
     answers = spark.createDataFrame([(1, "It was 0.05 then."), (2, "It was 0.049 then.")], "run_id bigint, text string")
     values = spark.createDataFrame([(1, 0.0), (2, 0.0)], "run_id bigint, value double")

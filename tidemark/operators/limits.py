@@ -39,7 +39,7 @@ _STATE = "identifier bigint, hour bigint, opened bigint, passed bigint, used big
 _DECIDED = "hit_id bigint, identifier bigint, role string, t bigint, allowed boolean, daily_remaining bigint, minute_remaining bigint, retry_after bigint"
 
 
-def _micros(c):
+def micros(c):
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
 
 
@@ -160,7 +160,7 @@ def decide(hits: DataFrame) -> DataFrame:
     spark = hits.sparkSession
     daily = F.coalesce(lookup(F.col("role"), {r: v[0] for r, v in K.RATE_LIMITS.items()}), F.lit(K.RATE_LIMITS["PUBLIC"][0]))
     burst = F.coalesce(lookup(F.col("role"), {r: v[1] for r, v in K.RATE_LIMITS.items()}), F.lit(K.RATE_LIMITS["PUBLIC"][1]))
-    t = _micros(F.col("hit_at"))
+    t = micros(F.col("hit_at"))
     rows = hits.select(
         "hit_id", "identifier", "role", "hit_at", t.alias("t"), (t - F.pmod(t, F.lit(HOUR))).alias("hour"),
         burst.cast("bigint").alias("burst"), daily.cast("bigint").alias("daily"),

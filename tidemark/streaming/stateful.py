@@ -9,71 +9,164 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark import constants as K
+from tidemark.operators.limits import DAY, MINUTE, micros
+
 
 def _in_order(rows: Iterator[pd.DataFrame], *columns: str) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(list(columns))
 
 
+BUCKETS = 4096  # groups of identifiers that a call of the limiter takes together; part of the state's key
+PACK = 100  # hits in a packed row at most, so that a batch of such rows stays small
+NO_ID, NO_IDENTIFIER = 1, 2  # bits of ``blank``
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hits of a batch as arrays, by identifier, role and ``blank``: fewer rows for the state machine."""
+    keys = ["identifier", "role", "blank"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        if rows["t"].null_count:
+            raise ValueError("a hit has no time")
+        packed = rows.group_by(keys, use_threads=False).aggregate([("hit_id", "list"), ("t", "list")]).combine_chunks()
+        offsets = packed["t_list"].chunk(0).offsets.to_numpy()
+        pieces = -(-np.diff(offsets) // PACK)
+        group = np.repeat(np.arange(len(pieces)), pieces)
+        nth = np.arange(len(group)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        cuts = pa.array(np.append(offsets[group] + nth * PACK, offsets[-1]), pa.int32())
+        columns = {c: packed[c].chunk(0).take(pa.array(group)) for c in keys}
+        columns |= {c: pa.ListArray.from_arrays(cuts, packed[f"{c}_list"].chunk(0).values) for c in ("hit_id", "t")}
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+class _Days:
+    """Days of one identifier: hits let through, opening of the last window, hits let through in it, when touched.
+
+    ``SPAN`` days share a row of the state, because a call to the state store costs far more than a hit.
+    """
+
+    SPAN = 32
+
+    def __init__(self, rows, identifier: int | None, known: bool, ttl: int | None, now: int):
+        self.rows, self.identifier, self.known, self.ttl, self.now = rows, identifier, known, ttl, now
+        self.spans: dict[int, dict[int, list]] = {}
+        self.touched: dict[int, list] = {}
+
+    def _read(self, span: int) -> dict[int, list]:
+        if not self.known or not self.rows.containsKey((self.identifier, span)):
+            return {}
+        days = zip(*self.rows.getValue((self.identifier, span)))
+        return {day: state for day, *state in days if self.ttl is None or self.now < state[3] + self.ttl}
+
+    def of(self, day: int) -> list:
+        if day not in self.touched:
+            span = day // self.SPAN
+            if span not in self.spans:
+                self.spans[span] = self._read(span)
+            self.touched[day] = self.spans[span].setdefault(day, [0, None, 0, 0])
+        return self.touched[day]
+
+    def keep(self) -> None:
+        for state in self.touched.values():
+            state[3] = self.now
+        for span, days in self.spans.items():
+            kept = [(day, *state) for day, state in days.items() if state[0] or state[1] is not None]
+            if kept:
+                self.rows.updateValue((self.identifier, span), tuple(list(c) for c in zip(*kept)))
+
+
 class RateLimiter(StatefulProcessor):
-    """Daily counts and anchored minute windows per identifier, one small state row for each day.
+    """Daily counts and anchored minute windows per identifier, a few numbers for each day.
 
-    A hit that arrives late, however late, is judged by the counts of its own day. Only the days
-    that a micro-batch touches, and the ones before them, are read. With ``ttl_days`` the row of a day that wasn't
-    touched for that long is dropped; this needs processing time, under which a one-shot
-    (availableNow) run doesn't end.
+    A hit that arrives late, however late, is judged by the counts of its own day. Only the state rows of the
+    days that a micro-batch touches, and of the ones before them, are read. With ``ttl_days`` a day that wasn't
+    touched for that long is forgotten; this needs processing time, under which a one-shot
+    (availableNow) run doesn't end. A call takes the identifiers of a bucket one after another.
     """
 
+    CHUNK = 10_000  # rows put out at once
+
     def __init__(self, ttl_days: int | None):
-        self.ttl_days = ttl_days
+        self.ttl = ttl_days * DAY // 1000 if ttl_days else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = self.ttl_days * 86_400_000 if self.ttl_days else None
-        self.days = handle.getMapState("days", "day date", "used bigint, opened timestamp, passed bigint", ttl)
+        value = ", ".join(f"{c} array<bigint>" for c in ("day", "used", "opened", "passed", "touched"))
+        self.rows = handle.getMapState("days", "identifier bigint, span bigint", value, self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        hits, touched, out = _in_order(rows, "hit_at", "hit_id"), {}, []
-
-        def of(day: dt.date) -> list:
-            if day not in touched:
-                touched[day] = list(self.days.getValue((day,))) if self.days.containsKey((day,)) else [0, None, 0]
-            return touched[day]
-
-        for role, at in zip(hits["role"], hits["hit_at"]):
-            daily, burst = K.RATE_LIMITS.get(role, K.RATE_LIMITS["PUBLIC"])
-            at = at.to_pydatetime()
-            own = of(at.date())
-            # The window that is open: this day's, or one that goes on over midnight.
-            before = of(at.date() - dt.timedelta(days=1)) if own[1] is None else None
-            source = own if own[1] is not None else before if before[1] is not None else own
-            if source[1] is None or at - source[1] >= dt.timedelta(minutes=1):
-                own[1], own[2], source = at, 0, own
-            ok = own[0] < daily and source[2] < burst
-            retry = None
-            if not ok and own[0] >= daily:
-                retry = int((dt.datetime.combine(at.date() + dt.timedelta(days=1), dt.time()) - at).total_seconds())
-            elif not ok:
-                retry = max(1, int((source[1] + dt.timedelta(minutes=1) - at).total_seconds()))
-            own[0] += ok
-            source[2] += ok
-            out.append((bool(ok), max(0, daily - own[0]), max(0, burst - source[2]), retry))
-        for day, state in touched.items():
-            if state[0] or state[1] is not None:
-                self.days.updateValue((day,), (int(state[0]), state[1], int(state[2])))
-        allowed, daily_left, minute_left, retry = zip(*out)
-        yield hits[["hit_id", "identifier", "role", "hit_at"]].assign(
-            allowed=allowed, daily_remaining=daily_left, minute_remaining=minute_left, retry_after=pd.array(retry, "Int64")
-        )
+        now, known = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0, self.rows.exists()
+        kinds, hit_ids, times, kind = _in_time_order(rows)
+        identifiers, roles, blank = (np.array(c, dtype=t) for c, t in zip(zip(*kinds), ("int64", object, "int8")))
+        rules = [(i, None if b & NO_IDENTIFIER else i, *K.RATE_LIMITS.get(r, K.RATE_LIMITS["PUBLIC"])) for i, r, b in kinds]
+        who, days, today, own = (), None, None, None
+        for start in range(0, len(times), self.CHUNK):
+            chunk, out = slice(start, start + self.CHUNK), []
+            for t, k in zip(times[chunk].tolist(), kind[chunk].tolist()):
+                _, identifier, daily, burst = rules[k]
+                if identifier != who:
+                    if days is not None:
+                        days.keep()
+                    who, days, today = identifier, _Days(self.rows, identifier, known, self.ttl, now), None
+                if t // DAY != today:
+                    today = t // DAY
+                    own = days.of(today)
+                source = own
+                if own[1] is None:  # a window that goes on over midnight may be open
+                    before = days.of(today - 1)
+                    source = before if before[1] is not None else own
+                if source[1] is None or t - source[1] >= MINUTE:
+                    own[1], own[2], source = t, 0, own
+                ok, retry = own[0] < daily and source[2] < burst, 0
+                if ok:
+                    own[0] += 1
+                    source[2] += 1
+                elif own[0] >= daily:
+                    retry = ((today + 1) * DAY - t) // 1_000_000
+                else:
+                    retry = max(1, (source[1] + MINUTE - t) // 1_000_000)
+                out.append((ok, max(0, daily - own[0]), max(0, burst - source[2]), retry))
+            of, none = kind[chunk], blank[kind[chunk]]
+            allowed, daily_left, minute_left, retry = np.array(out, dtype=np.int64).T
+            yield pd.DataFrame({
+                "hit_id": _nullable(hit_ids[chunk], none & NO_ID), "identifier": _nullable(identifiers[of], none & NO_IDENTIFIER),
+                "role": roles[of], "t": times[chunk], "allowed": allowed.astype(bool),
+                "daily_remaining": daily_left, "minute_remaining": minute_left, "retry_after": _nullable(retry, allowed),
+            })
+        days.keep()
 
     def close(self) -> None:
         pass
 
 
+def _nullable(values: np.ndarray, none: np.ndarray) -> pd.api.extensions.ExtensionArray:
+    return pd.arrays.IntegerArray(np.ascontiguousarray(values), none.astype(bool))
+
+
+def _in_time_order(frames: Iterator[pd.DataFrame]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds (identifier, role, ``blank``) of packed hits; ids, times and kinds' numbers in order of identifier, time and id (none last)."""
+    kinds, ids, times, kind = {}, [], [], []
+    for pdf in frames:
+        found = zip(pdf["identifier"].tolist(), [r if isinstance(r, str) else None for r in pdf["role"]], pdf["blank"].tolist())
+        numbers = [kinds.setdefault(k, len(kinds)) for k in found]
+        kind.append(np.repeat(numbers, [len(t) for t in pdf["t"]]))
+        ids.append(np.concatenate(list(pdf["hit_id"])))
+        times.append(np.concatenate(list(pdf["t"])))
+    ids, times, kind = (np.concatenate(c) for c in (ids, times, kind))
+    identifier, blank = (np.array([k[n] for k in kinds])[kind] for n in (0, 2))
+    order = np.lexsort((ids, blank & NO_ID, times, identifier, blank & NO_IDENTIFIER))
+    return list(kinds), ids[order], times[order], kind[order]
+
+
 def _ms(at: pd.Timestamp | dt.datetime) -> int:
     """Milliseconds since the epoch of a time without zone (UTC)."""
     return int(pd.Timestamp(at).value // 1_000_000)
@@ -239,13 +332,24 @@ def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str
 
 
 def limit_hits(hits: DataFrame, ttl_days: int | None = None) -> DataFrame:
-    """Decisions as ``limits.decide`` gives them, with what is left after each hit."""
-    zoned = hits.withColumn("hit_at", F.col("hit_at").cast("timestamp"))
-    return _stateful(
-        zoned, "identifier", RateLimiter(ttl_days),
-        "hit_id bigint, identifier bigint, role string, hit_at timestamp, allowed boolean, daily_remaining bigint, minute_remaining bigint, retry_after bigint",
+    """Decisions as ``limits.decide`` gives them, with what is left after each hit.
+
+    Hits are shuffled as arrays, by buckets of identifiers. A hit without a time is an error. A null identifier
+    counts as one of its own.
+    """
+    blank = F.when(F.col("hit_id").isNull(), NO_ID).otherwise(0) + F.when(F.col("identifier").isNull(), NO_IDENTIFIER).otherwise(0)
+    rows = hits.select(
+        F.coalesce(F.col("identifier").cast("bigint"), F.lit(0)).alias("identifier"), F.col("role").cast("string").alias("role"), blank.alias("blank"),
+        F.coalesce(F.col("hit_id").cast("bigint"), F.lit(0)).alias("hit_id"), micros(F.col("hit_at").cast("timestamp_ntz")).alias("t"),
+    )
+    packed = rows.mapInArrow(_packed, "identifier bigint, role string, blank int, hit_id array<bigint>, t array<bigint>")
+    decided = _stateful(
+        packed.withColumn("bucket", F.pmod(F.xxhash64("identifier"), F.lit(BUCKETS))), "bucket", RateLimiter(ttl_days),
+        "hit_id bigint, identifier bigint, role string, t bigint, allowed boolean, daily_remaining bigint, minute_remaining bigint, retry_after bigint",
         "ProcessingTime" if ttl_days else "None",
     )
+    at = F.timestamp_add("MICROSECOND", F.col("t"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return decided.withColumn("t", at.cast("timestamp")).withColumnRenamed("t", "hit_at")
 
 
 def escalate_blocks(blocks: DataFrame, delay: str = "1 hour", forget_days: int | None = None) -> DataFrame:
